@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumenlake.llm import sharding, tokens
-from lumenlake.llm.common import read_table
+from lumenlake.llm import quality, sharding, tokens, toxicity
+from lumenlake.llm.common import held_out, read_table
 
 #: The public vocabulary that op6 and the pipeline encode with.
 VOCABULARY = "byte_bpe_50k.json"
@@ -19,17 +20,35 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def _predicted(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op1_toxicity_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
+    return _predicted(toxicity.score_documents(docs, model), toxicity.THRESHOLD)
+
+
 def op4_weighted_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(read_table(spark, sf_dir, "documents"))
 
 
+def op5_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = quality.train(docs, read_table(spark, sf_dir, "labels"))
+    return _predicted(quality.score_documents(docs, net), quality.THRESHOLD)
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.encode_documents(docs, vocabulary_path()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity_automata": op1_toxicity_automata,
     "op4_weighted_tree_sharding": op4_weighted_tree_sharding,
+    "op5_byte_cnn_quality": op5_byte_cnn_quality,
     "op6_bpe_codec": op6_bpe_codec,
 }
 
