@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.llm import quality, sharding, tokens, toxicity
+from lumenlake.llm import decontamination, quality, sharding, tokens, topk, toxicity
 from lumenlake.llm.common import held_out, read_table
 
 #: The public vocabulary that op6 and the pipeline encode with.
@@ -45,13 +45,27 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_documents(docs, vocabulary_path()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op7_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op10_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), F.array_sort("leaks.item_id").alias("item_ids"),
+                        F.coalesce(F.array_max("leaks.coverage"), F.lit(0.0)).alias("coverage"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_automata": op1_toxicity_automata,
     "op4_weighted_tree_sharding": op4_weighted_tree_sharding,
     "op5_byte_cnn_quality": op5_byte_cnn_quality,
     "op6_bpe_codec": op6_bpe_codec,
+    "op7_segment_topk": op7_segment_topk,
+    "op10_greedy_tiling": op10_greedy_tiling,
 }
 
 ORACLE_SQL_BY_QUERY: dict[str, str | None] = {
     "op4_weighted_tree_sharding": sharding.oracle_sql(),
+    "op7_segment_topk": topk.oracle_sql(),
 }
