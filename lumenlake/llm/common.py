@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,28 +13,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below the shared folder that the cluster names in spark.checkpoint.dir.
-
-    Only where that setting is absent (a single-machine session, as in tests) a folder of our own is set.
-    """
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if base is None:
-        base = "file://" + tempfile.mkdtemp(prefix="lumenlake-")
-        sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/lumenlake-{uuid.uuid4().hex}"
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """df with its lineage cut: its rows are in the shared checkpoint folder, so a lost executor costs no rerun."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(conf or "file://" + tempfile.mkdtemp(prefix="lumenlake-"))
-    return df.checkpoint(eager=True)
-
-
 def held_out(doc_id: Column) -> Column:
     """Whether the row belongs to the evaluation fold."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == HELD_OUT, F.lit(False))

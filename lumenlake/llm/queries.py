@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.llm import decontamination, quality, sharding, spans, tokens, topk, toxicity
+from lumenlake.llm import decontamination, jaccard, quality, sharding, spans, tokens, topk, toxicity
 from lumenlake.llm.common import held_out, read_table
 
 #: The public vocabulary that op6 and the pipeline encode with.
@@ -49,6 +49,11 @@ def op7_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op8_bayesian_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.near_duplicates(docs).select(F.col("doc").alias("doc_id"), "class_id", "class_size", "n_links")
+
+
 def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return spans.remove_repeated(docs).select(
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_byte_cnn_quality": op5_byte_cnn_quality,
     "op6_bpe_codec": op6_bpe_codec,
     "op7_segment_topk": op7_segment_topk,
+    "op8_bayesian_jaccard": op8_bayesian_jaccard,
     "op9_sentence_spans": op9_sentence_spans,
     "op10_greedy_tiling": op10_greedy_tiling,
 }
