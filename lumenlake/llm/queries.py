@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.llm import decontamination, jaccard, quality, sharding, spans, tokens, topk, toxicity, warc
+from lumenlake.llm import decontamination, jaccard, lpf, quality, sharding, spans, tokens, topk, toxicity, warc
 from lumenlake.llm.common import held_out, read_table
 
 #: The public vocabulary that op6 and the pipeline encode with.
@@ -30,6 +30,11 @@ def op1_toxicity_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(toxicity.score_documents(docs, model), toxicity.THRESHOLD)
 
 
+def op2_lpf_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lpf.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -75,6 +80,7 @@ def op10_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_automata": op1_toxicity_automata,
+    "op2_lpf_dedup": op2_lpf_dedup,
     "op3_warc_capture_index": op3_warc_capture_index,
     "op4_weighted_tree_sharding": op4_weighted_tree_sharding,
     "op5_byte_cnn_quality": op5_byte_cnn_quality,
