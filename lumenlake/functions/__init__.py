@@ -1 +1 @@
-"""."""
+"""Column functions: vectors, places, times, texts, hashes, images."""

@@ -1 +1 @@
-"""."""
+"""Query planning and the registered queries."""

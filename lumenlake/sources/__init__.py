@@ -1 +1 @@
-"""."""
+"""Readers, schemas and writers."""
