@@ -68,10 +68,10 @@ def hash_encode(texts: DataFrame, dim: int = DIM) -> DataFrame:
     """
     clean = F.regexp_replace(F.lower(F.col("text")), "[_-]", " ")
     words = F.filter(F.split(clean, r"\s+"), lambda w: w != "")
-    tokens = texts.select("id", F.explode(F.when(F.size(words) > 0, words).otherwise(F.array("text"))).alias("token"))
+    tokens = texts.select("id", F.explode(F.when(F.size(words) > 0, words).otherwise(F.array(F.lower(F.col("text"))))).alias("token"))
     digest = F.sha2("token", 256)
     pair = lambda i: F.conv(F.substring(digest, 4 * i + 1, 4), 16, 10).cast("long")
-    sign = lambda i: F.when(F.conv(F.substring(digest, 4 * i + 1, 2), 16, 10).cast("long") % 2 == 0, 1.0).otherwise(-1.0)
+    sign = lambda i: F.when(F.conv(F.substring(digest, 4 * i + 1, 2), 16, 10).cast("long") % 2 == 1, 1.0).otherwise(-1.0)
     slots = tokens.select("id", F.explode(F.array(*(F.struct((pair(i) % dim).alias("slot"), sign(i).alias("x")) for i in range(SLOTS)))).alias("s"))
     sums = slots.groupBy("id", F.col("s.slot").alias("slot")).agg(F.sum("s.x").alias("x"))
     maps = sums.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
@@ -80,11 +80,11 @@ def hash_encode(texts: DataFrame, dim: int = DIM) -> DataFrame:
 
 def hash_vector(text: str, dim: int = DIM) -> list[float]:
     """The same encoding of one text, on the driver."""
-    tokens = re.sub("[_-]", " ", text.lower()).split() or [text]
+    tokens = re.sub("[_-]", " ", text.lower()).split() or [text.lower()]
     out = [0.0] * dim
     for digest in (hashlib.sha256(t.encode()).digest() for t in tokens):
         for i in range(SLOTS):
-            out[int.from_bytes(digest[2 * i : 2 * i + 2], "big") % dim] += 1.0 if digest[2 * i] % 2 == 0 else -1.0
+            out[int.from_bytes(digest[2 * i : 2 * i + 2], "big") % dim] += 1.0 if digest[2 * i] % 2 else -1.0
     n = math.sqrt(sum(x * x for x in out)) or 1.0
     return [x / n for x in out]
 
