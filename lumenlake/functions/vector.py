@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,7 +71,4 @@ def grid_cells(v: Column, width: float, dims: int = 2) -> Column:
 
 def near_cells(cell: Column, dims: int = 2) -> Column:
     """The cell and its neighbours."""
-    out = F.array(F.array().cast("array<int>"))
-    for d in range(dims):
-        out = F.flatten(F.transform(out, lambda head, d=d: F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda step: F.concat(head, F.array(cell[d] + step)))))
-    return out
+    return F.array(*(F.array(*(cell[i] + step for i, step in enumerate(steps))) for steps in product((-1, 0, 1), repeat=dims)))

@@ -1,13 +1,656 @@
-"""The registered queries over the driver's tables and their SQL counterparts."""
+"""The registered queries over the driver's tables and their counterparts in DuckDB's SQL.
+
+Doubles are rounded on both sides; arrays are joined to strings; every table is read whole.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenlake.functions import text, times, vector
+from lumenlake.operators import density, event_people, events, journeys, metrics, narrative, people, places, quality, search, similar, sync
+from lumenlake.plans import search_plan
+from lumenlake.plans.testbed import PHOTOS_SQL, cosine_sql, haversine_sql, photos, table
+
 FLAGSHIP = "search_topk"
+Query = Callable[[SparkSession, str], DataFrame]
+
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+#: What the queries search for, and the limits they set.
+QUERY = [0.5, -0.2, 0.1, 0.3]
+START, END = datetime(2024, 1, 5), datetime(2024, 1, 20)
+BOX = search_plan.Box(30.0, 103.0, 31.0, 105.0)
+WINDOW = 6 * 3600
+TODAY = "2026-08-17"
+
+
+def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _ORACLES[name] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLES)
+
+
+def _r(c: str | Column, digits: int = 6) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c, digits)
+
+
+def _list(values) -> str:
+    return "[" + ", ".join(f"{float(v)}::DOUBLE" for v in values) + "]"
+
+
+# --- search -----------------------------------------------------------------------------------------------------
+
+_SCORED = f"{PHOTOS_SQL}, scored AS (SELECT *, {cosine_sql('embedding', _list(QUERY))} AS s FROM photos WHERE embedding IS NOT NULL)"
+
+
+@_query("search_topk", f"{_SCORED} SELECT id, library_id, round(s, 6) AS score FROM scored ORDER BY s DESC, ord LIMIT 20")
+def search_topk(spark, sf_dir):
+    return search.search(photos(spark, sf_dir), QUERY, 20).select("id", "library_id", _r("score").alias("score"))
+
+
+@_query("search_min_score", f"{_SCORED}, top AS (SELECT * FROM scored ORDER BY s DESC, ord LIMIT 200) SELECT id, round(s, 6) AS score FROM top WHERE s >= 0.9")
+def search_min_score(spark, sf_dir):
+    return search.search(photos(spark, sf_dir), QUERY, 200, 0.9).select("id", _r("score").alias("score"))
+
+
+_WHERE = ("captured_at_source = 'exif' AND captured_wall >= TIMESTAMP '2024-01-05' AND captured_wall < TIMESTAMP '2024-01-20' "
+          "AND gps_source = 'exif' AND latitude BETWEEN 30.0 AND 31.0 AND longitude BETWEEN 103.0 AND 105.0")
+
+
+@_query("search_filtered_time_bbox", f"{_SCORED} SELECT id, round(s, 6) AS score, false AS metadata_fallback FROM scored WHERE {_WHERE} ORDER BY s DESC, ord LIMIT 50")
+def search_filtered(spark, sf_dir):
+    plan = search_plan.plan_search("photos of a beach", START, END, BOX, TODAY)
+    found, _ = search.search_details(photos(spark, sf_dir), plan, QUERY, 50)
+    return found.select("id", _r("score").alias("score"), "metadata_fallback")
+
+
+@_query("search_counts", f"{PHOTOS_SQL} SELECT count(*) AS total_count, count(*) FILTER ({_WHERE}) AS candidate_count, false AS metadata_fallback FROM photos")
+def search_counts(spark, sf_dir):
+    return search.search_details(photos(spark, sf_dir), search_plan.plan_search("beach", START, END, BOX, TODAY), QUERY)[1]
+
+
+@_query("search_fallback_flag", f"""{_SCORED}, known AS (SELECT * FROM scored WHERE captured_at_source <> 'exif')
+SELECT id, round(s, 6) AS score, true AS metadata_fallback FROM known ORDER BY s DESC, ord LIMIT 20""")
+def search_fallback(spark, sf_dir):
+    plan = search_plan.plan_search("beach", START, END, today=TODAY)
+    rows = photos(spark, sf_dir).where("captured_at_source <> 'exif'")
+    return search.search_details(rows, plan, QUERY, 20, fallback=True)[0].select("id", _r("score").alias("score"), "metadata_fallback")
+
+
+_CORPUS = """
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+scored AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_dot_product(q.e, v.e) / greatest(sqrt(list_dot_product(q.e, q.e)), 1e-12) / greatest(sqrt(list_dot_product(v.e, v.e)), 1e-12) AS s
+  FROM v q CROSS JOIN v WHERE q.vec_id % 25 = 0),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM scored QUALIFY rank <= 10)
+"""
+
+
+def _batch(spark, sf_dir):
+    corpus = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("ord"), "embedding", "label")
+    asked = corpus.where("id % 25 = 0")
+    return search.batch_search(asked.select(F.col("id").alias("query_id"), "embedding"), corpus, 10), corpus, asked
+
+
+@_query("batch_topk", f"{_CORPUS} SELECT query_id, rank, id, round(s, 6) AS score FROM top")
+def batch_topk(spark, sf_dir):
+    return _batch(spark, sf_dir)[0].select("query_id", "rank", "id", _r("score").alias("score"))
+
+
+@_query("recall_at_k", f"""{_CORPUS}, rel AS (SELECT q.vec_id AS query_id, v.vec_id AS id FROM v q JOIN v ON q.label = v.label WHERE q.vec_id % 25 = 0),
+n AS (SELECT query_id, count(*) AS total FROM rel GROUP BY 1),
+ks AS (SELECT unnest([1, 5, 10])::INTEGER AS k),
+each AS (SELECT ks.k, n.query_id, (SELECT count(*) FROM top t JOIN rel r USING (query_id, id) WHERE t.query_id = n.query_id AND t.rank <= ks.k) / n.total AS r FROM ks CROSS JOIN n)
+SELECT k, count(*) AS queries, round(avg(r), 6) AS mean_recall FROM each GROUP BY k""")
+def recall_at_k(spark, sf_dir):
+    found, corpus, asked = _batch(spark, sf_dir)
+    relevant = asked.select(F.col("id").alias("query_id"), "label").join(corpus.select("id", "label"), "label").select("query_id", "id")
+    return metrics.recall_at_k(found, relevant).select("k", "queries", _r("mean_recall").alias("mean_recall"))
+
+
+@_query("rerank_recency", f"""{_SCORED}, top AS (SELECT * FROM scored ORDER BY s DESC, ord LIMIT 100)
+SELECT id, round(s + 0.05 * (CASE WHEN id % 3 = 0 THEN 0 ELSE 1 END), 6) AS final_score FROM top""")
+def rerank_recency(spark, sf_dir):
+    found = search.search(photos(spark, sf_dir), QUERY, 100).withColumn("captured_at", F.when(F.col("id") % 3 != 0, F.col("captured_wall").cast("string")))
+    return search.rerank(found, 0.05).select("id", _r("final_score").alias("final_score"))
+
+
+@_query("best_shots", f"{PHOTOS_SQL} SELECT id, round(coalesce(score, 0), 6) AS score FROM photos ORDER BY coalesce(score, 0) DESC, ord LIMIT 50")
+def best_shots(spark, sf_dir):
+    return similar.best_shots(photos(spark, sf_dir), 50).select("id", _r(F.coalesce("score", F.lit(0.0))).alias("score"))
+
+
+@_query("photo_health", f"{PHOTOS_SQL} SELECT count(*) AS photos, count(embedding) AS with_vectors, 'hash' AS encoder FROM photos")
+def photo_health(spark, sf_dir):
+    return search.health(photos(spark, sf_dir))
+
+
+# --- query texts and the text encoder ---------------------------------------------------------------------------
+
+_WORDS = "SELECT doc_id AS id, regexp_extract(text, '^\\S+(\\s+\\S+){0,5}') AS q FROM documents"
+
+
+def _word_queries(spark, sf_dir) -> DataFrame:
+    """The first words of every document, as queries; some have a known word put in front."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.regexp_extract("text", r"^\S+(\s+\S+){0,5}", 0).alias("q"))
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _strings_sql(values) -> str:
+    return "[" + ", ".join(map(_quoted, values)) + "]"
+
+
+_KEYS = list(text.EXPANSIONS)
+_EXPAND_SQL = f"""
+WITH base AS (SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'Beach' WHEN 1 THEN 'my Vacation with food' WHEN 2 THEN regexp_extract(text, '^\\S+(\\s+\\S+){{0,5}}') ELSE lang END AS raw FROM documents),
+q AS (SELECT id, trim(raw, ' ') AS q, lower(trim(raw, ' ')) AS low FROM base),
+e AS (SELECT *, CASE {' '.join(f"WHEN low = {_quoted(k)} THEN {_strings_sql(v)}" for k, v in text.EXPANSIONS.items())} END AS exact,
+  {' || '.join(f"(CASE WHEN contains(low, {_quoted(k)}) THEN {_strings_sql(v)} ELSE [] END)" for k, v in text.EXPANSIONS.items())} AS inside,
+  list_filter(regexp_split_to_array(q, '\\s+'), lambda w: w <> '') AS words FROM q),
+x AS (SELECT id, [q] || CASE WHEN exact IS NOT NULL THEN exact WHEN len(inside) > 0 THEN inside
+  ELSE [q, 'a photo of ' || q] || CASE WHEN len(words) > 1 THEN ['a photo showing ' || array_to_string(words, ' ')] ELSE [] END END AS all_texts FROM e),
+u AS (SELECT id, t, min(i) AS i FROM (SELECT id, unnest(all_texts) AS t, generate_subscripts(all_texts, 1) AS i FROM x) GROUP BY id, t)
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS pos, t AS text FROM u
+"""
+
+
+@_query("query_expansion", _EXPAND_SQL)
+def query_expansion(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    which = F.col("doc_id") % 4
+    raw = F.when(which == 0, "Beach").when(which == 1, "my Vacation with food").when(which == 2, F.regexp_extract("text", r"^\S+(\s+\S+){0,5}", 0)).otherwise(F.col("lang"))
+    return docs.select(F.col("doc_id").alias("id"), F.posexplode(text.expand_query(raw)).alias("pos", "text")).select("id", F.col("pos").cast("long").alias("pos"), "text")
+
+
+@_query("hash_text_encoder", f"""
+WITH q AS ({_WORDS}),
+t AS (SELECT id, unnest(CASE WHEN len(w) > 0 THEN w ELSE [lower(q)] END) AS token FROM (SELECT id, q, list_filter(regexp_split_to_array(regexp_replace(lower(q), '[_-]', ' ', 'g'), '\\s+'), lambda x: x <> '') AS w FROM q)),
+s AS (SELECT id, ('0x' || substr(sha256(token), 4 * i + 1, 4))::BIGINT % 256 AS slot, CASE WHEN ('0x' || substr(sha256(token), 4 * i + 1, 2))::BIGINT % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS x FROM t, range(12) r(i)),
+v AS (SELECT id, slot, sum(x) AS x FROM s GROUP BY 1, 2),
+n AS (SELECT id, sqrt(sum(x * x)) AS n FROM v GROUP BY 1)
+SELECT v.id, slot, round(x / CASE WHEN n > 0 THEN n ELSE 1 END, 6) AS value FROM v JOIN n USING (id) WHERE x <> 0""")
+def hash_text_encoder(spark, sf_dir):
+    vectors = text.hash_encode(_word_queries(spark, sf_dir).select("id", F.col("q").alias("text")))
+    return vectors.select("id", F.posexplode("embedding").alias("slot", "x")).where("x <> 0").select("id", F.col("slot").cast("long").alias("slot"), _r("x").alias("value"))
+
+
+@_query("time_phrase_windows", """
+WITH q AS (SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN '2024 年 海边' WHEN 1 THEN 'beach Last  Year' WHEN 2 THEN 'food this year' WHEN 3 THEN '上个月的照片' ELSE lang END AS query FROM documents)
+SELECT id, query,
+  CASE id % 5 WHEN 0 THEN DATE '2024-01-01' WHEN 1 THEN DATE '2025-01-01' WHEN 2 THEN DATE '2026-01-01' WHEN 3 THEN DATE '2026-07-01' END AS window_start,
+  CASE id % 5 WHEN 0 THEN DATE '2025-01-01' WHEN 1 THEN DATE '2026-01-01' WHEN 2 THEN DATE '2027-01-01' WHEN 3 THEN DATE '2026-08-01' END AS window_end,
+  CASE id % 5 WHEN 0 THEN '2024 年' WHEN 1 THEN '去年' WHEN 2 THEN '今年' WHEN 3 THEN '上个月' END AS time_expression
+FROM q""")
+def time_phrase_windows(spark, sf_dir):
+    which = F.col("doc_id") % 5
+    q = F.when(which == 0, "2024 年 海边").when(which == 1, "beach Last  Year").when(which == 2, "food this year").when(which == 3, "上个月的照片").otherwise(F.col("lang"))
+    return search_plan.time_windows(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), q.alias("query")), TODAY)
+
+
+# --- events -----------------------------------------------------------------------------------------------------
+
+def _distance_sql(strategy: str) -> str:
+    gap = "coalesce(least(abs(b.captured_epoch - a.captured_epoch) / 3600.0 / 8.0, 1.0), 1.0)"
+    if strategy == "time_only":
+        return gap
+    seen = f"0.55::DOUBLE * {gap} + 0.30::DOUBLE * coalesce(1 - {cosine_sql('a.embedding', 'b.embedding')}, 0)"
+    return seen if strategy == "time_clip" else f"{seen} + 0.15::DOUBLE * least(coalesce({haversine_sql('a', 'b')}, 0) / 50.0, 1.0)"
+
+
+def _sequential_sql(strategy: str) -> str:
+    return f"""{PHOTOS_SQL},
+o AS (SELECT *, row_number() OVER (PARTITION BY library_id ORDER BY captured_epoch NULLS LAST, ord) AS n FROM photos),
+m AS (SELECT b.*, CASE WHEN a.n IS NULL THEN 0 WHEN {_distance_sql(strategy)} > 0.48::DOUBLE THEN 1 ELSE 0 END AS split FROM o b LEFT JOIN o a ON a.library_id = b.library_id AND a.n = b.n - 1),
+e AS (SELECT *, (sum(split) OVER (PARTITION BY library_id ORDER BY n))::BIGINT AS event_id FROM m)"""
+
+
+def _sequential(strategy: str) -> Query:
+    return lambda spark, sf_dir: events.sequential_events(photos(spark, sf_dir), strategy).select("library_id", "event_id", "id", "pos")
+
+
+for _s in ("time_only", "time_clip", "time_clip_gps"):
+    _query(f"events_{_s}", f"{_sequential_sql(_s)} SELECT library_id, event_id, id, row_number() OVER (PARTITION BY library_id, event_id ORDER BY n) - 1 AS pos FROM e")(_sequential(_s))
+
+
+@_query("event_summary", f"""{_sequential_sql('time_clip_gps')} SELECT library_id, event_id, count(*) AS photo_count, arg_min(captured_wall, n)::VARCHAR AS start_at, arg_max(captured_wall, n)::VARCHAR AS end_at,
+  round(avg(latitude), 6) AS centroid_latitude, round(avg(longitude), 6) AS centroid_longitude FROM e GROUP BY 1, 2""")
+def event_summary(spark, sf_dir):
+    s = events.event_summary(events.sequential_events(photos(spark, sf_dir)))
+    return s.select("library_id", "event_id", "photo_count", _stamp("start").alias("start_at"), _stamp("end").alias("end_at"), _r("centroid_latitude").alias("centroid_latitude"), _r("centroid_longitude").alias("centroid_longitude"))
+
+
+def _stamp(c: str) -> Column:
+    """A time as DuckDB writes it."""
+    return F.col(c).cast("string")
+
+
+_STRICT_PAIRS = f"""{PHOTOS_SQL},
+pairs AS (SELECT a.library_id, a.ord AS left_ord, b.ord AS right_ord FROM photos a JOIN photos b ON a.library_id = b.library_id AND a.ord < b.ord
+  WHERE CASE WHEN a.captured_at_source = 'exif' AND b.captured_at_source = 'exif' THEN abs(b.captured_epoch - a.captured_epoch) / 3600.0 / 8.0 < 1.0 AND {_distance_sql('time_clip_gps')} <= 0.48::DOUBLE
+    ELSE {cosine_sql('a.embedding', 'b.embedding')} >= CASE WHEN a.captured_at_source = 'filesystem' AND b.captured_at_source = 'filesystem' AND abs(a.captured_epoch - b.captured_epoch) <= 900 THEN 0.86::DOUBLE ELSE 0.92::DOUBLE END END)"""
+
+
+def _components_sql(pairs: str, nodes: str) -> str:
+    """Least ord reachable from every node, by closure; for the small graphs of a check."""
+    return f"""sym AS (SELECT library_id, left_ord AS u, right_ord AS v FROM {pairs} UNION SELECT library_id, right_ord, left_ord FROM {pairs}),
+reach AS (SELECT library_id, ord AS u, ord AS v FROM {nodes} UNION SELECT r.library_id, r.u, b.v FROM reach r JOIN sym b ON b.library_id = r.library_id AND b.u = r.v),
+comp AS (SELECT library_id, u AS ord, min(v) AS head FROM reach GROUP BY 1, 2)"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH bits", "WITH RECURSIVE bits", 1)
+
+
+@_query("strict_pairs", f"{_STRICT_PAIRS} SELECT library_id, left_ord, right_ord FROM pairs")
+def strict_pairs(spark, sf_dir):
+    return events.strict_pairs(photos(spark, sf_dir)).select("library_id", "left_ord", "right_ord")
+
+
+_STRICT = _recursive(f"{_STRICT_PAIRS}, {_components_sql('pairs', 'photos')}, e AS (SELECT p.*, dense_rank() OVER (PARTITION BY p.library_id ORDER BY c.head) - 1 AS event_id FROM photos p JOIN comp c USING (library_id, ord))")
+
+
+@_query("strict_events", f"{_STRICT} SELECT library_id, event_id, id FROM e")
+def strict_events(spark, sf_dir):
+    return events.strict_events(photos(spark, sf_dir)).select("library_id", "event_id", "id")
+
+
+@_query("strict_event_summary", f"""{_STRICT} SELECT library_id, event_id, count(*) AS photo_count, min(captured_wall) FILTER (captured_at_source = 'exif')::VARCHAR AS start_at, max(captured_wall) FILTER (captured_at_source = 'exif')::VARCHAR AS end_at,
+  round(avg(latitude), 6) AS centroid_latitude, round((max(captured_epoch) FILTER (captured_at_source = 'exif') - min(captured_epoch) FILTER (captured_at_source = 'exif')) / 60, 3) AS duration_minutes,
+  CASE WHEN bool_or(captured_at_source <> 'exif') THEN 'strict_clip_fallback' ELSE 'strict_exif_time_clip_gps' END AS evidence FROM e GROUP BY 1, 2""".replace("min(captured_wall) FILTER (captured_at_source = 'exif')::VARCHAR", "(min(captured_wall) FILTER (captured_at_source = 'exif'))::VARCHAR").replace("max(captured_wall) FILTER (captured_at_source = 'exif')::VARCHAR", "(max(captured_wall) FILTER (captured_at_source = 'exif'))::VARCHAR"))
+def strict_event_summary(spark, sf_dir):
+    s = events.strict_summary(events.strict_events(photos(spark, sf_dir)))
+    return s.select("library_id", "event_id", "photo_count", _stamp("start").alias("start_at"), _stamp("end").alias("end_at"), _r("centroid_latitude").alias("centroid_latitude"), _r("duration_minutes", 3).alias("duration_minutes"), "evidence")
+
+
+# --- similar shots ----------------------------------------------------------------------------------------------
+
+_SIMILAR = f"""{PHOTOS_SQL},
+pairs AS (SELECT a.library_id, a.ord AS left_ord, b.ord AS right_ord FROM photos a JOIN photos b ON a.library_id = b.library_id AND a.ord < b.ord
+  WHERE (hamming(a.phash, b.phash) <= 10 OR {cosine_sql('a.embedding', 'b.embedding')} >= 0.9::DOUBLE) AND (a.captured_epoch IS NULL OR b.captured_epoch IS NULL OR abs(a.captured_epoch - b.captured_epoch) <= {WINDOW}))"""
+_GROUPS = _recursive(f"""{_SIMILAR}, paired AS (SELECT library_id, left_ord AS ord FROM pairs UNION SELECT library_id, right_ord FROM pairs), {_components_sql('pairs', 'paired')},
+g AS (SELECT p.*, dense_rank() OVER (PARTITION BY p.library_id ORDER BY c.head) - 1 AS group_id FROM photos p JOIN comp c USING (library_id, ord))""")
+
+
+@_query("similar_pairs", f"{_SIMILAR} SELECT library_id, left_ord, right_ord FROM pairs")
+def similar_pairs(spark, sf_dir):
+    return similar.similar_pairs(photos(spark, sf_dir), window_seconds=WINDOW).select("library_id", "left_ord", "right_ord")
+
+
+@_query("similar_groups", f"{_GROUPS} SELECT library_id, group_id, id, first(id) OVER (PARTITION BY library_id, group_id ORDER BY coalesce(score, 0) DESC, ord) AS representative_id FROM g")
+def similar_groups(spark, sf_dir):
+    return similar.similar_groups(photos(spark, sf_dir), window_seconds=WINDOW).select("library_id", "group_id", "id", "representative_id")
+
+
+@_query("best_shot_by_group", f"""{PHOTOS_SQL}, r AS (SELECT library_id, event_type, id, round(coalesce(score, 0), 6) AS score, row_number() OVER (PARTITION BY library_id, event_type ORDER BY coalesce(score, 0) DESC, ord) AS n FROM photos)
+SELECT library_id, event_type AS group_id, id AS photo_id, score FROM r WHERE n = 1""")
+def best_shot_by_group(spark, sf_dir):
+    p = photos(spark, sf_dir)
+    groups = p.select("library_id", F.col("event_type").alias("group_id"), F.col("id").alias("photo_id")).unionByName(p.select("library_id", F.lit("none").alias("group_id"), (-1 - F.col("id")).alias("photo_id")))
+    return similar.best_shot_by_group(groups, p).select("library_id", "group_id", "photo_id", _r(F.coalesce("score", F.lit(0.0))).alias("score"))
+
+
+_BITS = "SELECT vec_id AS id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS h FROM embeddings"
+
+
+@_query("hamming_neighbours", f"WITH b AS ({_BITS}) SELECT a.id AS left_id, b.id AS right_id, hamming(a.h, b.h)::INTEGER AS distance FROM b a JOIN b ON a.id < b.id WHERE hamming(a.h, b.h) <= 16")
+def hamming_neighbours(spark, sf_dir):
+    bits = F.transform("embedding", lambda x: F.when(x > 0, "1").otherwise("0"))
+    half = lambda at: F.conv(F.array_join(F.slice(bits, at, 32), ""), 2, 10).cast("long")
+    rows = table(spark, sf_dir, "embeddings").select(F.lit(0).alias("library_id"), F.col("vec_id").alias("id"), F.col("vec_id").alias("ord"), F.lit(None).cast("double").alias("captured_epoch"), half(1).alias("phash_hi"), half(33).alias("phash_lo"), F.lit(None).cast("array<double>").alias("embedding"))
+    pairs = similar.similar_pairs(rows, phash_distance=16, require_time=False)
+    words = rows.select("id", "phash_hi", "phash_lo")
+    side = lambda s: words.select(*(F.col(c).alias(f"{s}_{c}") for c in words.columns))
+    joined = pairs.select("left_id", "right_id").join(side("left"), "left_id").join(side("right"), "right_id")
+    return joined.select("left_id", "right_id", similar.hamming(F.col("left_phash_hi"), F.col("left_phash_lo"), F.col("right_phash_hi"), F.col("right_phash_lo")).alias("distance"))
+
+
+# --- places -----------------------------------------------------------------------------------------------------
+
+_SPOTS = _recursive(f"""{PHOTOS_SQL}, spots AS (SELECT library_id, latitude, longitude, min(ord) AS ord FROM photos WHERE latitude IS NOT NULL GROUP BY 1, 2, 3),
+pairs AS (SELECT a.library_id, a.ord AS left_ord, b.ord AS right_ord FROM spots a JOIN spots b ON a.library_id = b.library_id AND a.ord < b.ord WHERE {haversine_sql('a', 'b')} <= 40),
+{_components_sql('pairs', 'spots')},
+mm AS (SELECT p.*, c.head FROM photos p JOIN spots s ON s.library_id = p.library_id AND s.latitude = p.latitude AND s.longitude = p.longitude JOIN comp c ON c.library_id = s.library_id AND c.ord = s.ord),
+n AS (SELECT library_id, head, count(*) AS photo_count, min(ord) AS first_ord, avg(latitude) AS latitude, avg(longitude) AS longitude, count(DISTINCT captured_wall::DATE) AS active_days, count(DISTINCT strftime(captured_wall, '%Y-%m')) AS active_months FROM mm GROUP BY 1, 2),
+c AS (SELECT *, row_number() OVER (PARTITION BY library_id ORDER BY photo_count DESC, first_ord) - 1 AS cluster_id FROM n),
+d AS (SELECT c.library_id, c.cluster_id, quantile_cont({haversine_sql('c', 'mm')}, 0.9) AS p90 FROM mm JOIN c ON c.library_id = mm.library_id AND c.head = mm.head GROUP BY 1, 2),
+k AS (SELECT c.*, greatest(20, least(150, p90 + 15)) AS radius_km FROM c JOIN d USING (library_id, cluster_id)),
+h AS (SELECT *, row_number() OVER (PARTITION BY library_id ORDER BY active_months DESC, active_days DESC, photo_count DESC, cluster_id) = 1 AS is_home FROM k)""")
+
+
+@_query("gps_clusters", f"{_SPOTS} SELECT library_id, cluster_id, photo_count, active_days, active_months, round(latitude, 5) AS latitude, round(longitude, 5) AS longitude, round(radius_km, 4) AS radius_km FROM k")
+def gps_clusters(spark, sf_dir):
+    c = places.gps_clusters(photos(spark, sf_dir))
+    return c.select("library_id", "cluster_id", "photo_count", "active_days", "active_months", _r("center_latitude", 5).alias("latitude"), _r("center_longitude", 5).alias("longitude"), _r("radius_km", 4).alias("radius_km"))
+
+
+@_query("home_inference", f"""{_SPOTS} SELECT library_id, cluster_id, is_home, round(latitude, 5) AS latitude, round(longitude, 5) AS longitude,
+  round(CASE WHEN is_home THEN greatest(40, least(100, radius_km + 20)) ELSE radius_km END, 4) AS radius_km FROM h WHERE is_home OR photo_count >= 2""")
+def home_inference(spark, sf_dir):
+    found = places.journey_places(places.gps_clusters(photos(spark, sf_dir)))
+    return found.select("library_id", "cluster_id", "is_home", _r("latitude", 5).alias("latitude"), _r("longitude", 5).alias("longitude"), _r("radius_km", 4).alias("radius_km"))
+
+
+_EVENT_PLACES = f"""{_SPOTS},
+pl AS (SELECT library_id, cluster_id, is_home, latitude, longitude, CASE WHEN is_home THEN greatest(40, least(100, radius_km + 20)) ELSE radius_km END AS radius_km FROM h WHERE is_home OR photo_count >= 2),
+{_sequential_sql('time_clip_gps')[len(PHOTOS_SQL) + 1:].strip()},
+ev AS (SELECT library_id, event_id, min(captured_epoch) AS start_epoch, avg(latitude) AS latitude, avg(longitude) AS longitude, count(*) AS photo_count FROM e GROUP BY 1, 2),
+st AS (SELECT ev.*, CASE WHEN ev.latitude IS NULL OR hm.library_id IS NULL THEN 'unknown' WHEN {haversine_sql('ev', 'hm')} <= hm.radius_km THEN 'home' ELSE 'away' END AS state
+  FROM ev LEFT JOIN pl hm ON hm.library_id = ev.library_id AND hm.is_home),
+ds AS (SELECT ev.library_id, ev.event_id, arg_min(pl.cluster_id, struct_pack(km := {haversine_sql('ev', 'pl')}, c := pl.cluster_id)) AS nearest, min({haversine_sql('ev', 'pl')}) AS km,
+  arg_min(pl.radius_km, struct_pack(km := {haversine_sql('ev', 'pl')}, c := pl.cluster_id)) AS r FROM ev JOIN pl ON pl.library_id = ev.library_id AND NOT pl.is_home WHERE ev.latitude IS NOT NULL GROUP BY 1, 2)"""
+
+
+def _placed_events(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(events with their state and destination, members) of the sequential events of the view."""
+    p = photos(spark, sf_dir)
+    members = events.sequential_events(p)
+    summary = members.groupBy("library_id", "event_id").agg(
+        F.min("captured_epoch").alias("start_epoch"), F.min("captured_wall").alias("start"), F.avg("latitude").alias("centroid_latitude"), F.avg("longitude").alias("centroid_longitude"),
+        F.count("*").alias("photo_count"), F.min_by("id", "pos").alias("first_photo"))
+    found = places.journey_places(places.gps_clusters(p)).withColumn("name", F.concat(F.lit("place "), F.col("cluster_id")))
+    return places.event_places(summary, found), members
+
+
+@_query("nearest_destination", f"{_EVENT_PLACES} SELECT st.library_id, st.event_id, state, CASE WHEN km <= r THEN 'place ' || nearest END AS destination FROM st LEFT JOIN ds USING (library_id, event_id)")
+def nearest_destination(spark, sf_dir):
+    return _placed_events(spark, sf_dir)[0].select("library_id", "event_id", "state", "destination")
+
+
+# --- journeys ---------------------------------------------------------------------------------------------------
+
+@_query("journeys_simple", f"""{_EVENT_PLACES},
+t AS (SELECT * FROM st WHERE state <> 'unknown'),
+l AS (SELECT *, lag(state) OVER w AS was, lag(start_epoch) OVER w AS prev_epoch FROM t WINDOW w AS (PARTITION BY library_id ORDER BY start_epoch, event_id)),
+f AS (SELECT *, CASE WHEN state = 'away' AND (coalesce(was, 'home') = 'home' OR (start_epoch - prev_epoch) / 86400.0 > 5) THEN 1 ELSE 0 END AS opens FROM l),
+j AS (SELECT *, (sum(opens) OVER (PARTITION BY library_id ORDER BY start_epoch, event_id) - 1)::BIGINT AS journey_id FROM f)
+SELECT library_id, journey_id, event_id FROM j WHERE state = 'away'""")
+def journeys_simple(spark, sf_dir):
+    return journeys.journeys_without_unknown(_placed_events(spark, sf_dir)[0]).select("library_id", "journey_id", "event_id")
+
+
+_FOLD = f"""{_EVENT_PLACES},
+s AS (SELECT *, row_number() OVER (PARTITION BY library_id ORDER BY start_epoch, event_id) AS i FROM st),
+fold AS (
+  SELECT library_id, 0::BIGINT AS i, false AS is_open, NULL::DOUBLE AS last, -1::BIGINT AS journey_id, NULL::BIGINT AS event_id, false AS joins FROM (SELECT DISTINCT library_id FROM s)
+  UNION ALL
+  SELECT s.library_id, s.i, CASE WHEN s.state = 'home' THEN false ELSE f.is_open OR s.state = 'away' END,
+    CASE WHEN s.state IN ('home', 'away') OR (f.is_open AND s.start_epoch - f.last <= 432000) THEN s.start_epoch ELSE f.last END,
+    CASE WHEN s.state = 'away' AND (NOT f.is_open OR s.start_epoch - f.last > 432000) THEN f.journey_id + 1 ELSE f.journey_id END,
+    s.event_id, s.state = 'away' OR (s.state = 'unknown' AND f.is_open AND s.start_epoch - f.last <= 432000)
+  FROM fold f JOIN s ON s.library_id = f.library_id AND s.i = f.i + 1)"""
+
+
+@_query("journeys_fold", f"{_FOLD} SELECT library_id, journey_id, event_id FROM fold WHERE joins")
+def journeys_fold(spark, sf_dir):
+    return journeys.journeys(_placed_events(spark, sf_dir)[0]).select("library_id", "journey_id", "event_id")
+
+
+@_query("journey_summary", f"""{_FOLD}, jm AS (SELECT f.library_id, f.journey_id, st.event_id, st.state, st.start_epoch, st.photo_count FROM fold f JOIN st USING (library_id, event_id) WHERE f.joins)
+SELECT library_id, journey_id, round(min(start_epoch), 3) AS start_epoch, round(max(start_epoch), 3) AS end_epoch, round(avg(CASE WHEN state = 'away' THEN 1 ELSE 0 END), 6) AS confidence,
+  count(*) FILTER (photo_count > 1) AS event_count, count(*) FILTER (photo_count = 1) AS loose_count FROM jm GROUP BY 1, 2""")
+def journey_summary(spark, sf_dir):
+    placed, _ = _placed_events(spark, sf_dir)
+    found = journeys.journey_summary(journeys.journeys(placed).drop("photo_count", "first_photo"), placed.select("library_id", "event_id", "photo_count", "first_photo"))
+    return found.select("library_id", "journey_id", _r("start_epoch", 3).alias("start_epoch"), _r("end_epoch", 3).alias("end_epoch"), _r("confidence").alias("confidence"),
+                        F.size("event_ids").cast("long").alias("event_count"), F.size("loose_photo_ids").cast("long").alias("loose_count"))
+
+
+@_query("journey_stops")
+def journey_stops(spark, sf_dir):
+    s = journeys.stop_summary(journeys.stops(journeys.journeys(_placed_events(spark, sf_dir)[0])))
+    return s.select("library_id", "journey_id", "stop_id", "name", "event_count", _r("centroid_latitude", 5).alias("centroid_latitude"), _r("centroid_longitude", 5).alias("centroid_longitude"))
+
+
+@_query("journeys_attach")
+def journeys_attach(spark, sf_dir):
+    placed, members = _placed_events(spark, sf_dir)
+    placed = placed.withColumn("start_epoch", F.when(F.col("event_id") % 7 != 3, F.col("start_epoch")))
+    vectors = vector.mean_vectors(members, ["library_id", "event_id"], "embedding")
+    who = event_people.event_people(members, _view_people(spark, sf_dir)["person_photos"])
+    full = placed.join(vectors, ["library_id", "event_id"], "left").join(who, ["library_id", "event_id"], "left")
+    return journeys.attach_timeless(journeys.journeys(placed), full).select("library_id", "journey_id", "event_id")
+
+
+# --- faces and persons ------------------------------------------------------------------------------------------
+
+_FACES = """
+WITH RECURSIVE f AS (SELECT vec_id AS ord, label % 3 AS library_id, list_transform(list_slice(embedding, 1, 4), lambda x: x::DOUBLE) AS e, vec_id // 2 AS photo_id FROM embeddings),
+u AS (SELECT *, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS v FROM f),
+near AS (SELECT a.library_id, a.ord AS left_ord, b.ord AS right_ord FROM u a JOIN u b ON a.library_id = b.library_id AND a.ord <> b.ord WHERE 1 - list_dot_product(a.v, b.v) <= 0.02::DOUBLE),
+core AS (SELECT library_id, left_ord AS ord FROM near GROUP BY 1, 2 HAVING count(*) + 1 >= 4),
+pairs AS (SELECT n.* FROM near n JOIN core a ON a.library_id = n.library_id AND a.ord = n.left_ord JOIN core b ON b.library_id = n.library_id AND b.ord = n.right_ord),
+""" + _components_sql("pairs", "core") + """,
+lab AS (SELECT library_id, ord, dense_rank() OVER (PARTITION BY library_id ORDER BY head) - 1 AS label FROM comp),
+bor AS (SELECT n.library_id, n.left_ord AS ord, min(l.label) AS label FROM near n JOIN lab l ON l.library_id = n.library_id AND l.ord = n.right_ord GROUP BY 1, 2),
+lf AS (SELECT u.*, coalesce(lab.label, bor.label, -1) AS label, (u.ord % 10 + 1) / 11.0::DOUBLE AS det_score FROM u LEFT JOIN lab USING (library_id, ord) LEFT JOIN bor USING (library_id, ord))"""
+
+
+def _faces(spark, sf_dir) -> DataFrame:
+    """Faces of three libraries, two to a photo, from the embeddings table."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select((F.col("label") % 3).alias("library_id"), F.col("vec_id").alias("ord"), F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 2).cast("long").alias("photo_id"),
+                    F.slice("embedding", 1, 4).cast("array<double>").alias("embedding"), ((F.col("vec_id") % 10 + 1) / 11).alias("det_score"))
+
+
+@_query("dbscan_labels", f"{_FACES} SELECT library_id, ord AS id, label FROM lf")
+def dbscan_labels(spark, sf_dir):
+    return density.dbscan(_faces(spark, sf_dir), eps=0.02, min_samples=4).select("library_id", "id", "label")
+
+
+@_query("person_prototypes", f"""{_FACES}, x AS (SELECT library_id, label, i AS pos, sum(det_score * e[i + 1]) / sum(det_score) AS m FROM lf, range(4) r(i) WHERE label >= 0 GROUP BY 1, 2, 3),
+n AS (SELECT library_id, label, sqrt(sum(m * m)) AS n FROM x GROUP BY 1, 2)
+SELECT library_id, label, pos, round(m / n, 6) AS value FROM x JOIN n USING (library_id, label)""")
+def person_prototypes(spark, sf_dir):
+    found = density.prototypes(density.dbscan(_faces(spark, sf_dir), eps=0.02, min_samples=4))
+    return found.select("library_id", "label", F.posexplode("prototype").alias("pos", "x")).select("library_id", "label", F.col("pos").cast("long").alias("pos"), _r("x").alias("value"))
+
+
+@_query("person_covers", f"""{_FACES}, c AS (SELECT *, count(*) OVER (PARTITION BY library_id, photo_id) AS on_photo, (photo_id * 37 % 101) / 101.0::DOUBLE AS score FROM lf),
+r AS (SELECT *, row_number() OVER (PARTITION BY library_id, label ORDER BY CASE WHEN on_photo = 1 THEN 0 ELSE 1 END, score DESC, photo_id, det_score DESC, ord) AS n FROM c WHERE label >= 0)
+SELECT library_id, label AS person_id, photo_id, ord AS face_id, on_photo = 1 AS alone FROM r WHERE n = 1""")
+def person_covers(spark, sf_dir):
+    faces = _faces(spark, sf_dir)
+    labelled = density.dbscan(faces, eps=0.02, min_samples=4).where("label >= 0")
+    shots = faces.select("library_id", F.col("photo_id").alias("id"), F.col("photo_id").alias("ord"), ((F.col("photo_id") * 37 % 101) / 101).alias("score")).distinct()
+    return people.covers(labelled.select("library_id", F.col("label").alias("person_id"), F.col("id").alias("face_id")), faces, shots)
+
+
+def _view_people(spark, sf_dir) -> dict[str, DataFrame]:
+    """Persons of the photo view: two of four on every third photo, with appearances from the photo's vector."""
+    p = photos(spark, sf_dir).where("ord % 3 = 0")
+    seen = p.select("library_id", F.col("id").alias("photo_id"), "embedding", F.explode(F.array_distinct(F.array(F.col("ord") % 4, F.col("ord") % 7 % 4))).alias("person_id"))
+    faces = seen.select("library_id", F.concat("photo_id", F.lit(":"), "person_id").alias("id"), "photo_id", F.col("embedding").alias("appearance_embedding"), "person_id")
+    return {"faces": faces, "person_faces": faces.select("library_id", "person_id", F.col("id").alias("face_id")), "person_photos": seen.select("library_id", "person_id", "photo_id")}
+
+
+@_query("events_people")
+def events_people(spark, sf_dir):
+    return event_people.merge_by_people(photos(spark, sf_dir), **_view_people(spark, sf_dir)).select("library_id", "event_id", "id")
+
+
+@_query("event_person_ids", f"""{_sequential_sql('time_only')}, pp AS (SELECT DISTINCT library_id, event_id, unnest([ord % 4, ord % 7 % 4]) AS p FROM e WHERE ord % 3 = 0)
+SELECT library_id, event_id, string_agg(p::VARCHAR, ',' ORDER BY p) AS person_ids FROM pp GROUP BY 1, 2""")
+def event_person_ids(spark, sf_dir):
+    found = event_people.event_people(events.sequential_events(photos(spark, sf_dir), "time_only"), _view_people(spark, sf_dir)["person_photos"])
+    return found.select("library_id", "event_id", F.array_join(F.col("person_ids").cast("array<string>"), ",").alias("person_ids"))
+
+
+@_query("face_quality", """
+WITH f AS (SELECT vec_id // 3 AS photo_id, list_transform(list_slice(embedding, 1, 4), lambda x: abs(x::DOUBLE) * 100) AS b, (vec_id % 10 + 1) / 11.0::DOUBLE AS s FROM embeddings),
+g AS (SELECT photo_id, avg(greatest(0, least(1, s * least(1, 8 * (greatest(0, b[3] - b[1]) * greatest(0, b[4] - b[2])) / 1000.0)))) AS q FROM f GROUP BY 1)
+SELECT e.vec_id AS id, round(coalesce(q, 0.5), 6) AS face_quality_score FROM embeddings e LEFT JOIN g ON g.photo_id = e.vec_id""")
+def face_quality(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    boxes = F.transform(F.slice("embedding", 1, 4), lambda x: F.abs(x.cast("double")) * 100)
+    faces = e.select(F.lit(0).alias("library_id"), F.floor(F.col("vec_id") / 3).cast("long").alias("photo_id"), boxes.alias("bbox"), ((F.col("vec_id") % 10 + 1) / 11).alias("det_score"))
+    shots = e.select(F.lit(0).alias("library_id"), F.col("vec_id").alias("id"), F.lit(50).alias("width"), F.lit(20).alias("height"))
+    return quality.face_quality(shots, faces).select("id", _r("face_quality_score").alias("face_quality_score"))
+
+
+@_query("quality_score", """
+SELECT vec_id AS id, round(0.35 * (s / (s + 100.0)) + 0.20 * e + 0.20 * f + 0.25 * c, 6) AS score FROM (
+  SELECT vec_id, abs(embedding[1])::DOUBLE * 500 AS s, abs(embedding[2])::DOUBLE AS e, abs(embedding[3])::DOUBLE AS f, abs(embedding[4])::DOUBLE AS c FROM embeddings)""")
+def quality_score(spark, sf_dir):
+    x = lambda i: F.abs(F.col("embedding")[i]).cast("double")
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), _r(quality.total(x(0) * 500, x(1), x(2), x(3))["score"]).alias("score"))
+
+
+# --- metrics ----------------------------------------------------------------------------------------------------
+
+_LABELLED = "WITH r AS (SELECT CASE WHEN vec_id % 13 = 0 THEN 'review' ELSE label::VARCHAR END AS strict, (label // 2)::VARCHAR AS tolerant, CASE WHEN vec_id % 17 = 0 THEN '-1' ELSE (vec_id % 7)::VARCHAR END AS predicted FROM embeddings), n AS (SELECT row_number() OVER () AS i, * FROM r)"
+
+
+def _labelled(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.when(F.col("vec_id") % 13 == 0, "review").otherwise(F.col("label").cast("string")).alias("strict"), F.floor(F.col("label") / 2).cast("string").alias("tolerant"),
+                    F.when(F.col("vec_id") % 17 == 0, "-1").otherwise((F.col("vec_id") % 7).cast("string")).alias("predicted"))
+
+
+def _pairs_sql(expected: str) -> str:
+    ok = lambda c: f"{c} NOT IN ('review', '-1', '')"
+    return f"""(SELECT CASE WHEN p > 0 THEN tp / p ELSE 0 END AS pr, CASE WHEN e > 0 THEN tp / e ELSE 0 END AS rc FROM (
+  SELECT count(*) FILTER ({ok('a.predicted')} AND a.predicted = b.predicted AND a.{expected} = b.{expected})::DOUBLE AS tp, count(*) FILTER ({ok('a.predicted')} AND a.predicted = b.predicted)::DOUBLE AS p,
+    count(*) FILTER (a.{expected} = b.{expected})::DOUBLE AS e FROM n a JOIN n b ON a.i < b.i WHERE {ok(f'a.{expected}')} AND {ok(f'b.{expected}')}))"""
+
+
+@_query("pairwise_metrics", f"{_LABELLED} SELECT round(pr, 6) AS precision, round(rc, 6) AS recall, round(CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0 END, 6) AS f1 FROM {_pairs_sql('strict')}")
+def pairwise_metrics(spark, sf_dir):
+    m = metrics.pairwise_metrics(_labelled(spark, sf_dir).withColumn("expected", F.col("strict")))
+    return m.select(*(_r(c).alias(c) for c in m.columns))
+
+
+@_query("boundary_metrics", f"""{_LABELLED}, s AS (SELECT pr, rc FROM {_pairs_sql('strict')}), t AS (SELECT pr, rc FROM {_pairs_sql('tolerant')}),
+j AS (SELECT a.strict <> 'review' AND b.strict <> 'review' AND a.strict = b.strict AS same, a.tolerant = b.tolerant AS alike FROM n a JOIN n b ON a.i < b.i AND a.predicted = b.predicted AND a.predicted <> '-1')
+SELECT round(s.pr, 6) AS strict_precision, round(s.rc, 6) AS strict_recall, round(t.pr, 6) AS tolerant_precision, round(t.rc, 6) AS tolerant_recall,
+  (SELECT count(*) FROM j WHERE NOT same AND alike) AS tolerated_merge_pairs, (SELECT count(*) FROM j WHERE NOT same AND NOT alike) AS hard_false_positive_pairs FROM s, t""")
+def boundary_metrics(spark, sf_dir):
+    m = metrics.boundary_metrics(_labelled(spark, sf_dir))
+    return m.select(*(_r(f"{a}_{b}").alias(f"{a}_{b}") for a in ("strict", "tolerant") for b in ("precision", "recall")), "tolerated_merge_pairs", "hard_false_positive_pairs")
+
+
+@_query("clustering_f1", """
+WITH r AS (SELECT vec_id AS i, label - 1 AS expected, vec_id % 6 - 1 AS predicted FROM embeddings),
+c AS (SELECT count(*) FILTER (a.predicted >= 0 AND a.predicted = b.predicted AND a.expected >= 0 AND a.expected = b.expected)::DOUBLE AS tp, count(*) FILTER (a.predicted >= 0 AND a.predicted = b.predicted)::DOUBLE AS p,
+  count(*) FILTER (a.expected >= 0 AND a.expected = b.expected)::DOUBLE AS e FROM r a JOIN r b ON a.i < b.i),
+m AS (SELECT CASE WHEN p > 0 THEN tp / p ELSE 0 END AS pr, CASE WHEN e > 0 THEN tp / e ELSE 0 END AS rc FROM c)
+SELECT round(pr, 6) AS precision, round(rc, 6) AS recall, round(CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0 END, 6) AS f1 FROM m""")
+def clustering_f1(spark, sf_dir):
+    m = metrics.clustering_f1(table(spark, sf_dir, "embeddings").select((F.col("label") - 1).alias("expected"), (F.col("vec_id") % 6 - 1).alias("predicted")))
+    return m.select(*(_r(c).alias(c) for c in m.columns))
+
+
+@_query("annotation_labels", """
+WITH s AS (SELECT doc_id, doc_id % 50 AS photo_id, CASE WHEN quality = 1 THEN 'E' || toxic END AS event_id, 'F' || (doc_id % 3) AS event_family_id, CASE doc_id % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'Medium ' WHEN 2 THEN 'high' END AS c FROM labels),
+k AS (SELECT *, coalesce(event_id, event_family_id) AS label FROM s WHERE c IS NULL OR c <> 'low'),
+r AS (SELECT *, row_number() OVER (PARTITION BY photo_id ORDER BY doc_id DESC) AS n FROM k)
+SELECT photo_id::VARCHAR AS photo_id, label FROM r WHERE n = 1""")
+def annotation_labels(spark, sf_dir):
+    d = F.col("doc_id")
+    sheet = table(spark, sf_dir, "labels").select(
+        (d % 50).cast("string").alias("photo_id"), F.when(F.col("quality") == 1, F.concat(F.lit("E"), F.col("toxic"))).alias("event_id"), F.concat(F.lit("F"), d % 3).alias("event_family_id"),
+        F.when(d % 4 == 0, "low").when(d % 4 == 1, "Medium ").when(d % 4 == 2, "high").alias("label_confidence"), d.alias("ord"))
+    return metrics.annotation_labels(sheet, "event_id", "medium", "event_family_id")
+
+
+# --- texts, annotations, synchronization ------------------------------------------------------------------------
+
+@_query("event_template_names", f"""{_EVENT_PLACES},
+f AS (SELECT st.library_id, st.event_id, strftime(epoch_ms((start_epoch * 1000)::BIGINT), '%Y-%m-%d') AS day, CASE WHEN km <= r THEN 'place ' || nearest END AS place FROM st LEFT JOIN ds USING (library_id, event_id))
+SELECT library_id, event_id, CASE WHEN place IS NOT NULL THEN place || '记忆' ELSE day || '·照片记忆' END AS name, CASE WHEN place IS NOT NULL THEN day || '，地点为' || place || '。' ELSE day || '。' END AS summary FROM f""")
+def event_template_names(spark, sf_dir):
+    placed = _placed_events(spark, sf_dir)[0].withColumn("place", F.col("destination"))
+    return narrative.event_texts(narrative.event_facts(placed, None, None)).select("library_id", "event_id", "name", "summary")
+
+
+@_query("event_tags", f"""{_sequential_sql('time_clip_gps')},
+c AS (SELECT library_id, event_id, i AS p, avg(embedding[i + 1]) AS m FROM e, range(4) r(i) GROUP BY 1, 2, 3), n AS (SELECT library_id, event_id, list(m ORDER BY p) AS m, sqrt(sum(m * m)) AS n FROM c GROUP BY 1, 2),
+t AS (SELECT * FROM (VALUES (0, '海边游玩', [1.0, 0.0, 0.0, 0.0]), (1, '聚餐', [0.0, 1.0, 0.0, 0.0]), (2, '徒步', [0.0, 0.0, 1.0, 0.0]), (3, '城市漫步', [0.0, 0.0, 0.0, 1.0])) v(k, label, w)),
+s AS (SELECT library_id, event_id, label, k, list_dot_product(w::DOUBLE[], m) / n AS s, row_number() OVER (PARTITION BY library_id, event_id ORDER BY list_dot_product(w::DOUBLE[], m) DESC, k) AS r FROM n, t)
+SELECT library_id, event_id, coalesce(string_agg(label, '|' ORDER BY r) FILTER (r <= 2 AND s >= 0.18), '') AS tags FROM s GROUP BY 1, 2""")
+def event_tags(spark, sf_dir):
+    prompts = {label: [1.0 if i == j else 0.0 for j in range(4)] for i, label in enumerate(list(narrative.ACTIVITIES)[:4])}
+    centroids = vector.mean_vectors(events.sequential_events(photos(spark, sf_dir)), ["library_id", "event_id"], "embedding")
+    return narrative.infer_tags(centroids, prompts, narrative.TOP_ACTIVITIES).select("library_id", "event_id", F.array_join("tags", "|").alias("tags"))
+
+
+_SYNC_SQL = """
+WITH x AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'local' ELSE 'immich' END AS source, 'v' || (c_custkey % 5) AS at, c_custkey % 9 <> 0 AS vec FROM customer WHERE c_custkey % 3 <> 0),
+y AS (SELECT c_custkey AS id, 'v' || (c_custkey % 6 % 5) AS at, c_custkey % 8 <> 0 AS cached, c_custkey % 10 = 0 AS failed FROM customer WHERE c_custkey % 5 <> 0),
+p AS (SELECT coalesce(x.id, y.id) AS id, CASE WHEN x.id IS NOT NULL AND y.id IS NOT NULL AND source = 'immich' AND x.at = y.at AND vec AND cached THEN 'reuse' WHEN y.id IS NOT NULL AND NOT failed THEN 'index'
+  WHEN y.id IS NOT NULL AND x.id IS NOT NULL THEN 'failed' WHEN y.id IS NOT NULL THEN 'drop' WHEN source = 'immich' THEN 'prune' ELSE 'local' END AS action FROM x FULL JOIN y ON x.id = y.id)
+"""
+
+
+def _sync(spark, sf_dir) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    i = F.col("id")
+    known = c.where(i % 3 != 0).select("id", F.when(i % 4 == 0, "local").otherwise("immich").alias("source"), F.concat(F.lit("v"), i % 5).alias("source_updated_at"), F.when(i % 9 != 0, F.array(F.lit(1.0))).otherwise(F.array().cast("array<double>")).alias("embedding"))
+    remote = c.where(i % 5 != 0).select("id", F.concat(F.lit("v"), i % 6 % 5).alias("updated_at"), (i % 8 != 0).alias("cached"), (i % 10 == 0).alias("failed"))
+    return sync.plan_sync(known, remote, prune=True)
+
+
+@_query("sync_merge", f"{_SYNC_SQL} SELECT id, action FROM p")
+def sync_merge(spark, sf_dir):
+    return _sync(spark, sf_dir)
+
+
+@_query("sync_counts", f"""{_SYNC_SQL} SELECT count(*) FILTER (action IN ('reuse', 'index', 'failed', 'drop')) AS remote_count, count(*) FILTER (action = 'index') AS indexed_count,
+  count(*) FILTER (action = 'reuse') AS reused_count, count(*) FILTER (action = 'prune') AS removed_count, count(*) FILTER (action IN ('failed', 'drop')) AS failed_count FROM p""")
+def sync_counts(spark, sf_dir):
+    return sync.sync_counts(_sync(spark, sf_dir))
+
+
+@_query("album_unknown_ids", "SELECT o_custkey AS id FROM (SELECT DISTINCT o_custkey FROM orders) o WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 0)")
+def album_unknown_ids(spark, sf_dir):
+    shots = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 4 == 0, "local").otherwise("immich").alias("source"))
+    return sync.unknown_ids(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), shots)
+
+
+@_query("wall_clock_times", """
+WITH t AS (SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z' WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+08:00' WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') WHEN 3 THEN 'not a date' ELSE strftime(ts, '%Y') END AS s, ts FROM events)
+SELECT id, CASE WHEN id % 5 <= 2 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS wall, CASE WHEN id % 5 <= 2 THEN floor(epoch(ts)) - CASE WHEN id % 5 = 1 THEN 28800 ELSE 0 END END AS epoch_s FROM t""")
+def wall_clock_times(spark, sf_dir):
+    ts, i = F.col("ts").cast("timestamp_ntz"), F.col("event_id")
+    iso = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    s = F.when(i % 5 == 0, F.concat(iso, F.lit("Z"))).when(i % 5 == 1, F.concat(iso, F.lit("+08:00"))).when(i % 5 == 2, iso).when(i % 5 == 3, "not a date").otherwise(F.date_format(ts, "yyyy"))
+    rows = table(spark, sf_dir, "events").select(i.alias("id"), s.alias("captured_at"))
+    return rows.select("id", F.date_format(times.wall_clock(F.col("captured_at")), "yyyy-MM-dd HH:mm:ss").alias("wall"), times.epoch_seconds(F.col("captured_at")).alias("epoch_s"))
+
+
+@_query("ann_lsh")
+def ann_lsh(spark, sf_dir):
+    from lumenlake.operators.ann import Index
 
+    corpus = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("ord"), "embedding")
+    query = [float(x) for x in corpus.where("id = 0").first()["embedding"]]
+    return Index(corpus, "lsh").search(query, 10).select("id", _r("score").alias("score"))
 
-def queries() -> dict:
-    return {}
 
+@_query("ann_ivf")
+def ann_ivf(spark, sf_dir):
+    from lumenlake.operators.ann import Index
 
-def oracle_sql() -> dict:
-    return {}
+    corpus = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("ord"), "embedding")
+    query = [float(x) for x in corpus.where("id = 0").first()["embedding"]]
+    return Index(corpus, "ivf").search(query, 10).select("id", _r("score").alias("score"))
