@@ -338,17 +338,17 @@ k AS (SELECT c.*, greatest(20, least(150, p90 + 15)) AS radius_km FROM c JOIN d
 h AS (SELECT *, row_number() OVER (PARTITION BY library_id ORDER BY active_months DESC, active_days DESC, photo_count DESC, cluster_id) = 1 AS is_home FROM k)""")
 
 
-@_query("gps_clusters", f"{_SPOTS} SELECT library_id, cluster_id, photo_count, active_days, active_months, round(latitude, 5) AS latitude, round(longitude, 5) AS longitude, round(radius_km, 4) AS radius_km FROM k")
+@_query("gps_clusters", f"{_SPOTS} SELECT library_id, cluster_id, photo_count, active_days, active_months, round(latitude, 9) AS latitude, round(longitude, 9) AS longitude, round(radius_km, 4) AS radius_km FROM k")
 def gps_clusters(spark, sf_dir):
     c = places.gps_clusters(photos(spark, sf_dir))
-    return c.select("library_id", "cluster_id", "photo_count", "active_days", "active_months", _r("center_latitude", 5).alias("latitude"), _r("center_longitude", 5).alias("longitude"), _r("radius_km", 4).alias("radius_km"))
+    return c.select("library_id", "cluster_id", "photo_count", "active_days", "active_months", _r("center_latitude", 9).alias("latitude"), _r("center_longitude", 9).alias("longitude"), _r("radius_km", 4).alias("radius_km"))
 
 
-@_query("home_inference", f"""{_SPOTS} SELECT library_id, cluster_id, is_home, round(latitude, 5) AS latitude, round(longitude, 5) AS longitude,
+@_query("home_inference", f"""{_SPOTS} SELECT library_id, cluster_id, is_home, round(latitude, 9) AS latitude, round(longitude, 9) AS longitude,
   round(CASE WHEN is_home THEN greatest(40, least(100, radius_km + 20)) ELSE radius_km END, 4) AS radius_km FROM h WHERE is_home OR photo_count >= 2""")
 def home_inference(spark, sf_dir):
     found = places.journey_places(places.gps_clusters(photos(spark, sf_dir)))
-    return found.select("library_id", "cluster_id", "is_home", _r("latitude", 5).alias("latitude"), _r("longitude", 5).alias("longitude"), _r("radius_km", 4).alias("radius_km"))
+    return found.select("library_id", "cluster_id", "is_home", _r("latitude", 9).alias("latitude"), _r("longitude", 9).alias("longitude"), _r("radius_km", 4).alias("radius_km"))
 
 
 _EVENT_PLACES = f"""{_SPOTS},
