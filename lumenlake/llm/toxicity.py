@@ -248,7 +248,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         scanner = Scanner(Lexicon(*learn_lexicon([t for t, h in zip(texts, part, strict=True) if h], y[part].tolist())))
         x[~part] = [scanner.features(t) for t, h in zip(texts, part, strict=True) if not h]
     words, stems = learn_lexicon(texts, y.tolist())
-    mean, scale = x.mean(0), x.std(0) + 1e-6
+    mean, scale = x.mean(0), np.maximum(x.std(0), 0.25)  # a feature that hardly varies must not be stretched
     return Model(tuple(words), tuple(stems), tuple(mean), tuple(scale), tuple(_logistic((x - mean) / scale, y)))
 
 
