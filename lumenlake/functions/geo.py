@@ -27,5 +27,5 @@ def latitude_band(lat: Column, km: float) -> Column:
 
 
 def inside_box(lat: Column, lon: Column, south: float, west: float, north: float, east: float) -> Column:
-    """Inclusive on all sides; null coordinates are outside."""
-    return F.coalesce(lat.between(south, north) & lon.between(west, east), F.lit(False))
+    """Inclusive on all sides; null coordinates are not inside (null, which no filter passes)."""
+    return lat.between(south, north) & lon.between(west, east)

@@ -32,10 +32,10 @@ def exif_time(text: Column) -> Column:
 
 
 def in_window(wall: Column, start: datetime | date | None, end: datetime | date | None) -> Column:
-    """start <= wall < end, each side optional; null times are outside."""
+    """start <= wall < end, each side optional; a null time is not inside (null, which no filter passes)."""
     out = wall.isNotNull()
     if start is not None:
         out &= wall >= F.lit(str(start)).cast("timestamp_ntz")
     if end is not None:
         out &= wall < F.lit(str(end)).cast("timestamp_ntz")
-    return F.coalesce(out, F.lit(False))
+    return out

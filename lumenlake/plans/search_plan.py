@@ -52,12 +52,12 @@ class Filter:
         return known & (F.col("gps_source") == "exif") if self.reliable_gps else known
 
     def condition(self) -> Column:
-        """The filter over plain columns, so that scans can use it."""
+        """The filter over plain columns, so that scans can use it; null where a needed column is null."""
         out = F.lit(True)
         if self.on_time:
-            out &= F.coalesce(self.time_known(), F.lit(False)) & times.in_window(F.col("captured_wall"), self.start, self.end)
+            out &= self.time_known() & times.in_window(F.col("captured_wall"), self.start, self.end)
         if self.box is not None:
-            out &= F.coalesce(self.gps_known(), F.lit(False)) & geo.inside_box(F.col("latitude"), F.col("longitude"), self.box.south, self.box.west, self.box.north, self.box.east)
+            out &= self.gps_known() & geo.inside_box(F.col("latitude"), F.col("longitude"), self.box.south, self.box.west, self.box.north, self.box.east)
         return out
 
 

@@ -13,8 +13,9 @@ from pyspark.sql.types import StructType
 from lumenlake.sources import schema
 
 
-def read_table(spark: SparkSession, path: str, kind: StructType) -> DataFrame:
+def read_table(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     """A Parquet table with at least the given columns (missing ones null); no rows if there is none."""
+    kind = schema.parsed(ddl)
     try:
         found = spark.read.parquet(path)
     except AnalysisException as e:
@@ -35,14 +36,14 @@ def read_photos(spark: SparkSession, path: str) -> DataFrame:
 
 def read_json_index(spark: SparkSession, path: str, library_id: str) -> DataFrame:
     """A JSON array of photos; quality may lack fields, and positions in the array are not kept by Spark: ord is by id."""
-    kind = StructType([f for f in schema.PHOTOS.fields if f.name not in ("library_id", "ord")])
+    kind = StructType([f for f in schema.parsed(schema.PHOTOS).fields if f.name not in ("library_id", "ord")])
     rows = spark.read.schema(kind).json(path, multiLine=True).withColumn("library_id", F.lit(library_id)).withColumn("source", F.coalesce("source", F.lit("local")))
     return schema.with_times(rows.withColumn("ord", (F.row_number().over(Window.partitionBy("library_id").orderBy("id")) - 1).cast("long")))
 
 
 def read_people(spark: SparkSession, path: str, library_id: str) -> dict[str, DataFrame]:
     """The tables of a people file (JSON with faces, groups and noise_face_ids)."""
-    inner = lambda kind: ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in kind.fields if f.name not in ("library_id", "ord"))
+    inner = lambda kind: ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in schema.parsed(kind).fields if f.name not in ("library_id", "ord"))
     file = spark.read.schema(f"faces array<struct<{inner(schema.FACES)}>>, groups array<struct<{inner(schema.PERSONS)}>>, noise_face_ids array<string>").json(path, multiLine=True)
     lib = F.lit(library_id).alias("library_id")
     groups = file.select(F.explode("groups").alias("g"))
@@ -58,7 +59,7 @@ def read_people(spark: SparkSession, path: str, library_id: str) -> dict[str, Da
 
 def read_label_sheet(spark: SparkSession, path: str) -> DataFrame:
     """A label sheet: CSV with a header, a JSON list of rows, or a JSON object from photo to event (all sure)."""
-    names = schema.LABELS.names
+    names = schema.parsed(schema.LABELS).names
     if path.lower().endswith(".csv"):
         rows = spark.read.csv(path, header=True, multiLine=True)
         rows = rows.withColumnsRenamed({c: c.lstrip("﻿") for c in rows.columns})
@@ -153,12 +154,12 @@ def write_best_shots_zip(photos: DataFrame, target: str, limit: int = 20) -> int
 
 def touched(projects: DataFrame, project_id: str, now: str, **changes) -> DataFrame:
     """projects with changes to one; unknown fields are an error; updated_at is moved on."""
-    unknown = set(changes) - set(schema.PROJECTS.names)
+    unknown = set(changes) - set(schema.parsed(schema.PROJECTS).names)
     if unknown:
         raise ValueError(f"unknown project fields: {sorted(unknown)}")
     this = F.col("id") == project_id
     for k, v in (changes | {"updated_at": now}).items():
-        projects = projects.withColumn(k, F.when(this, F.lit(v).cast(schema.PROJECTS[k].dataType)).otherwise(F.col(k)))
+        projects = projects.withColumn(k, F.when(this, F.lit(v).cast(schema.parsed(schema.PROJECTS)[k].dataType)).otherwise(F.col(k)))
     return projects
 
 

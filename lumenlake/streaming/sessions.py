@@ -15,6 +15,10 @@ _OUT = "library_id long, id long, event_id long"
 _STATE = "epoch double, latitude double, longitude double, embedding array<double>, event_id long"
 
 
+def _number(x) -> float | None:
+    return None if pd.isna(x) else float(x)
+
+
 def _far(a: tuple, b: tuple, strategy: str, config: EventConfig) -> bool:
     """Whether photo b, as (epoch, latitude, longitude, embedding), opens an event after a."""
     gap = min(abs(b[0] - a[0]) / 3600 / max(config.max_gap_hours, 1e-6), 1.0)
@@ -41,8 +45,8 @@ def streaming_events(photos: DataFrame, strategy: str = "time_clip_gps", config:
         last = state.get if state.exists else None
         out = []
         for r in rows.itertuples():
-            now = (r.captured_epoch, r.latitude, r.longitude, None if r.embedding is None else list(r.embedding))
-            event = 0 if last is None else last[4] + int(_far(last[:4], now, strategy, config))
+            now = (float(r.captured_epoch), _number(r.latitude), _number(r.longitude), None if r.embedding is None else [float(x) for x in r.embedding])
+            event = 0 if last is None else int(last[4]) + int(_far(last[:4], now, strategy, config))
             out.append((key[0], r.id, event))
             last = (*now, event)
         state.update(last)
