@@ -59,6 +59,7 @@ def test_only_reliable_times_and_places_pass(spark):
 def test_filters_reach_the_scan(spark, tmp_path):
     p = photos(spark, {"captured_at": "2025-06-01T00:00:00"}).select("id", "captured_wall", "captured_at_source", "latitude", "embedding")
     p.write.parquet(f"{tmp_path}/p")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = apply_filter(spark.read.parquet(f"{tmp_path}/p"), Filter(datetime(2025, 1, 1))).select("id")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(captured_wall" in plan and "EqualTo(captured_at_source,exif)" in plan and "embedding" not in plan.split("ReadSchema")[1]
 
