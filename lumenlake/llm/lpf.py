@@ -9,9 +9,10 @@ lie earlier in the text give its longest previous factor.  To do so on many mach
    together, and a key of one chunk, in which that hash occurs once, has no repeats at all.
 2. Chunks of equal bytes repeat as a whole; this is found by their fingerprints alone, and aggregated before the
    shuffle.  Only chunks that share their key but not their bytes are fetched as text, one of each kind.
-3. Those are dealt out by key and, where a key has more than KINDS kinds of chunk, by the fingerprint of each string
-   too, so a task holds a bounded number of chunks.  There the strings are put into suffix order; longest previous
-   factors (and, for removal of all copies, next ones) come from the previous and next smaller places.
+3. Those are dealt out by key and, where a key has more than KINDS kinds of chunk, also by how far each string starts
+   before its smallest hash (and, beyond as many parts as there are such distances, by its fingerprint), which is the
+   same for equal strings; so a task holds a bounded number of strings.  There they are put into suffix order; longest
+   previous factors (and, for removal of all copies, next ones) come from the previous and next smaller places.
 
 Equal texts are one text with a count; what holds for it holds for all of its rows.  With keep="none" every byte goes
 that lies in a string found elsewhere; with keep="first" the first place of each string, in the order of the texts'
@@ -33,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenlake.functions.lineage import durable
 from lumenlake.llm.bytewords import _BYTES, _VALUE, prefix, span
 from lumenlake.llm.jaccard import _groups
 
@@ -99,28 +101,39 @@ def longest_factors(order: list[int], lcp: list[int]) -> tuple[list[int], list[i
     return passes(True), passes(False)
 
 
-def repeated_strings(kinds: list[tuple[bytes, int]], length: int, part: int, parts: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Of chunks (bytes, places): whether each place's string occurs (anywhere else, further up) among them.
+def repeated_strings(kinds: list[tuple[bytes, int]], length: int, key: int = 0, part: int = 0, parts: int = 1) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of chunks (bytes, places) of one key: whether each place's string occurs (anywhere else, further up) among them.
 
-    Only strings whose fingerprint modulo parts is part are looked at.
+    Only strings of the part are looked at.
     """
     data = np.frombuffer(b"".join(b for b, _ in kinds), np.uint8)
     at = np.concatenate([[0], np.cumsum([len(b) for b, _ in kinds])])
     sums = prefix(_VALUE[data], _BYTES)
     place = np.concatenate([a + np.arange(n) for a, (_, n) in zip(at, kinds, strict=False)]).astype(np.int64)
-    prints = span(sums, place, place + length, _BYTES)
-    own = np.flatnonzero(prints % np.uint64(parts) == part) if parts > 1 else np.arange(len(place))
+    own = np.arange(len(place))
+    if parts > 1:
+        gram = min(GRAM, length)
+        width = length - gram + 1
+        k = np.arange(len(data) - gram + 1)
+        smallest = np.flatnonzero(span(sums, k, k + gram, _BYTES) == np.uint64(key % (1 << 64)))
+        before = smallest[np.searchsorted(smallest, place)] - place
+        near = min(parts, width)
+        own = np.flatnonzero(before * near // width == part % near)
+    prints = span(sums, place[own], place[own] + length, _BYTES)
+    if parts > 1 and -(-parts // near) > 1:
+        mine = prints % np.uint64(-(-parts // near)) == part // near
+        own, prints = own[mine], prints[mine]
     # A string whose fingerprint is alone has no equal; the others are put into suffix order and compared.
-    _, back, count = np.unique(prints[own], return_inverse=True, return_counts=True)
+    _, back, count = np.unique(prints, return_inverse=True, return_counts=True)
     own = own[count[back] > 1]
     raw = data.tobytes()
     strings = [raw[p : p + length] for p in place[own].tolist()]
     order = sorted(range(len(own)), key=strings.__getitem__)
     lcp = [0] + [length if strings[a] == strings[b] else 0 for a, b in zip(order, order[1:], strict=False)]
-    before, after = longest_factors(order, lcp)
+    before_, after = longest_factors(order, lcp)
     earlier, other = np.zeros(len(place), bool), np.zeros(len(place), bool)
-    earlier[own] = np.array(before, np.int64) >= length if len(own) else False
-    other[own] = np.maximum(before, after) >= length if len(own) else False
+    earlier[own] = np.array(before_, np.int64) >= length if len(own) else False
+    other[own] = np.maximum(before_, after) >= length if len(own) else False
     ends = np.cumsum([n for _, n in kinds])[:-1]
     return np.split(other, ends), np.split(earlier, ends)
 
@@ -170,7 +183,7 @@ def _sort(length: int, keep: str):
             rows = group.to_pylist()
             # The order of the texts' digests and places is the order of the text that keep="first" goes by.
             rows.sort(key=lambda r: (r["tid"], r["start"]))
-            other, earlier = repeated_strings([(r["bytes"], r["places"]) for r in rows], length, rows[0]["part"], rows[0]["parts"])
+            other, earlier = repeated_strings([(r["bytes"], r["places"]) for r in rows], length, rows[0]["key"], rows[0]["part"], rows[0]["parts"])
             for r, found in zip(rows, other if keep == "none" else earlier, strict=True):
                 if r["multiple"] and keep == "none":
                     continue  # already known to repeat as a whole
@@ -207,9 +220,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "none") ->
     texts = rows.groupBy("tid").agg(F.first("body").alias("body"), F.count("*").alias("copies"))
     found = _chunk_rows(rows.where(F.octet_length("body") >= length).select("tid", "body"), length)
     found = found.withColumn("place", F.xxhash64("tid", "start"))
-    keys = (found.groupBy("key").agg(F.min("place").alias("a"), F.max("place").alias("b"), F.min("print").alias("p"), F.max("print").alias("q"), F.max("recurs").alias("recurs"))
-            .where("a <> b or recurs").select("key", (~F.col("recurs") & (F.col("p") == F.col("q"))).alias("one_kind")))
-    again = found.join(keys, "key")
+    # Written out: each is read several times, and joins whose sides are plain exchanges can be split where a key is frequent.
+    keys = durable(found.groupBy("key").agg(F.min("place").alias("a"), F.max("place").alias("b"), F.min("print").alias("p"), F.max("print").alias("q"), F.max("recurs").alias("recurs"))
+                   .where("a <> b or recurs").select("key", (~F.col("recurs") & (F.col("p") == F.col("q"))).alias("one_kind")))
+    again = durable(found.join(keys, "key").select("key", "print", "tid", "start", "places", "place", "one_kind"))
     kinds = (again.groupBy("key", "print").agg(F.min("place").alias("a"), F.max("place").alias("b"), F.bool_and("one_kind").alias("one_kind")))
     # Chunks whose bytes occur more than once: every place in them repeats.
     whole = (again.select("key", "print", "tid", "start", "places", "place").join(kinds.where("a <> b").select("key", "print", F.col("a").alias("least")), ["key", "print"]))
@@ -225,7 +239,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "none") ->
               .select(F.col("at.tid").alias("tid"), F.struct("key", "kinds", (F.col("a") != F.col("b")).alias("multiple"), F.col("at.start").alias("start"), F.col("at.places").alias("places")).alias("w")))
     wanted = chosen.groupBy("tid").agg(F.collect_list("w").alias("wanted"))
     fetched = texts.select("tid", "body").join(wanted, "tid").select("tid", "body", "wanted").mapInArrow(_fetch(length), "key long, kinds long, multiple boolean, tid binary, start long, places long, bytes binary")
-    parts = F.ceil(F.col("kinds") / KINDS).cast("int")
+    width = length - min(GRAM, length) + 1
+    needed = F.ceil(F.col("kinds") / KINDS).cast("int")
+    parts = F.when(needed > width, F.ceil(needed / width).cast("int") * width).otherwise(needed)
     dealt = (fetched.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
              .select("key", "part", "parts", "multiple", "tid", "start", "places", "bytes").repartition("key", "part").sortWithinPartitions("key", "part"))
     sorted_ = dealt.mapInArrow(_sort(length, keep), "tid binary, start long, places long")
