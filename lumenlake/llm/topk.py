@@ -25,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a block, of queries and of candidates.
-QUERY_BLOCK, CANDIDATE_BLOCK = 512, 4096
+#: Vectors of a block, of queries and of candidates: a pair of blocks is shuffled for so many scores.  Queries whose
+#: scores a task holds at once.
+QUERY_BLOCK, CANDIDATE_BLOCK, AT_ONCE = 4096, 4096, 256
 #: Segments of the levels, coarse to fine.
 LEVELS = (4, 16)
 
@@ -132,7 +133,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.
                 q = np.frombuffer(row["vectors"], np.float64).reshape(len(q_ids), row["dim"])
                 c = np.frombuffer(row["c"], np.float64).reshape(len(c_ids), row["dim"])
                 marks = [hashlib.blake2b(x.tobytes(), digest_size=8).hexdigest() for x in q]
-                found = block_top(q_ids, q, c_ids, c, k)
+                found = [(at + i, v, s) for at in range(0, len(q), AT_ONCE) for i, v, s in block_top(q_ids[at : at + AT_ONCE], q[at : at + AT_ONCE], c_ids, c, k)]
                 yield pa.RecordBatch.from_pydict({"query_id": pa.array([int(q_ids[i]) for i, _, _ in found], pa.int64()), "mark": pa.array([marks[i] for i, _, _ in found], pa.string()), "vec_id": pa.array([v for _, v, _ in found], pa.int64()), "score": pa.array([s for _, _, s in found], pa.int64())})
 
     best = met.mapInArrow(top, "query_id long, mark string, vec_id long, score long")
