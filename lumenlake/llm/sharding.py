@@ -126,7 +126,7 @@ def oracle_sql() -> str:
 placed AS (
   SELECT doc_id, strlen(body) + 1 AS size,
     xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT,
-      list_transform(range(strlen(body)), lambda i: ('0x' || substr(hex(encode(body)), 2 * i + 1, 2))::BIGINT)),
+      list_transform(regexp_extract_all(hex(encode(body)), '..'), lambda x: ('0x' || x)::BIGINT)),
       lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS text_crc32,
     ({descend_sql(EIGHT)})::INTEGER AS shard, ({descend_sql(grown(EIGHT, 8))})::INTEGER AS grown_shard,
     (('0x' || substr(md5(k || ':slot'), 1, 8))::BIGINT % {SUB_BUCKETS}) AS sub
