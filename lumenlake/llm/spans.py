@@ -55,7 +55,7 @@ class Sentences:
         size = np.diff(np.concatenate([at, [n]]))
         if (size > LONG).any():
             long = np.repeat(size > LONG, size)
-            opens[1:] |= long[1:] & (batch.word[:-1] % np.uint64(16) == 0)
+            opens[1:] |= long[1:] & (batch.word[:-1] % np.uint64(4) == 0)
             at = np.flatnonzero(opens)
         self.first, self.last = at, np.concatenate([at[1:], [n]])
         self.text = np.searchsorted(batch.first, at, side="right") - 1
