@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenlake.functions.lineage import durable
 from lumenlake.llm.bytewords import Batch, batches, encoded
 
 #: Least sentences and words of a run; words after which a sentence counts as long.
@@ -122,8 +123,9 @@ def remove_repeated(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, lea
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST))
     mark = F.xxhash64(F.col("text").cast("string"))
     found = _spans(docs.select(doc.alias("doc"), mark.alias("mark"), F.col("text").cast("string").alias("text")).where("text is not null"), least_sentences, least_words)
-    first = (found.groupBy("hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max("again").alias("twice"))
-             .where("first < last or twice").select("hash", "first"))
+    # Written out, so that the join's two sides are both plain exchanges: only those can Spark split where a hash is frequent.
+    first = durable(found.groupBy("hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max("again").alias("twice"))
+                    .where("first < last or twice").select("hash", "first"))
     later = (found.join(first, "hash").where("doc > first or again")
              .groupBy(F.col("doc").alias("__doc"), F.col("mark").alias("__mark")).agg(F.collect_set("run").alias("__runs")))
     keyed = docs.select("*", doc.alias("__key"), mark.alias("__text"))
