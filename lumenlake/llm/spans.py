@@ -2,17 +2,23 @@
 
 From every sentence of a text the shortest run of sentences that has at least `least_sentences` of them and
 `least_words` words is hashed.  Equal runs meet in a join over all documents; the first one, by doc_id and then by
-place, stays, and every sentence that another one covers is removed from its text.  Words are compared without case
+place, stays, and every word that another one covers is removed from its text.  Words are compared without case
 and punctuation.  A sentence ends at a line's end or at one of . ! ? before white space; a sentence of more than
-LONG words is also cut at words that their hash picks, so that a long unpunctuated passage is found as well.
+LONG words is also cut at words that their hash picks.
+
+Sentences may be cut differently in two copies, and a passage may begin and end inside of them.  So runs of GRAM words
+are hashed as well wherever they start, if their hash is the least of PICK starts in a row.  That depends on the words
+alone: two stretches of GRAM + PICK - 1 equal words have a run in common, and runs follow each other without a gap.
+Of a passage that ends inside a sentence up to PICK - 1 words may stay at that end.
 
 Runs are aggregated before the shuffle to the smallest and greatest doc_id of each hash, so a passage that a third of
 all documents share is one row per task; the join that brings the runs to their first place is one that Spark can
-split where a hash is frequent.  Texts are shuffled once, by document.
+split where a hash is frequent.  Only texts that are cut are shuffled, once, by document: the others are told by a
+Bloom filter of fixed size, and what it lets pass in excess is joined with nothing.
 
 Defined cases: null texts stay null and empty ones empty; a text of which all is removed becomes empty; equal rows
 (same doc_id and text) count as one and are treated alike; different texts of one doc_id do not remove from each
-other; a null doc_id counts as the smallest; all other columns are passed on, whatever their names; an empty table
+other; a run of words that overlaps its first place in the text is no copy of it; a null doc_id counts as the smallest; all other columns are passed on, whatever their names; an empty table
 gives an empty table.
 """
 
@@ -23,14 +29,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.functions.lineage import durable
 from lumenlake.llm.bytewords import Batch, batches, encoded
+from lumenlake.llm.lpf import window_minima
 
 #: Least sentences and words of a run; words after which a sentence counts as long.
 LEAST_SENTENCES, LEAST_WORDS, LONG = 2, 16, 30
+#: Words of a run that is picked by its hash, starts in a row of which one is picked.
+GRAM, PICK = 25, 25
+#: Bits, as a power of two, of the filter that tells documents of which nothing is cut.
+BITS = 26
 _LOWEST = -(1 << 63)
 
 
@@ -77,23 +88,38 @@ class Sentences:
         return i, j, self.batch.runs(self.first[i], self.last[j])
 
 
+def picked(batch: Batch, n: int, window: int = PICK) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of the runs of n words whose hash is the least of some `window` starts in a row of a text."""
+    k, h = batch.grams(n)
+    if len(k) < window:
+        return k[:0], h[:0]
+    text = np.searchsorted(batch.first, k, side="right") - 1
+    least = window_minima(h, window)
+    least[text[: len(least)] != text[window - 1 :]] = 0  # starts of two texts
+    edge = np.zeros(window - 1, np.uint64)
+    chosen = ~window_minima(~np.concatenate([edge, least, edge]), window) == h
+    return k[chosen], h[chosen]
+
+
 def _spans(docs: DataFrame, least_sentences: int, least_words: int) -> DataFrame:
-    """doc, mark, run (first sentence << 24 | sentences), hash and whether the same text has it further up."""
+    """doc, mark, run (first word << 24 | words), hash and whether the same text has it further up."""
 
     def spans(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             doc, mark = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for first, batch in batches(encoded(part.column(2).to_pylist())):
-                s = Sentences(batch)
+                s, n = Sentences(batch), max(GRAM, least_words)
                 i, j, h = s.runs(least_sentences, least_words)
-                text = s.text[i]
-                opening = np.searchsorted(s.text, text)  # the first sentence of the run's text
-                again = np.ones(len(h), bool)
-                order = np.lexsort((i, h, text))
+                k, g = picked(batch, n)
+                start, end, h = np.concatenate([s.first[i], k]), np.concatenate([s.last[j], k + n]), np.concatenate([h, g])
+                text = np.searchsorted(batch.first, start, side="right") - 1
+                order = np.lexsort((start, h, text))
                 fresh = np.ones(len(h), bool)
                 fresh[1:] = (h[order][1:] != h[order][:-1]) | (text[order][1:] != text[order][:-1])
-                again[order] = ~fresh
-                yield pa.RecordBatch.from_arrays([pa.array(doc[first + text], pa.int64()), pa.array(mark[first + text], pa.int64()), pa.array(((i - opening) << 24) | (j - i + 1), pa.int64()), pa.array(h.view(np.int64)), pa.array(again)], ["doc", "mark", "run", "hash", "again"])
+                opening = end[order][np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0))]  # the end of the run's first place
+                again = np.ones(len(h), bool)
+                again[order] = ~fresh & ((order < len(i)) | (start[order] >= opening))
+                yield pa.RecordBatch.from_arrays([pa.array(doc[first + text], pa.int64()), pa.array(mark[first + text], pa.int64()), pa.array(((start - batch.first[text]) << 24) | (end - start), pa.int64()), pa.array(h.view(np.int64)), pa.array(again)], ["doc", "mark", "run", "hash", "again"])
 
     return docs.mapInArrow(spans, "doc long, mark long, run long, hash long, again boolean")
 
@@ -106,18 +132,39 @@ def _cut(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFram
                 out.append((text, 0, 0))
                 continue
             batch = Batch([text.encode()])
-            s = Sentences(batch)
-            gone = np.zeros(len(s.first) + 1, np.int64)
-            for run in np.asarray(covered).tolist():
-                gone[run >> 24] += 1
-                gone[(run >> 24) + (run & 0xFFFFFF)] -= 1
-            gone = np.cumsum(gone[:-1]) > 0
+            covered = np.asarray(covered, np.int64)
+            gone = np.zeros(len(batch.start) + 1, np.int64)
+            np.add.at(gone, covered >> 24, 1)
+            np.add.at(gone, (covered >> 24) + (covered & 0xFFFFFF), -1)
+            gone = np.concatenate([[False], np.cumsum(gone[:-1]) > 0, [False]])
             raw = batch.data.tobytes()
-            kept = b"".join(raw[a:b] for a, b, g in zip(s.start.tolist(), s.end.tolist(), gone.tolist(), strict=True) if not g)
-            out.append((kept.decode(), len(raw) - len(kept), int(np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1))))
+            # A word goes with what follows it, the first one also with what comes before.
+            place = np.concatenate([[0], batch.start[1:], [len(raw)]])
+            opens, closes = place[np.flatnonzero(gone[1:] & ~gone[:-1])].tolist(), place[np.flatnonzero(gone[:-1] & ~gone[1:])].tolist()
+            kept = b"".join(raw[a:b] for a, b in zip([0, *closes], [*opens, len(raw)], strict=True))
+            out.append((kept.decode(), len(raw) - len(kept), len(opens)))
         yield pd.DataFrame(out, columns=["kept", "removed", "spans"])
 
 
+def _marked(later: DataFrame) -> Column:
+    """A condition on __key and __text that holds for all documents of `later`, and for few others."""
+    place = F.pmod(F.xxhash64("__doc", "__mark"), F.lit(1 << BITS))
+    # At most 2**(BITS - 6) rows reach the driver.
+    words = later.select(place.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(1 << (BITS - 6), np.int64)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy()
+    known = later.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    @F.pandas_udf("boolean")
+    def passes(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bits = np.frombuffer(known.value, np.int64)
+        for at in parts:
+            at = at.to_numpy()
+            yield pd.Series((bits[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return passes(F.pmod(F.xxhash64("__key", "__text"), F.lit(1 << BITS)))
+
+
 def remove_repeated(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs with the text cut, and __removed (bytes) and __spans (maximal runs of removed sentences)."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST))
@@ -126,10 +173,14 @@ def remove_repeated(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, lea
     # Written out, so that the join's two sides are both plain exchanges: only those can Spark split where a hash is frequent.
     first = durable(found.groupBy("hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max("again").alias("twice"))
                     .where("first < last or twice").select("hash", "first"))
-    later = (found.join(first, "hash").where("doc > first or again")
-             .groupBy(F.col("doc").alias("__doc"), F.col("mark").alias("__mark")).agg(F.collect_set("run").alias("__runs")))
+    later = durable(found.join(first, "hash").where("doc > first or again")
+                    .groupBy(F.col("doc").alias("__doc"), F.col("mark").alias("__mark")).agg(F.collect_set("run").alias("__runs")))
     keyed = docs.select("*", doc.alias("__key"), mark.alias("__text"))
-    joined = keyed.join(later, (keyed["__key"] == later["__doc"]) & (keyed["__text"] == later["__mark"]), "left")
-    cut = joined.select(*(keyed[f"`{c}`"] for c in docs.columns), F.when(F.col("__runs").isNotNull(), F.pandas_udf(_cut, "kept string, removed long, spans long")(keyed["text"].cast("string"), F.col("__runs"))).alias("__cut"))
-    return cut.select(*(F.coalesce("__cut.kept", cut[f"`{c}`"]).alias(c) if c == "text" else cut[f"`{c}`"] for c in docs.columns),
-                      F.coalesce("__cut.removed", F.lit(0)).cast("long").alias("__removed"), F.coalesce("__cut.spans", F.lit(0)).cast("long").alias("__spans"))
+    keyed = keyed.withColumn("__passes", _marked(later))
+    some = keyed.where("__passes")
+    joined = some.join(later, (some["__key"] == later["__doc"]) & (some["__text"] == later["__mark"]), "left")
+    cut = joined.select(*(some[f"`{c}`"] for c in docs.columns), F.when(F.col("__runs").isNotNull(), F.pandas_udf(_cut, "kept string, removed long, spans long")(some["text"].cast("string"), F.col("__runs"))).alias("__cut"))
+    cut = cut.select(*(F.coalesce("__cut.kept", cut[f"`{c}`"]).alias(c) if c == "text" else cut[f"`{c}`"] for c in docs.columns),
+                     F.coalesce("__cut.removed", F.lit(0)).cast("long").alias("__removed"), F.coalesce("__cut.spans", F.lit(0)).cast("long").alias("__spans"))
+    whole = keyed.where("not __passes").select(*(F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns), F.lit(0).cast("long").alias("__removed"), F.lit(0).cast("long").alias("__spans"))
+    return whole.unionByName(cut)

@@ -246,6 +246,16 @@ def test_sentences_cover_the_text():
             assert b"".join(data[a:b] for a, b in zip(s.start[own], s.end[own], strict=True)).decode() == body
 
 
+def test_repeated_stretches_have_a_run_in_common():
+    rng = random.Random(8)
+    for _ in range(40):
+        stretch = text(rng, spans.GRAM + spans.PICK - 1)
+        batch = Batch(encoded([text(rng, rng.randint(0, 60)) + " " + t + " " + text(rng, rng.randint(0, 60)) for t in (stretch, stretch.replace(" ", "&&. ").upper())]))
+        k, h = spans.picked(batch, spans.GRAM)
+        assert set(h[k < batch.first[1]].tolist()) & set(h[k >= batch.first[1]].tolist())
+    assert not len(spans.picked(Batch(encoded(["a b", ""])), spans.GRAM)[0])
+
+
 def test_block_top_is_exact():
     rng = np.random.default_rng(6)
     q, c = np.floor(rng.normal(0, 40, (7, 20))), np.floor(rng.normal(0, 40, (50, 20)))

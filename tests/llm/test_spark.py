@@ -307,6 +307,16 @@ def test_a_repeated_span_may_be_in_one_document(spark):
     assert all(r.text.count(p[:60]) == 1 for r in got)  # texts of one doc_id do not remove from each other
 
 
+def test_a_repeated_passage_may_begin_and_end_inside_sentences(spark):
+    rng = random.Random(32)
+    a, b, c, d = (words(rng, n) for n in (29, 31, 30, 30))
+    passage = " ".join(a.split()[9:]) + ". " + b + ". " + " ".join(c.split()[:20])
+    texts = [f"{words(rng, 9)} {passage} {words(rng, 9)}.", f"{words(rng, 7)} {passage.replace('.', '.&&&').upper()} {words(rng, 8)}.", f"{d} {words(rng, 40)}."]
+    got = {r.doc_id: r for r in spans.remove_repeated(frame(spark, texts)).collect()}
+    assert got[0].text == texts[0] and got[2].text == texts[2]
+    assert len(got[1].text.split()) <= 15 + 2 * (spans.PICK - 1) and texts[1].startswith(got[1].text[:30]) and got[1].text[-30:] == texts[1][-30:]
+
+
 # --- op10 -------------------------------------------------------------------------------------------------------
 
 def test_leaks(spark, odd, empty):
