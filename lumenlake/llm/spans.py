@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
 From every sentence of a text the shortest run of sentences that has at least `least_sentences` of them and
-`least_words` words is hashed.  Equal runs meet in a join over all documents; the first one, by doc_id and then by
+`least_words` words is hashed, and so is the shortest one up to every sentence, so that a repeated passage is covered
+to both its ends.  Equal runs meet in a join over all documents; the first one, by doc_id and then by
 place, stays, and every word that another one covers is removed from its text.  Words are compared without case
 and punctuation.  A sentence ends at a line's end or at one of . ! ? before white space; a sentence of more than
 LONG words is also cut at words that their hash picks.
@@ -79,10 +80,14 @@ class Sentences:
 
     def runs(self, least_sentences: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(number of the first sentence, of the last one, hash) of every run."""
-        i = np.arange(len(self.first))
-        j = np.maximum(np.searchsorted(self.last, self.first + least_words, "left"), i + least_sentences - 1)
-        ok = j < len(i)
-        i, j = i[ok], j[ok]
+        k = np.arange(len(self.first))
+        to = np.maximum(np.searchsorted(self.last, self.first + least_words, "left"), k + least_sentences - 1)
+        back = np.maximum(np.minimum(np.searchsorted(self.first, self.last - least_words, "right"), k - least_sentences + 2) - 1, -1)
+        ok = to < len(k)
+        reached = np.full(len(k), -1)
+        reached[ok] = to[ok]
+        only = (back >= 0) & (reached[back] != k)  # a run that is the shortest one from its first sentence is there already
+        i, j = np.concatenate([k[ok], back[only]]), np.concatenate([to[ok], k[only]])
         ok = self.text[i] == self.text[j]
         i, j = i[ok], j[ok]
         return i, j, self.batch.runs(self.first[i], self.last[j])

@@ -317,6 +317,14 @@ def test_a_repeated_passage_may_begin_and_end_inside_sentences(spark):
     assert len(got[1].text.split()) <= 15 + 2 * (spans.PICK - 1) and texts[1].startswith(got[1].text[:30]) and got[1].text[-30:] == texts[1][-30:]
 
 
+def test_closing_short_sentences_of_a_passage_go(spark):
+    rng = random.Random(33)
+    passage = " ".join(words(rng, n).capitalize() + "." for n in (12, 12, 9, 4))
+    texts = [passage, words(rng, 9) + ". " + passage + " " + words(rng, 25) + ".", words(rng, 12) + ". " + passage]
+    got = {r.doc_id: r for r in spans.remove_repeated(frame(spark, texts)).collect()}
+    assert [got[i].text.strip() for i in range(3)] == [t if i == 0 else t.replace(passage, "").replace("  ", " ").strip() for i, t in enumerate(texts)]
+
+
 # --- op10 -------------------------------------------------------------------------------------------------------
 
 def test_leaks(spark, odd, empty):
