@@ -15,7 +15,7 @@ class and a spanning forest, never all pairs.  Nothing of unbounded size reaches
 
 Defined cases: a text of one to four words has one run of all of them; texts without words have no links and are
 classes of their own; equal rows are documents like any other (each counts the other as a link); a null doc_id is
-kept, and counts as the smallest when a class is named; other columns play no part; an empty table gives an empty one.
+kept, and counts as the smallest when a class is named; groups of the same smallest doc_id stay apart; other columns play no part; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -261,11 +261,12 @@ def signed(docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc, mark, class (smallest doc_id of the documents linked, directly or not), n_links and size of the class.
 
+    component tells the classes apart where doc_ids repeat or are null; it is null without words.
     n_links counts the other documents, copies included, whose similarity is at least the threshold.
     """
     rows = durable(signed(docs))
     key = F.coalesce("doc", F.lit(_LOWEST))
-    classes = durable(rows.where("id is not null").groupBy("id").agg(F.count("*").alias("n"), F.min(key).alias("rep"), F.first("values").alias("values")))
+    classes = durable(rows.where("id is not null").groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct(key.alias("doc"), "mark")).alias("first"), F.first("values").alias("values")).select("id", "n", "first.*", "values").toDF("id", "n", "rep", "own", "values"))
 
     bands = classes.select("id", F.posexplode(F.array(*(F.xxhash64(F.lit(b), F.substring("values", 2 * ROWS * b + 1, 2 * ROWS)) for b in range(BANDS)))).alias("band", "bucket"))
     buckets = (bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min("band").alias("band"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum(F.shiftright(F.xxhash64("id"), 24)).alias("mix"))
@@ -276,9 +277,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     grouped = durable(connected_components(edges))
 
     sizes = grouped.groupBy("component").agg(F.count("*").alias("size"))
-    chosen = grouped.join(sizes, "component").join(classes.select("id", "n", "rep"), "id")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("rep"), F.col("text").cast("string").alias("text"))
-    ready = chosen.join(texts, "rep").select("component", "size", "id", "n", "text")
+    chosen = grouped.join(sizes, "component").join(classes.select("id", "n", "rep", "own"), "id")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("rep"), F.xxhash64(F.col("text").cast("string")).alias("own"), F.col("text").cast("string").alias("text"))
+    ready = chosen.join(texts, ["rep", "own"]).select("component", "size", "id", "n", "text")
     checked = durable(_tiled(ready, "component", "size", SET_TILE).mapInArrow(_verify, "u long, v long, links long"))
 
     links = checked.where("u = v").groupBy(F.col("u").alias("id")).agg(F.sum("links").alias("links"))
@@ -286,24 +287,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = classes.select("id", "n", "rep").join(linked, "id", "left").withColumn("component", F.coalesce("component", "id")).join(links, "id", "left")
     names = named.groupBy("component").agg(F.min("rep").alias("least"), F.sum("n").alias("members"))
     # One row per class; rows of equal texts, however many, are joined to it.
-    facts = named.join(names, "component").select("id", F.col("least").alias("class_id"), F.col("members").alias("class_size"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    facts = named.join(names, "component").select("id", "component", F.col("least").alias("class_id"), F.col("members").alias("class_size"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
     return rows.select("doc", "mark", "id").join(facts, "id", "left").select(
-        "doc", "mark", "id", F.when(F.col("id").isNull(), F.col("doc")).when(F.col("class_id") == _LOWEST, None).otherwise(F.col("class_id")).alias("class_id"),
+        "doc", "mark", "id", "component", F.when(F.col("id").isNull(), F.col("doc")).when(F.col("class_id") == _LOWEST, None).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without all but one document of each group: the one with the smallest doc_id stays; all columns.
 
-    Texts without words stay.  Of rows with the group's smallest doc_id the one whose text hashes least stays.
+    Texts without words stay.  Of a group's rows with its smallest doc_id the one whose text hashes least stays.
     """
     found = near_duplicates(docs)
     key = F.coalesce("doc", F.lit(_LOWEST))
-    first = found.where("id is not null").groupBy(F.coalesce("class_id", F.lit(_LOWEST)).alias("__class")).agg(F.min(F.when(key == F.coalesce("class_id", F.lit(_LOWEST)), F.col("mark"))).alias("__mark"))
+    first = found.where("id is not null").groupBy("component").agg(F.min(F.struct(key.alias("__doc"), F.col("mark").alias("__own"))).alias("first"))
     names = docs.columns
     rows = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("__doc"), F.xxhash64(F.col("text").cast("string")).alias("__own"))
     bare = found.where("id is null").select(key.alias("__doc"), F.col("mark").alias("__own"), F.lit(True).alias("__bare")).distinct()
-    kept = first.select(F.col("__class").alias("__doc"), F.col("__mark").alias("__own"), F.lit(False).alias("__bare")).unionByName(bare)
+    kept = first.select("first.__doc", "first.__own", F.lit(False).alias("__bare")).unionByName(bare)
     one = Window.partitionBy("__doc", "__own").orderBy(F.lit(0))
     joined = rows.join(kept, ["__doc", "__own"])
     return joined.withColumn("__n", F.row_number().over(one)).where("__bare or __n = 1").select(*(F.col(f"`{c}`") for c in names))

@@ -19,7 +19,7 @@ Bloom filter of fixed size, and what it lets pass in excess is joined with nothi
 
 Defined cases: null texts stay null and empty ones empty; a text of which all is removed becomes empty; equal rows
 (same doc_id and text) count as one and are treated alike; different texts of one doc_id do not remove from each
-other; a run of words that overlaps its first place in the text is no copy of it; a null doc_id counts as the smallest; all other columns are passed on, whatever their names; an empty table
+other, but those without a doc_id do, in the order of their hashes; a run of words that overlaps its first place in the text is no copy of it; a null doc_id counts as the smallest; all other columns are passed on, whatever their names; an empty table
 gives an empty table.
 """
 
@@ -175,10 +175,11 @@ def remove_repeated(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, lea
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST))
     mark = F.xxhash64(F.col("text").cast("string"))
     found = _spans(docs.select(doc.alias("doc"), mark.alias("mark"), F.col("text").cast("string").alias("text")).where("text is not null"), least_sentences, least_words)
+    unnamed = F.when(F.col("doc") == _LOWEST, F.col("mark"))
     # Written out, so that the join's two sides are both plain exchanges: only those can Spark split where a hash is frequent.
-    first = durable(found.groupBy("hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max("again").alias("twice"))
-                    .where("first < last or twice").select("hash", "first"))
-    later = durable(found.join(first, "hash").where("doc > first or again")
+    first = durable(found.groupBy("hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min(unnamed).alias("low"), F.max(unnamed).alias("high"), F.max("again").alias("twice"))
+                    .where("first < last or low < high or twice").select("hash", "first", "low"))
+    later = durable(found.join(first, "hash").where((F.col("doc") > F.col("first")) | (unnamed > F.col("low")) | F.col("again"))
                     .groupBy(F.col("doc").alias("__doc"), F.col("mark").alias("__mark")).agg(F.collect_set("run").alias("__runs")))
     keyed = docs.select("*", doc.alias("__key"), mark.alias("__text"))
     keyed = keyed.withColumn("__passes", _marked(later))

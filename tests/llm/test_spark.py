@@ -279,6 +279,15 @@ def test_one_of_each_group_stays(spark, copies, odd, empty):
     assert jaccard.near_duplicates(empty).count() == 0 and jaccard.keep_one(empty).count() == 0
 
 
+def test_groups_of_one_or_no_doc_id_stay_apart(spark):
+    rng = random.Random(34)
+    texts = [words(rng, 40) for _ in range(8)]
+    for own in (None, 5):
+        docs = frame(spark, [*texts, texts[0], texts[1].upper(), texts[2] + " end", texts[3]], [own] * 9 + [7, 8, own])
+        kept = [r.text.lower().removesuffix(" end") for r in jaccard.keep_one(docs).collect()]
+        assert sorted(kept) == sorted(texts)
+
+
 # --- op9 --------------------------------------------------------------------------------------------------------
 
 def test_repeated_spans_go(spark, odd, empty):
@@ -325,6 +334,15 @@ def test_closing_short_sentences_of_a_passage_go(spark):
     assert [got[i].text.strip() for i in range(3)] == [t if i == 0 else t.replace(passage, "").replace("  ", " ").strip() for i, t in enumerate(texts)]
 
 
+def test_texts_without_doc_id_remove_from_each_other(spark):
+    rng = random.Random(35)
+    passage = " ".join(words(rng, 9).capitalize() + "." for _ in range(5))
+    ends = [words(rng, 12) + "." for _ in range(3)]
+    got = [r.text for r in spans.remove_repeated(frame(spark, [e + " " + passage for e in ends], [None, None, 3])).collect()]
+    assert sum(passage in t for t in got) == 1 and all(sum(t.startswith(e) for t in got) == 1 for e in ends)
+    assert next(t for t in got if t.startswith(ends[2])).strip() == ends[2]
+
+
 # --- op10 -------------------------------------------------------------------------------------------------------
 
 def test_leaks(spark, odd, empty):
