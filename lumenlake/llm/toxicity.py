@@ -3,8 +3,10 @@
 The lexicon is learned from labelled documents: whole words, and stems that start a word, which are far commoner in
 toxic than in other documents.  It is kept as a trie.  A term is matched by running the Levenshtein automaton of
 "at most one edit" over the trie: a state is the set of (trie node, edits so far) pairs that the letters read so far
-can reach, and states are built as they are met, so a term costs one step per letter.  Digits and signs that stand
-for letters count as those letters.  Around each match a window of words is read: quotation marks and words of
+can reach, and states are built as they are met, so a term costs one step per letter.  A stem may have one edit
+before its last letter.  Words and stems of four letters count with an edit too, but as a kind of match of their own,
+whose weight is learned; shorter ones only match exactly.  Digits and signs that stand for letters count as those
+letters, in texts and in learned terms.  Around each match a window of words is read: quotation marks and words of
 reporting lower its weight, words of direct address raise it.  A logistic model over the weighted matches of the
 whole text gives the score.
 
@@ -42,6 +44,9 @@ THRESHOLD = 0.7
 
 #: Signs that stand for letters.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
+_PLAIN = str.maketrans(LOOKALIKES)
+#: Letters of a term that matches with an edit, and of one that does so as a kind of its own.
+TOLERANT, SHORT = 5, 4
 #: Words of reporting and of direct address.
 REPORTING = frozenset("said says wrote writes quoted quote called claimed reported according dijo escribió citó sagte schrieb zitierte écrit cité disait".split())
 ADDRESS = frozenset("you your yourself u ur tú usted eres du dich dir dein sie ihr tu toi vous ton".split())
@@ -56,67 +61,79 @@ class Lexicon:
     #: Built states are dropped beyond this number.
     MOST_STATES = 50_000
 
-    def __init__(self, words: Iterable[str], stems: Iterable[str]):
+    def __init__(self, words: Iterable[str], stems: Iterable[str], short: bool = False):
         self.child: list[dict[str, int]] = [{}]
         self.word: list[bool] = [False]
         self.stem: list[bool] = [False]
-        self.tolerant: list[bool] = [False]
+        #: The kind of match with one edit of a node's word or stem: 2, 4 if it is short, 0 for none.
+        self.near_word: list[int] = [0]
+        self.near_stem: list[int] = [0]
+        kind = lambda term: 2 if len(term) >= TOLERANT else 4 if short and len(term) >= SHORT else 0
         for term in words:
             node = self._add(term)
-            self.word[node], self.tolerant[node] = True, len(term) >= 5
+            self.word[node], self.near_word[node] = True, kind(term)
         for term in stems:
-            self.stem[self._add(term)] = True
+            node = self._add(term)
+            self.stem[node], self.near_stem[node] = True, kind(term)
         self._clear()
 
     def _add(self, term: str) -> int:
         node = 0
-        for c in term:
+        for c in term.translate(_PLAIN):
             if c not in self.child[node]:
                 self.child.append({})
                 self.word.append(False)
                 self.stem.append(False)
-                self.tolerant.append(False)
+                self.near_word.append(0)
+                self.near_stem.append(0)
                 self.child[node][c] = len(self.child) - 1
             node = self.child[node][c]
         return node
 
     def _clear(self) -> None:
-        self.ids: dict[frozenset, int] = {}
+        self.ids: dict[tuple[frozenset, int], int] = {}
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
         self.ends: list[int] = []
-        self.start = self._state(self._closure({(0, 0)}))
+        self.passed: list[int] = []
+        self.start = self._state(self._closure({(0, 0)}), 0)
 
     def _closure(self, pairs: set[tuple[int, int]]) -> frozenset:
         """With the trie letters that the term may lack."""
         return frozenset(pairs | {(n, 1) for node, edits in pairs if edits == 0 for n in self.child[node].values()})
 
-    def _state(self, pairs: frozenset) -> int:
-        if pairs not in self.ids:
-            self.ids[pairs] = len(self.sets)
+    def _state(self, pairs: frozenset, passed: int) -> int:
+        """`passed` is the kind of stem that has been completed with an edit by the letters so far."""
+        if (pairs, passed) not in self.ids:
+            self.ids[pairs, passed] = len(self.sets)
             self.sets.append(pairs)
             self.steps.append({})
+            self.passed.append(passed)
             exact = any(self.word[n] for n, e in pairs if e == 0)
-            near = any(self.word[n] and self.tolerant[n] for n, e in pairs if e == 1)
-            self.ends.append(1 if exact else 2 if near else 0)
-        return self.ids[pairs]
+            near = {self.near_word[n] for n, e in pairs if e == 1 and self.word[n]}
+            self.ends.append(1 if exact else min((near | {passed}) - {0}, default=0))
+        return self.ids[pairs, passed]
 
     def _step(self, state: int, letter: str) -> int:
         """-1: no entry can match any more; -2: a stem is complete."""
         letter = LOOKALIKES.get(letter, letter)
-        out = set()
+        out, near = set(), {self.passed[state]}
         for node, edits in self.sets[state]:
             if letter in self.child[node]:
-                out.add((self.child[node][letter], edits))
+                to = self.child[node][letter]
+                out.add((to, edits))
+                if edits == 1:
+                    near.add(self.near_stem[to])
             if edits == 0:
                 out.add((node, 1))
                 out.update((n, 1) for c, n in self.child[node].items() if c != letter)
         if any(e == 0 and self.stem[n] for n, e in out):
             return -2
-        return self._state(self._closure(out)) if out else -1
+        passed = min(near - {0}, default=0)
+        return self._state(self._closure(out), passed) if out or passed else -1
 
     def match(self, term: str) -> int:
-        """0: no match; 1: a word; 2: a word but for one edit; 3: starts with a stem."""
+        """0: no match; 1: a word; 2: a word or starts with a stem, but for one edit; 3: starts with a stem; 4: as 2, by a short one."""
         if len(self.sets) > self.MOST_STATES:
             self._clear()
         state = self.start
@@ -133,7 +150,7 @@ class Lexicon:
 
 
 #: Kinds of match in the order of their features.
-KINDS = (1, 2, 3)
+KINDS = (1, 2, 3, 4)
 
 
 class Scanner:
@@ -216,7 +233,7 @@ def learn_lexicon(texts: list[str], toxic: list[int]) -> tuple[list[str], list[s
     """
     groups: dict[tuple[int, int], set[str]] = {}
     for text, y in zip(texts, toxic, strict=True):
-        if words := {t for t in _TERM.findall(text.lower()) if 3 <= len(t) <= 30}:
+        if words := {t.translate(_PLAIN) for t in _TERM.findall(text.lower()) if 3 <= len(t) <= 30}:
             groups.setdefault((y, min(zlib.crc32(w.encode()) for w in words)), set()).update(words)
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     total = [0, 0]
@@ -233,7 +250,7 @@ def learn_lexicon(texts: list[str], toxic: list[int]) -> tuple[list[str], list[s
         own = max((seen[1][w + "$"] for w in words if w.startswith(t)), default=0)
         if own < 0.8 * seen[1][t] and not any(t.startswith(s) for s in stems):
             stems.append(t)
-    return sorted(w for w in words if not any(w.startswith(s) for s in stems)), sorted(stems)
+    return sorted(words), sorted(stems)  # words below a stem stay: they match with an edit anywhere
 
 
 def fit(rows: list[tuple[str, int]]) -> Model:
@@ -245,7 +262,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     half = np.arange(len(y)) % 2 == 0
     x = np.zeros((len(y), 3 * len(KINDS) + 2))
     for part in (half, ~half):
-        scanner = Scanner(Lexicon(*learn_lexicon([t for t, h in zip(texts, part, strict=True) if h], y[part].tolist())))
+        scanner = Scanner(Lexicon(*learn_lexicon([t for t, h in zip(texts, part, strict=True) if h], y[part].tolist()), short=True))
         x[~part] = [scanner.features(t) for t, h in zip(texts, part, strict=True) if not h]
     words, stems = learn_lexicon(texts, y.tolist())
     mean, scale = x.mean(0), np.maximum(x.std(0), 0.25)  # a feature that hardly varies must not be stretched
@@ -282,7 +299,7 @@ def score_documents(docs: DataFrame, model: Model, into: str = "score") -> DataF
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scanner = Scanner(Lexicon(model.words, model.stems))
+        scanner = Scanner(Lexicon(model.words, model.stems, short=True))
         for texts in batches:
             yield pd.Series(model.score([scanner.features(t) for t in texts]) if len(texts) else [], dtype="float64")
 

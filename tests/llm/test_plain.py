@@ -43,6 +43,17 @@ def test_automaton_reads_stems_and_lookalikes():
     assert [lexicon.match(t) for t in ("stupid", "stup1d", "stuppid", "studid", "stpid", "stpd", "achlicher", "achliche", "achlic")] == [1, 1, 2, 2, 2, 0, 3, 3, 0]
 
 
+def test_stems_and_short_words_allow_an_edit():
+    lexicon = toxicity.Lexicon(["scum", "foolishly", "st0pit"], ["foolish"], short=True)
+    assert [lexicon.match(t) for t in ("foolishness", "fooolishness", "fo0lishness", "foelishness", "foolishly", "foelishly", "foolis", "foxishing")] == [3, 2, 3, 2, 3, 2, 0, 0]
+    assert [lexicon.match(t) for t in ("scum", "skum", "skumm", "st0pit", "stopit", "st0ppit")] == [1, 4, 0, 1, 1, 2]
+    rng = random.Random(4)
+    rows = [(text(rng, 40) + (f" gr0bnak{rng.choice(['ly', 'ity', 'ness'])}" if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(400)]
+    model = toxicity.fit(rows)
+    s = model.score([toxicity.Scanner(toxicity.Lexicon(model.words, model.stems, short=True)).features(t) for t in ("some fine words here", "some fine gr0bnakly here", "some fine grobnakness here")])
+    assert s[0] < 0.5 < s[1] == s[2] and any("grobnakly".startswith(t) for t in model.stems) and "grobnakly" in model.words
+
+
 def test_quotation_weighs_less_than_abuse():
     scanner = toxicity.Scanner(toxicity.Lexicon(["moron"], []))
     plain, quoted = scanner.features("you are a moron today"), scanner.features('he said "what a moron" and left')
