@@ -1,12 +1,15 @@
 """Words and their hashes of many texts at once, by numpy over one byte array.
 
-A word is a run of letters and digits: ASCII letters and digits and every byte of a longer UTF-8 character.  Case is
+A word is a run of letters, digits and their marks; punctuation, symbols and spaces of any script part words.  In scripts
+that write no blanks between words (Chinese, Japanese, Thai, Lao, Burmese, Khmer) every character is a word.  Case is
 folded for ASCII and Latin-1 letters, which keeps every byte's place, so words know their place in the text.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 
@@ -20,6 +23,40 @@ _LOWER[65:91] += 32
 _VALUE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
 
 
+#: Blocks whose characters are words of their own.
+_ALONE = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3038, 0x303B), (0x3040, 0x30FF), (0x31F0, 0x31FF),
+          (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF))
+
+
+@lru_cache
+def _kinds() -> np.ndarray:
+    """Of every character: 0 parts words, 1 is part of a word, 2 is a word of its own."""
+    kinds = np.zeros(0x110000, np.uint8)
+    # Above the planes with characters: private use, part of words like other unassigned characters.
+    kinds[0x40000:] = 1
+    kinds[:0x40000] = [unicodedata.category(chr(c))[0] not in "PZS" for c in range(0x40000)]
+    for first, last in _ALONE:
+        kinds[first : last + 1] *= 2
+    kinds[[0x200B, 0x2060, 0xFEFF]] = 0  # of no width
+    kinds[0x80:0xA0] = 0
+    return kinds
+
+
+def _characters(data: np.ndarray, inside: np.ndarray, alone: np.ndarray) -> None:
+    """Sets whether bytes of characters beyond ASCII are inside of words, and marks the first ones of characters alone."""
+    lead = np.flatnonzero(data >= 0xC0)
+    size = 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0).astype(np.int64)
+    code = data[lead].astype(np.int64) & (0xFF >> (size + 1))
+    for k in (1, 2, 3):
+        more = size > k
+        code[more] = code[more] << 6 | data[lead[more] + k] & 0x3F
+    kind = _kinds()[code]
+    for k in range(4):
+        inside[lead[(size > k) & (kind == 0)] + k] = False
+    alone[lead[kind == 2]] = True
+    alone[(lead + size)[kind == 2]] = True
+
+
 class Powers:
     """Powers of the hash's base and of its inverse modulo 2**64, as far as needed."""
 
@@ -73,6 +110,8 @@ class Batch:
         inside = _WORD[self.data]
         edge = np.zeros(n + 1, bool)
         edge[self.at] = True
+        if n and self.data.max() >= 128:
+            _characters(self.data, inside, edge)
         before = np.empty(n + 1, bool)
         before[0], before[1:] = False, inside
         after = np.empty(n + 1, bool)

@@ -147,6 +147,17 @@ def test_words_of_a_batch():
     assert Batch(encoded(["ünser"])).word[0] == b.word[0]
 
 
+def test_words_of_any_script():
+    texts = ["“Ünser”\u00a0Haus — l’été…", "今天天气，很好。ok好", "नमस्ते दुनिया।", "ไทย", "e\u0301te\u0301 😀 x", '"ünser" haus - l\'été...']
+    b = Batch(encoded(texts))
+    got = [b.data[s:e].tobytes().decode() for s, e in zip(b.start, b.end, strict=True)]
+    assert [got[x:y] for x, y in zip(b.first[:-1], b.first[1:], strict=True)] == [
+        ["Ünser", "Haus", "l", "été"], [*"今天天气很好", "ok", "好"], ["नमस्ते", "दुनिया"], [*"ไทย"], ["e\u0301te\u0301", "x"], ["ünser", "haus", "l", "été"]]
+    assert b.word[: b.first[1]].tolist() == b.word[b.first[5] :].tolist()
+    items = decontamination.Items([1], ["今天天气很好，我们去公园散步吧。"], 6)
+    assert list(items.leaks(Batch(encoded(["他说：今天天气很好，我们去公园散步吧。然后走了", "别的句子在这里没有重复的内容"])), 0.5)) == [0]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 3), max_size=12), min_size=2, max_size=6))
 def test_shingles_are_sets_of_runs(docs):
