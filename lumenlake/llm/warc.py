@@ -42,11 +42,17 @@ _LOWEST = -(1 << 63)
 
 
 def url_key(url: Column) -> Column:
-    """The sort key of a URL: its host's labels in reverse, then what follows the host."""
+    """The sort key of a URL: its host's labels in reverse, then what follows the host.
+
+    Line and field ends are escaped here, as in the archives, so that keys are sorted, stored and searched alike.
+    """
     url = F.coalesce(url.cast("string"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rest = F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "")
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest)
+    key = F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest)
+    for c in "\t\r\n":
+        key = F.replace(key, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    return key
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -154,8 +160,7 @@ def build_index(captures: DataFrame, folder: str) -> DataFrame:
 
             for part in parts:
                 for k, p, f, s, n in zip(*(part.column(i).to_pylist() for i in range(5)), strict=True):
-                    # Line and field ends within a key are escaped as in the archives.
-                    lines.append((_escaped(k), p, f, s, n))
+                    lines.append((k, p, f, s, n))
                     if len(lines) == BLOCK:
                         flush()
             if lines:
@@ -165,10 +170,6 @@ def build_index(captures: DataFrame, folder: str) -> DataFrame:
     return durable(ordered.mapInArrow(write, "shard string, key string, page long, start long, length long"))
 
 
-def _escaped(key: str) -> str:
-    return re.sub(r"[\t\r\n]", lambda m: f"%{ord(m[0]):02X}", key) if re.search(r"[\t\r\n]", key) else key
-
-
 class Shard:
     """A shard of the index: its directory and the block read last."""
 
@@ -211,7 +212,7 @@ def look_up(wanted: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
     def route(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = firsts.value
         for part in parts:
-            keys, pages = [_escaped(k) for k in part.column(0).to_pylist()], part.column(1).to_pylist()
+            keys, pages = part.column(0).to_pylist(), part.column(1).to_pylist()
             to, rows = [], []
             for i, (k, p) in enumerate(zip(keys, pages, strict=True)):
                 want = _sortable(k, p)

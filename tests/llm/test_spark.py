@@ -168,6 +168,14 @@ def test_capture_index_finds_single_keys(spark, tmp_path):
     assert [r[0] for r in spark.createDataFrame([("https://u:p@WWW.a.b.Com:8080/x?y",)], "u string").select(warc.url_key(F.col("u"))).collect()] == ["com,b,a,www)/x?y"]
 
 
+def test_raw_tabs_and_line_ends_in_urls_do_not_upset_the_order(spark, monkeypatch):
+    ends = ["", "\ty", " y", "#f", "!", "\"", "$z", "\ny", "\r", "%09y", "%0", "&"]
+    pages = spark.createDataFrame([(i, f"http://a.b/x{e}", f"page {i}") for i, e in enumerate(ends)], "page_id long, url string, html string")
+    for block in (1024, 3):
+        monkeypatch.setattr(warc, "BLOCK", block)
+        assert rows(warc.round_trip(pages), "page_id") == sorted(((i,) for i in range(len(ends))), key=str)
+
+
 # --- op4 --------------------------------------------------------------------------------------------------------
 
 def test_sharding(spark, odd, empty):
