@@ -9,12 +9,14 @@ Only text is an input.  The network is trained on the driver from at most `fit_r
 bound), each with its whole text, with a fixed seed; a few hundred kilobytes of weights go to the workers.  Scoring is
 one pass without a shuffle and works through a long text block by block.
 
-Defined cases: a null or empty text is scored as one chunk of blanks; without training rows of both labels every
-score is 0.5; repeated rows get equal scores; null labels are not learned from; other columns play no part.
+Defined cases: a null or empty text is scored as one chunk of blanks; without training rows of both labels every score
+is 0.5; equal texts get equal scores, whatever batch or partition they are in; a text of any length is read to its end;
+null labels are not learned from; an empty table gives an empty one; other columns play no part.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -73,8 +75,17 @@ def _halves(top: np.ndarray) -> np.ndarray:
 
 
 def _combine(net: Network, x: np.ndarray) -> np.ndarray:
-    hidden = np.maximum(x @ net.dense + net.dense_bias, 0)
-    return 1 / (1 + np.exp(-np.clip(hidden @ net.out + net.out_bias, -30, 30)))
+    """Probabilities of rows of pooled features.
+
+    Summed feature by feature in double precision: a matrix product would round a row by its place in the batch.
+    """
+    hidden = np.broadcast_to(net.dense_bias.astype(np.float64), (len(x), len(net.dense_bias))).copy()
+    for k, weights in enumerate(net.dense.astype(np.float64)):
+        hidden += x[:, k, None].astype(np.float64) * weights
+    z = np.full(len(x), float(net.out_bias))
+    for k, weight in enumerate(net.out.tolist()):
+        z += np.maximum(hidden[:, k], 0) * weight
+    return np.array([1 / (1 + math.exp(-min(30.0, max(-30.0, v)))) for v in z.tolist()])
 
 
 class Scorer:
@@ -99,7 +110,7 @@ class Scorer:
                 chunk = np.maximum(_halves(top[at : at + n]), 0)
                 x[first + k, :FILTERS], x[first + k, FILTERS:] = chunk.max(0), chunk.mean(0)
                 at += n
-        return _combine(self.net, x).astype(np.float64)
+        return _combine(self.net, x)
 
     @staticmethod
     def _groups(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
