@@ -6,17 +6,20 @@ toxic than in other documents.  It is kept as a trie.  A term is matched by runn
 can reach, and states are built as they are met, so a term costs one step per letter.  A stem may have one edit
 before its last letter.  Words and stems of four letters count with an edit too, but as a kind of match of their own,
 whose weight is learned; shorter ones only match exactly.  Digits and signs that stand for letters count as those
-letters, in texts and in learned terms.  Around each match a window of words is read: quotation marks and words of
-reporting lower its weight, words of direct address raise it.  A logistic model over the weighted matches of the
-whole text gives the score.
+letters, in texts and in learned terms.
+
+Around each match a window of words is read: a match between quotation marks, one near a word of reporting and one
+near a word of direct address are counted apart.  How much less quoted and reported matches weigh is learned with the
+weights of a logistic model over the counts of the whole text, which gives the score.
 
 Only text is an input.  The model is fitted on the driver from at most `fit_rows` labelled rows (a documented bound);
-it is a few hundred terms and a dozen numbers, and goes to the workers with the function.  Scoring is one pass
+it is a few hundred terms and two dozen numbers, and goes to the workers with the function.  Scoring is one pass
 without a shuffle.
 
-Defined cases: a null or empty text has no match and gets the model's score for that; without toxic or without other
-training rows every score is 0; repeated rows get equal scores; null labels are not learned from; a document with
-several label rows counts once for each; other columns play no part.
+Defined cases: a null or empty text has no match and gets the model's score for that; a text of any length is read to
+its end, in time that grows with its length; without toxic or without other training rows every score is 0; equal
+texts get equal scores; null labels are not learned from; a document counts once for each label that its label rows
+give it, and texts that share a doc_id count each; an empty table gives an empty one; other columns play no part.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -149,12 +153,35 @@ class Lexicon:
         return self.ends[state]
 
 
-#: Kinds of match in the order of their features.
-KINDS = (1, 2, 3, 4)
+#: Kinds of match in the order of their features; contexts: neither quoted nor reported, quoted, reported, both.
+KINDS, CONTEXTS = (1, 2, 3, 4), 4
+#: What a quoted and what a reported match weigh until that is learned, and the weights that are tried.
+DISCOUNTS, TRIED = (0.4, 0.5), (1.0, 0.7, 0.4, 0.2)
+
+
+@dataclass(frozen=True)
+class Counts:
+    """What a text holds: its number of terms, per kind of match how many in each context and how many different
+    terms, and how many near words of address in each context."""
+
+    terms: int
+    matches: tuple[tuple[int, ...], ...] = ((0,) * CONTEXTS,) * len(KINDS)
+    distinct: tuple[int, ...] = (0,) * len(KINDS)
+    addressed: tuple[int, ...] = (0,) * CONTEXTS
+
+    def features(self, discounts: tuple[float, float] = DISCOUNTS) -> list[float]:
+        quoted, reported = discounts
+        worth = (1.0, quoted, reported, quoted * reported)
+        out = []
+        for found, different in zip(self.matches, self.distinct, strict=True):
+            weight = sum(w * n for w, n in zip(worth, found, strict=True))
+            out += [math.log1p(weight), math.log1p(different), 100 * weight / (self.terms + 20)]
+        apart = [math.log1p(sum(found[k] for found in self.matches)) for k in range(1, CONTEXTS)]
+        return [*out, math.log1p(self.terms), *apart, math.log1p(sum(w * n for w, n in zip(worth, self.addressed, strict=True)))]
 
 
 class Scanner:
-    """Features of texts under a lexicon; remembers what it has found out about terms."""
+    """Counts of texts under a lexicon; remembers what it has found out about terms."""
 
     MOST_TERMS = 400_000
 
@@ -163,7 +190,15 @@ class Scanner:
         self.clean: set[str] = set()
         self.hits: dict[str, int] = {}
 
-    def features(self, text: str | None) -> list[float]:
+    def features(self, text: str | None, discounts: tuple[float, float] = DISCOUNTS) -> list[float]:
+        return self.counts(text).features(discounts)
+
+    def counts(self, text: str | None) -> Counts:
+        # What is remembered is dropped between texts only, so a single text may hold any number of terms.
+        if len(self.clean) > self.MOST_TERMS:
+            self.clean = set()
+        if len(self.hits) > self.MOST_TERMS:
+            self.hits = {}
         low = (text or "").lower()
         terms = _TERM.findall(low)
         fresh = set(terms)
@@ -174,56 +209,49 @@ class Scanner:
                 found.append(t)
             else:
                 self.clean.add(t)
-        if len(self.clean) > self.MOST_TERMS:
-            self.clean = set()
-        if len(self.hits) > self.MOST_TERMS:
-            self.hits = {}
-            return self.features(text)
-        size = math.log1p(len(terms))
         if not found:
-            return [0.0] * (3 * len(KINDS)) + [size, 0.0]
-        weight, distinct = dict.fromkeys(KINDS, 0.0), {k: set() for k in KINDS}
+            return Counts(len(terms))
+        matches, addressed = [[0] * CONTEXTS for _ in KINDS], [0] * CONTEXTS
         quotes = [m.start() for m in _QUOTE.finditer(low)]
         spans = [m.span() for m in _TERM.finditer(low)] if quotes else []
         wanted = set(found)
-        abuse = 0.0
         for i, t in enumerate(terms):
             if t in wanted:
-                w, around = 1.0, terms[max(0, i - CONTEXT) : i + CONTEXT + 1]
-                if quotes and _between(quotes, spans, i):
-                    w *= 0.4
-                if not REPORTING.isdisjoint(around):
-                    w *= 0.5
-                if not ADDRESS.isdisjoint(around):
-                    abuse += w
-                weight[self.hits[t]] += w
-                distinct[self.hits[t]].add(t)
-        return [x for k in KINDS for x in (math.log1p(weight[k]), math.log1p(len(distinct[k])), 100 * weight[k] / (len(terms) + 20))] + [size, math.log1p(abuse)]
+                around = terms[max(0, i - CONTEXT) : i + CONTEXT + 1]
+                context = int(bool(quotes) and _between(quotes, spans, i)) + 2 * int(not REPORTING.isdisjoint(around))
+                matches[self.hits[t] - 1][context] += 1
+                addressed[context] += not ADDRESS.isdisjoint(around)
+        kinds = Counter(self.hits[t] for t in found)
+        return Counts(len(terms), tuple(map(tuple, matches)), tuple(kinds[k] for k in KINDS), tuple(addressed))
 
 
 def _between(quotes: list[int], spans: list[tuple[int, int]], i: int) -> bool:
-    """Whether the window around word i has a quotation mark on either side of the word."""
+    """Whether the window around word i has one of the quotation marks (in order) on either side of the word."""
     first, last = spans[max(0, i - CONTEXT)][0], spans[min(len(spans) - 1, i + CONTEXT)][1]
     a, b = spans[i]
-    return any(first - 2 <= q < a for q in quotes) and any(b <= q <= last + 2 for q in quotes)
+    return bisect_left(quotes, first - 2) < bisect_left(quotes, a) and bisect_left(quotes, b) < bisect_right(quotes, last + 2)
 
 
 @dataclass(frozen=True)
 class Model:
-    """What scoring needs: the lexicon's terms and the logistic model."""
+    """What scoring needs: the lexicon's terms, what quoted and reported matches weigh, and the logistic model."""
 
     words: tuple[str, ...]
     stems: tuple[str, ...]
     mean: tuple[float, ...] = ()
     scale: tuple[float, ...] = ()
     weights: tuple[float, ...] = ()
+    discounts: tuple[float, float] = DISCOUNTS
 
     def score(self, features: list[list[float]]) -> np.ndarray:
         if not self.weights:
             return np.zeros(len(features))
-        x = (np.asarray(features) - np.asarray(self.mean)) / np.asarray(self.scale)
-        z = x @ np.asarray(self.weights[:-1]) + self.weights[-1]
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        # Row by row in one order: a matrix product would round a row by its place in the batch.
+        out = []
+        for row in features:
+            z = self.weights[-1] + sum((x - m) / s * w for x, m, s, w in zip(row, self.mean, self.scale, self.weights, strict=False))
+            out.append(1 / (1 + math.exp(-min(30.0, max(-30.0, z)))))
+        return np.array(out)
 
 
 def learn_lexicon(texts: list[str], toxic: list[int]) -> tuple[list[str], list[str]]:
@@ -233,7 +261,7 @@ def learn_lexicon(texts: list[str], toxic: list[int]) -> tuple[list[str], list[s
     """
     groups: dict[tuple[int, int], set[str]] = {}
     for text, y in zip(texts, toxic, strict=True):
-        if words := {t.translate(_PLAIN) for t in _TERM.findall(text.lower()) if 3 <= len(t) <= 30}:
+        if words := {t.translate(_PLAIN) for t in _TERM.findall(text.lower()) if len(t) >= 3}:
             groups.setdefault((y, min(zlib.crc32(w.encode()) for w in words)), set()).update(words)
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     total = [0, 0]
@@ -260,13 +288,31 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         return Model((), ())
     # Each half is read with the lexicon of the other one, or else chance terms would get weight.
     half = np.arange(len(y)) % 2 == 0
-    x = np.zeros((len(y), 3 * len(KINDS) + 2))
+    counts: list[Counts] = [Counts(0)] * len(y)
     for part in (half, ~half):
         scanner = Scanner(Lexicon(*learn_lexicon([t for t, h in zip(texts, part, strict=True) if h], y[part].tolist()), short=True))
-        x[~part] = [scanner.features(t) for t, h in zip(texts, part, strict=True) if not h]
+        for i in np.flatnonzero(~part).tolist():
+            counts[i] = scanner.counts(texts[i])
     words, stems = learn_lexicon(texts, y.tolist())
-    mean, scale = x.mean(0), np.maximum(x.std(0), 0.25)  # a feature that hardly varies must not be stretched
-    return Model(tuple(words), tuple(stems), tuple(mean), tuple(scale), tuple(_logistic((x - mean) / scale, y)))
+
+    def inputs(discounts: tuple[float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = np.array([c.features(discounts) for c in counts])
+        return x, x.mean(0), np.maximum(x.std(0), 0.25)  # a feature that hardly varies must not be stretched
+
+    def loss(discounts: tuple[float, float]) -> float:
+        """How badly weights from one half of the rows tell the labels of the other, both ways."""
+        x, mean, scale = inputs(discounts)
+        x, out = (x - mean) / scale, 0.0
+        for part in (half, ~half):
+            if len(set(y[part].tolist())) == 2:
+                w = _logistic(x[part], y[part])
+                z = np.clip((x[~part] @ w[:-1] + w[-1]) * np.where(y[~part] == 1, 1, -1), -30, 30)
+                out += float(np.log1p(np.exp(-z)).sum())
+        return round(out, 6)
+
+    discounts = min([DISCOUNTS, *((q, r) for q in TRIED for r in TRIED)], key=loss)  # the first of equals
+    x, mean, scale = inputs(discounts)
+    return Model(tuple(words), tuple(stems), tuple(mean.tolist()), tuple(scale.tolist()), tuple(_logistic((x - mean) / scale, y).tolist()), discounts)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40) -> np.ndarray:
@@ -277,17 +323,30 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (p - y) / len(y) + ridge * w * (np.arange(len(w)) < len(w) - 1)
         hess = (x * (p * (1 - p))[:, None]).T @ x / len(y) + ridge * np.eye(len(w))
-        w -= np.linalg.solve(hess, grad)
+        move = np.linalg.solve(hess, grad)
+        w -= move
+        if np.abs(move).max() < 1e-9:
+            break
     return w
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> list[tuple[str, int]]:
-    """At most `most` (text, label) rows outside the evaluation fold, chosen by a hash of doc_id."""
-    known = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).where(~held_out(F.col("id")) & F.col("y").isin(0, 1) & F.col("id").isNotNull())
-    chosen = known.orderBy(F.crc32(F.concat(F.lit("fit:"), F.col("id").cast("string")).cast("binary")), "id", "y").limit(most)
-    # The chosen rows are bounded by `most`.
-    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("t")).join(F.broadcast(chosen), "id").collect()
-    return [(r.t or "", r.y) for r in sorted(rows, key=lambda r: (r.id, r.y, r.t or ""))]
+    """At most `most` (text, label) rows outside the evaluation fold, chosen by a hash of doc_id.
+
+    Labels are chosen among the texts that are there, by ids and hashes of texts only; texts follow for the chosen
+    rows, one of each, so that neither repeated rows nor labels without a document change how many there are.
+    """
+    known = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y")).where(~held_out(F.col("id")) & F.col("y").isin(0, 1) & F.col("id").isNotNull()).distinct()
+    texts = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("t")).where("id is not null").withColumn("mark", F.xxhash64("t"))
+    chosen = (texts.select("id", "mark").join(known, "id").distinct()
+              .orderBy(F.crc32(F.concat(F.lit("fit:"), F.col("id").cast("string")).cast("binary")), "id", "y", "mark").limit(most)).collect()
+    if not chosen:
+        return []
+    # Bounded by `most`, as is what comes back.
+    wanted = docs.sparkSession.createDataFrame(list({(r.id, r.mark) for r in chosen}), texts.select("id", "mark").schema)
+    found = texts.join(F.broadcast(wanted), ["id", "mark"]).groupBy("id", "mark").agg(F.first("t").alias("t")).collect()
+    text = {(r.id, r.mark): r.t or "" for r in found}
+    return [(text[r.id, r.mark], r.y) for r in sorted(chosen, key=lambda r: (r.id, r.y, text[r.id, r.mark]))]
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
@@ -301,6 +360,6 @@ def score_documents(docs: DataFrame, model: Model, into: str = "score") -> DataF
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scanner = Scanner(Lexicon(model.words, model.stems, short=True))
         for texts in batches:
-            yield pd.Series(model.score([scanner.features(t) for t in texts]) if len(texts) else [], dtype="float64")
+            yield pd.Series(model.score([scanner.features(t, model.discounts) for t in texts]) if len(texts) else [], dtype="float64")
 
     return docs.withColumn(into, score(F.col("text").cast("string")))
