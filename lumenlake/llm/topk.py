@@ -1,35 +1,43 @@
 """Exact top-k search by inner product with multi-resolution segment statistics.
 
-Vectors are cut into segments, coarsely and then finely; a segment's mean and deviation of query and candidate give
-a lower bound of their distance: with n components, n * ((mean - mean')^2 + (dev - dev')^2) per segment.  As
-|q|^2 + |x|^2 - distance^2 = 2 q.x, that bounds the score from above.  Level by level, candidates whose bound is below
-the k-th best score known so far drop out; the rest get their exact scores.
+Vectors are cut into segments, from coarse to fine; a segment's mean and deviation of query and candidate give a lower
+bound of their distance: with n components, n * ((mean - mean')^2 + (dev - dev')^2) per segment.  As
+|q|^2 + |x|^2 - distance^2 = 2 q.x, that bounds the score from above.  Level by level, pairs whose bound is below the
+k-th best score known so far drop out, and finer levels look at the others only; exact scores are computed for what
+survives the finest level.  Bounds are in single precision with room for its rounding, scores in double precision.
 
-Queries and candidates are packed into blocks of rows; every block of queries meets every block of candidates in one
-row of an equi-join, and only the k best of each query and block go on.  So no task holds more than two blocks, and a
-vector that a third of all rows share is spread over the blocks like any other.
+Queries and candidates are packed into blocks of rows.  Blocks of candidates are dealt into groups, and a task gets
+one block of queries and one group: the best known of each query are handed on from block to block of the group, and
+only the k best of each query and group go on.  A vector that a third of all rows share is spread over the blocks like
+any other.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, nor do rows without an id;
 vectors are compared with those of their own length only; rows that share the query's id are its own and left out;
 a repeated query row is answered once, and queries that share an id but not the vector are answered each; repeated
-candidate rows count each; scores beyond 64 bits are clipped; an empty table gives no rows; other columns play no part.
+candidate rows count each; ties go to the smaller vec_id; a vector whose components are too large for exact doubles is
+scored in whole numbers of any size, it alone, and scores beyond 64 bits are clipped; an empty table gives no rows;
+other columns play no part.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a block, of queries and of candidates: a pair of blocks is shuffled for so many scores.  Queries whose
-#: scores a task holds at once.
-QUERY_BLOCK, CANDIDATE_BLOCK, AT_ONCE = 4096, 4096, 256
+#: Vectors of a block of queries and of one of candidates, queries whose bounds a task holds at once, and blocks of
+#: candidates of a group: for each group a block of queries is shuffled once, and for each block of queries a group.
+QUERY_BLOCK, CANDIDATE_BLOCK, AT_ONCE, GROUP = 4096, 4096, 256, 16
 #: Segments of the levels, coarse to fine.
-LEVELS = (4, 16)
+LEVELS = (4, 16, 32)
+#: Most partitions of the search; share of live pairs from which bounds are one matrix product instead of one by one.
+MOST_TASKS, DENSE = 10_000, 0.25
 
 _PACKED = "qb int, dim int, ids binary, vectors binary"
 
@@ -77,41 +85,109 @@ def _segments(x: np.ndarray, n: int) -> np.ndarray:
     return np.hstack([f for p in parts for f in (np.sqrt(p.shape[1]) * p.mean(1, keepdims=True), np.sqrt(p.shape[1]) * p.std(1, keepdims=True))])
 
 
+class Block:
+    """Vectors with what the search needs to know of them; vectors too large for exact doubles are kept apart."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        self.ids, self.x = ids, x
+        # Inner products of vectors within the limit are exact in doubles.
+        small = np.abs(x).max(1, initial=0.0) <= 2.0**26 / max(1, x.shape[1]) ** 0.5
+        self.plain, self.large = np.flatnonzero(small), np.flatnonzero(~small)
+        self.values, self.plain_ids = x[self.plain], ids[self.plain]
+        self.norms = np.sqrt((self.values * self.values).sum(1))
+        self._levels: dict[int, np.ndarray] = {}
+
+    def segments(self, n: int) -> np.ndarray:
+        if n not in self._levels:
+            self._levels[n] = _segments(self.values, n).astype(np.float32)
+        return self._levels[n]
+
+
+class Best:
+    """The k best candidates known so far of each query of a block."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.known = k, np.full(n, -np.inf)
+        self.scores, self.ids = [np.zeros(0, np.int64)] * n, [np.zeros(0, np.int64)] * n
+
+    def add(self, i: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        if len(scores) > self.k:
+            best = scores >= np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
+            scores, ids = scores[best], ids[best]
+        scores, ids = np.concatenate([self.scores[i], scores.astype(np.int64)]), np.concatenate([self.ids[i], ids])
+        order = np.lexsort((ids, -scores.astype(object) if len(scores) and scores.min() == -(2**63) else -scores))[: self.k]
+        self.scores[i], self.ids[i] = scores[order], ids[order]
+        if len(order) == self.k:
+            self.known[i] = float(scores[order[-1]])
+
+    def rows(self) -> list[tuple[int, int, int]]:
+        return [(i, v, s) for i in range(len(self.ids)) for v, s in zip(self.ids[i].tolist(), self.scores[i].tolist(), strict=True)]
+
+
+def _cascade(q: Block, rows: slice, c: Block, best: Best, seen: Counter) -> None:
+    """The plain queries numbered `rows` against the plain candidates of a block."""
+    mine, x = q.plain[rows], q.values[rows]
+    if not len(mine) or not len(c.plain):
+        return
+    live = q.plain_ids[rows, None] != c.plain_ids[None, :]
+    slack = 1e-5 * q.norms[rows] * c.norms.max() + 1e-3
+    seen["pairs"] += live.size
+
+    def score(i: int, at: np.ndarray) -> None:
+        live[i, at] = False
+        seen["scored"] += len(at)
+        best.add(int(mine[i]), c.values[at] @ x[i], c.plain_ids[at])
+
+    for n in LEVELS:
+        if n >= x.shape[1]:
+            break  # as long as the vectors themselves
+        fq, fc = q.segments(n)[rows], c.segments(n)
+        if live.mean() > DENSE:
+            bound = np.where(live, fq @ fc.T, -np.inf)
+        else:
+            bound = np.full(live.shape, -np.inf, np.float32)
+            for i in range(len(mine)):
+                at = np.flatnonzero(live[i])
+                bound[i, at] = fc[at] @ fq[i]
+        probes = min(2 * best.k, live.shape[1])
+        likely = np.argpartition(-bound, probes - 1, axis=1)[:, :probes]
+        for i in range(len(mine)):
+            if len(at := likely[i][live[i, likely[i]]]):
+                score(i, at)
+        live &= bound >= (best.known[mine] - slack)[:, None]
+        seen[f"after level {n}"] += int(live.sum())
+    for i in range(len(mine)):
+        if len(at := np.flatnonzero(live[i])):
+            score(i, at)
+
+
+def _whole(x: np.ndarray) -> list[int]:
+    return [int(v) for v in x]
+
+
+def compare(q: Block, c: Block, best: Best, seen: Counter | None = None) -> None:
+    """Brings the candidates of a block to what is known of a block of queries."""
+    seen = Counter() if seen is None else seen
+    for at in range(0, len(q.plain), AT_ONCE):
+        _cascade(q, slice(at, at + AT_ONCE), c, best, seen)
+    if not len(q.large) and not len(c.large):
+        return
+    # Vectors too large for exact doubles: in whole numbers of any size, held to 64 bits.
+    whole = {j: _whole(c.x[j]) for j in (range(len(c.ids)) if len(q.large) else c.large.tolist())}
+    large = set(q.large.tolist())
+    for i in range(len(q.ids)):
+        at = [j for j in (range(len(c.ids)) if i in large else c.large.tolist()) if c.ids[j] != q.ids[i]]
+        if at:
+            v = _whole(q.x[i])
+            scores = [max(-(2**63), min(2**63 - 1, sum(map(mul, v, whole[j])))) for j in at]
+            best.add(i, np.array(scores, np.int64), c.ids[at])
+
+
 def block_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """(query's place, vec_id, score) of the k best candidates of each query, ties to smaller ids."""
-    if q.shape[1] == 0:
-        scores, keep = np.zeros((len(q), len(c))), np.ones((len(q), len(c)), bool)
-    elif max(1.0, np.abs(q).max()) * max(1.0, np.abs(c).max()) * q.shape[1] >= 2.0**53:
-        exact = [[max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(x, y, strict=True)))) for y in c] for x in q]
-        return [(i, int(c_ids[j]), s) for i, row in enumerate(exact) for s, j in sorted(((s, j) for j, s in enumerate(row) if c_ids[j] != q_ids[i]), key=lambda t: (-t[0], c_ids[t[1]]))[:k]]
-    else:
-        other = q_ids[:, None] != c_ids[None, :]
-        q_norm, c_norm = (q * q).sum(1), (c * c).sum(1)
-        slack = 1e-9 * (q_norm[:, None] + c_norm[None, :]) + 1e-6
-        keep, known = other, np.full(len(q), -np.inf)
-        scores = np.full((len(q), len(c)), -np.inf)
-        for n in LEVELS:
-            fq, fc = _segments(q, n), _segments(c, n)
-            # The segments' products: (|q|^2 + |x|^2 - lower bound of the squared distance) / 2.
-            bound = fq @ fc.T + slack
-            bound[~keep] = -np.inf
-            probe = np.argpartition(-bound, min(4 * k, len(c)) - 1, axis=1)[:, : min(4 * k, len(c))]
-            got = np.einsum("ij,ikj->ik", q, c[probe])
-            got[~np.take_along_axis(other, probe, 1)] = -np.inf
-            if got.shape[1] >= k:
-                known = np.maximum(known, np.partition(got, got.shape[1] - k, axis=1)[:, got.shape[1] - k])
-            keep = keep & (bound >= known[:, None])
-        alive = np.flatnonzero(keep.any(0))
-        scores[:, alive] = q @ c[alive].T
-    scores[~(keep & (q_ids[:, None] != c_ids[None, :]))] = -np.inf
-    out = []
-    for i in range(len(q)):
-        row = scores[i]
-        least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
-        best = np.flatnonzero((row >= least) & (row > -np.inf))
-        best = best[np.lexsort((c_ids[best], -row[best]))][:k]
-        out += [(i, int(c_ids[j]), int(row[j])) for j in best]
-    return out
+    best = Best(len(q_ids), k)
+    compare(Block(q_ids, q), Block(c_ids, c), best)
+    return best.rows()
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0) -> DataFrame:
@@ -120,21 +196,40 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.
         F.col("vec_id").cast("long").alias("vec_id"), is_query.alias("is_query"),
         F.expr(f"transform(embedding, x -> cast(floor(cast(x as double) * {scale}D) as double))").alias("v"))
     queries = rows.where("is_query")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    size = rows.agg(F.count("*").alias("rows"), F.count_if("is_query").alias("queries")).first()
+    blocks, packs = max(1, -(-size.queries // QUERY_BLOCK)), max(1, -(-size.rows // CANDIDATE_BLOCK))
+    groups = max(-(-packs // GROUP), min(packs, -(-vectors.sparkSession.sparkContext.defaultParallelism // blocks)))
+    keys, tasks = ["qb", "cg", "dim"], min(MOST_TASKS, blocks * groups)
     asked = _pack(queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("qb"), "vec_id", "v").repartition(blocks, "qb"), QUERY_BLOCK, once=True)
-    packed = _pack(rows.select(F.lit(0).alias("qb"), "vec_id", "v"), CANDIDATE_BLOCK, once=False)
-    met = (packed.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-           .select("qb", "dim", F.col("ids").alias("c_ids"), F.col("vectors").alias("c")).join(asked, ["qb", "dim"]).select("dim", "ids", "vectors", "c_ids", "c"))
+    asked = asked.withColumn("cg", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).repartition(tasks, *keys)
+    packed = _pack(rows.select(F.lit(0).alias("qb"), "vec_id", "v"), CANDIDATE_BLOCK, once=False).withColumn("cg", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
+    packed = packed.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(tasks, *keys)
+    met = (packed.select(*keys, F.col("ids").alias("c_ids"), F.col("vectors").alias("c")).join(asked.hint("merge"), keys).select(*keys, "ids", "vectors", "c_ids", "c"))
 
     def top(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+
+        def out() -> pa.RecordBatch:
+            found = [(int(q.ids[i]), marks[i], v, s) for q, marks, best in held.values() for i, v, s in best.rows()]
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], t) for n, t in enumerate(kinds)], ["query_id", "mark", "vec_id", "score"])
+
         for part in parts:
-            for row in part.to_pylist():
-                q_ids, c_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["c_ids"], np.int64)
-                q = np.frombuffer(row["vectors"], np.float64).reshape(len(q_ids), row["dim"])
-                c = np.frombuffer(row["c"], np.float64).reshape(len(c_ids), row["dim"])
-                marks = [hashlib.blake2b(x.tobytes(), digest_size=8).hexdigest() for x in q]
-                found = [(at + i, v, s) for at in range(0, len(q), AT_ONCE) for i, v, s in block_top(q_ids[at : at + AT_ONCE], q[at : at + AT_ONCE], c_ids, c, k)]
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array([int(q_ids[i]) for i, _, _ in found], pa.int64()), "mark": pa.array([marks[i] for i, _, _ in found], pa.string()), "vec_id": pa.array([v for _, v, _ in found], pa.int64()), "score": pa.array([s for _, _, s in found], pa.int64())})
+            for n in range(part.num_rows):
+                row = part.slice(n, 1).to_pylist()[0]
+                if now != (key := (row["qb"], row["cg"], row["dim"])):
+                    if held:
+                        yield out()
+                    now, held = key, {}
+                if row["ids"] not in held:
+                    ids = np.frombuffer(row["ids"], np.int64)
+                    q = np.frombuffer(row["vectors"], np.float64).reshape(len(ids), row["dim"])
+                    held[row["ids"]] = (Block(ids, q), [hashlib.blake2b(x.tobytes(), digest_size=8).hexdigest() for x in q], Best(len(ids), k))
+                q, _, best = held[row["ids"]]
+                c_ids = np.frombuffer(row["c_ids"], np.int64)
+                compare(q, Block(c_ids, np.frombuffer(row["c"], np.float64).reshape(len(c_ids), row["dim"])), best)
+        if held:
+            yield out()
 
     best = met.mapInArrow(top, "query_id long, mark string, vec_id long, score long")
     order = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")

@@ -307,3 +307,29 @@ def test_warc_records_round_trip():
     assert payload == body and fields["WARC-Type"] == "response" and fields["X-Page-Id"] == "" and fields["WARC-Target-URI"] == ""
     with pytest.raises(ValueError):
         warc.parse(warc.record(1, "u", body, "0" * 64, None))
+
+
+def test_exact_scores_are_for_survivors_only():
+    rng = np.random.default_rng(16)
+    centres = np.cumsum(rng.normal(0, 30, (40, 64)), axis=1)
+    structured = np.floor(centres[rng.integers(0, 40, 3000)] + rng.normal(0, 2, (3000, 64)))
+    for values, most in ((structured, 0.05), (np.floor(256 * (r := rng.normal(0, 1, (3000, 64))) / np.linalg.norm(r, axis=1, keepdims=True)), 0.6)):
+        q, best, seen = topk.Block(np.arange(100), values[:100]), topk.Best(100, 5), collections.Counter()
+        for at in range(0, 3000, 1000):
+            topk.compare(q, topk.Block(np.arange(at, at + 1000), values[at : at + 1000]), best, seen)
+        scores = values[:100] @ values.T
+        scores[np.arange(100), np.arange(100)] = -np.inf
+        want = [sorted(((-int(s), i) for i, s in enumerate(row) if s > -np.inf))[:5] for row in scores]
+        assert [[(-s, v) for k, v, s in best.rows() if k == i] for i in range(100)] == want
+        assert seen["pairs"] == 300_000 and seen["scored"] <= most * seen["pairs"] and seen["after level 4"] >= seen["after level 16"] >= seen["after level 32"]
+
+
+def test_only_large_vectors_leave_doubles():
+    rng = np.random.default_rng(17)
+    x = np.floor(rng.normal(0, 40, (60, 8)))
+    x[5], x[6, 0], x[7] = 2.0**60, -(2.0**45), 0
+    got = topk.block_top(np.arange(9), x[:9], np.arange(60), x, 4)
+    for i in range(9):
+        score = lambda j: max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(x[i], x[j], strict=True))))
+        want = sorted(((-score(j), j) for j in range(60) if j != i))[:4]
+        assert [(-s, v) for k, v, s in got if k == i] == want
