@@ -2,25 +2,31 @@
 
 A text is cut where a rolling hash over its bytes says so; equal passages of different documents thus fall into equal
 chunks, and a worker encodes each chunk once.  Encoding chunk by chunk differs from encoding the whole text near the
-cuts, so every join is repaired: the span around a cut is encoded again, and it is widened, over whole chunks if need
-be, until both of its ends are positions where the encoding of the text and that of its parts agree.  Such a position
-is a blank between two visible characters (of a plain set): the pretokenizer always ends a piece before that blank
-and starts one with it, and merges never cross pieces.  Ids and decoded bytes are therefore exactly those of the
-tokenizer on the whole text.  A chunk that is not known is put together from its words in the same way, of which a
-second table is kept.
-
-Both tables of a worker are emptied when they exceed a fixed size; nothing is shuffled and no state outlives a task,
-so a lost executor costs only its own tasks.  A text that holds the text of an added token is encoded
-as a whole, since added tokens are found before pretokenization.
-
-Defined cases: a null text counts as empty (0 tokens); repeated rows give repeated results; other columns play no part.
+cuts, so every join is repaired: what lies around a cut is encoded again together with the next word of the chunk on
+either side, and the ids are compared: those words must come out with the ids that they have alone and inside of their
+chunks.  Until they do the join is widened, by whole chunks in which no place to compare is found, and to the whole
+text in the end.  A chunk's reusable inside begins and ends where the pretokenizer always parts: before a blank
+between two visible characters (of a plain set), and before the punctuation that follows a letter of scripts without
+blanks.  Merges never cross the pretokenizer's pieces, so ids that agree there agree for good.
+
+That holds for byte-level BPE with the byte-level pretokenizer's pattern and without a normalizer, which the
+tokenizer's file is checked for; under any other file texts are encoded as a whole.  So is a text that holds the text
+of an added token, since added tokens are found before pretokenization.
+
+The table of a worker is emptied when it exceeds a fixed size; nothing is shuffled and no state outlives a task, so a
+lost executor costs only its own tasks.
+
+Defined cases: a null text counts as empty (0 tokens); a text of any length is encoded to its end; repeated rows give
+repeated results; an empty table gives an empty one; other columns play no part.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -31,10 +37,8 @@ from pyspark.sql import functions as F
 MEAN, LEAST, MOST, WINDOW = 2048, 256, 16384, 24
 #: Bytes of text, ids and decoded text that a worker keeps for reuse.
 REUSE_BYTES = 48 << 20
-#: Words that a worker keeps.
-REUSE_WORDS = 300_000
 
-_SYNC = re.compile(r"(?<=[!-~À-ÖØ-öø-ÿ])(?= [!-~À-ÖØ-öø-ÿ])")
+_SYNC = re.compile(r"(?<=[!-~À-ÖØ-öø-ÿ])(?= [!-~À-ÖØ-öø-ÿ])|(?<=[ぁ-ゖァ-ヺ一-龥가-힣])(?=[、。，！？；：])")
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 
 
@@ -74,7 +78,7 @@ def pieces(text: str, **sizes: int) -> list[tuple[bool, str]]:
     for end in ends:
         chunk, start = raw[start:end].decode(), end
         first = _SYNC.search(chunk)
-        last = max((m.start() for m in _SYNC.finditer(chunk, max(0, len(chunk) - 256))), default=-1) if first else -1
+        last = _last(chunk) if first else -1
         if first is None or last <= first.start():
             pending += chunk  # no agreement inside this chunk: the join takes it whole
             continue
@@ -83,6 +87,45 @@ def pieces(text: str, **sizes: int) -> list[tuple[bool, str]]:
     return [p for p in [*out, (False, pending)] if p[1]]
 
 
+def parts_at_blanks(spec: dict) -> bool:
+    """Whether a tokenizer's file is of the kind for which encodings agree at the places of _SYNC."""
+    before, after, model = spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}, spec.get("model") or {}
+    return (model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix")) and not spec.get("normalizer")
+            and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and after.get("type") == "ByteLevel")
+
+
+def ends(inside: str) -> tuple[str, str]:
+    """The first and the last word of a chunk's inside."""
+    first = _SYNC.search(inside, 1)
+    if first is None:
+        return inside, inside
+    return inside[: first.start()], inside[_last(inside) :]
+
+
+def _last(text: str) -> int:
+    """The last place of _SYNC, sought from the end; -1 without any."""
+    reach = 64
+    while True:
+        start = max(0, len(text) - reach)
+        at = [m.start() for m in _SYNC.finditer(text, start)]
+        if at or not start:
+            return at[-1] if at else -1
+        reach *= 8
+
+
+@dataclass(frozen=True)
+class Coded:
+    """An encoded stretch: number of ids, ids as text, decoded text; of an inside also the ids of its first and last word,
+    None if they are not what it begins and ends with."""
+
+    n: int
+    ids: bytes
+    back: bytes
+    first: list[int] | None = None
+    last: list[int] | None = None
+    words: tuple[str, str] = ("", "")
+
+
 class Codec:
     """A tokenizer with its reuse table."""
 
@@ -92,56 +135,81 @@ class Codec:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.in_chunks = parts_at_blanks(json.loads(spec))
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.digits = [str(i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
-        self.known: dict[str, tuple[int, bytes, bytes]] = {}
-        self.words: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str, Coded] = {}
         self.held = 0
-        self.encoded = self.reused = 0
+        #: Chunks encoded and taken from the table, joins encoded, texts that had to be encoded as a whole.
+        self.encoded = self.reused = self.joins = self.whole = 0
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _library(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _coded(self, ids: list[list[int]]) -> list[Coded]:
         back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-        return [(len(i), ",".join(map(self.digits.__getitem__, i)), b) for i, b in zip(ids, back, strict=True)]
-
-    def _encode(self, texts: list[str]) -> list[tuple[int, bytes, bytes]]:
-        parts = [[t] if any(a in t for a in self.added) else _SYNC.split(t) for t in texts]
-        if len(self.words) > REUSE_WORDS:
-            self.words = {}
-        if new := list({w for p in parts for w in p} - self.words.keys()):
-            self.words.update(zip(new, self._library(new), strict=True))
-        out = []
-        for p in parts:
-            got = [self.words[w] for w in p]
-            out.append((sum([g[0] for g in got]), ",".join([g[1] for g in got if g[0]]).encode(), "".join([g[2] for g in got]).encode()))
+        return [Coded(len(i), ",".join([self.digits[k] for k in i]).encode(), b.encode()) for i, b in zip(ids, back, strict=True)]
+
+    def _insides(self, texts: list[str]) -> dict[str, Coded]:
+        words = [ends(t) for t in texts]
+        ids, edge = self._ids(texts), self._ids([w for pair in words for w in pair])
+        out = {}
+        for t, i, w, first, last, c in zip(texts, ids, words, edge[::2], edge[1::2], self._coded(ids), strict=True):
+            agrees = i[: len(first)] == first and i[len(i) - len(last) :] == last
+            out[t] = replace(c, first=first if agrees else None, last=last if agrees else None, words=w)
         return out
 
     def run(self, texts: list[str], **sizes: int) -> list[tuple[int, str, str]]:
         """(number of ids, SHA-256 of the ids, SHA-256 of the decoded text) of each text."""
-        plans = [[(False, t)] if any(a in t for a in self.added) else pieces(t, **sizes) for t in texts]
-        new = list(dict.fromkeys(p for plan in plans for inside, p in plan if not inside or p not in self.known))
-        fresh = dict(zip(new, self._encode(new), strict=True))
-        out = []
+        plans = [pieces(t, **sizes) if self.in_chunks and not any(a in t for a in self.added) else [(False, t)] for t in texts]
+        insides = list(dict.fromkeys(p for plan in plans for inside, p in plan if inside))
+        new = self._insides([p for p in insides if p not in self.known])
+        self.encoded += len(new)
+        known = {p: new.get(p) or self.known[p] for p in insides}
+        # The joins with a word of either neighbour.
+        around: list[tuple[list[int], list[int]] | None] = []
+        asked: list[str] = []
+        for plan in plans:
+            for k, (inside, p) in enumerate(plan):
+                if inside:
+                    continue
+                left, right = known[plan[k - 1][1]] if k else None, known[plan[k + 1][1]] if k + 1 < len(plan) else None
+                first, last = left.last if left else [], right.first if right else []
+                around.append(None if first is None or last is None else (first, last))
+                asked.append((left.words[1] if left else "") + p + (right.words[0] if right else ""))
+        joined: list[list[int] | None] = []
+        for ids, side in zip(self._ids(asked), around, strict=True):
+            before, after = side or ([], [])
+            end = len(ids) - len(after)
+            agrees = side is not None and end >= len(before) and ids[: len(before)] == before and ids[end:] == after
+            joined.append(ids[len(before) : end] if agrees else None)
+        self.joins += len(joined)
+        joins = iter(zip(joined, self._coded([i or [] for i in joined]), strict=True))
+        out: list[tuple[int, str, str] | None] = []
         for plan in plans:
-            n, ids, back = 0, hashlib.sha256(), hashlib.sha256()
+            n, ids, back, agrees = 0, hashlib.sha256(), hashlib.sha256(), True
             for inside, p in plan:
-                if (got := fresh.get(p)) is None:
-                    got = self.known[p]
-                    self.reused += 1
-                if n and got[0]:
+                if inside:
+                    got = known[p]
+                    self.reused += p not in new
+                else:
+                    found, got = next(joins)
+                    agrees = agrees and found is not None
+                if n and got.n:
                     ids.update(b",")
-                n += got[0]
-                ids.update(got[1])
-                back.update(got[2])
-            out.append((n, ids.hexdigest(), back.hexdigest()))
-        self.encoded += len(new)
-        insides = {p for plan in plans for inside, p in plan if inside}
+                n += got.n
+                ids.update(got.ids)
+                back.update(got.back)
+            out.append((n, ids.hexdigest(), back.hexdigest()) if agrees else None)
+        if wide := [i for i, o in enumerate(out) if o is None]:
+            self.whole += len(wide)
+            for i, c in zip(wide, self._coded(self._ids([texts[i] for i in wide])), strict=True):
+                out[i] = (c.n, hashlib.sha256(c.ids).hexdigest(), hashlib.sha256(c.back).hexdigest())
         if self.held > REUSE_BYTES:
             self.known, self.held = {}, 0
-        for p, got in fresh.items():
-            if p in insides:
-                self.known[p] = got
-                self.held += 2 * len(p) + len(got[1]) + len(got[2])
+        for p, got in new.items():
+            self.known[p] = got
+            self.held += 2 * len(p) + len(got.ids) + len(got.back) + 1000
         return out
 
 
@@ -176,5 +244,6 @@ def encode_documents(docs: DataFrame, spec_path: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     names = [c for c in docs.columns if c.lower() not in ("n_tokens", "ids_sha256", "decoded_sha256")]
-    coded = docs.select(*(F.col(f"`{c}`") for c in names), encode(F.col("text").cast("string")).alias("__coded"))
-    return coded.select(*(F.col(f"`{c}`") for c in names), "__coded.n_tokens", "__coded.ids_sha256", "__coded.decoded_sha256")
+    # The row is packed, so that no column's name can clash.
+    coded = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), encode(F.col("text").cast("string")).alias("coded"))
+    return coded.select(*(F.col("row")[c].alias(c) for c in names), "coded.n_tokens", "coded.ids_sha256", "coded.decoded_sha256")

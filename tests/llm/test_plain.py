@@ -1,6 +1,7 @@
 """The operators' inner parts against brute force, without Spark."""
 
 import collections
+import dataclasses
 import hashlib
 import random
 
@@ -130,6 +131,29 @@ def test_codec_reuses_shared_chunks(codec):
     assert codec.reused > before
 
 
+def test_joins_are_compared_and_other_tokenizers_encode_whole(codec):
+    import json
+
+    import public_tokenizers
+
+    rng = random.Random(18)
+    texts = [text(rng, 3000), "今天天气很好，我们去公园。" * 300, "x" * 30000, text(rng, 500)]
+    joins, whole = codec.joins, codec.whole
+    codec.run(texts)
+    assert codec.joins - joins > 10 and codec.whole == whole
+    # A word that a neighbour changes: the ids disagree and the text is encoded as a whole.
+    spoiled = tokens.Codec(codec.tokenizer.to_str())
+    spoiled._insides = lambda new: {t: dataclasses.replace(c, first=[1]) for t, c in tokens.Codec._insides(spoiled, new).items()}
+    assert spoiled.run(texts) == codec.run(texts) and spoiled.whole >= 2
+    for name, fits in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        with open(public_tokenizers.path(name), encoding="utf-8") as f:
+            spec = f.read()
+        assert tokens.parts_at_blanks(json.loads(spec)) is fits
+        other = tokens.Codec(spec)
+        want = [other.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [(n, i) for n, i, _ in other.run(texts)] == [(len(i), hashlib.sha256(",".join(map(str, i)).encode()).hexdigest()) for i in want]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.binary(max_size=3000))
 def test_cuts_are_whole_and_bounded(raw):
