@@ -7,20 +7,25 @@ lie earlier in the text give its longest previous factor.  To do so on many mach
 1. Every string of `length` bytes has a smallest hash among its runs of GRAM bytes.  Neighbouring places with the same
    smallest hash make a chunk.  Equal strings have equal smallest hashes, so only chunks of one key need to be sorted
    together, and a key of one chunk, in which that hash occurs once, has no repeats at all.
-2. Chunks of equal bytes repeat as a whole; this is found by their fingerprints alone, and aggregated before the
-   shuffle.  Only chunks that share their key but not their bytes are fetched as text, one of each kind.
+2. Chunks of equal bytes repeat as a whole; this is found by their key and a second, independent hash of their bytes,
+   and aggregated before the shuffle.  Only chunks that share their key but not their bytes are fetched as text, one of
+   each kind.
 3. Those are dealt out by key and, where a key has more than KINDS kinds of chunk, also by how far each string starts
-   before its smallest hash (and, beyond as many parts as there are such distances, by its fingerprint), which is the
-   same for equal strings; so a task holds a bounded number of strings.  There they are put into suffix order; longest
-   previous factors (and, for removal of all copies, next ones) come from the previous and next smaller places.
+   before its smallest hash, which is the same for equal strings; a part gets only the bytes of its own strings.  There
+   the places are put into suffix order with their common prefixes (up to `length`, as longer ones decide nothing), and
+   the longest previous and next factors come from the previous and next smaller places: a string repeats if a factor
+   reaches `length`.  Places whose rolling hash is alone in the part have no such factor and stay out of the order.
+4. A key of more than KINDS * PARTS kinds is too much for that: of its strings only two independent hashes, of 128 bits
+   together, are shuffled, and counted.  So no task holds more than a fixed number of strings, whatever a key's size.
 
 Equal texts are one text with a count; what holds for it holds for all of its rows.  With keep="none" every byte goes
 that lies in a string found elsewhere; with keep="first" the first place of each string, in the order of the texts'
 digests and places, stays.
 
-Defined cases: a null text counts as empty; texts shorter than `length` lose nothing; with keep="none" equal texts of
-at least `length` bytes lose everything, with keep="first" the row with the smallest doc_id counts as the first; what
-remains is cut at bytes, so it need not be UTF-8; other columns play no part; an empty table gives an empty one.
+Defined cases: a null text counts as empty; texts shorter than `length` lose nothing; a text of any length is read to
+its end; with keep="none" equal texts of at least `length` bytes lose everything, with keep="first" the row with the
+smallest doc_id counts as the first; what remains is cut at bytes, so it need not be UTF-8; other columns play no part;
+an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -35,11 +40,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.functions.lineage import durable
-from lumenlake.llm.bytewords import _BYTES, _VALUE, prefix, span
+from lumenlake.llm.bytewords import _BYTES, _VALUE, Powers, prefix, span
 from lumenlake.llm.jaccard import _groups
 
-#: Bytes of a string, bytes of the runs hashed for its key, most places of a chunk, kinds of chunk sorted together.
-LENGTH, GRAM, MOST, KINDS = 400, 48, 512, 512
+#: Bytes of a string, bytes of the runs hashed for its key, most places of a chunk, kinds of chunk sorted together, and
+#: most parts of a key.
+LENGTH, GRAM, MOST, KINDS, PARTS = 400, 48, 512, 512, 16
+_OTHER_BYTES, _OTHER_VALUE = Powers(0x9FB21C651E98DF25), np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
 def window_minima(x: np.ndarray, n: int) -> np.ndarray:
@@ -69,7 +76,9 @@ def chunks(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, .
     start = np.flatnonzero(fresh | (since % MOST == 0))
     places = np.diff(np.concatenate([start, [len(i)]]))
     first = i[start]
-    print_ = span(sums, first, first + places - 1 + length, _BYTES) + places.astype(np.uint64)
+    raw = data.tobytes()
+    prints = [hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(first.tolist(), (first + places - 1 + length).tolist(), strict=True)]
+    print_ = np.frombuffer(b"".join(prints), np.uint64)
     # Its leftmost place in the first string and its rightmost one in the last: one place, unless it recurs.
     view = np.lib.stride_tricks.sliding_window_view(grams, width)
     last = first + places - 1
@@ -101,43 +110,62 @@ def longest_factors(order: list[int], lcp: list[int]) -> tuple[list[int], list[i
     return passes(True), passes(False)
 
 
-def repeated_strings(kinds: list[tuple[bytes, int]], length: int, key: int = 0, part: int = 0, parts: int = 1) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Of chunks (bytes, places) of one key: whether each place's string occurs (anywhere else, further up) among them.
-
-    Only strings of the part are looked at.
-    """
+def suffix_order(data: np.ndarray, place: np.ndarray, length: int) -> tuple[list[int], list[int]]:
+    """(places, by number, in the order of the `length` bytes that start there; common prefix of each with the one before)."""
+    raw = data.tobytes()
+    strings = [raw[p : p + length] for p in place.tolist()]
+    order = sorted(range(len(strings)), key=strings.__getitem__)
+    lcp = [0] * len(order)
+    view, sorted_ = np.lib.stride_tricks.sliding_window_view(data, length), place[order]
+    for at in range(1, len(order), 4096):
+        differ = view[sorted_[at : at + 4096]] != view[sorted_[at - 1 : at - 1 + len(sorted_[at : at + 4096])]]
+        first = differ.argmax(1)
+        lcp[at : at + len(first)] = np.where(differ[np.arange(len(first)), first], first, length).tolist()
+    return order, lcp
+
+
+def repeated_strings(kinds: list[tuple[bytes, int]], length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of chunks (bytes, places) of one key: whether each place's string occurs (anywhere else, further up) among them."""
     data = np.frombuffer(b"".join(b for b, _ in kinds), np.uint8)
     at = np.concatenate([[0], np.cumsum([len(b) for b, _ in kinds])])
-    sums = prefix(_VALUE[data], _BYTES)
     place = np.concatenate([a + np.arange(n) for a, (_, n) in zip(at, kinds, strict=False)]).astype(np.int64)
-    own = np.arange(len(place))
-    if parts > 1:
-        gram = min(GRAM, length)
-        width = length - gram + 1
-        k = np.arange(len(data) - gram + 1)
-        smallest = np.flatnonzero(span(sums, k, k + gram, _BYTES) == np.uint64(key % (1 << 64)))
-        before = smallest[np.searchsorted(smallest, place)] - place
-        near = min(parts, width)
-        own = np.flatnonzero(before * near // width == part % near)
-    prints = span(sums, place[own], place[own] + length, _BYTES)
-    if parts > 1 and -(-parts // near) > 1:
-        mine = prints % np.uint64(-(-parts // near)) == part // near
-        own, prints = own[mine], prints[mine]
-    # A string whose fingerprint is alone has no equal; the others are put into suffix order and compared.
+    # A string whose rolling hash is alone has no equal; the others are put into suffix order.
+    prints = span(prefix(_VALUE[data], _BYTES), place, place + length, _BYTES)
     _, back, count = np.unique(prints, return_inverse=True, return_counts=True)
-    own = own[count[back] > 1]
-    raw = data.tobytes()
-    strings = [raw[p : p + length] for p in place[own].tolist()]
-    order = sorted(range(len(own)), key=strings.__getitem__)
-    lcp = [0] + [length if strings[a] == strings[b] else 0 for a, b in zip(order, order[1:], strict=False)]
-    before_, after = longest_factors(order, lcp)
+    own = np.flatnonzero(count[back] > 1)
     earlier, other = np.zeros(len(place), bool), np.zeros(len(place), bool)
-    earlier[own] = np.array(before_, np.int64) >= length if len(own) else False
-    other[own] = np.maximum(before_, after) >= length if len(own) else False
+    if len(own):
+        before, after = longest_factors(*suffix_order(data, place[own], length))
+        earlier[own] = np.array(before, np.int64) >= length
+        other[own] = np.maximum(before, after) >= length
     ends = np.cumsum([n for _, n in kinds])[:-1]
     return np.split(other, ends), np.split(earlier, ends)
 
 
+def distances(body: np.ndarray, places: int, key: int, length: int) -> np.ndarray:
+    """How far before the next place of its smallest hash (the key) each string of a chunk starts."""
+    gram = min(GRAM, length)
+    k = np.arange(len(body) - gram + 1)
+    smallest = np.flatnonzero(span(prefix(_VALUE[body], _BYTES), k, k + gram, _BYTES) == np.uint64(key % (1 << 64)))
+    return smallest[np.searchsorted(smallest, np.arange(places))] - np.arange(places)
+
+
+def parts_of(kinds: int, length: int) -> int:
+    """Into how many parts the strings of a key are dealt; 0 if they are counted by their hashes."""
+    needed = -(-kinds // KINDS)
+    return 0 if needed > min(PARTS, length - min(GRAM, length) + 1) else needed
+
+
+def dealt(body: bytes, places: int, key: int, kinds: int, length: int) -> list[tuple[int, int, int, bytes]]:
+    """(part, first place, places, bytes) of what the parts of a key get of a chunk: stretches of strings of one part."""
+    parts = parts_of(kinds, length)
+    if parts == 1:
+        return [(0, 0, places, body)]
+    part = distances(np.frombuffer(body, np.uint8), places, key, length) * parts // (length - min(GRAM, length) + 1)
+    at = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), places]
+    return [(int(part[a]), a, b - a, body[a : b - 1 + length]) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def _chunk_rows(texts: DataFrame, length: int) -> DataFrame:
     """tid, key, start, places, print and recurs of all chunks of texts(tid, body)."""
 
@@ -161,21 +189,47 @@ def _bounded(bodies: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, li
             first, size = i + 1, 0
 
 
+def _batch(rows: list[tuple], names: list[str], types: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+
+
 def _fetch(length: int):
-    """From texts with their wanted chunks (tid, body, wanted): the chunks with their bytes."""
+    """From texts with their wanted chunks (tid, body, wanted): what the parts of their keys get of them."""
+    names, types = ["key", "part", "multiple", "tid", "start", "places", "bytes"], (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
 
     def fetch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            rows = [(w["key"], w["kinds"], w["multiple"], tid, w["start"], w["places"], body[w["start"] : w["start"] + w["places"] - 1 + length])
-                    for tid, body, wanted in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True) for w in wanted]
-            types = (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["key", "kinds", "multiple", "tid", "start", "places", "bytes"])
+            rows, size = [], 0
+            for tid, body, wanted in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+                for w in wanted:
+                    chunk = body[w["start"] : w["start"] + w["places"] - 1 + length]
+                    for p, first, places, piece in dealt(chunk, w["places"], w["key"], w["kinds"], length):
+                        rows.append((w["key"], p, w["multiple"], tid, w["start"] + first, places, piece))
+                        size += len(piece)
+                if size > 1 << 22:
+                    yield _batch(rows, names, types)
+                    rows, size = [], 0
+            yield _batch(rows, names, types)
 
     return fetch
 
 
+def _strings(length: int):
+    """From texts with their wanted chunks: two hashes of every string, with its place."""
+
+    def strings(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for tid, body, wanted in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+                place = np.unique(np.concatenate([np.arange(w["start"], w["start"] + w["places"]) for w in wanted]))
+                data = np.frombuffer(body, np.uint8)
+                h = [span(prefix(v[data], powers), place, place + length, powers).view(np.int64) for v, powers in ((_VALUE, _BYTES), (_OTHER_VALUE, _OTHER_BYTES))]
+                yield pa.RecordBatch.from_arrays([pa.array(h[0]), pa.array(h[1]), pa.array([tid] * len(place), pa.binary()), pa.array(place, pa.int64())], ["h", "g", "tid", "start"])
+
+    return strings
+
+
 def _sort(length: int, keep: str):
-    """Of chunks of one key (key, part, parts, multiple, tid, start, places, bytes): the runs of repeated strings."""
+    """Of what a part gets (key, part, multiple, tid, start, places, bytes): the runs of repeated strings."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[bytes, int, int]] = []
@@ -183,7 +237,7 @@ def _sort(length: int, keep: str):
             rows = group.to_pylist()
             # The order of the texts' digests and places is the order of the text that keep="first" goes by.
             rows.sort(key=lambda r: (r["tid"], r["start"]))
-            other, earlier = repeated_strings([(r["bytes"], r["places"]) for r in rows], length, rows[0]["key"], rows[0]["part"], rows[0]["parts"])
+            other, earlier = repeated_strings([(r["bytes"], r["places"]) for r in rows], length)
             for r, found in zip(rows, other if keep == "none" else earlier, strict=True):
                 if r["multiple"] and keep == "none":
                     continue  # already known to repeat as a whole
@@ -237,16 +291,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "none") ->
     chosen = (again.where("not one_kind").groupBy("key", "print").agg(F.min(F.struct("tid", "start", "places")).alias("at"), F.min("place").alias("a"), F.max("place").alias("b"))
               .join(per_key, "key")
               .select(F.col("at.tid").alias("tid"), F.struct("key", "kinds", (F.col("a") != F.col("b")).alias("multiple"), F.col("at.start").alias("start"), F.col("at.places").alias("places")).alias("w")))
-    wanted = chosen.groupBy("tid").agg(F.collect_list("w").alias("wanted"))
-    fetched = texts.select("tid", "body").join(wanted, "tid").select("tid", "body", "wanted").mapInArrow(_fetch(length), "key long, kinds long, multiple boolean, tid binary, start long, places long, bytes binary")
-    width = length - min(GRAM, length) + 1
-    needed = F.ceil(F.col("kinds") / KINDS).cast("int")
-    parts = F.when(needed > width, F.ceil(needed / width).cast("int") * width).otherwise(needed)
-    dealt = (fetched.withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-             .select("key", "part", "parts", "multiple", "tid", "start", "places", "bytes").repartition("key", "part").sortWithinPartitions("key", "part"))
-    sorted_ = dealt.mapInArrow(_sort(length, keep), "tid binary, start long, places long")
-    runs = (whole.select("tid", "start", "places").unionByName(sorted_)
-            .groupBy("tid").agg(F.collect_set(F.struct("start", "places")).alias("runs")))
+    few = F.col("w.kinds") <= KINDS * min(PARTS, length - min(GRAM, length) + 1)
+    collected = lambda rows: texts.select("tid", "body").join(rows.groupBy("tid").agg(F.collect_list("w").alias("wanted")), "tid").select("tid", "body", "wanted")
+    shares = (collected(chosen.where(few)).mapInArrow(_fetch(length), "key long, part long, multiple boolean, tid binary, start long, places long, bytes binary")
+              .repartition("key", "part").sortWithinPartitions("key", "part"))
+    repeated = whole.select("tid", "start", "places").unionByName(shares.mapInArrow(_sort(length, keep), "tid binary, start long, places long"))
+    if not chosen.where(~few).isEmpty():
+        strings = durable(collected(chosen.where(~few)).mapInArrow(_strings(length), "h long, g long, tid binary, start long"))
+        twice = strings.groupBy("h", "g").agg(F.min(F.struct("tid", "start")).alias("head"), F.count("*").alias("n")).where("n > 1")
+        found = strings.join(durable(twice.select("h", "g", "head")), ["h", "g"])
+        if keep == "first":
+            found = found.where(F.struct("tid", "start") != F.col("head"))
+        repeated = repeated.unionByName(found.select("tid", "start", F.lit(1).cast("long").alias("places")))
+    runs = repeated.groupBy("tid").agg(F.collect_set(F.struct("start", "places")).alias("runs"))
     return texts.join(runs, "tid", "left").select("tid", "body", "copies", "runs"), rows.select("doc_id", "tid")
 
 

@@ -240,6 +240,34 @@ def test_chunks_bring_equal_strings_together(texts, seed):
             assert found[0][3]  # repeats inside one chunk are announced
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2), min_size=12, max_size=60))
+def test_suffix_order_has_true_common_prefixes(values):
+    data, n = np.array(values, np.uint8), 10
+    place = np.arange(len(data) - n + 1)
+    order, lcp = lpf.suffix_order(data, place, n)
+    strings = [bytes(values[p : p + n]) for p in range(len(place))]
+    assert order == sorted(range(len(place)), key=strings.__getitem__)
+    common = lambda a, b: next((k for k in range(n) if a[k] != b[k]), n)
+    assert lcp == [0] + [common(strings[a], strings[b]) for a, b in zip(order, order[1:], strict=False)]
+
+
+def test_a_part_of_a_key_is_bounded():
+    """Of a key with many kinds a part gets the bytes of its own strings only, and beyond a number of kinds none."""
+    rng = random.Random(19)
+    body = np.frombuffer(text(rng, 400)[:1500].encode(), np.uint8)
+    width = lpf.LENGTH - lpf.GRAM + 1
+    for _, key, first, places, _, _ in [tuple(x[k] for x in lpf.chunks(body, np.array([0, len(body)]), lpf.LENGTH)) for k in range(3)]:
+        chunk = body[first : first + places - 1 + lpf.LENGTH].tobytes()
+        for kinds in (1, 512, 513, 4000, 512 * lpf.PARTS):
+            parts, got = lpf.parts_of(kinds, lpf.LENGTH), lpf.dealt(chunk, int(places), int(key), kinds, lpf.LENGTH)
+            assert sorted(p for _, a, n, _ in got for p in range(a, a + n)) == list(range(places))
+            assert all(piece == chunk[a : a + n - 1 + lpf.LENGTH] for _, a, n, piece in got)
+            assert max(n for _, _, n, _ in got) <= -(-width // parts) and kinds * -(-width // parts) <= 1.05 * lpf.KINDS * width + kinds
+            assert sum(len(piece) for *_, piece in got) <= len(chunk) + (parts + 1) * lpf.LENGTH
+    assert lpf.parts_of(512 * lpf.PARTS + 1, lpf.LENGTH) == 0 and lpf.parts_of(100_000, lpf.LENGTH) == 0
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 40), min_size=1, max_size=50), st.integers(1, 9))
 def test_window_minima(values, n):

@@ -127,6 +127,20 @@ def test_lpf_splits_hot_keys(spark, monkeypatch):
     assert got == dict(enumerate(brute_removal(texts, 64)))
 
 
+def test_lpf_counts_the_strings_of_very_hot_keys(spark, monkeypatch):
+    """A key of more kinds than its parts can hold is decided by two hashes of each string."""
+    monkeypatch.setattr(lpf, "KINDS", 2)
+    monkeypatch.setattr(lpf, "PARTS", 3)
+    rng = random.Random(13)
+    core = words(rng, 40)
+    texts = [words(rng, 3) + core[rng.randint(0, 30) : len(core) - rng.randint(0, 30)] + words(rng, 3) for _ in range(40)]
+    got = {r.doc_id: bytes(r.kept) for r in lpf.remove_repeats(frame(spark, texts), length=64).collect()}
+    assert got == dict(enumerate(brute_removal(texts, 64)))
+    order = sorted(range(len(texts)), key=lambda i: hashlib.md5(texts[i].encode()).digest())
+    got = {r.doc_id: bytes(r.kept) for r in lpf.remove_repeats(frame(spark, texts), length=64, keep="first").collect()}
+    assert got == dict(enumerate(brute_removal(texts, 64, order)))
+
+
 def test_lpf_odd_tables(spark, odd, empty):
     got = rows(lpf.remove_repeats(odd), "doc_id", "n_bytes", "n_removed")
     assert (7, 3000, 3000) in got and (0, 0, 0) in got and (None, 0, 0) in got and len(got) == 10
