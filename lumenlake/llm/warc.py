@@ -143,7 +143,7 @@ def _sortable(key: str, page_id: int | None) -> tuple[bytes, int]:
 def build_index(captures: DataFrame, folder: str) -> DataFrame:
     """Writes the index shards below folder; returns the directory: shard, key, page_id, start, length of each block."""
     keyed = captures.withColumn("page", F.coalesce("page_id", F.lit(_LOWEST)))
-    ordered = keyed.repartitionByRange("key", "page").sortWithinPartitions("key", "page", "file", "start").select("key", "page", "file", "start", "length")
+    ordered = keyed.repartitionByRange("key", "page", "file", "start").sortWithinPartitions("key", "page", "file", "start").select("key", "page", "file", "start", "length")
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = _filesystem(folder)
@@ -179,6 +179,9 @@ class Shard:
         self.firsts = [_sortable(b[0], b[1]) for b in self.directory]
         self.block, self.lines, self.keys = -1, [], []
 
+    def close(self) -> None:
+        self.file.close()
+
     def _open(self, block: int) -> None:
         if block != self.block:
             _, _, start, length = self.directory[block]
@@ -235,6 +238,8 @@ def look_up(wanted: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
             found = []
             for number, kind, key, page, start, length in zip(*(part.column(i).to_pylist() for i in range(6)), strict=True):
                 if number != now:
+                    if shard is not None:
+                        shard.close()
                     now, blocks, shard = number, [], None
                 if kind == 0:
                     blocks.append((key, page, start, length))
@@ -243,6 +248,8 @@ def look_up(wanted: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
                     shard = Shard(fs, f"{top}/{shards[number]}", blocks)
                 found += [(None if page == _LOWEST else page, *place) for place in shard.find(key, page)]
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["page_id", "file", "start", "length"])
+        if shard is not None:
+            shard.close()
 
     # A shard's directory, then the keys asked of it in order.
     return both.repartition("shard").sortWithinPartitions("shard", "kind", "key", "page").mapInArrow(resolve, "page_id long, file string, start long, length long")
@@ -258,6 +265,8 @@ def read_records(places: DataFrame, folder: str) -> DataFrame:
             rows = []
             for file_name, start, length in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                 if file_name != name:
+                    if file is not None:
+                        file.close()
                     name, file, buffer, base = file_name, fs.open_input_file(f"{top}/{file_name}"), b"", 0
                 if not base <= start <= start + length <= base + len(buffer):
                     file.seek(start)
@@ -269,6 +278,8 @@ def read_records(places: DataFrame, folder: str) -> DataFrame:
                 pa.array(page, pa.int64()), pa.array([int(f["X-Payload-Length"]) for f, _ in rows], pa.int64()), pa.array([f["WARC-Payload-Digest"][7:] for f, _ in rows], pa.string()),
                 pa.array([f["WARC-Type"] for f, _ in rows], pa.string()), pa.array(refers, pa.int64()), pa.array([f["WARC-Target-URI"] for f, _ in rows], pa.string())],
                 ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
+        if file is not None:
+            file.close()
 
     stretch = F.floor(F.col("start") / (64 << 20))  # archives are dealt out in stretches, so a long one does not hold up a task
     ordered = places.select("file", "start", "length").repartition("file", stretch).sortWithinPartitions("file", "start")
