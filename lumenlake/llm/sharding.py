@@ -7,7 +7,8 @@ shard into a region of its own: every other weight stays, so rows move into the
 
 The law is `key`: the key and the tree decide, nothing else does.  Skew cannot arise from equal texts or a hot
 source, as neither is part of the key.  Slots are numbered per (shard, sub-bucket), sub-buckets being hashed from
-the key, and shifted by the counts of the sub-buckets before; no task needs a whole shard.
+the key and the text's CRC, and shifted by the counts of the sub-buckets before; no task needs a whole shard, nor all
+texts of a key that a third of the rows share.
 
 Defined cases: a null key is hashed as the word null; a null text has size 1 and CRC 0; equal keys share a shard and
 get different slots; other columns, whatever their names, play no part; an empty table gives an empty table.
@@ -84,7 +85,8 @@ def shard_rows(docs: DataFrame, root: Node = EIGHT, new_shard: int | None = 8) -
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     body = text_bytes(F.col("text"))
-    placed = (F.coalesce(descend(key, root), F.lit(0)).cast("int").alias("shard"), (_bits(key, "slot", 8) % SUB_BUCKETS).cast("int").alias("sub"))
+    spread = F.concat(key, F.lit(":"), F.crc32(body).cast("string"))
+    placed = (F.coalesce(descend(key, root), F.lit(0)).cast("int").alias("shard"), (_bits(spread, "slot", 8) % SUB_BUCKETS).cast("int").alias("sub"))
     rows = docs.select(
         F.col("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), *placed,
         (F.coalesce(descend(key, grown(root, new_shard)), F.lit(0)) if new_shard is not None else F.lit(None)).cast("int").alias("grown_shard"))
@@ -124,14 +126,14 @@ def oracle_sql() -> str:
     return f"""{_CRC_SQL}, keyed AS (
   SELECT doc_id, coalesce(doc_id::VARCHAR, 'null') AS k, coalesce(text, '') AS body FROM documents),
 placed AS (
-  SELECT doc_id, strlen(body) + 1 AS size,
+  SELECT doc_id, k, strlen(body) + 1 AS size,
     xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT,
       list_transform(regexp_extract_all(hex(encode(body)), '..'), lambda x: ('0x' || x)::BIGINT)),
       lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS text_crc32,
-    ({descend_sql(EIGHT)})::INTEGER AS shard, ({descend_sql(grown(EIGHT, 8))})::INTEGER AS grown_shard,
-    (('0x' || substr(md5(k || ':slot'), 1, 8))::BIGINT % {SUB_BUCKETS}) AS sub
-  FROM keyed, crc_table)
+    ({descend_sql(EIGHT)})::INTEGER AS shard, ({descend_sql(grown(EIGHT, 8))})::INTEGER AS grown_shard
+  FROM keyed, crc_table),
+spread AS (SELECT *, (('0x' || substr(md5(k || ':' || text_crc32 || ':slot'), 1, 8))::BIGINT % {SUB_BUCKETS}) AS sub FROM placed)
 SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard,
   row_number() OVER (PARTITION BY shard ORDER BY sub, doc_id, size, text_crc32) - 1 AS slot, grown_shard
-FROM placed
+FROM spread
 """
