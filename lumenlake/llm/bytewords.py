@@ -71,7 +71,7 @@ class Powers:
             self.down = np.concatenate([self.down, self.down * U(pow(self.inverse, k, 1 << 64))])
 
 
-_BYTES, _WORDS = Powers(), Powers(0xD1342543DE82EF95)
+_BYTES, _WORDS, _CHECKS = Powers(), Powers(0xD1342543DE82EF95), Powers(0xA0761D6478BD642F)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -122,6 +122,7 @@ class Batch:
         sums = prefix(_VALUE[low], _BYTES)
         self.word = span(sums, self.start, self.end, _BYTES)
         self._sums: np.ndarray | None = None
+        self._others: np.ndarray | None = None
 
     def runs(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of runs of words, by their first word and the word after the last; the length is part of it."""
@@ -129,6 +130,12 @@ class Batch:
             self._sums = prefix(self.word, _WORDS)
         return mix(span(self._sums, start, end, _WORDS) + (end - start).astype(np.uint64))
 
+    def checks(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Second hashes of runs of words, of 32 bits, independent of the first ones."""
+        if self._others is None:
+            self._others = prefix(mix(~self.word), _CHECKS)
+        return span(self._others, start, end, _CHECKS) >> U(32)
+
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(first word, hash) of every run of n words that lies in one text."""
         if len(self.word) < n:

@@ -2,7 +2,7 @@
 
 From every sentence of a text the shortest run of sentences that has at least `least_sentences` of them and
 `least_words` words is hashed, and so is the shortest one up to every sentence, so that a repeated passage is covered
-to both its ends.  Equal runs meet in a join over all documents; the first one, by doc_id and then by
+to both its ends.  Equal runs meet in a join over all documents; the first one, by doc_id, text and then by
 place, stays, and every word that another one covers is removed from its text.  Words are compared without case
 and punctuation.  A sentence ends at a line's end or at one of . ! ? before white space; a sentence of more than
 LONG words is also cut at words that their hash picks.
@@ -12,15 +12,18 @@ are hashed as well wherever they start, if their hash is the least of PICK start
 alone: two stretches of GRAM + PICK - 1 equal words have a run in common, and runs follow each other without a gap.
 Of a passage that ends inside a sentence up to PICK - 1 words may stay at that end.
 
-Runs are aggregated before the shuffle to the smallest and greatest doc_id of each hash, so a passage that a third of
-all documents share is one row per task; the join that brings the runs to their first place is one that Spark can
-split where a hash is frequent.  Only texts that are cut are shuffled, once, by document: the others are told by a
-Bloom filter of fixed size, and what it lets pass in excess is joined with nothing.
-
-Defined cases: null texts stay null and empty ones empty; a text of which all is removed becomes empty; equal rows
-(same doc_id and text) count as one and are treated alike; different texts of one doc_id do not remove from each
-other, but those without a doc_id do, in the order of their hashes; a run of words that overlaps its first place in the text is no copy of it; a null doc_id counts as the smallest; all other columns are passed on, whatever their names; an empty table
-gives an empty table.
+Runs are known by 64 and 32 bits of two independent hashes.  They are aggregated before the shuffle to the first and
+last (doc_id, text) of each, so a passage that a third of all documents share is one row per task.  Runs that occur
+once are told by a Bloom filter of fixed size when texts are read the second time, so that only the others are shuffled
+to the join that brings them to their first place; Spark can split that join where a run is frequent.  Only texts that
+are cut are shuffled, once, by document, told by a filter of the same kind.  What the filters let pass in excess is
+joined with nothing.
+
+Defined cases: null texts stay null and empty ones empty; a text of any length is read to its end; a text of which all
+is removed becomes empty; equal rows (same doc_id and text) count as one and are treated alike; different texts of one
+doc_id remove from each other in the order of their hashes, as do texts without a doc_id, which come first of all; a
+run of words that overlaps its first place in the text is no copy of it; all other columns are passed on, whatever
+their names (but __removed and __spans, which are replaced); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -106,10 +109,14 @@ def picked(batch: Batch, n: int, window: int = PICK) -> tuple[np.ndarray, np.nda
     return k[chosen], h[chosen]
 
 
-def _spans(docs: DataFrame, least_sentences: int, least_words: int) -> DataFrame:
-    """doc, mark, run (first word << 24 | words), hash and whether the same text has it further up."""
+def _spans(docs: DataFrame, least_sentences: int, least_words: int, wanted=None) -> DataFrame:
+    """doc, mark, run (first word << 24 | words), its two hashes and whether the same text has it further up.
+
+    wanted: a broadcast filter of hashes; others are left out.
+    """
 
     def spans(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if wanted is None else np.frombuffer(wanted.value, np.int64)
         for part in parts:
             doc, mark = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for first, batch in batches(encoded(part.column(2).to_pylist())):
@@ -117,16 +124,23 @@ def _spans(docs: DataFrame, least_sentences: int, least_words: int) -> DataFrame
                 i, j, h = s.runs(least_sentences, least_words)
                 k, g = picked(batch, n)
                 start, end, h = np.concatenate([s.first[i], k]), np.concatenate([s.last[j], k + n]), np.concatenate([h, g])
+                sentences = np.arange(len(h)) < len(i)
+                if bits is not None:
+                    at = (h & np.uint64((1 << BITS) - 1)).astype(np.int64)
+                    known = (bits[at >> 6] >> (at & 63)) & 1 == 1
+                    start, end, h, sentences = start[known], end[known], h[known], sentences[known]
                 text = np.searchsorted(batch.first, start, side="right") - 1
                 order = np.lexsort((start, h, text))
                 fresh = np.ones(len(h), bool)
                 fresh[1:] = (h[order][1:] != h[order][:-1]) | (text[order][1:] != text[order][:-1])
                 opening = end[order][np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0))]  # the end of the run's first place
                 again = np.ones(len(h), bool)
-                again[order] = ~fresh & ((order < len(i)) | (start[order] >= opening))
-                yield pa.RecordBatch.from_arrays([pa.array(doc[first + text], pa.int64()), pa.array(mark[first + text], pa.int64()), pa.array(((start - batch.first[text]) << 24) | (end - start), pa.int64()), pa.array(h.view(np.int64)), pa.array(again)], ["doc", "mark", "run", "hash", "again"])
+                again[order] = ~fresh & (sentences[order] | (start[order] >= opening))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(doc[first + text], pa.int64()), pa.array(mark[first + text], pa.int64()), pa.array(((start - batch.first[text]) << 24) | (end - start), pa.int64()),
+                    pa.array(h.view(np.int64)), pa.array(batch.checks(start, end).view(np.int64)), pa.array(again)], ["doc", "mark", "run", "hash", "check", "again"])
 
-    return docs.mapInArrow(spans, "doc long, mark long, run long, hash long, again boolean")
+    return docs.mapInArrow(spans, "doc long, mark long, run long, hash long, check long, again boolean")
 
 
 def _cut(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -151,42 +165,45 @@ def _cut(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFram
         yield pd.DataFrame(out, columns=["kept", "removed", "spans"])
 
 
-def _marked(later: DataFrame) -> Column:
-    """A condition on __key and __text that holds for all documents of `later`, and for few others."""
-    place = F.pmod(F.xxhash64("__doc", "__mark"), F.lit(1 << BITS))
+def _filter(places: DataFrame):
+    """A broadcast filter of 2**BITS bits, of which those numbered in the column `at` are set."""
     # At most 2**(BITS - 6) rows reach the driver.
-    words = later.select(place.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    words = places.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
     bits = np.zeros(1 << (BITS - 6), np.int64)
     bits[words["word"].to_numpy()] = words["bits"].to_numpy()
-    known = later.sparkSession.sparkContext.broadcast(bits.tobytes())
+    return places.sparkSession.sparkContext.broadcast(bits.tobytes())
 
+
+def _passes(known, at: Column) -> Column:
     @F.pandas_udf("boolean")
     def passes(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bits = np.frombuffer(known.value, np.int64)
-        for at in parts:
-            at = at.to_numpy()
-            yield pd.Series((bits[at >> 6] >> (at & 63)) & 1 == 1)
+        for part in parts:
+            part = part.to_numpy()
+            yield pd.Series((bits[part >> 6] >> (part & 63)) & 1 == 1)
 
-    return passes(F.pmod(F.xxhash64("__key", "__text"), F.lit(1 << BITS)))
+    return passes(at)
 
 
 def remove_repeated(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs with the text cut, and __removed (bytes) and __spans (maximal runs of removed sentences)."""
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST))
-    mark = F.xxhash64(F.col("text").cast("string"))
-    found = _spans(docs.select(doc.alias("doc"), mark.alias("mark"), F.col("text").cast("string").alias("text")).where("text is not null"), least_sentences, least_words)
-    unnamed = F.when(F.col("doc") == _LOWEST, F.col("mark"))
-    # Written out, so that the join's two sides are both plain exchanges: only those can Spark split where a hash is frequent.
-    first = durable(found.groupBy("hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min(unnamed).alias("low"), F.max(unnamed).alias("high"), F.max("again").alias("twice"))
-                    .where("first < last or low < high or twice").select("hash", "first", "low"))
-    later = durable(found.join(first, "hash").where((F.col("doc") > F.col("first")) | (unnamed > F.col("low")) | F.col("again"))
-                    .groupBy(F.col("doc").alias("__doc"), F.col("mark").alias("__mark")).agg(F.collect_set("run").alias("__runs")))
-    keyed = docs.select("*", doc.alias("__key"), mark.alias("__text"))
-    keyed = keyed.withColumn("__passes", _marked(later))
-    some = keyed.where("__passes")
-    joined = some.join(later, (some["__key"] == later["__doc"]) & (some["__text"] == later["__mark"]), "left")
-    cut = joined.select(*(some[f"`{c}`"] for c in docs.columns), F.when(F.col("__runs").isNotNull(), F.pandas_udf(_cut, "kept string, removed long, spans long")(some["text"].cast("string"), F.col("__runs"))).alias("__cut"))
-    cut = cut.select(*(F.coalesce("__cut.kept", cut[f"`{c}`"]).alias(c) if c == "text" else cut[f"`{c}`"] for c in docs.columns),
-                     F.coalesce("__cut.removed", F.lit(0)).cast("long").alias("__removed"), F.coalesce("__cut.spans", F.lit(0)).cast("long").alias("__spans"))
-    whole = keyed.where("not __passes").select(*(F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns), F.lit(0).cast("long").alias("__removed"), F.lit(0).cast("long").alias("__spans"))
-    return whole.unionByName(cut)
+    names = [c for c in docs.columns if c.lower() not in ("__removed", "__spans")]
+    body = F.col("text").cast("string")
+    # The row is packed, so that no column's name can clash.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("doc"), F.xxhash64(body).alias("mark"), body.alias("body"))
+    texts = rows.select("doc", "mark", "body").where("body is not null")
+    here = F.struct("doc", "mark")
+    # Written out, so that the join's two sides are both plain exchanges: only those can Spark split where a run is frequent.
+    first = durable(_spans(texts, least_sentences, least_words).groupBy("hash", "check").agg(F.min(here).alias("first"), F.max(here).alias("last"), F.max("again").alias("twice"))
+                    .where("first < last or twice").select("hash", "check", "first"))
+    wanted = _filter(first.select(F.col("hash").bitwiseAND(F.lit((1 << BITS) - 1)).alias("at")))
+    found = _spans(texts, least_sentences, least_words, wanted)
+    later = durable(found.join(first, ["hash", "check"]).where((here > F.col("first")) | F.col("again")).groupBy("doc", "mark").agg(F.collect_set("run").alias("runs")))
+    place = F.pmod(F.xxhash64("doc", "mark"), F.lit(1 << BITS))
+    rows = rows.withColumn("some", _passes(_filter(later.select(place.alias("at"))), place))
+    cut = (rows.where("some").join(later, ["doc", "mark"], "left")
+           .select("row", F.col("body").alias("kept"), F.when(F.col("runs").isNotNull(), F.pandas_udf(_cut, "kept string, removed long, spans long")("body", "runs")).alias("cut")))
+    whole = rows.where("not some").select("row", F.col("body").alias("kept"), F.lit(None).cast("struct<kept: string, removed: bigint, spans: bigint>").alias("cut"))
+    return whole.unionByName(cut).select(
+        *(F.coalesce("cut.kept", "kept").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in names),
+        F.coalesce("cut.removed", F.lit(0)).cast("long").alias("__removed"), F.coalesce("cut.spans", F.lit(0)).cast("long").alias("__spans"))
