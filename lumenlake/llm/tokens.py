@@ -13,8 +13,12 @@ That holds for byte-level BPE with the byte-level pretokenizer's pattern and wit
 tokenizer's file is checked for; under any other file texts are encoded as a whole.  So is a text that holds the text
 of an added token, since added tokens are found before pretokenization.
 
-The table of a worker is emptied when it exceeds a fixed size; nothing is shuffled and no state outlives a task, so a
-lost executor costs only its own tasks.
+Stretches of plain characters (ASCII and Latin-1, of which all Unicode versions say the same) are encoded and decoded
+by the faster of two public libraries, from the same file's vocabulary, if its merges are ranked by their ids; all
+others by the tokenizers library.  Their ids are the same.
+
+The table of a task is emptied when it exceeds a fixed size; nothing is shuffled, and only the two libraries' objects
+outlive a task, so a lost executor costs only its own tasks.
 
 Defined cases: a null text counts as empty (0 tokens); a text of any length is encoded to its end; repeated rows give
 repeated results; an empty table gives an empty one; other columns play no part.
@@ -27,6 +31,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -39,6 +44,9 @@ MEAN, LEAST, MOST, WINDOW = 2048, 256, 16384, 24
 REUSE_BYTES = 48 << 20
 
 _SYNC = re.compile(r"(?<=[!-~À-ÖØ-öø-ÿ])(?= [!-~À-ÖØ-öø-ÿ])|(?<=[ぁ-ゖァ-ヺ一-龥가-힣])(?=[、。，！？；：])")
+#: Characters of plain stretches, and the pretokenizer's fixed pattern.
+_PLAIN = re.compile(r"[\t\n\r -~¡-ÿ]*\Z")
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 
 
@@ -126,16 +134,45 @@ class Coded:
     words: tuple[str, str] = ("", "")
 
 
+def _bytes_of_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: visible Latin-1 characters stand for themselves,
+    the others follow from U+0100 on in their order."""
+    shown = [b for b in range(256) if 33 <= b < 127 or (b >= 161 and b != 173)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
+def ranked(spec: dict):
+    """The faster library's encoder of the same vocabulary; None if the file's merges are not ranked by their ids."""
+    import tiktoken
+
+    vocab, letters = spec["model"]["vocab"], _bytes_of_letters()
+    added = {t["content"] for t in spec.get("added_tokens", ())}
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in spec["model"]["merges"]]
+    single = [vocab.get(c) for c in letters]
+    if None in single or any(vocab.get(m) != len(letters) + k for k, m in enumerate(merged)) or set(single) != set(range(len(letters))) or len(vocab) != len(letters) + len(merged) + len(added & vocab.keys()):
+        return None
+    ranks = {bytes(letters[c] for c in t): vocab[t] for t in (*letters, *merged)}
+    return tiktoken.Encoding("ranked", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@lru_cache(maxsize=2)
+def _libraries(spec: str) -> tuple:
+    """(the tokenizer, whether encodings agree at the places of _SYNC, the faster encoder or None) of a file's text."""
+    from tokenizers import Tokenizer
+
+    tokenizer, parsed = Tokenizer.from_str(spec), json.loads(spec)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    in_chunks = parts_at_blanks(parsed)
+    return tokenizer, in_chunks, ranked(parsed) if in_chunks else None
+
+
 class Codec:
     """A tokenizer with its reuse table."""
 
     def __init__(self, spec: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.in_chunks = parts_at_blanks(json.loads(spec))
+        self.tokenizer, self.in_chunks, self.fast = _libraries(spec)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.digits = [str(i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.known: dict[str, Coded] = {}
@@ -143,18 +180,22 @@ class Codec:
         #: Chunks encoded and taken from the table, joins encoded, texts that had to be encoded as a whole.
         self.encoded = self.reused = self.joins = self.whole = 0
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[tuple[list[int], bool]]:
+        """The ids of texts, and whether they are plain ones."""
+        plain = [self.fast is not None and _PLAIN.match(t) is not None and not any(a in t for a in self.added) for t in texts]
+        rest = iter(self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
+        return [(self.fast.encode_ordinary(t) if p else next(rest).ids, p) for t, p in zip(texts, plain, strict=True)]
 
-    def _coded(self, ids: list[list[int]]) -> list[Coded]:
-        back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-        return [Coded(len(i), ",".join([self.digits[k] for k in i]).encode(), b.encode()) for i, b in zip(ids, back, strict=True)]
+    def _coded(self, ids: list[tuple[list[int], bool]]) -> list[Coded]:
+        rest = iter(self.tokenizer.decode_batch([i for i, p in ids if not p], skip_special_tokens=False))
+        back = [self.fast.decode_bytes(i) if p else next(rest).encode() for i, p in ids]
+        return [Coded(len(i), ",".join([self.digits[k] for k in i]).encode(), b) for (i, _), b in zip(ids, back, strict=True)]
 
     def _insides(self, texts: list[str]) -> dict[str, Coded]:
         words = [ends(t) for t in texts]
-        ids, edge = self._ids(texts), self._ids([w for pair in words for w in pair])
+        ids, edge = self._ids(texts), [i for i, _ in self._ids([w for pair in words for w in pair])]
         out = {}
-        for t, i, w, first, last, c in zip(texts, ids, words, edge[::2], edge[1::2], self._coded(ids), strict=True):
+        for t, (i, _), w, first, last, c in zip(texts, ids, words, edge[::2], edge[1::2], self._coded(ids), strict=True):
             agrees = i[: len(first)] == first and i[len(i) - len(last) :] == last
             out[t] = replace(c, first=first if agrees else None, last=last if agrees else None, words=w)
         return out
@@ -177,14 +218,14 @@ class Codec:
                 first, last = left.last if left else [], right.first if right else []
                 around.append(None if first is None or last is None else (first, last))
                 asked.append((left.words[1] if left else "") + p + (right.words[0] if right else ""))
-        joined: list[list[int] | None] = []
-        for ids, side in zip(self._ids(asked), around, strict=True):
+        joined: list[tuple[list[int], bool] | None] = []
+        for (ids, plain), side in zip(self._ids(asked), around, strict=True):
             before, after = side or ([], [])
             end = len(ids) - len(after)
             agrees = side is not None and end >= len(before) and ids[: len(before)] == before and ids[end:] == after
-            joined.append(ids[len(before) : end] if agrees else None)
+            joined.append((ids[len(before) : end], plain) if agrees else None)
         self.joins += len(joined)
-        joins = iter(zip(joined, self._coded([i or [] for i in joined]), strict=True))
+        joins = iter(zip(joined, self._coded([i or ([], False) for i in joined]), strict=True))
         out: list[tuple[int, str, str] | None] = []
         for plan in plans:
             n, ids, back, agrees = 0, hashlib.sha256(), hashlib.sha256(), True

@@ -131,6 +131,14 @@ def test_codec_reuses_shared_chunks(codec):
     assert codec.reused > before
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(min_codepoint=9, max_codepoint=255, exclude_categories=()), max_size=80) | st.text(st.sampled_from("ab'sltredvm 1\n\t\r.é"), max_size=60))
+def test_both_libraries_agree_on_plain_texts(codec, t):
+    if tokens._PLAIN.match(t):
+        ids = codec.fast.encode_ordinary(t)
+        assert ids == codec.tokenizer.encode(t, add_special_tokens=False).ids and codec.fast.decode_bytes(ids).decode() == codec.tokenizer.decode(ids, skip_special_tokens=False)
+
+
 def test_joins_are_compared_and_other_tokenizers_encode_whole(codec):
     import json
 
@@ -149,6 +157,9 @@ def test_joins_are_compared_and_other_tokenizers_encode_whole(codec):
         with open(public_tokenizers.path(name), encoding="utf-8") as f:
             spec = f.read()
         assert tokens.parts_at_blanks(json.loads(spec)) is fits
+        swapped = json.loads(spec)
+        swapped["model"]["merges"][3:5] = swapped["model"]["merges"][4:2:-1]
+        assert tokens.ranked(swapped) is None
         other = tokens.Codec(spec)
         want = [other.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
         assert [(n, i) for n, i, _ in other.run(texts)] == [(len(i), hashlib.sha256(",".join(map(str, i)).encode()).hexdigest()) for i in want]
@@ -309,6 +320,48 @@ def test_tiles_are_matches_that_do_not_overlap(doc, item):
     assert not any(doc[a : a + 3] == item[b : b + 3] and left(a, b) for a in range(len(doc) - 2) for b in range(len(item) - 2))
 
 
+def brute_tiles(doc, item, least):
+    """Longest common stretch of unmarked words first, by all places."""
+    doc_free, item_free, tiles = [True] * len(doc), [True] * len(item), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(item)):
+            for d in range(len(doc)):
+                n = 0
+                while i + n < len(item) and d + n < len(doc) and item[i + n] == doc[d + n] and item_free[i + n] and doc_free[d + n]:
+                    n += 1
+                best = min(best, (-n, i, d))
+        n, i, d = -best[0], best[1], best[2]
+        if n < least:
+            return tiles
+        doc_free[d : d + n], item_free[i : i + n] = [False] * n, [False] * n
+        tiles.append((d, i, n))
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=40), st.lists(st.integers(0, 3), min_size=1, max_size=24))
+def test_tiles_against_brute_force(doc, item):
+    d, i = (np.array([hash((x, "w")) & (2**63 - 1) for x in v], np.uint64) for v in (doc, item))
+    assert decontamination.tile(d, i, min(3, len(item))) == brute_tiles(doc, item, min(3, len(item)))
+
+
+def test_leaks_against_brute_force():
+    rng = random.Random(20)
+    phrase = [f"p{k}" for k in range(9)]  # in every item
+    items = [[f"i{rng.randrange(60)}" for _ in range(rng.randint(0, 12))] + phrase + [f"i{rng.randrange(60)}" for _ in range(rng.randint(0, 12))] for _ in range(40)] + [["one"], ["two", "words"], [], ["i1", "i2", "i3", "i4"]]
+    docs = [sum((rng.choice(items)[rng.randint(0, 9) : rng.randint(10, 30)] + [f"d{rng.randrange(9)}"] for _ in range(rng.randint(0, 4))), []) for _ in range(60)]
+    index = decontamination.Items(list(range(len(items))), [" ".join(x) for x in items], 6)
+    assert len(index.table[6][0]) < sum(max(0, len(x) - 5) for x in items)  # seeds of the phrase are left out
+    got = index.leaks(Batch(encoded([" ".join(x) for x in docs])))
+    want = {}
+    for a, d in enumerate(docs):
+        for b, x in enumerate(items):
+            tiles = brute_tiles(d, x, min(6, len(x))) if x else []
+            if x and 2 * sum(t[2] for t in tiles) >= len(x):
+                want.setdefault(a, []).append((b, sum(t[2] for t in tiles) / len(x), len(tiles)))
+    assert got == want and sum(map(len, want.values())) > 30
+
+
 def test_sentences_cover_the_text():
     texts = ["One two. Three 3.14 four!\nFive", "", "  . ", "a " * 200, "ends. "]
     s = spans.Sentences(Batch(encoded(texts)))
