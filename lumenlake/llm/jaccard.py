@@ -6,16 +6,23 @@ Documents with equal sets form a class; only one of a class goes on, with the cl
 1. Each class gets HASHES MinHash values; classes that agree in all values of a band meet in a bucket.  Buckets with
    the same members are one.  (At 32 bands of 4, a pair at 0.8 is missed with probability 5e-8, at 0.85 with 3e-10.)
 2. In a bucket, pairs are compared some values at a time, and a pair is dropped as soon as the posterior probability
-   that its similarity reaches the threshold (uniform prior) is below the tolerance.  What is left spans the bucket's
-   surviving groups by a forest of edges, whose components bring together all pairs that are to be verified.
-3. In a component, all pairs go through the same pruning and the survivors are verified exactly on the sets.
+   that its similarity reaches the threshold (uniform prior) is below the tolerance.  All members are held against the
+   bucket's leader first: those that survive belong together by it, so only pairs with another member are compared.
+   What survives spans components that bring together all pairs that are to be verified.
+3. In a component every class is held exactly against a pivot, the class of most documents, and known by its
+   difference from it, from which intersections of two classes follow exactly: near copies differ little.  1 less the
+   similarity is a distance, so two classes of which the distances to the pivot add up to less than the threshold's are
+   linked, and two whose distances lie farther apart than that are not.  Classes are put into tiles by their distance
+   to the pivot; pairs of tiles that are certain are counted, not formed, and pairs of classes of the others go through
+   the same pruning, and the survivors are verified exactly.
 
 Buckets and components of any size are dealt out as pairs of tiles: a task holds two tiles, and hands on sums per
 class and a spanning forest, never all pairs.  Nothing of unbounded size reaches the driver or is broadcast.
 
 Defined cases: a text of one to four words has one run of all of them; texts without words have no links and are
-classes of their own; equal rows are documents like any other (each counts the other as a link); a null doc_id is
-kept, and counts as the smallest when a class is named; groups of the same smallest doc_id stay apart; other columns play no part; an empty table gives an empty one.
+classes of their own; a text of any length is read to its end; equal rows are documents like any other (each counts
+the other as a link); a null doc_id is kept, and counts as the smallest when a class is named; groups of the same
+smallest doc_id stay apart; other columns play no part; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -37,8 +44,9 @@ WORDS, THRESHOLD = 5, 0.8
 #: Bands of ROWS values; values compared at a time; posterior below which a pair is dropped.
 BANDS, ROWS, STEP, TOLERANCE = 32, 4, 32, 1e-7
 HASHES = BANDS * ROWS
-#: Classes of a tile: when signatures are compared, and when sets are verified.
-TILE, SET_TILE = 1024, 256
+#: Classes of a tile: when signatures are compared, and when sets are verified.  Steps of the distance to a pivot, and
+#: the distance of the threshold in such steps.
+TILE, SET_TILE, STEPS, FAR = 1024, 256, 1000, 200
 
 _RNG = np.random.default_rng(97)
 _XOR = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -118,23 +126,29 @@ def _forest(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, in
     return [(int(ids[x]), int(ids[r])) for x in range(len(ids)) if (r := find(x)) != x]
 
 
+def intersections(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many elements the sets of each pair share."""
+    if len(i) <= 4 * (len(a) + len(b)):
+        return np.array([len(np.intersect1d(a[x], b[y], assume_unique=True)) for x, y in zip(i, j, strict=True)], np.int64)
+    # Many pairs: intersections of all as products of 0/1 matrices over the runs that both sides have.
+    left, right = np.concatenate(a), np.concatenate(b)
+    shared = np.intersect1d(left, right)
+    table = np.zeros((len(a), len(b)), np.float32)
+    rows_a = np.repeat(np.arange(len(a)), [len(x) for x in a])
+    rows_b = np.repeat(np.arange(len(b)), [len(x) for x in b])
+    for at in range(0, len(shared), 8192):
+        part = shared[at : at + 8192]
+        table += _incidence(left, rows_a, len(a), part) @ _incidence(right, rows_b, len(b), part).T
+    return table[i, j].astype(np.int64)
+
+
 def verified(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Which of the pairs have a Jaccard similarity of at least the threshold, exactly."""
-    if len(i) <= 4 * (len(a) + len(b)):
-        common = np.array([len(np.intersect1d(a[x], b[y], assume_unique=True)) for x, y in zip(i, j, strict=True)], np.int64)
-    else:
-        # Many pairs: intersections of all as products of 0/1 matrices over the runs that both sides have.
-        left, right = np.concatenate(a), np.concatenate(b)
-        shared = np.intersect1d(left, right)
-        table = np.zeros((len(a), len(b)), np.float32)
-        rows_a = np.repeat(np.arange(len(a)), [len(x) for x in a])
-        rows_b = np.repeat(np.arange(len(b)), [len(x) for x in b])
-        for at in range(0, len(shared), 8192):
-            part = shared[at : at + 8192]
-            table += _incidence(left, rows_a, len(a), part) @ _incidence(right, rows_b, len(b), part).T
-        common = table[i, j].astype(np.int64)
-    sizes_a, sizes_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    return 5 * common >= 4 * (sizes_a[i] + sizes_b[j] - common)
+    return alike(intersections(a, b, i, j), np.array([len(x) for x in a])[i], np.array([len(x) for x in b])[j])
+
+
+def alike(common: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    return 5 * common >= 4 * (size_a + size_b - common)
 
 
 def _incidence(values: np.ndarray, rows: np.ndarray, n: int, columns: np.ndarray) -> np.ndarray:
@@ -165,13 +179,10 @@ def _groups(parts: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _tiled(rows: DataFrame, group: str, size: str, tile: int) -> DataFrame:
-    """rows, each once for every pair of tiles it takes part in: `group`, x, y (the tiles), own (the row's tile)."""
-    tiles = F.ceil(F.col(size) / tile).cast("int")
-    own = F.pmod(F.xxhash64("id", group), tiles).cast("int")
-    other = F.explode(F.sequence(F.lit(0), tiles - 1))
-    dealt = rows.withColumn("own", own).withColumn("other", other)
-    dealt = dealt.select(group, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", *(c for c in rows.columns if c not in (group, size)))
+def _dealt(rows: DataFrame, group: str) -> DataFrame:
+    """rows (with own, their tile, and start and stop, the tiles that it meets), once for every pair of tiles x <= y."""
+    other = rows.withColumn("other", F.explode(F.when(F.col("start") < F.col("stop"), F.sequence("start", F.col("stop") - 1))))
+    dealt = other.select(group, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", *(c for c in rows.columns if c not in (group, "own", "start", "stop")))
     return dealt.repartition(group, "x", "y").sortWithinPartitions(group, "x", "y")
 
 
@@ -179,6 +190,19 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, HASHES)
 
 
+def _led(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of members (bucket, id, lead, values, those of the bucket's leader): whether the pair with the leader survives."""
+    for part in parts:
+        if not part.num_rows:
+            continue
+        own, lead = (np.frombuffer(b"".join(part.column(k).to_pylist()), np.uint16).reshape(-1, HASHES) for k in (3, 4))
+        near, count = np.ones(len(own), bool), np.zeros(len(own), np.int32)
+        for seen in range(0, HASHES, STEP):
+            count += (own[:, seen : seen + STEP] == lead[:, seen : seen + STEP]).sum(1)
+            near &= count >= least_matches(seen + STEP)
+        yield pa.RecordBatch.from_arrays([part.column(k) for k in range(4)] + [pa.array(near)], ["bucket", "id", "lead", "values", "near"])
+
+
 def _candidates(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the members of pairs of tiles (bucket, x, y, own, id, values): forests of the surviving pairs."""
     out: list[tuple[int, int]] = []
@@ -201,37 +225,51 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"u": pa.array([p[0] for p in pairs], pa.int64()), "v": pa.array([p[1] for p in pairs], pa.int64())})
 
 
+def _differences(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of classes with the text of their component's pivot (component, id, n, text, pivot): sizes of the set, of the
+    pivot's and of what they share, the MinHash values and the runs that only one of the two has."""
+    pivots: dict[int, np.ndarray] = {}
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    for part in parts:
+        components, want, n = (part.column(k).to_pylist() for k in range(3))
+        texts, leads, rows = encoded(part.column(3).to_pylist()), part.column(4), []
+        for first, batch in batches(texts):
+            for t, i, own, values in zip(*signatures(batch), strict=True):
+                k = first + int(t)
+                if int(i) != want[k]:
+                    continue
+                if components[k] not in pivots:
+                    if len(pivots) >= 32:
+                        pivots = {}
+                    pivots[components[k]] = signatures(Batch(encoded([leads[k].as_py()])))[2][0]
+                pivot = pivots[components[k]]
+                apart = np.setxor1d(own, pivot, assume_unique=True)
+                rows.append((components[k], want[k], n[k], len(own), len(pivot), (len(own) + len(pivot) - len(apart)) // 2, values.tobytes(), apart.tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["component", "id", "n", "size", "pivot", "common", "values", "apart"])
+
+
 def _verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the members of pairs of tiles (component, x, y, own, id, n, text): links per class, and forests of them.
+    """Of the members of pairs of tiles (component, x, y, own, and what _differences gives): links per class, and
+    forests of them.
 
     A row (u, v, links) is an edge if u and v differ, and a class's number of linked documents if they are equal.
     """
     for group in _groups(parts, 3):
         x, y = group["x"][0].as_py(), group["y"][0].as_py()
-        ids, own, n, sets, values = [], [], [], [], []
-        known: set[int] = set()
-        want, tile, size = group["id"].to_numpy(), group["own"].to_numpy(), group["n"].to_numpy()
-        for first, batch in batches(encoded(group["text"].to_pylist())):
-            text, found, runs, v = signatures(batch)
-            for t, i, r, m in zip((text + first).tolist(), found.tolist(), runs, v, strict=True):
-                if i == want[t] and i not in known:  # doc_ids may repeat: then not every text is the class's
-                    known.add(i)
-                    ids.append(i)
-                    own.append(tile[t])
-                    n.append(size[t])
-                    sets.append(r)
-                    values.append(m)
-        if not ids:
-            continue
-        ids, own, n, values = np.array(ids), np.array(own), np.array(n), np.array(values)
+        ids, own, n, size, pivot, common = (group[c].to_numpy() for c in ("id", "own", "n", "size", "pivot", "common"))
+        values, apart = _matrix(group["values"]), [np.frombuffer(raw, np.uint64) for raw in group["apart"].to_pylist()]
         a, b = np.flatnonzero(own == x), np.flatnonzero(own == y)
         if not len(a) or not len(b):
             continue
         i, j = surviving(values[a], values[b])
         if x == y:
             i, j = i[i < j], j[i < j]
-        good = verified([sets[k] for k in a], [sets[k] for k in b], i, j)
-        i, j = a[i[good]], b[j[good]]
+        # What two sets share: what both have of the pivot, and of the rest.
+        shared = intersections([apart[k] for k in a], [apart[k] for k in b], i, j)
+        i, j = a[i], b[j]
+        shared += common[i] + common[j] - pivot[i]
+        good = alike(shared, size[i], size[j])
+        i, j = i[good], j[good]
         links = np.zeros(len(ids), np.int64)
         np.add.at(links, i, n[j])
         np.add.at(links, j, n[i])
@@ -242,6 +280,42 @@ def _verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "links": pa.array(np.concatenate([links[some], np.zeros(len(stars))]).astype(np.int64))})
 
 
+def _by_distance(apart: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(classes with own, start and stop for _dealt; links of each class that are certain) of components.
+
+    Tiles follow each other by distance to the pivot, in steps: a tile holds SET_TILE places in that order, in which a
+    class's place within its step is drawn by its hash.  So what is certain of a tile are the tiles up to a number and
+    those from a number on.
+    """
+    step = F.least(F.floor((1 - F.col("common") / (F.col("size") + F.col("pivot") - F.col("common"))) * STEPS), F.lit(STEPS)).cast("int")
+    stepped = apart.withColumn("step", step)
+    before = Window.partitionBy("component").orderBy("step")
+    steps = stepped.groupBy("component", "step").agg(F.count("*").alias("many")).withColumn("first", F.sum("many").over(before) - F.col("many"))  # at most STEPS + 1 of a component
+    tiled = (stepped.join(steps, ["component", "step"])
+             .withColumn("own", F.floor((F.col("first") + F.pmod(F.xxhash64("id", "component"), F.col("many"))) / SET_TILE).cast("int")).drop("many", "first"))
+    tiles = tiled.groupBy("component", "own").agg(F.sum("n").alias("docs"))
+    tiles = tiles.join(steps.groupBy("component").agg(F.sum("many").alias("all")), "component")
+    # The first and the last step that reach into a tile's places.
+    reach = tiles.join(steps, "component").groupBy("component", "own", "docs", "all").agg(
+        F.max(F.when(F.col("first") <= F.col("own") * SET_TILE, F.col("step"))).alias("low"),
+        (F.max(F.when(F.col("first") < (F.col("own") + 1) * SET_TILE, F.col("step"))) + 1).alias("high"))
+    places = lambda limit: F.coalesce(F.sum(F.when(F.col("step") < limit, F.col("many"))), F.lit(0))
+    met = reach.join(steps, "component").groupBy("component", "own", "docs", "all", "low", "high").agg(
+        places(FAR - F.col("high")).alias("linked"), places(FAR + F.col("high")).alias("upto"), places(F.col("low") - FAR).alias("below"))
+    whole = lambda c: F.when(F.col(c) >= F.col("all"), F.ceil(F.col("all") / SET_TILE)).otherwise(F.floor(F.col(c) / SET_TILE)).cast("int")
+    met = met.select("component", "own", "docs", whole("linked").alias("linked"), whole("below").alias("below"), F.ceil(F.col("upto") / SET_TILE).cast("int").alias("stop"))
+    sums = Window.partitionBy("component").orderBy("own")
+    sure = met.select("component", (F.col("own") + 1).alias("linked"), F.sum("docs").over(sums).alias("docs"))  # documents of the tiles below; an empty tile has none
+    ends = met.select("component", "own", "linked", "below", "stop")
+    # The running sum at the last tile that is there below the number.
+    counted = (ends.join(sure.withColumnRenamed("linked", "upto"), "component").where(F.col("upto") <= F.col("linked"))
+               .groupBy("component", "own").agg(F.max("docs").alias("docs")))
+    ends = ends.join(counted, ["component", "own"], "left")
+    classes = tiled.join(ends, ["component", "own"])
+    links = classes.where("docs is not null").select("id", (F.col("docs") - F.when(F.col("own") < F.col("linked"), F.col("n")).otherwise(F.lit(0))).alias("links"))
+    return classes.withColumn("start", F.greatest("linked", "below")).drop("linked", "below", "docs", "step"), links
+
+
 def signed(docs: DataFrame) -> DataFrame:
     """doc, mark (a hash of the text), id (the class, null without words) and values of every row."""
 
@@ -271,19 +345,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bands = classes.select("id", F.posexplode(F.array(*(F.xxhash64(F.lit(b), F.substring("values", 2 * ROWS * b + 1, 2 * ROWS)) for b in range(BANDS)))).alias("band", "bucket"))
     buckets = (bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min("band").alias("band"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum(F.shiftright(F.xxhash64("id"), 24)).alias("mix"))
                .where("size > 1"))
-    alike = buckets.groupBy("size", "lo", "hi", "mix").agg(F.min("bucket").alias("bucket"))
-    members = bands.select("bucket", "id").join(alike.select("bucket", "size"), "bucket").join(classes.select("id", "values"), "id")
-    edges = _tiled(members.select("bucket", "size", "id", "values"), "bucket", "size", TILE).mapInArrow(_candidates, "u long, v long")
+    distinct = buckets.groupBy("size", "lo", "hi", "mix").agg(F.min("bucket").alias("bucket"))
+    leaders = distinct.select("bucket", F.col("lo").alias("lead")).join(classes.select(F.col("id").alias("lead"), F.col("values").alias("of_lead")), "lead")
+    members = bands.select("bucket", "id").join(leaders, "bucket").join(classes.select("id", "values"), "id")
+    led = durable(members.select("bucket", "id", "lead", "values", "of_lead").mapInArrow(_led, "bucket long, id long, lead long, values binary, near boolean"))
+    others = led.groupBy("bucket").agg(F.count_if("near").alias("close"), F.count_if(~F.col("near")).alias("far")).where("far > 0")
+    # Tiles of the others come first; those of the leader's own meet them only.
+    far, close, drawn = F.ceil(F.col("far") / TILE).cast("int"), F.ceil(F.col("close") / TILE).cast("int"), F.xxhash64("id", "bucket")
+    rest = led.join(others, "bucket").select(
+        "bucket", F.when(F.col("near"), far + F.pmod(drawn, close)).otherwise(F.pmod(drawn, far)).cast("int").alias("own"), F.lit(0).alias("start"), F.when(F.col("near"), far).otherwise(far + close).alias("stop"), "id", "values")
+    edges = led.where("near and id <> lead").select(F.col("id").alias("u"), F.col("lead").alias("v")).unionByName(_dealt(rest, "bucket").mapInArrow(_candidates, "u long, v long"))
     grouped = durable(connected_components(edges))
 
-    sizes = grouped.groupBy("component").agg(F.count("*").alias("size"))
-    chosen = grouped.join(sizes, "component").join(classes.select("id", "n", "rep", "own"), "id")
+    chosen = grouped.join(classes.select("id", "n", "rep", "own"), "id")
+    chosen = chosen.join(chosen.groupBy("component").agg(F.max(F.struct("n", "id"))["id"].alias("lead")), "component")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("rep"), F.xxhash64(F.col("text").cast("string")).alias("own"), F.col("text").cast("string").alias("text"))
-    ready = chosen.join(texts, ["rep", "own"]).select("component", "size", "id", "n", "text")
-    checked = durable(_tiled(ready, "component", "size", SET_TILE).mapInArrow(_verify, "u long, v long, links long"))
-
-    links = checked.where("u = v").groupBy(F.col("u").alias("id")).agg(F.sum("links").alias("links"))
-    linked = connected_components(checked.where("u <> v").select("u", "v"))
+    ready = durable(chosen.join(texts, ["rep", "own"]).select("component", "lead", "id", "n", "text").dropDuplicates(["id"]))
+    pivots = ready.where("id = lead").select("component", F.col("text").alias("pivot"))
+    apart = durable(ready.join(pivots, "component").select("component", "id", "n", "text", "pivot")
+                    .mapInArrow(_differences, "component long, id long, n long, size long, pivot long, common long, values binary, apart binary"))
+    tiled, sure = _by_distance(apart)
+    checked = durable(_dealt(tiled, "component").mapInArrow(_verify, "u long, v long, links long"))
+
+    links = checked.where("u = v").select(F.col("u").alias("id"), "links").unionByName(sure).groupBy("id").agg(F.sum("links").alias("links"))
+    to_pivot = apart.where("5 * common >= 4 * (size + pivot - common)").join(ready.where("id = lead").select("component", "lead"), "component").where("id <> lead")
+    linked = connected_components(checked.where("u <> v").select("u", "v").unionByName(to_pivot.select(F.col("id").alias("u"), F.col("lead").alias("v"))))
     named = classes.select("id", "n", "rep").join(linked, "id", "left").withColumn("component", F.coalesce("component", "id")).join(links, "id", "left")
     names = named.groupBy("component").agg(F.min("rep").alias("least"), F.sum("n").alias("members"))
     # One row per class; rows of equal texts, however many, are joined to it.
@@ -300,11 +386,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     found = near_duplicates(docs)
     key = F.coalesce("doc", F.lit(_LOWEST))
-    first = found.where("id is not null").groupBy("component").agg(F.min(F.struct(key.alias("__doc"), F.col("mark").alias("__own"))).alias("first"))
-    names = docs.columns
-    rows = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("__doc"), F.xxhash64(F.col("text").cast("string")).alias("__own"))
-    bare = found.where("id is null").select(key.alias("__doc"), F.col("mark").alias("__own"), F.lit(True).alias("__bare")).distinct()
-    kept = first.select("first.__doc", "first.__own", F.lit(False).alias("__bare")).unionByName(bare)
-    one = Window.partitionBy("__doc", "__own").orderBy(F.lit(0))
-    joined = rows.join(kept, ["__doc", "__own"])
-    return joined.withColumn("__n", F.row_number().over(one)).where("__bare or __n = 1").select(*(F.col(f"`{c}`") for c in names))
+    first = found.where("id is not null").groupBy("component").agg(F.min(F.struct(key.alias("doc"), F.col("mark").alias("own"))).alias("first"))
+    bare = found.where("id is null").select(key.alias("doc"), F.col("mark").alias("own"), F.lit(True).alias("bare")).distinct()
+    kept = first.select("first.doc", "first.own", F.lit(False).alias("bare")).unionByName(bare)
+    # The row is packed, so that no column's name can clash.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("own"))
+    one = rows.join(kept, ["doc", "own"]).groupBy("doc", "own", F.when(F.col("bare"), F.monotonically_increasing_id()).alias("each")).agg(F.first("row").alias("row"))
+    return one.select(*(F.col("row")[c].alias(c) for c in docs.columns))
