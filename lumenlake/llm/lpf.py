@@ -292,14 +292,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, keep: str = "none") ->
               .join(per_key, "key")
               .select(F.col("at.tid").alias("tid"), F.struct("key", "kinds", (F.col("a") != F.col("b")).alias("multiple"), F.col("at.start").alias("start"), F.col("at.places").alias("places")).alias("w")))
     few = F.col("w.kinds") <= KINDS * min(PARTS, length - min(GRAM, length) + 1)
-    collected = lambda rows: texts.select("tid", "body").join(rows.groupBy("tid").agg(F.collect_list("w").alias("wanted")), "tid").select("tid", "body", "wanted")
+    # All columns of the texts are carried along, so that Spark sees one and the same exchange of them everywhere.
+    collected = lambda rows: texts.join(rows.groupBy("tid").agg(F.collect_list("w").alias("wanted")), "tid").select("tid", "body", "wanted", "copies")
     shares = (collected(chosen.where(few)).mapInArrow(_fetch(length), "key long, part long, multiple boolean, tid binary, start long, places long, bytes binary")
               .repartition("key", "part").sortWithinPartitions("key", "part"))
     repeated = whole.select("tid", "start", "places").unionByName(shares.mapInArrow(_sort(length, keep), "tid binary, start long, places long"))
     if not chosen.where(~few).isEmpty():
-        strings = durable(collected(chosen.where(~few)).mapInArrow(_strings(length), "h long, g long, tid binary, start long"))
+        strings = collected(chosen.where(~few)).mapInArrow(_strings(length), "h long, g long, tid binary, start long")
         twice = strings.groupBy("h", "g").agg(F.min(F.struct("tid", "start")).alias("head"), F.count("*").alias("n")).where("n > 1")
-        found = strings.join(durable(twice.select("h", "g", "head")), ["h", "g"])
+        found = strings.join(twice.select("h", "g", "head"), ["h", "g"])
         if keep == "first":
             found = found.where(F.struct("tid", "start") != F.col("head"))
         repeated = repeated.unionByName(found.select("tid", "start", F.lit(1).cast("long").alias("places")))
