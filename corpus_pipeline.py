@@ -4,8 +4,11 @@ Stages: toxic documents go; one document of each near-duplicate group stays; rep
 documents that leak benchmark items go; texts are encoded.  A stage takes (spark, docs, sf_dir) and returns a
 DataFrame with the columns of documents, the last one with the encoding's digests besides.
 
-Defined cases are those of the operators: null and empty texts pass every filter; columns beyond those of documents
-are handed on; n_chars, where it is there, follows a text that was cut.
+Defined cases are those of the operators: null and empty texts pass every filter; a text of any length is read to its
+end; of equal rows one stays, but all of those without words do; of a group of near copies the one with the smallest
+doc_id stays, and of two texts of that id the one that hashes least; columns beyond those of documents are handed on,
+whatever their names (but n_tokens, ids_sha256 and decoded_sha256, which the last stage replaces); n_chars, where it is
+there, follows a text that was cut; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,10 +22,19 @@ from lumenlake.llm.common import read_table
 from lumenlake.llm.queries import vocabulary_path
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """A name like this one that no column has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold; learned from the labels of the documents that are there."""
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.score_documents(docs, model, "__score").where(F.col("__score") < toxicity.THRESHOLD).drop("__score")
+    score = _unused(docs, "score")
+    return toxicity.score_documents(docs, model, score).where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +52,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents into which no benchmark item has leaked."""
-    found = decontamination.find_leaks(docs, read_table(spark, sf_dir, "benchmark"), "__leaks")
-    return found.where(F.size("__leaks") == 0).drop("__leaks")
+    leaks = _unused(docs, "leaks")
+    found = decontamination.find_leaks(docs, read_table(spark, sf_dir, "benchmark"), leaks)
+    return found.where(F.size(leaks) == 0).drop(leaks)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +82,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: SQL cannot express the trained scores, the tiling or the encoding; tests/llm holds the stages against brute force.
+#: SQL cannot express the trained scores, the tiling or the encoding; tests/llm holds every stage but the trained one
+#: against brute force, and that one against a scorer without automaton.
 ORACLE_SQL = None
 
 QUERIES = {"pipeline": run}
