@@ -12,12 +12,12 @@ are hashed as well wherever they start, if their hash is the least of PICK start
 alone: two stretches of GRAM + PICK - 1 equal words have a run in common, and runs follow each other without a gap.
 Of a passage that ends inside a sentence up to PICK - 1 words may stay at that end.
 
-Runs are known by 64 and 32 bits of two independent hashes.  They are aggregated before the shuffle to the first and
-last (doc_id, text) of each, so a passage that a third of all documents share is one row per task.  Runs that occur
-once are told by a Bloom filter of fixed size when texts are read the second time, so that only the others are shuffled
-to the join that brings them to their first place; Spark can split that join where a run is frequent.  Only texts that
-are cut are shuffled, once, by document, told by a filter of the same kind.  What the filters let pass in excess is
-joined with nothing.
+Runs are known by 64 and 32 bits of two independent hashes.  Texts are read twice.  The first time only hashes go to
+the shuffle, counted before it; those that occur more than once set bits of a filter of fixed size.  The second time
+runs that the filter passes are written out with their places, aggregated (before the shuffle) to the first and last
+(doc_id, text) of each, so a passage that a third of all documents share is one row per task, and joined with that
+first place; Spark can split that join where a run is frequent.  Only texts that are cut are shuffled, once, by
+document, told by a second filter.  What the filters let pass in excess, and be it all, costs time but changes nothing.
 
 Defined cases: null texts stay null and empty ones empty; a text of any length is read to its end; a text of which all
 is removed becomes empty; equal rows (same doc_id and text) count as one and are treated alike; different texts of one
@@ -44,8 +44,8 @@ from lumenlake.llm.lpf import window_minima
 LEAST_SENTENCES, LEAST_WORDS, LONG = 2, 16, 30
 #: Words of a run that is picked by its hash, starts in a row of which one is picked.
 GRAM, PICK = 25, 25
-#: Bits, as a power of two, of the filter that tells documents of which nothing is cut.
-BITS = 26
+#: Bits, as powers of two, of the filters of runs that recur and of documents of which something is cut.
+RUN_BITS, BITS = 27, 26
 _LOWEST = -(1 << 63)
 
 
@@ -109,26 +109,41 @@ def picked(batch: Batch, n: int, window: int = PICK) -> tuple[np.ndarray, np.nda
     return k[chosen], h[chosen]
 
 
-def _spans(docs: DataFrame, least_sentences: int, least_words: int, wanted=None) -> DataFrame:
+def _runs(batch: Batch, least_sentences: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, word after the last, hash, whether it is one of sentences) of the runs of a batch."""
+    s, n = Sentences(batch), max(GRAM, least_words)
+    i, j, h = s.runs(least_sentences, least_words)
+    k, g = picked(batch, n)
+    h = np.concatenate([h, g])
+    return np.concatenate([s.first[i], k]), np.concatenate([s.last[j], k + n]), h, np.arange(len(h)) < len(i)
+
+
+def _hashes(docs: DataFrame, least_sentences: int, least_words: int) -> DataFrame:
+    """The hash of every run."""
+
+    def hashes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for _, batch in batches(encoded(part.column(0).to_pylist())):
+                yield pa.RecordBatch.from_arrays([pa.array(_runs(batch, least_sentences, least_words)[2].view(np.int64))], ["hash"])
+
+    return docs.select("body").mapInArrow(hashes, "hash long")
+
+
+def _spans(docs: DataFrame, least_sentences: int, least_words: int, wanted) -> DataFrame:
     """doc, mark, run (first word << 24 | words), its two hashes and whether the same text has it further up.
 
     wanted: a broadcast filter of hashes; others are left out.
     """
 
     def spans(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if wanted is None else np.frombuffer(wanted.value, np.int64)
+        bits = np.frombuffer(wanted.value, np.int64)
         for part in parts:
             doc, mark = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for first, batch in batches(encoded(part.column(2).to_pylist())):
-                s, n = Sentences(batch), max(GRAM, least_words)
-                i, j, h = s.runs(least_sentences, least_words)
-                k, g = picked(batch, n)
-                start, end, h = np.concatenate([s.first[i], k]), np.concatenate([s.last[j], k + n]), np.concatenate([h, g])
-                sentences = np.arange(len(h)) < len(i)
-                if bits is not None:
-                    at = (h & np.uint64((1 << BITS) - 1)).astype(np.int64)
-                    known = (bits[at >> 6] >> (at & 63)) & 1 == 1
-                    start, end, h, sentences = start[known], end[known], h[known], sentences[known]
+                start, end, h, sentences = _runs(batch, least_sentences, least_words)
+                at = (h & np.uint64((1 << RUN_BITS) - 1)).astype(np.int64)
+                known = (bits[at >> 6] >> (at & 63)) & 1 == 1
+                start, end, h, sentences = start[known], end[known], h[known], sentences[known]
                 text = np.searchsorted(batch.first, start, side="right") - 1
                 order = np.lexsort((start, h, text))
                 fresh = np.ones(len(h), bool)
@@ -165,11 +180,11 @@ def _cut(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFram
         yield pd.DataFrame(out, columns=["kept", "removed", "spans"])
 
 
-def _filter(places: DataFrame):
-    """A broadcast filter of 2**BITS bits, of which those numbered in the column `at` are set."""
-    # At most 2**(BITS - 6) rows reach the driver.
+def _filter(places: DataFrame, size: int):
+    """A broadcast filter of 2**size bits, of which those numbered in the column `at` are set."""
+    # At most 2**(size - 6) rows reach the driver.
     words = places.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
-    bits = np.zeros(1 << (BITS - 6), np.int64)
+    bits = np.zeros(1 << (size - 6), np.int64)
     bits[words["word"].to_numpy()] = words["bits"].to_numpy()
     return places.sparkSession.sparkContext.broadcast(bits.tobytes())
 
@@ -193,14 +208,14 @@ def remove_repeated(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, lea
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("doc"), F.xxhash64(body).alias("mark"), body.alias("body"))
     texts = rows.select("doc", "mark", "body").where("body is not null")
     here = F.struct("doc", "mark")
+    again = _hashes(texts, least_sentences, least_words).groupBy("hash").count().where("count > 1")
+    wanted = _filter(again.select(F.col("hash").bitwiseAND(F.lit((1 << RUN_BITS) - 1)).alias("at")), RUN_BITS)
     # Written out, so that the join's two sides are both plain exchanges: only those can Spark split where a run is frequent.
-    first = durable(_spans(texts, least_sentences, least_words).groupBy("hash", "check").agg(F.min(here).alias("first"), F.max(here).alias("last"), F.max("again").alias("twice"))
-                    .where("first < last or twice").select("hash", "check", "first"))
-    wanted = _filter(first.select(F.col("hash").bitwiseAND(F.lit((1 << BITS) - 1)).alias("at")))
-    found = _spans(texts, least_sentences, least_words, wanted)
+    found = durable(_spans(texts, least_sentences, least_words, wanted))
+    first = durable(found.groupBy("hash", "check").agg(F.min(here).alias("first"), F.max(here).alias("last"), F.max("again").alias("twice")).where("first < last or twice").select("hash", "check", "first"))
     later = durable(found.join(first, ["hash", "check"]).where((here > F.col("first")) | F.col("again")).groupBy("doc", "mark").agg(F.collect_set("run").alias("runs")))
     place = F.pmod(F.xxhash64("doc", "mark"), F.lit(1 << BITS))
-    rows = rows.withColumn("some", _passes(_filter(later.select(place.alias("at"))), place))
+    rows = rows.withColumn("some", _passes(_filter(later.select(place.alias("at")), BITS), place))
     cut = (rows.where("some").join(later, ["doc", "mark"], "left")
            .select("row", F.col("body").alias("kept"), F.when(F.col("runs").isNotNull(), F.pandas_udf(_cut, "kept string, removed long, spans long")("body", "runs")).alias("cut")))
     whole = rows.where("not some").select("row", F.col("body").alias("kept"), F.lit(None).cast("struct<kept: string, removed: bigint, spans: bigint>").alias("cut"))
