@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,16 +57,3 @@ def mean_vectors(df: DataFrame, keys: list[str], vector: str, into: str = "centr
     means = rows.groupBy(*keys, "__p").agg((F.sum(F.col("__w") * F.col("__x")) / F.sum("__w")).alias("__m"))
     vectors = means.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__p", "__m"))).alias("__v"))
     return vectors.select(*keys, F.col("__v.__m").alias("__v")).where(norm(F.col("__v")) > EPSILON).select(*keys, unit(F.col("__v")).alias(into))
-
-
-def grid_cells(v: Column, width: float, dims: int = 2) -> Column:
-    """The cell of a unit vector in a grid over its first components.
-
-    Vectors within `width` of each other lie in the same or in adjacent cells, in every component.
-    """
-    return F.transform(F.slice(v, 1, dims), lambda x: F.floor(x / width).cast("int"))
-
-
-def near_cells(cell: Column, dims: int = 2) -> Column:
-    """The cell and its neighbours."""
-    return F.array(*(F.array(*(cell[i] + step for i, step in enumerate(steps))) for steps in product((-1, 0, 1), repeat=dims)))

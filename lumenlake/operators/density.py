@@ -7,47 +7,35 @@ from pyspark.sql import functions as F
 
 from lumenlake.functions import vector
 from lumenlake.functions.lineage import durable
-from lumenlake.operators.components import connected_components
-from lumenlake.operators.events import _named
+from lumenlake.operators import blocks
 
 
-def neighbours(rows: DataFrame, eps: float, dims: int = 2) -> DataFrame:
-    """(library_id, l_ord, r_ord) of rows (library_id, ord, embedding) with 1 - cosine <= eps, each pair both ways.
+def _near(eps: float) -> blocks.Rule:
+    return lambda rows, a, b: 1 - blocks.cosine(rows, a, b) <= eps
 
-    Unit vectors that near are within sqrt(2 eps) of each other, so they lie in the same or adjacent cells of a grid
-    over their first components.
-    """
-    step = (2 * eps) ** 0.5 + 1e-9
-    v = rows.where(vector.present(F.col("embedding"))).select("library_id", "ord", vector.unit(vector.as_double(F.col("embedding"))).alias("v"))
-    v = v.withColumn("cell", vector.grid_cells(F.col("v"), step, dims))
-    asked = v.withColumn("cell", F.explode(vector.near_cells(F.col("cell"), dims)))
-    both = _named(asked, "l_", ("library_id", "cell")).join(_named(v, "r_", ("library_id", "cell")), ["library_id", "cell"])
-    return both.where("l_ord <> r_ord").where(1 - vector.dot(F.col("l_v"), F.col("r_v")) <= eps).select("library_id", "l_ord", "r_ord")
+
+def _both_core(eps: float) -> blocks.Rule:
+    return lambda rows, a, b: _near(eps)(rows, a, b) & rows["core"][a][:, None] & rows["core"][b][None, :]
 
 
 def dbscan(rows: DataFrame, eps: float = 0.35, min_samples: int = 2) -> DataFrame:
     """rows with label: clusters of each library by their first core row, -1 for noise and for rows without a vector.
 
     A core row has min_samples rows within eps, itself among them; cores within eps share a cluster; a border row
-    takes the cluster with the smallest label among its cores.
+    takes the cluster with the smallest label among its cores.  Neighbours are counted, linked and labelled block by
+    block; no table of pairs is made.
     """
-    near = durable(neighbours(rows, eps))
-    counts = near.groupBy("library_id", F.col("l_ord").alias("ord")).agg((F.count("*") + 1).alias("n"))
-    if min_samples <= 1:
-        core = rows.where(vector.present(F.col("embedding"))).select("library_id", "ord")
-    else:
-        core = counts.where(F.col("n") >= min_samples).select("library_id", "ord")
-    node = lambda c: F.xxhash64(F.col("library_id").cast("string"), F.col(c).cast("long"))
-    left, right = core.select("library_id", F.col("ord").alias("l_ord")), core.select("library_id", F.col("ord").alias("r_ord"))
-    linked = near.join(left, ["library_id", "l_ord"], "left_semi").join(right, ["library_id", "r_ord"], "left_semi")
-    found = connected_components(linked.select(node("l_ord").alias("u"), node("r_ord").alias("v")))
-    cores = core.withColumn("id", node("ord")).join(found, "id", "left").select("library_id", "ord", F.coalesce("component", "id").alias("component"))
+    seen = rows.where(vector.present(F.col("embedding"))).select("library_id", blocks.node().alias("node"), F.col("ord").cast("long").alias("ord"), vector.as_double(F.col("embedding")).alias("embedding"))
+    counts = blocks.counted(seen, _near(eps))
+    marked = durable(seen.join(counts, "node", "left").withColumn("core", F.coalesce("n", F.lit(0)) + 1 >= min_samples).drop("n"))
+    found = blocks.linked(marked.where("core"), _both_core(eps))
+    cores = marked.where("core").select("library_id", "ord", "node").join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = cores.groupBy("library_id", "component").agg(F.min("ord").alias("head"))
     heads = heads.withColumn("label", (F.row_number().over(Window.partitionBy("library_id").orderBy("head")) - 1).cast("long"))
-    labelled = cores.join(heads, ["library_id", "component"]).select("library_id", "ord", "label")
-    border = (near.join(labelled.select("library_id", F.col("ord").alias("r_ord"), F.col("label").alias("border")), ["library_id", "r_ord"])
-              .groupBy("library_id", F.col("l_ord").alias("ord")).agg(F.min("border").alias("border")))
-    return rows.join(labelled, ["library_id", "ord"], "left").join(border, ["library_id", "ord"], "left").withColumn("label", F.coalesce("label", "border", F.lit(-1).cast("long"))).drop("border")
+    labelled = durable(cores.join(heads, ["library_id", "component"]).select("node", "label"))
+    border = blocks.least(marked.select("library_id", "node", "embedding").join(labelled, "node", "left"), _near(eps), "label")
+    label = labelled.unionByName(border).withColumnRenamed("node", "__node").withColumnRenamed("label", "__label")
+    return rows.withColumn("__node", blocks.node()).join(label, "__node", "left").withColumn("label", F.coalesce("__label", F.lit(-1).cast("long"))).drop("__node", "__label")
 
 
 def extract_faces(detections: DataFrame) -> DataFrame:

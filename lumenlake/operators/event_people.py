@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -28,6 +30,7 @@ class _Group:
 
     def __init__(self, ids: list[int]):
         self.ids, self.people, self.vector_sum, self.times, self.spots, self.appearance = ids, set(), None, np.zeros(0), np.zeros((0, 2)), {}
+        self._units: dict[int | None, np.ndarray | None] = {}
 
     def absorb(self, other: "_Group") -> None:
         self.ids += other.ids
@@ -38,6 +41,19 @@ class _Group:
         self.spots = np.unique(np.concatenate([self.spots, other.spots]), axis=0)
         for p, v in other.appearance.items():
             self.appearance[p] = self.appearance[p] + v if p in self.appearance else v
+        self._units = {}
+
+    def unit(self) -> np.ndarray | None:
+        """The direction of the vectors' sum."""
+        if None not in self._units:
+            self._units[None] = _unit(self.vector_sum)
+        return self._units[None]
+
+    def look(self, person: int) -> np.ndarray | None:
+        """The direction of a person's appearances."""
+        if person not in self._units:
+            self._units[person] = _unit(self.appearance[person])
+        return self._units[person]
 
 
 def _unit(v: np.ndarray | None) -> np.ndarray | None:
@@ -62,16 +78,21 @@ def _km(a: np.ndarray, b: np.ndarray) -> float:
 def _score(a: _Group, b: _Group, rules: dict) -> float | None:
     """The merge score of two events if it reaches what is required of them."""
     shared = a.people & b.people
-    va, vb = _unit(a.vector_sum), _unit(b.vector_sum)
+    va, vb = a.unit(), b.unit()
     if not shared or va is None or vb is None:
         return None
     visual = float(va @ vb)
     if visual < rules["min_visual"]:
         return None
     containment = len(shared) / max(1, min(len(a.people), len(b.people)))
-    looks = [float(_unit(a.appearance[p]) @ _unit(b.appearance[p])) for p in sorted(shared) if p in a.appearance and p in b.appearance and _unit(a.appearance[p]) is not None and _unit(b.appearance[p]) is not None]
+    required = rules["multi"] if len(shared) >= 2 else rules["merge"]
+    # Without knowing the looks: the most that the score can be.
+    if max(0.45 * visual + 0.30 * containment + 0.25, 0.55 * visual + 0.45 * containment) < required:
+        return None
+    known = [(a.look(p), b.look(p)) for p in sorted(shared) if p in a.appearance and p in b.appearance]
+    looks = [float(x @ y) for x, y in known if x is not None and y is not None]
     score = 0.45 * visual + 0.30 * containment + 0.25 * float(np.mean(looks)) if looks else 0.55 * visual + 0.45 * containment
-    if score < (rules["multi"] if len(shared) >= 2 else rules["merge"]):
+    if score < required:
         return None
     if len(a.times) and len(b.times) and _gap(a.times, b.times) > rules["gap_seconds"]:
         return None
@@ -81,30 +102,39 @@ def _score(a: _Group, b: _Group, rules: dict) -> float | None:
 
 
 def _greedy(groups: list[_Group], rules: dict) -> list[_Group]:
-    """Merges the best pair, again and again; the first of equal pairs wins; only pairs of a merged event change."""
-    scores: dict[tuple[int, int], float] = {}
-    alive = list(range(len(groups)))
-
-    def rate(i: int, j: int) -> None:
-        scores.pop((i, j), None)
-        if (s := _score(groups[i], groups[j], rules)) is not None:
-            scores[(i, j)] = s
+    """Merges the best pair, again and again; the first of equal pairs wins.
 
+    Only pairs that share a person are rated; they wait in a heap, and one that a merge has made stale is passed over.
+    After a merge only the merged event's pairs are rated anew.
+    """
+    alive = dict.fromkeys(range(len(groups)))
+    version = [0] * len(groups)
+    heap: list[tuple[float, int, int, int, int]] = []
     with_people: dict[int, set[int]] = {}
     for i, g in enumerate(groups):
         for p in g.people:
             with_people.setdefault(p, set()).add(i)
-    for i, j in sorted({(min(i, j), max(i, j)) for sharing in with_people.values() for i in sharing for j in sharing if i != j}):
-        rate(i, j)
-    while scores:
-        i, j = min(scores, key=lambda pair: (-scores[pair], pair))
+
+    def rate(i: int, j: int) -> None:
+        if (s := _score(groups[i], groups[j], rules)) is not None:
+            heapq.heappush(heap, (-s, i, j, version[i], version[j]))
+
+    for i in range(len(groups)):
+        for j in sorted(set().union(*(with_people[p] for p in groups[i].people))) if groups[i].people else ():
+            if i < j:
+                rate(i, j)
+    while heap:
+        _, i, j, vi, vj = heapq.heappop(heap)
+        if i not in alive or j not in alive or version[i] != vi or version[j] != vj:
+            continue
+        for p in groups[j].people:
+            with_people[p].discard(j)
+            with_people[p].add(i)
         groups[i].absorb(groups[j])
-        alive.remove(j)
-        for pair in [p for p in scores if j in p]:
-            del scores[pair]
-        for k in alive:
-            if k != i:
-                rate(min(i, k), max(i, k))
+        del alive[j]
+        version[i] += 1
+        for k in sorted(set().union(*(with_people[p] for p in groups[i].people)) - {i}):
+            rate(min(i, k), max(i, k))
     return [groups[i] for i in alive]
 
 

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.functions import geo, times, vector
-from lumenlake.operators.components import connected_components
+from lumenlake.operators import blocks
 
 STRATEGIES = ("time_only", "time_clip", "time_clip_gps", "strict_event", "strict_event_people")
 
@@ -81,50 +82,43 @@ def event_summary(members: DataFrame) -> DataFrame:
 _SIDE = ("library_id", "id", "ord", "captured_epoch", "captured_at_source", "latitude", "longitude", "embedding")
 
 
-def _sides(photos: DataFrame) -> DataFrame:
-    return photos.select(*_SIDE).withColumn("embedding", vector.as_double(F.col("embedding"))).withColumn("trusted", times.trusted(F.col("captured_at_source"), F.col("captured_epoch")))
+def _rows(photos: DataFrame) -> DataFrame:
+    """What the strict rule needs of photos."""
+    known = times.trusted(F.col("captured_at_source"), F.col("captured_epoch"))
+    return photos.select(*_SIDE).withColumn("embedding", vector.as_double(F.col("embedding"))).select(
+        "library_id", blocks.node().alias("node"), "id", F.col("ord").cast("long").alias("ord"), "captured_epoch", "latitude", "longitude", "embedding",
+        known.alias("trusted"), (F.coalesce(F.col("captured_at_source") == "filesystem", F.lit(False))).alias("from_file"))
+
+
+def strict_rule(config: EventConfig = DEFAULTS) -> blocks.Rule:
+    """Two photos with trusted times are near in time, look and place together; a pair with an untrusted one looks much
+    alike, the less so if both came in one batch of files."""
+    def rule(rows: blocks.Rows, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        seconds, alike = blocks.apart(rows, a, b, "captured_epoch"), blocks.cosine(rows, a, b)
+        gap = np.nan_to_num(np.minimum(seconds / 3600.0 / max(config.max_gap_hours, 1e-6), 1.0), nan=1.0)
+        far = np.nan_to_num(blocks.kilometres(rows, a, b)) / config.geo_scale_km
+        distance = config.time_weight * gap + config.visual_weight * np.nan_to_num(1 - alike) + config.geo_weight * np.minimum(far, 1.0)
+        known, file = rows["trusted"], rows["from_file"]
+        both = known[a][:, None] & known[b][None, :]
+        batch = file[a][:, None] & file[b][None, :] & (seconds <= config.batch_seconds)
+        return np.where(both, (gap < 1.0) & (distance <= config.threshold), alike >= np.where(batch, config.in_batch_similarity, config.high_similarity))
+
+    return rule
 
 
-def _named(df: DataFrame, prefix: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    return df.select(*(F.col(c) if c in keep else F.col(c).alias(prefix + c) for c in df.columns))
+def _placement(config: EventConfig) -> dict:
+    """Trusted photos meet within the longest gap, the others meet all."""
+    return {"loose": ~F.col("trusted"), "at": F.col("captured_epoch"), "width": max(config.max_gap_hours, 1e-6) * 3600}
 
 
 def strict_pairs(photos: DataFrame, config: EventConfig = DEFAULTS) -> DataFrame:
-    """(library_id, left_id, left_ord, right_id, right_ord): pairs that the strict rule puts into one event.
+    """(library_id, left_id, left_ord, right_id, right_ord): pairs that the strict rule puts into one event."""
+    return blocks.pairs(_rows(photos), strict_rule(config), **_placement(config))
 
-    Two photos with trusted times meet in an equi-join on time buckets as wide as the longest gap.  A pair with an
-    untrusted photo needs a high cosine; unit vectors that similar lie in the same or adjacent cells of a grid over
-    their first components, on which they meet.  Both joins are exact.
-    """
-    rows = _sides(photos)
-    width = max(config.max_gap_hours, 1e-6) * 3600
-    known = rows.where("trusted").withColumn("bucket", F.floor(F.col("captured_epoch") / width))
-    left = _named(known.withColumn("bucket", F.explode(F.array(*(F.col("bucket") + d for d in (-1, 0, 1))))), "l_", ("library_id", "bucket"))
-    timed = (left.join(_named(known, "r_", ("library_id", "bucket")), ["library_id", "bucket"]).where("l_ord < r_ord")
-             .where((time_component(F.col("l_captured_epoch"), F.col("r_captured_epoch"), config) < 1.0)
-                    & (event_distance(_fields("l_"), _fields("r_"), "time_clip_gps", config) <= config.threshold)))
-
-    least = min(config.in_batch_similarity, config.high_similarity)
-    step = (2 - 2 * least) ** 0.5 + 1e-9 if least < 1 else 1e-6
-    seen = rows.where(vector.present(F.col("embedding"))).withColumn("cell", vector.grid_cells(vector.unit(F.col("embedding")), step))
-    asked = _named(seen.where("not trusted").withColumn("cell", F.explode(vector.near_cells(F.col("cell")))), "l_", ("library_id", "cell"))
-    both = asked.join(_named(seen, "r_", ("library_id", "cell")), ["library_id", "cell"]).where("l_ord < r_ord or (r_trusted and l_ord <> r_ord)")
-    batch = ((F.col("l_captured_at_source") == "filesystem") & (F.col("r_captured_at_source") == "filesystem")
-             & (F.abs(F.col("l_captured_epoch") - F.col("r_captured_epoch")) <= config.batch_seconds))
-    alike = both.where(vector.cosine(F.col("l_embedding"), F.col("r_embedding")) >= F.when(batch, config.in_batch_similarity).otherwise(config.high_similarity))
-    smaller = F.col("l_ord") < F.col("r_ord")
-    ends = [F.when(smaller, F.col(f"l_{c}")).otherwise(F.col(f"r_{c}")).alias(f"left_{c}") for c in ("id", "ord")] + [F.when(smaller, F.col(f"r_{c}")).otherwise(F.col(f"l_{c}")).alias(f"right_{c}") for c in ("id", "ord")]
-    return timed.select("library_id", *ends).unionByName(alike.select("library_id", *ends))
-
-
-def group_by_pairs(rows: DataFrame, pairs: DataFrame, into: str) -> DataFrame:
-    """rows (library_id, id, ord, ...) with the number of their component under pairs of ords, by smallest ord.
-
-    Nodes are hashes of (library_id, ord), so one run of components serves all libraries.
-    """
-    node = lambda ord_: F.xxhash64(F.col("library_id").cast("string"), F.col(ord_).cast("long"))
-    found = connected_components(pairs.select(node("left_ord").alias("u"), node("right_ord").alias("v")))
-    keyed = rows.withColumn("__node", node("ord")).join(found.withColumnRenamed("id", "__node"), "__node", "left")
+
+def group_by_components(rows: DataFrame, found: DataFrame, into: str) -> DataFrame:
+    """rows (library_id, id, ord, ...) with the number of their component (id, component), by smallest ord."""
+    keyed = rows.withColumn("__node", blocks.node()).join(found.withColumnRenamed("id", "__node"), "__node", "left")
     keyed = keyed.withColumn("__group", F.coalesce("component", "__node"))
     heads = keyed.groupBy("library_id", "__group").agg(F.min("ord").alias("__head"))
     heads = heads.withColumn(into, (F.row_number().over(Window.partitionBy("library_id").orderBy("__head")) - 1).cast("long"))
@@ -133,7 +127,7 @@ def group_by_pairs(rows: DataFrame, pairs: DataFrame, into: str) -> DataFrame:
 
 def strict_events(photos: DataFrame, config: EventConfig = DEFAULTS) -> DataFrame:
     """photos with event_id: components of the strict pairs, numbered by their first photo."""
-    return group_by_pairs(photos, strict_pairs(photos, config), "event_id")
+    return group_by_components(photos, blocks.linked(_rows(photos), strict_rule(config), **_placement(config)), "event_id")
 
 
 def strict_summary(members: DataFrame) -> DataFrame:

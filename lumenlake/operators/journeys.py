@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.functions import geo
@@ -30,25 +34,20 @@ def journeys(events: DataFrame, max_gap_days: float = MAX_GAP_DAYS) -> DataFrame
     """Events with journey_id under all states.
 
     An event without a centre joins the open journey if the gap is within the limit, and only then counts as the last
-    one.  Each library's timed events are folded in order inside the JVM; the fold's state is a library's own list.
+    one.  So it joins if the last event of a known state is away and no gap since then is above the limit; and an away
+    event goes on with the journey under the same condition.  Windows in one order of time tell both.
     """
-    timed = events.where("start_epoch is not null")
-    rows = timed.groupBy("library_id").agg(F.array_sort(F.collect_list(F.struct("start_epoch", "event_id", "state"))).alias("e"))
-    empty = F.array().cast("array<struct<event_id: bigint, journey_id: bigint>>")
-    start = F.struct(F.lit(False).alias("open"), F.lit(None).cast("double").alias("last"), F.lit(-1).cast("long").alias("journey"), empty.alias("out"))
-
-    def step(s: Column, e: Column) -> Column:
-        gap = F.coalesce(F.abs(e["start_epoch"] - s["last"]) / 86400.0, F.lit(0.0))
-        home, away = e["state"] == "home", e["state"] == "away"
-        new = away & (~s["open"] | (gap > max_gap_days))
-        joins = away | (~home & s["open"] & (gap <= max_gap_days))
-        journey = F.when(new, s["journey"] + 1).otherwise(s["journey"])
-        return F.struct(
-            F.when(home, False).otherwise(s["open"] | away).alias("open"), F.when(home | joins, e["start_epoch"]).otherwise(s["last"]).alias("last"), journey.alias("journey"),
-            F.when(joins, F.concat(s["out"], F.array(F.struct(e["event_id"].cast("long").alias("event_id"), journey.alias("journey_id"))))).otherwise(s["out"]).alias("out"))
-
-    folded = rows.select("library_id", F.explode(F.aggregate("e", start, step)["out"]).alias("m"))
-    return events.join(folded.select("library_id", "m.event_id", "m.journey_id"), ["library_id", "event_id"])
+    order = Window.partitionBy("library_id").orderBy("start_epoch", "event_id")
+    until, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    gap = F.abs(F.col("start_epoch") - F.lag("start_epoch").over(order)) / 86400.0
+    timed = events.where("start_epoch is not null").withColumn("__wide", F.sum(F.coalesce(gap > max_gap_days, F.lit(False)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    known = F.struct(F.col("state"), F.col("__wide").alias("wide"))
+    timed = timed.withColumn("__known", F.last(F.when(F.col("state").isin("home", "away"), known), ignorenulls=True).over(before))
+    on = F.coalesce((F.col("__known.state") == "away") & (F.col("__known.wide") == F.col("__wide")), F.lit(False))
+    away = F.col("state") == "away"
+    marked = timed.withColumn("__joins", away | (on & (F.col("state") != "home"))).withColumn("__opens", (away & ~on).cast("int"))
+    numbered = marked.withColumn("journey_id", (F.sum("__opens").over(until) - 1).cast("long"))
+    return numbered.where("__joins").drop("__wide", "__known", "__joins", "__opens")
 
 
 def attach_timeless(members: DataFrame, events: DataFrame, score: float = ATTACH_SCORE, margin: float = ATTACH_MARGIN) -> DataFrame:
@@ -94,26 +93,41 @@ def stops(members: DataFrame, radius_km: float = STOP_RADIUS_KM) -> DataFrame:
     """Members (library_id, journey_id, event_id, start_epoch, centroid_*, destination) with stop_id.
 
     An event opens a stop if it is farther than radius_km from the running mean of the stop's centres, unless both
-    have the same named destination; events without a centre stay.  Folded in time order, journey by journey.
+    have the same named destination; events without a centre stay.  Journeys are read event by event in order of time,
+    with the sums of one stop as the only state.
     """
-    rows = members.groupBy("library_id", "journey_id").agg(F.array_sort(F.collect_list(F.struct(
-        F.col("start_epoch").isNull().alias("late"), F.col("start_epoch").alias("at"), "event_id", F.col("centroid_latitude").alias("lat"), F.col("centroid_longitude").alias("lon"), "destination"))).alias("e"))
-    empty = F.array().cast("array<struct<event_id: bigint, stop_id: bigint>>")
-    start = F.struct(F.lit(-1).cast("long").alias("stop"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("string").alias("name"), empty.alias("out"))
-
-    def step(s: Column, e: Column) -> Column:
-        here = e["lat"].isNotNull() & e["lon"].isNotNull()
-        far = geo.haversine_km(e["lat"], e["lon"], s["lat"] / s["n"], s["lon"] / s["n"]) > radius_km
-        same = F.coalesce(e["destination"] == s["name"], F.lit(False))
-        new = (s["stop"] < 0) | (here & (s["n"] > 0) & ~same & F.coalesce(far, F.lit(False)))
-        stop = F.when(new, s["stop"] + 1).otherwise(s["stop"])
-        fresh = lambda field, add: F.when(new, F.lit(0)).otherwise(s[field]) + F.when(here, add).otherwise(F.lit(0))
-        return F.struct(stop.alias("stop"), fresh("lat", e["lat"]).cast("double").alias("lat"), fresh("lon", e["lon"]).cast("double").alias("lon"), fresh("n", F.lit(1)).cast("long").alias("n"),
-                        F.when(new, e["destination"]).otherwise(F.coalesce(s["name"], e["destination"])).alias("name"),
-                        F.concat(s["out"], F.array(F.struct(e["event_id"].cast("long").alias("event_id"), stop.alias("stop_id")))).alias("out"))
-
-    folded = rows.select("library_id", "journey_id", F.explode(F.aggregate("e", start, step)["out"]).alias("m"))
-    return members.join(folded.select("library_id", "journey_id", "m.event_id", "m.stop_id"), ["library_id", "journey_id", "event_id"])
+    keys = ["library_id", "journey_id"]
+    kinds = dict(members.dtypes)
+    rows = members.select(*keys, F.col("start_epoch").isNull().alias("late"), F.col("start_epoch").alias("at"), F.col("event_id").cast("long").alias("event_id"),
+                          F.col("centroid_latitude").cast("double").alias("lat"), F.col("centroid_longitude").cast("double").alias("lon"), F.col("destination").cast("string").alias("destination"))
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "late", "at", "event_id").select(*keys, "event_id", "lat", "lon", "destination")
+
+    def number(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, stop, lat, lon, n, name = None, 0, 0.0, 0.0, 0, None
+        for part in parts:
+            out = []
+            for library, journey, la, lo, place in zip(*(part.column(k).to_pylist() for k in (0, 1, 3, 4, 5)), strict=True):
+                here = la is not None and lo is not None
+                new = here and n > 0 and not (place is not None and place == name) and kilometres(la, lo, lat / n, lon / n) > radius_km
+                if now != (library, journey):
+                    now, stop, lat, lon, n, name = (library, journey), 0, 0.0, 0.0, 0, None
+                elif new:
+                    stop, lat, lon, n, name = stop + 1, 0.0, 0.0, 0, None
+                if here:
+                    lat, lon, n = lat + la, lon + lo, n + 1
+                name = place if name is None else name
+                out.append(stop)
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), pa.array(out, pa.int64())], ["library_id", "journey_id", "event_id", "stop_id"])
+
+    numbered = ordered.mapInArrow(number, f"library_id {kinds['library_id']}, journey_id {kinds['journey_id']}, event_id long, stop_id long")
+    return members.join(numbered, [*keys, "event_id"])
+
+
+def kilometres(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
+    """The great-circle distance of two points."""
+    p, q, r, s = map(math.radians, (lat1, lon1, lat2, lon2))
+    h = math.sin((r - p) / 2) ** 2 + math.cos(p) * math.cos(r) * math.sin((s - q) / 2) ** 2
+    return 2 * geo.EARTH_KM * math.asin(math.sqrt(min(h, 1.0)))
 
 
 def stop_summary(stopped: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.functions import geo
-from lumenlake.operators.components import connected_components
+from lumenlake.operators import blocks
 
 
 def _spots(photos: DataFrame) -> DataFrame:
@@ -16,38 +16,16 @@ def _spots(photos: DataFrame) -> DataFrame:
     return photos.where(geo.located(F.col("latitude"), F.col("longitude"))).select("library_id", F.col("latitude").cast("double").alias("latitude"), F.col("longitude").cast("double").alias("longitude")).distinct()
 
 
-def _spot_pairs(spots: DataFrame, km: float) -> DataFrame:
-    """Nodes u, v of spots within km: on bands of latitude and, within a band, cells of longitude.
-
-    Cells of longitude are as wide as km at the band's edge away from the equator, one band beyond; near the poles a
-    band is one cell.  Cells wrap around at 180 degrees.
-    """
-    step = math.degrees(km / geo.EARTH_KM)
-    band = geo.latitude_band(F.col("latitude"), km)
-    # The pair's two bands may differ by one; both sides use the cells of the asked band.
-    def cells(of):
-        edge = F.least(F.greatest(F.abs(of - 1), F.abs(of + 2)) * step, F.lit(90.0))
-        wide = F.lit(step) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-9)) * 1.0001
-        return F.greatest(F.floor(F.lit(360.0) / wide), F.lit(1)).cast("long")
-
-    node = F.xxhash64(F.col("library_id").cast("string"), "latitude", "longitude")
-    known = spots.withColumn("node", node).withColumn("band", band)
-    count = cells(F.col("band"))
-    cell = F.floor((F.col("longitude") + 180) / 360 * F.col("count")) % F.col("count")
-    right = known.withColumn("count", count).withColumn("cell", cell)
-    left = (known.withColumn("band", F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1))))).withColumn("count", count).withColumn("cell", cell)
-            .withColumn("cell", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(F.col("cell") + d, F.col("count")))))))
-    keep = ["library_id", "band", "cell"]
-    both = left.select(*keep, F.col("node").alias("u"), F.col("latitude").alias("lat1"), F.col("longitude").alias("lon1")).join(
-        right.select(*keep, F.col("node").alias("v"), F.col("latitude").alias("lat2"), F.col("longitude").alias("lon2")), keep)
-    return both.where(F.col("u") != F.col("v")).where(geo.haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")) <= km).select("u", "v")
+def _within(km: float) -> blocks.Rule:
+    return lambda rows, a, b: blocks.kilometres(rows, a, b) <= km
 
 
 def gps_members(photos: DataFrame, radius_km: float = 40.0) -> DataFrame:
     """Located photos with cluster_id: single linkage at radius_km, numbered by size, then by the first photo."""
     located = photos.where(geo.located(F.col("latitude"), F.col("longitude")))
-    found = connected_components(_spot_pairs(_spots(photos), radius_km))
     node = F.xxhash64(F.col("library_id").cast("string"), F.col("latitude").cast("double"), F.col("longitude").cast("double"))
+    # Spots within the radius are within its degrees of latitude, whatever their longitudes.
+    found = blocks.linked(_spots(photos).withColumn("node", node), _within(radius_km), at=F.col("latitude"), width=math.degrees(radius_km / geo.EARTH_KM) * 1.0001)
     keyed = located.withColumn("__node", node).join(found.withColumnRenamed("id", "__node"), "__node", "left").withColumn("__group", F.coalesce("component", "__node"))
     sizes = keyed.groupBy("library_id", "__group").agg(F.count("*").alias("__n"), F.min("ord").alias("__head"))
     sizes = sizes.withColumn("cluster_id", (F.row_number().over(Window.partitionBy("library_id").orderBy(F.desc("__n"), "__head")) - 1).cast("long"))
@@ -80,16 +58,29 @@ def gps_clusters(photos: DataFrame, radius_km: float = 40.0, gazetteer: DataFram
             .drop("g_name", "g_suffix", "distance_km"))
 
 
+#: Degrees of latitude within which the nearest place is sought first, then, and at last.
+REACH = (1, 8, 180)
+
+
 def nearest(points: DataFrame, places: DataFrame, keys: list[str], at: tuple[str, str], of: tuple[str, str], carry: list[str]) -> DataFrame:
     """keys, carry and distance_km of the place nearest to each point; the first listed wins a tie.
 
-    places is a configured list; every point is held against all of it, which a minimum then folds before any shuffle.
+    Points and places meet on bands of a degree of latitude, first near each other; points whose nearest place so found
+    is farther away than all that was looked at seek on in a wider range.
     """
-    listed = places.select(*carry, *of).withColumn("__i", F.monotonically_increasing_id())
-    listed = listed.agg(F.array_sort(F.collect_list(F.struct("__i", *carry, *of))).alias("__places"))
-    joined = points.where(F.col(at[0]).isNotNull() & F.col(at[1]).isNotNull()).join(listed, F.lit(True))
-    best = F.array_min(F.transform("__places", lambda p: F.struct(geo.haversine_km(F.col(at[0]), F.col(at[1]), p[of[0]], p[of[1]]).alias("distance_km"), p["__i"].alias("__i"), *(p[c].alias(c) for c in carry))))
-    return joined.withColumn("__best", best).where("__best is not null").select(*keys, *(F.col(f"__best.{c}").alias(c) for c in carry), "__best.distance_km")
+    listed = places.select(*carry, F.col(of[0]).alias("__lat"), F.col(of[1]).alias("__lon")).where("__lat is not null and __lon is not null").withColumn("__i", F.monotonically_increasing_id())
+    listed = listed.withColumn("__band", F.floor("__lat").cast("int"))
+    left = points.where(F.col(at[0]).isNotNull() & F.col(at[1]).isNotNull()).select(*keys, F.col(at[0]).alias("__a"), F.col(at[1]).alias("__o"))
+    out = None
+    for reach in REACH:
+        asked = left.withColumn("__band", F.explode(F.sequence(F.floor(F.col("__a") - reach).cast("int"), F.floor(F.col("__a") + reach).cast("int"))))
+        one = F.struct(geo.haversine_km(F.col("__a"), F.col("__o"), F.col("__lat"), F.col("__lon")).alias("distance_km"), "__i", *carry)
+        best = asked.join(listed, "__band").groupBy(*keys, "__a", "__o").agg(F.min(one).alias("__best"))
+        sure = best.where(F.col("__best.distance_km") <= math.radians(reach) * geo.EARTH_KM) if reach != REACH[-1] else best
+        found = sure.select(*keys, *(F.col(f"__best.{c}").alias(c) for c in carry), "__best.distance_km")
+        out = found if out is None else out.unionByName(found)
+        left = left.join(sure.select(*keys), keys, "left_anti")
+    return out
 
 
 def journey_places(clusters: DataFrame, minimum_photos: int = 2) -> DataFrame:

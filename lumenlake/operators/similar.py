@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.functions import vector
-from lumenlake.operators.events import _named, group_by_pairs
-
-#: Bits of a hash.
-BITS = 64
+from lumenlake.operators import blocks
+from lumenlake.operators.events import group_by_components
 
 
 def hamming(a_hi: Column, a_lo: Column, b_hi: Column, b_lo: Column) -> Column:
@@ -24,67 +23,37 @@ def hamming_text(a: Column, b: Column) -> Column:
     return differing + F.abs(F.length(a) - F.length(b))
 
 
-def _bands(hi: Column, lo: Column, distance: int) -> Column:
-    """distance + 1 stretches of the hash: two hashes within the distance agree in one of them at least."""
-    edges = [round(i * BITS / (distance + 1)) for i in range(distance + 2)]
-
-    def bits(a: int, b: int) -> Column:
-        part = lambda w, x, y: F.shiftright(w, 32 - y).bitwiseAND(F.lit((1 << (y - x)) - 1))
-        if b <= 32:
-            return part(hi, a, b)
-        if a >= 32:
-            return part(lo, a - 32, b - 32)
-        return F.shiftleft(part(hi, a, 32), b - 32) + part(lo, 0, b - 32)
+_COLUMNS = ("library_id", "id", "ord", "captured_epoch", "phash_hi", "phash_lo", "embedding")
 
-    return F.array(*(F.struct(F.lit(i).alias("band"), bits(a, b).alias("value")) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))))
 
+def _rows(photos: DataFrame) -> DataFrame:
+    return photos.select(*_COLUMNS).select("library_id", blocks.node().alias("node"), "id", F.col("ord").cast("long").alias("ord"), "captured_epoch", "phash_hi", "phash_lo", vector.as_double(F.col("embedding")).alias("embedding"))
 
-_COLUMNS = ("library_id", "id", "ord", "captured_epoch", "phash_hi", "phash_lo", "embedding")
 
+def alike_rule(phash_distance: int, similarity: float, window_seconds: float, require_time: bool) -> blocks.Rule:
+    """Two photos that look alike, by hash or vector, and pass the time gate: within the window, or a time is missing."""
+    def rule(rows: blocks.Rows, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = (blocks.bits_apart(rows, a, b, ("phash_hi", "phash_lo")) <= phash_distance) | (blocks.cosine(rows, a, b) >= similarity)
+        return out & ~(blocks.apart(rows, a, b, "captured_epoch") > window_seconds) if require_time else out
 
-def _alike(phash_distance: int, similarity: float) -> Column:
-    near = hamming(F.col("l_phash_hi"), F.col("l_phash_lo"), F.col("r_phash_hi"), F.col("r_phash_lo")) <= phash_distance
-    close = vector.cosine(F.col("l_embedding"), F.col("r_embedding")) >= similarity
-    return F.coalesce(near, F.lit(False)) | F.coalesce(close, F.lit(False))
+    return rule
 
 
-def _meeting(left: DataFrame, right: DataFrame, phash_distance: int, similarity: float) -> DataFrame:
-    """Pairs (l_..., r_...) of two sides that agree in a hash band or lie in adjacent cells: all that can be alike."""
-    step = (2 - 2 * similarity) ** 0.5 + 1e-9
-    banded = lambda df: df.where("phash_hi is not null").withColumn("key", F.explode(_bands(F.col("phash_hi"), F.col("phash_lo"), phash_distance)))
-    by_hash = _named(banded(left), "l_", ("library_id", "key")).join(_named(banded(right), "r_", ("library_id", "key")), ["library_id", "key"])
-    celled = lambda df: df.where(vector.present(F.col("embedding"))).withColumn("cell", vector.grid_cells(vector.unit(F.col("embedding")), step))
-    asked = celled(left).withColumn("cell", F.explode(vector.near_cells(F.col("cell"))))
-    by_vector = _named(asked, "l_", ("library_id", "cell")).join(_named(celled(right), "r_", ("library_id", "cell")), ["library_id", "cell"])
-    return by_hash.drop("key").unionByName(by_vector.drop("cell"))
+def _placement(window_seconds: float, require_time: bool) -> dict:
+    """Photos with a time meet within the window, the others (and all, without a gate) meet all."""
+    return {"loose": F.col("captured_epoch").isNull(), "at": F.col("captured_epoch"), "width": max(window_seconds, 1e-6)} if require_time else {}
 
 
 def similar_pairs(photos: DataFrame, phash_distance: int = 10, similarity: float = 0.90, window_seconds: float = 30.0, require_time: bool = True) -> DataFrame:
-    """(library_id, left_id, left_ord, right_id, right_ord) of photos that look alike and pass the time gate.
-
-    The gate passes within the window, and where either time is missing.  Timed photos meet on time buckets; untimed
-    ones (and all, without a gate) on hash bands and grid cells, which lose no pair.
-    """
-    rows = photos.select(*_COLUMNS).withColumn("embedding", vector.as_double(F.col("embedding")))
-    if require_time:
-        timed = rows.where("captured_epoch is not null").withColumn("bucket", F.floor(F.col("captured_epoch") / max(window_seconds, 1e-6)))
-        left = _named(timed.withColumn("bucket", F.explode(F.array(*(F.col("bucket") + d for d in (-1, 0, 1))))), "l_", ("library_id", "bucket"))
-        close = left.join(_named(timed, "r_", ("library_id", "bucket")), ["library_id", "bucket"]).where(F.abs(F.col("l_captured_epoch") - F.col("r_captured_epoch")) <= window_seconds)
-        untimed = _meeting(rows.where("captured_epoch is null"), rows, phash_distance, similarity)
-        both = close.where("l_ord < r_ord").drop("bucket").unionByName(untimed.where("l_ord < r_ord or (r_captured_epoch is not null and l_ord <> r_ord)"))
-    else:
-        both = _meeting(rows, rows, phash_distance, similarity).where("l_ord < r_ord")
-    found = both.where(_alike(phash_distance, similarity))
-    smaller = F.col("l_ord") < F.col("r_ord")
-    return found.select("library_id", *(F.when(smaller if side == "left" else ~smaller, F.col(f"l_{c}")).otherwise(F.col(f"r_{c}")).alias(f"{side}_{c}") for side in ("left", "right") for c in ("id", "ord"))).distinct()
-
-
-def similar_groups(photos: DataFrame, **gate) -> DataFrame:
+    """(library_id, left_id, left_ord, right_id, right_ord) of photos that look alike and pass the time gate."""
+    return blocks.pairs(_rows(photos), alike_rule(phash_distance, similarity, window_seconds, require_time), **_placement(window_seconds, require_time))
+
+
+def similar_groups(photos: DataFrame, phash_distance: int = 10, similarity: float = 0.90, window_seconds: float = 30.0, require_time: bool = True) -> DataFrame:
     """Members of groups of two or more: photos with group_id, numbered by the first member, and representative_id."""
-    pairs = similar_pairs(photos, **gate)
-    paired = pairs.select("library_id", F.col("left_ord").alias("ord")).unionByName(pairs.select("library_id", F.col("right_ord").alias("ord"))).distinct()
-    members = group_by_pairs(photos.join(paired, ["library_id", "ord"], "left_semi"), pairs, "group_id")
-    return with_best_shot(members)
+    found = blocks.linked(_rows(photos), alike_rule(phash_distance, similarity, window_seconds, require_time), **_placement(window_seconds, require_time))
+    grouped = photos.withColumn("__node", blocks.node()).join(found.select(F.col("id").alias("__node")), "__node", "left_semi").drop("__node")
+    return with_best_shot(group_by_components(grouped, found, "group_id"))
 
 
 def with_best_shot(members: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Events: the sequential, strict and people strategies, journeys and stops."""
 
+import copy
 import random
 from datetime import datetime, timedelta
 from itertools import combinations
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenlake.operators import event_people, events, journeys, places
+from lumenlake.operators import event_people, events, journeys, metrics, places
 from tests.helpers import groups, photos
 
 
@@ -170,6 +171,70 @@ def test_timeless_events_join_only_with_a_clear_lead(spark):
     assert {(r.event_id, r.journey_id) for r in journeys.attach_timeless(m, e).collect()} == {(0, 0), (1, 1), (2, 0)}
 
 
+def test_attachment_against_a_loop(spark):
+    rng = random.Random(15)
+
+    def unit():
+        v = np.array([1.0, 0.2 * rng.gauss(0, 1), 0.2 * rng.gauss(0, 1)]) if rng.random() < 0.5 else np.array([0.2 * rng.gauss(0, 1), 1.0, 0.3 * rng.gauss(0, 1)])
+        return (v / np.linalg.norm(v)).tolist()
+
+    rows = [("L", i, float(i) if i < 12 else None, unit() if rng.random() < 0.9 else None, [rng.randrange(4) for _ in range(rng.randint(0, 2))]) for i in range(60)]
+    members = [("L", i, int(rows[i][3] is None or rows[i][3][0] < 0.7)) for i in range(12)]
+    vectors, people, want = {0: [], 1: []}, {0: set(), 1: set()}, {}
+    for _, i, j in members:
+        want[i] = j
+        people[j] |= set(rows[i][4])
+        vectors[j] += [rows[i][3]] if rows[i][3] else []
+    for _, i, _, v, p in rows[12:]:
+        score = {j: 0.65 * max([float(np.dot(v, m)) for m in vectors[j]] if v else [0.0], default=0.0) + 0.35 * (len(set(p) & people[j]) / len(set(p)) if p else 0.0) for j in vectors}
+        best = max(score, key=lambda j: (score[j], j))
+        if score[best] >= 0.84 and score[best] - score[1 - best] >= 0.08:
+            want[i] = best
+            people[best] |= set(p)
+            vectors[best] += [v] if v else []
+    e = spark.createDataFrame(rows, "library_id string, event_id long, start_epoch double, centroid array<double>, person_ids array<long>")
+    m = spark.createDataFrame(members, "library_id string, event_id long, journey_id long")
+    assert {r.event_id: r.journey_id for r in journeys.attach_timeless(m, e).collect()} == want and len(want) > 14
+
+
+def test_greedy_merging_against_all_pairs():
+    rng = random.Random(16)
+    rules = {"min_visual": 0.72, "merge": 0.86, "multi": 0.82, "gap_seconds": 3600, "geo_km": 80}
+
+    def group(i):
+        g = event_people._Group([i])
+        g.people = {rng.randrange(5) for _ in range(rng.randint(0, 3))}
+        g.vector_sum = np.array([1.0, rng.gauss(0, 0.5), rng.gauss(0, 0.3)]) * rng.randint(1, 4)
+        g.times = np.array(sorted(rng.uniform(0, 9000) for _ in range(rng.randint(0, 2))))
+        g.spots = np.array([[30 + rng.random(), 104.0] for _ in range(rng.randint(0, 2))]).reshape(-1, 2)
+        g.appearance = {p: np.array([1.0, rng.random()]) for p in g.people if rng.random() < 0.5}
+        return g
+
+    for _ in range(12):
+        made = [group(i) for i in range(14)]
+        copies = [copy.deepcopy(g) for g in made]
+        while True:
+            rated = [(-s, i, j) for i in range(len(copies)) for j in range(i + 1, len(copies)) if (s := event_people._score(copies[i], copies[j], rules)) is not None]
+            if not rated:
+                break
+            _, i, j = min(rated, key=lambda r: (r[0], copies[r[1]].ids[0], copies[r[2]].ids[0]))
+            copies[i].absorb(copies[j])
+            del copies[j]
+        assert sorted(sorted(g.ids) for g in event_people._greedy(made, rules)) == sorted(sorted(g.ids) for g in copies)
+
+
+def test_evaluation_of_strategies_and_journeys(spark):
+    p = photos(spark, *({"captured_at": at(h), "embedding": [1.0, 0.0]} for h in (0, 1 / 6, 24)))
+    expected = spark.createDataFrame([("L", "a", "1"), ("L", "b", "1"), ("L", "c", "2")], "library_id string, id string, label string")
+    got = {r.strategy: r.f1 for r in metrics.evaluate_event_strategies(p, expected, lambda s: events.find_events(p, s), events.STRATEGIES).collect()}
+    assert got == dict.fromkeys(events.STRATEGIES, 1.0)
+    with_one = metrics.evaluate_labels(p, expected, metrics.event_labels(events.sequential_events(p)).where("id <> 'c'")).first()
+    assert with_one.f1 == 1 and with_one.coverage == pytest.approx(2 / 3)
+    stopped = spark.createDataFrame([("L", 0, 0, 0), ("L", 1, 0, 1)], "library_id string, event_id long, journey_id long, stop_id long")
+    levels = metrics.evaluate_journey_hierarchy(p, events.sequential_events(p), stopped, expected.withColumn("label", F.lit("trip")), expected.withColumn("label", F.lit("stop"))).collect()
+    assert {r.level: (r.f1, r.coverage) for r in levels} == {"parent_journey": (1.0, 1.0), "journey_stop": (pytest.approx(0.5), 1.0)}
+
+
 def test_home_is_where_most_months_are(spark):
     rows = [{"captured_at": f"2025-0{m}-03T10:00:00", "latitude": 30.0 + 0.005 * m, "longitude": 104.0} for m in (1, 2, 3)] + [{"captured_at": f"2025-02-1{d}T10:00:00", "latitude": 22.30 + 0.01 * d, "longitude": 114.2} for d in (0, 1)]
     clusters = places.gps_clusters(photos(spark, *rows, {"latitude": 1.0}), 20)
