@@ -5,7 +5,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +36,9 @@ EXPANSIONS = {
 QUERY_STRATEGIES = ("raw_clip", "prompt_ensemble", "query_enhancement")
 #: Dimensions of the hash encoder and slots per token.
 DIM, SLOTS = 256, 12
+#: Tokens whose slots a worker keeps.
+MOST_TOKENS = 200_000
+_BLANKS = re.compile("[ \\t\\n\\x0b\\f\\r]+")
 
 
 def _strings(values: list[str]) -> Column:
@@ -61,30 +67,49 @@ def query_texts(query: Column, strategy: str = "query_enhancement") -> Column:
     return F.array(*(F.concat(F.lit(p.split("{}")[0]), q, F.lit(p.split("{}")[1])) for p in PROMPTS))
 
 
+def _tokens(text: str) -> list[str]:
+    low = text.lower()
+    return [t for t in _BLANKS.split(low.replace("_", " ").replace("-", " ")) if t] or [low]
+
+
+def _slots(token: str, dim: int) -> tuple[list[int], list[float]]:
+    digest = hashlib.sha256(token.encode()).digest()
+    return [int.from_bytes(digest[2 * i : 2 * i + 2], "big") % dim for i in range(SLOTS)], [1.0 if digest[2 * i] % 2 else -1.0 for i in range(SLOTS)]
+
+
 def hash_encode(texts: DataFrame, dim: int = DIM) -> DataFrame:
-    """(id, embedding) of texts(id, text): signed hash slots of the tokens, at unit length.  SQL functions only.
+    """(id, embedding) of texts(id, text): signed hash slots of the tokens, at unit length; null texts are left out.
 
-    A text without tokens is hashed as a whole.
+    A text without tokens is hashed as a whole.  One pass in Arrow batches, without a shuffle; a worker keeps the slots
+    of the tokens that it has met, up to a number.
     """
-    clean = F.regexp_replace(F.lower(F.col("text")), "[_-]", " ")
-    words = F.filter(F.split(clean, r"\s+"), lambda w: w != "")
-    tokens = texts.select("id", F.explode(F.when(F.size(words) > 0, words).otherwise(F.array(F.lower(F.col("text"))))).alias("token"))
-    digest = F.sha2("token", 256)
-    pair = lambda i: F.conv(F.substring(digest, 4 * i + 1, 4), 16, 10).cast("long")
-    sign = lambda i: F.when(F.conv(F.substring(digest, 4 * i + 1, 2), 16, 10).cast("long") % 2 == 1, 1.0).otherwise(-1.0)
-    slots = tokens.select("id", F.explode(F.array(*(F.struct((pair(i) % dim).alias("slot"), sign(i).alias("x")) for i in range(SLOTS)))).alias("s"))
-    sums = slots.groupBy("id", F.col("s.slot").alias("slot")).agg(F.sum("s.x").alias("x"))
-    maps = sums.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
-    return maps.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("m")[i.cast("long")], F.lit(0.0)) / F.when(F.col("n") > 0, F.col("n")).otherwise(F.lit(1.0))).alias("embedding"))
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, tuple[list[int], list[float]]] = {}
+        for batch in batches:
+            out = []
+            for text in batch:
+                if len(known) > MOST_TOKENS:
+                    known = {}
+                at, signs = [], []
+                for t in _tokens(text):
+                    if t not in known:
+                        known[t] = _slots(t, dim)
+                    at += known[t][0]
+                    signs += known[t][1]
+                v = np.bincount(at, signs, dim)
+                n = float(np.sqrt(v @ v))
+                out.append(v / n if n > 0 else v)
+            yield pd.Series(out, dtype=object)
+
+    return texts.where("text is not null").select("id", F.pandas_udf(encode, "array<double>")(F.col("text").cast("string")).alias("embedding"))
 
 
 def hash_vector(text: str, dim: int = DIM) -> list[float]:
     """The same encoding of one text, on the driver."""
-    tokens = re.sub("[_-]", " ", text.lower()).split() or [text.lower()]
     out = [0.0] * dim
-    for digest in (hashlib.sha256(t.encode()).digest() for t in tokens):
-        for i in range(SLOTS):
-            out[int.from_bytes(digest[2 * i : 2 * i + 2], "big") % dim] += 1.0 if digest[2 * i] % 2 else -1.0
+    for t in _tokens(text):
+        for at, sign in zip(*_slots(t, dim), strict=True):
+            out[at] += sign
     n = math.sqrt(sum(x * x for x in out)) or 1.0
     return [x / n for x in out]
 

@@ -1,58 +1,120 @@
-"""Approximate search behind one interface: exact, random-projection LSH, or k-means cells."""
+"""Approximate search behind one interface: exact, random-hyperplane LSH, or k-means cells.
+
+An index is fitted on a bounded sample, of which a part also serves as queries: it is tuned to the coarsest setting
+that finds the wanted share of their true neighbours.  Every row is put into the index.
+"""
 
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.functions import vector
-from lumenlake.operators.search import search
+from lumenlake.operators.search import batch_search
 
 #: Names of the index kinds, and the names under which other tools know them.
 ALIASES = {"exact": "exact", "numpy": "exact", "numpy_exact": "exact", "faiss": "exact", "faiss_flat": "exact", "lsh": "lsh", "faiss_hnsw": "lsh", "hnsw": "lsh", "hnswlib": "lsh",
            "ivf": "ivf", "qdrant": "ivf", "qdrant_hnsw": "ivf"}
+#: Rows of the sample, those of them that are asked for when an index is tuned, and the share of neighbours to be found.
+SAMPLE, ASKED, TARGET = 20_000, 200, 0.96
+#: Tables of the LSH index, most bits of a table's key, most cells.
+TABLES, MOST_BITS, MOST_CELLS = 16, 20, 4096
+
+
+def _centres(x: np.ndarray, n: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
+    """k-means of unit vectors by cosine."""
+    c = x[rng.choice(len(x), n, replace=False)]
+    for _ in range(rounds):
+        near = (x @ c.T).argmax(1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, near, x)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(length > 0, sums / np.maximum(length, 1e-12), c)
+    return c
 
 
 class Index:
     """An index over photos(id, ord, embedding)."""
 
-    def __init__(self, photos: DataFrame, kind: str = "exact", cells: int = 16, probes: int = 8, tables: int = 8, width: float = 0.5, seed: int = 7):
+    def __init__(self, photos: DataFrame, kind: str = "exact", target: float = TARGET, sample: int = SAMPLE, seed: int = 7):
         if kind not in ALIASES:
             raise ValueError(f"unknown vector index: {kind}")
-        self.kind, self.probes = ALIASES[kind], probes
+        self.kind = ALIASES[kind]
         unit = vector.unit(vector.as_double(F.col("embedding")))
         self.rows = photos.where(vector.present(F.col("embedding"))).withColumn("embedding", unit)
         if self.kind == "exact":
             return
-        featured = self.rows.withColumn("features", array_to_vector("embedding"))
-        if self.kind == "lsh":
-            self.model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=seed).fit(featured)
-            self.rows = self.model.transform(featured)
+        chosen = [r.embedding for r in self.rows.orderBy(F.xxhash64("ord"), "ord").limit(sample).select("embedding").collect()]
+        rng = np.random.default_rng(seed)
+        if not chosen:
+            self.kind = "exact"
+            return
+        x = np.array([v for v in chosen if len(v) == len(chosen[0])])
+        known = x @ x[:ASKED].T
+        known[np.arange(min(ASKED, len(x))), np.arange(min(ASKED, len(x)))] = -np.inf
+        true = np.argsort(-known, axis=0)[: min(10, len(x) - 1)].T  # the neighbours of the sample's first rows
+        (self._tune_cells if self.kind == "ivf" else self._tune_planes)(x, true, target, rng)
+
+    def _tune_cells(self, x: np.ndarray, true: np.ndarray, target: float, rng: np.random.Generator) -> None:
+        n = self.rows.count()
+        self.centres = _centres(x, max(1, min(MOST_CELLS, len(x) // 4 or 1, round(n**0.5))), rng)
+        cell = (x @ self.centres.T).argmax(1)
+        rank = (-(x[: len(true)] @ self.centres.T)).argsort(1).argsort(1)
+        needed = np.sort(np.take_along_axis(rank, cell[true], 1).ravel()) if true.size else np.zeros(1, int)
+        self.probes = int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))) - 1)]) + 1
+        self.indexed = self._keyed(self.rows, 1)
+
+    def _tune_planes(self, x: np.ndarray, true: np.ndarray, target: float, rng: np.random.Generator) -> None:
+        self.planes = rng.normal(0, 1, (TABLES, MOST_BITS, x.shape[1]))
+        side = np.einsum("tbd,nd->ntb", self.planes, x) > 0
+        agree = np.logical_and.accumulate(side[: len(true), None] == side[true], axis=3) if true.size else np.ones((1, 1, 1, MOST_BITS), bool)
+        share = agree.any(2).mean((0, 1))  # of neighbours met in some table, by bits of the key
+        self.bits = int((share >= target).sum())
+        self.indexed = self._keyed(self.rows, 1)
+
+    def _keyed(self, rows: DataFrame, probes: int) -> DataFrame:
+        """rows with the keys at which they are kept, or (cells) sought."""
+        if self.kind == "ivf":
+            centres = self.centres
+
+            def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+                for batch in batches:
+                    out = []
+                    for v in batch:
+                        score = centres @ np.asarray(v, float) if len(v) == centres.shape[1] else np.zeros(len(centres))
+                        out.append([int(k) for k in np.argsort(-score, kind="stable")[:probes]])
+                    yield pd.Series(out, dtype=object)
         else:
-            # The centres are fitted on a bounded sample; every row is put into a cell.
-            sample = featured.orderBy(F.xxhash64("ord")).limit(100_000)
-            self.model = KMeans(k=cells, seed=seed, featuresCol="features", predictionCol="cell", maxIter=10).fit(sample)
-            self.rows = self.model.transform(featured)
+            planes = self.planes[:, : self.bits]
+            weights = 1 << np.arange(self.bits, dtype=np.int64)
 
-    def search(self, query: list[float], top_k: int = 10) -> DataFrame:
-        """id, ord and score of about the best top_k."""
+            def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+                for batch in batches:
+                    yield pd.Series([[(t << 32) + int(k) for t, k in enumerate(((planes @ np.asarray(v, float) > 0) * weights).sum(1) if len(v) == planes.shape[2] else np.zeros(TABLES, int))] for v in batch], dtype=object)
+
+        return rows.withColumn("key", F.explode(F.pandas_udf(keys, "array<long>")("embedding")))
+
+    def search_many(self, queries: DataFrame, top_k: int = 10) -> DataFrame:
+        """(query_id, rank, id, score): about the best top_k for each of queries(query_id, embedding)."""
         if self.kind == "exact":
-            return search(self.rows, query, top_k).select("id", "ord", "score")
-        if self.kind == "lsh":
-            from pyspark.ml.linalg import Vectors
-
-            length = max(sum(x * x for x in query) ** 0.5, vector.EPSILON)
-            near = self.model.approxNearestNeighbors(self.rows, Vectors.dense([x / length for x in query]), 4 * top_k)
-            return search(near, query, top_k).select("id", "ord", "score")
-        length = max(sum(x * x for x in query) ** 0.5, vector.EPSILON)
-        centres = [list(map(float, c)) for c in self.model.clusterCenters()]
-        order = sorted(range(len(centres)), key=lambda i: sum((a - b / length) ** 2 for a, b in zip(centres[i], query, strict=True)))
-        return search(self.rows.where(F.col("cell").isin(order[: self.probes])), query, top_k).select("id", "ord", "score")
+            return batch_search(queries, self.rows, top_k)
+        asked = queries.where(vector.present(F.col("embedding"))).withColumn("embedding", vector.unit(vector.as_double(F.col("embedding"))))
+        sought = self._keyed(asked, self.probes if self.kind == "ivf" else 1).select("query_id", "key", F.col("embedding").alias("q"))
+        met = self.indexed.select("key", "id", "ord", "embedding").join(sought, "key").where(F.size("q") == F.size("embedding"))
+        # A row that is met at several keys scores the same at each.
+        scored = met.groupBy("query_id", "id", "ord").agg(F.max(vector.dot(F.col("q"), F.col("embedding"))).alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")
+        return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "rank", "id", "score")
+
+    def search(self, query: list[float], top_k: int = 10) -> DataFrame:
+        """id and score of about the best top_k for one query."""
+        one = self.rows.sparkSession.createDataFrame([(0, [float(x) for x in query])], "query_id int, embedding array<double>")
+        return self.search_many(one, top_k).orderBy("rank").select("id", "score")
 
     def memory_bytes(self) -> DataFrame:
         """Four bytes a component, and 64 a row for the structure of an approximate index."""
@@ -60,17 +122,24 @@ class Index:
         return self.rows.agg(F.coalesce(F.sum(F.size("embedding") * 4 + extra), F.lit(0)).alias("memory_bytes"))
 
 
+def recall(found: DataFrame, exact: DataFrame, top_k: int = 10) -> DataFrame:
+    """One row: how many queries the exact search answered, and the share of its results that were found too."""
+    hit = found.where(F.col("rank") <= top_k).select("query_id", "id", F.lit(1).alias("hit")).distinct()
+    return exact.join(hit, ["query_id", "id"], "left").agg(F.count_distinct("query_id").alias("queries"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+
+
 def benchmark(photos: DataFrame, queries: list[list[float]], kinds: tuple[str, ...] = ("exact", "lsh", "ivf"), top_k: int = 10) -> list[dict]:
     """Mean and p95 milliseconds, recall against the exact search and megabytes per kind; failures are reported."""
     k = max(top_k, 10)
-    truth = [{r.ord for r in Index(photos).search(q, k).collect()} for q in queries]
+    exact = Index(photos)
+    truth = [{r.id for r in exact.search(q, k).collect()} for q in queries]
     out = []
     for kind in kinds:
         try:
             index, ms, hits = Index(photos, kind), [], []
             for q, want in zip(queries, truth, strict=True):
                 began = time.perf_counter()
-                got = {r.ord for r in index.search(q, k).collect()}
+                got = {r.id for r in index.search(q, k).collect()}
                 ms.append((time.perf_counter() - began) * 1000)
                 hits.append(len(got & want) / max(1, len(want)))
             ms.sort()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +14,8 @@ from lumenlake.plans.search_plan import SearchPlan, apply_filter
 
 #: Queries of a block and vectors of a tile in batch search.
 QUERY_BLOCK, TILE = 256, 4096
+#: Decimals by which scores are compared in batch search.
+DIGITS = 12
 
 
 def search(photos: DataFrame, query: list[float], top_k: int = 20, min_score: float | None = None) -> DataFrame:
@@ -34,46 +35,82 @@ def search_details(photos: DataFrame, plan: SearchPlan, query: list[float], top_
     return search(candidates, query, top_k, min_score), counts
 
 
+def _packed(rows: DataFrame, keys: dict[str, str], most: int) -> DataFrame:
+    """rows (the keys, embedding) with up to `most` of a partition in one row: lists of the keys, of the vectors' sizes
+    and of their components."""
+    names = list(keys)
+    schema = ", ".join([*(f"{n} array<{k}>" for n, k in keys.items()), "sizes array<int>", "values array<double>"])
+
+    def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def one(array: pa.Array) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array([0, len(array)], pa.int32()), array)
+
+        for part in parts:
+            for at in range(0, part.num_rows, most):
+                piece = part.slice(at, most)
+                vectors = piece.column(len(names))
+                yield pa.RecordBatch.from_arrays([*(one(piece.column(k)) for k in range(len(names))), one(pa.compute.list_value_length(vectors)), one(vectors.flatten())], [*names, "sizes", "values"])
+
+    return rows.select(*names, "embedding").mapInArrow(pack, schema)
+
+
+def _by_size(sizes: list[int], values: list[float]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Size of vectors -> (their places, the vectors at unit length)."""
+    sizes, values = np.asarray(sizes, np.int64), np.asarray(values, np.float64)
+    ends = np.cumsum(sizes)
+    out = {}
+    for n in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == n)
+        m = values[(ends[at] - n)[:, None] + np.arange(n)[None, :]]
+        out[n] = (at, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12))
+    return out
+
+
 def batch_search(queries: DataFrame, corpus: DataFrame, top_k: int = 10) -> DataFrame:
     """(query_id, rank, id, score): the top_k of corpus(id, ord, embedding) for each of queries(query_id, embedding).
 
-    Queries are packed in blocks; every row of the corpus meets every block by an equi-join, tiles are scored by one
-    matrix product each, and only the best of each task and query are shuffled for the final ranks.
+    Both sides are packed in blocks where they lie; every block of the corpus meets every block of queries by an
+    equi-join, a pair of blocks is scored by one matrix product, and only its best of each query are shuffled for the
+    final ranks.  Scores that agree in DIGITS decimals are ties, which go to the smaller ord: how a product is rounded
+    depends on the block that a row is in.
     """
     present = lambda df: df.where(vector.present(F.col("embedding"))).withColumn("embedding", vector.as_double(F.col("embedding")))
     asked = present(queries)
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    packed = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("query_id", "embedding")).alias("queries"))
     kinds = {"q": dict(queries.dtypes)["query_id"], "i": dict(corpus.dtypes)["id"]}
-    rows = present(corpus).select("id", "ord", "embedding").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    # At most TILE rows of one stretch of ords: small groups, whatever the size of the corpus.
-    tiles = (rows.groupBy("block", F.floor(F.col("ord") / TILE).alias("part"))
-             .agg(F.collect_list(F.struct("id", "ord", "embedding")).alias("rows")))
-    met = tiles.join(packed, "block").select("queries", "rows")
+    spread = asked.repartition(blocks, F.xxhash64("query_id"))
+    block = F.pmod(F.spark_partition_id(), F.lit(blocks)).alias("block")
+    packed = _packed(spread, {"query_id": kinds["q"]}, QUERY_BLOCK).select(block, "query_id", F.col("sizes").alias("q_sizes"), F.col("values").alias("q_values"))
+    rows = _packed(present(corpus).withColumn("ord", F.col("ord").cast("long")), {"id": kinds["i"], "ord": "bigint"}, TILE)
+    met = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "block").select("query_id", "q_sizes", "q_values", "id", "ord", "sizes", "values")
     schema = f"query_id {kinds['q']}, id {kinds['i']}, ord long, score double"
 
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for row in part.to_pylist():
-                unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-                by_size: dict[int, list] = {}
-                for r in row["rows"]:
-                    by_size.setdefault(len(r["embedding"]), []).append(r)
-                out = []
-                for size, members in by_size.items():
-                    q = [x for x in row["queries"] if len(x["embedding"]) == size]
-                    if not q:
+            for n in range(part.num_rows):
+                q_ids, ids, ords = (part.column(k)[n].values for k in (0, 3, 4))
+                ord_ = ords.to_numpy(zero_copy_only=False)
+                asked, members = (_by_size(part.column(k)[n].values.to_numpy(zero_copy_only=False), part.column(k + 1)[n].values.to_numpy(zero_copy_only=False)) for k in (1, 5))
+                who, what, scores = [], [], []
+                for size, (q_at, q) in asked.items():
+                    if size not in members:
                         continue
-                    scores = unit(np.array([x["embedding"] for x in q])) @ unit(np.array([x["embedding"] for x in members])).T
-                    for x, line in zip(q, scores, strict=True):
-                        best = heapq.nsmallest(top_k, range(len(members)), key=lambda i, line=line, members=members: (-line[i], members[i]["ord"]))
-                        out += [(x["query_id"], members[i]["id"], members[i]["ord"], float(line[i])) for i in best]
-                yield pa.RecordBatch.from_pylist([dict(zip(("query_id", "id", "ord", "score"), o, strict=True)) for o in out], schema=arrow) if out else pa.RecordBatch.from_pylist([], schema=arrow)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+                    at, m = members[size]
+                    table = np.round(q @ m.T, DIGITS)
+                    if len(at) > top_k:
+                        least = np.partition(table, len(at) - top_k, axis=1)[:, len(at) - top_k]
+                    else:
+                        least = np.full(len(q), -np.inf)
+                    for i, line in enumerate(table):
+                        best = np.flatnonzero(line >= least[i])
+                        best = best[np.lexsort((ord_[at[best]], -line[best]))][:top_k]
+                        who.append(np.full(len(best), q_at[i]))
+                        what.append(at[best])
+                        scores.append(line[best])
+                if who:
+                    who, what = pa.array(np.concatenate(who)), pa.array(np.concatenate(what))
+                    yield pa.RecordBatch.from_arrays([q_ids.take(who), ids.take(what), ords.take(what), pa.array(np.concatenate(scores))], ["query_id", "id", "ord", "score"])
 
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
     best = met.mapInArrow(score, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "rank", "id", "score")
@@ -92,8 +129,16 @@ def decorated(results: DataFrame) -> DataFrame:
     return results.withColumn("immich_asset_id", F.when(remote, asset)).withColumn("thumbnail_url", F.when(remote, F.concat(F.lit("/immich/assets/"), asset, F.lit("/thumbnail"))))
 
 
-def listing(photos: DataFrame, root: str = "") -> DataFrame:
-    """id, filename, relative path, capture time and score of photos, by path."""
+def listing(photos: DataFrame, root: str = "", files: DataFrame | None = None) -> DataFrame:
+    """id, filename, relative path, capture time and score of photos, by path.
+
+    files (id, path): files of the folder, of which those not analysed yet are listed without time and score.
+    """
+    if files is not None:
+        kinds = dict(photos.dtypes)
+        fresh = files.join(photos.select("id"), "id", "left_anti")
+        missing = [c for c in ("original_filename", "captured_at", "quality") if c in kinds]
+        photos = photos.select("id", "path", *missing).unionByName(fresh.select("id", "path", *(F.lit(None).cast(kinds[c]).alias(c) for c in missing)))
     name = F.coalesce("original_filename", F.element_at(F.split("path", "/"), -1))
     relative = F.when(F.startswith(F.col("path"), F.lit(root.rstrip("/") + "/")), F.substring("path", len(root.rstrip("/")) + 2, 1 << 30)).otherwise(F.col("path"))
     return photos.select("id", name.alias("filename"), relative.alias("relative_path"), "captured_at", F.col("quality.score").alias("quality_score")).orderBy("relative_path")
