@@ -7,7 +7,7 @@ by block means, which is this library's own choice of resampling.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -120,3 +120,71 @@ def image_features(images: DataFrame) -> DataFrame:
 
     udf = F.pandas_udf(measure, "phash string, embedding array<double>, sharpness double, exposure_score double, composition_score double")
     return images.withColumn("features", udf(F.struct("image.height", "image.width", "image.nChannels", "image.data"), F.col("content")))
+
+
+def _pixels(row) -> np.ndarray:
+    """The pixels of a row of Spark's image column; none if it could not be decoded."""
+    return np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, row.nChannels) if row.height and row.height > 0 else np.zeros((0, 0, 3), np.uint8)
+
+
+class HashEncoder:
+    """Vectors from colours and digests, for libraries without a model."""
+
+    def encode_image(self, image: np.ndarray, content: bytes) -> list[float]:
+        return hash_vector(image, content).tolist()
+
+    def encode_text(self, text: str) -> list[float]:
+        from lumenlake.functions.text import hash_vector as of_text
+
+        return of_text(text)
+
+
+#: Kinds of encoders and how to make one; a model is registered here under a name of its own.
+ENCODERS: dict[str, Callable[[], object]] = {"hash": HashEncoder}
+
+
+def create_encoder(kind: str = "hash"):
+    """An encoder with encode_image(pixels, bytes) and encode_text(text)."""
+    if kind not in ENCODERS:
+        raise ValueError(f"unknown encoder: {kind}")
+    return ENCODERS[kind]()
+
+
+def encode_images(images: DataFrame, make_encoder: Callable[[], object] = HashEncoder, into: str = "embedding") -> DataFrame:
+    """images (image, content) with the vectors of an encoder, which is made once for each task; none if not decoded."""
+
+    def encode(batches: Iterator[tuple[pd.DataFrame, pd.Series]]) -> Iterator[pd.Series]:
+        encoder = make_encoder()
+        for decoded, contents in batches:
+            out = []
+            for r, content in zip(decoded.itertuples(), contents, strict=True):
+                pixels = _pixels(r)
+                out.append([float(x) for x in encoder.encode_image(pixels, bytes(content or b""))] if pixels.size else [])
+            yield pd.Series(out, dtype=object)
+
+    udf = F.pandas_udf(encode, "array<double>")
+    return images.withColumn(into, udf(F.struct("image.height", "image.width", "image.nChannels", "image.data"), F.col("content")))
+
+
+def detect_faces(images: DataFrame, make_detector: Callable[[], object]) -> DataFrame:
+    """(the other columns of images, position, bbox, embedding, det_score, appearance_embedding) of every face.
+
+    make_detector gives an object whose detect(pixels) returns (box, vector, score) for each face; it is made once for
+    each task.  The appearance is what the image shows below the face.
+    """
+    kind = "array<struct<bbox: array<double>, embedding: array<double>, det_score: double, appearance_embedding: array<double>>>"
+
+    def detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        detector = make_detector()
+        for decoded in batches:
+            out = []
+            for r in decoded.itertuples():
+                pixels = _pixels(r)
+                found = detector.detect(pixels) if pixels.size else []
+                out.append([{"bbox": [float(x) for x in box], "embedding": [float(x) for x in v], "det_score": float(score), "appearance_embedding": upper_body(pixels, list(box))} for box, v, score in found])
+            yield pd.Series(out, dtype=object)
+
+    rest = [c for c in images.columns if c not in ("image", "content")]
+    udf = F.pandas_udf(detect, kind)
+    faces = images.select(*rest, F.posexplode(udf(F.struct("image.height", "image.width", "image.nChannels", "image.data"))).alias("position", "face"))
+    return faces.select(*rest, "position", "face.*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -51,7 +52,8 @@ def clustering_f1(rows: DataFrame) -> DataFrame:
 def boundary_metrics(rows: DataFrame) -> DataFrame:
     """Strict and tolerant scores of rows (predicted, strict, tolerant), and how merged pairs fail the strict labels.
 
-    tolerated: joined, apart under the strict and together under the tolerant labels; hard: apart under both.
+    tolerated: joined, apart under the strict and together under the tolerant labels; hard: joined, apart under the tolerant
+    ones.
     All counts come from group sizes (inclusion and exclusion), not from pairs.
     """
     strict = pairwise_metrics(rows.withColumn("expected", F.col("strict"))).select(*(F.col(c).alias(f"strict_{c}") for c in ("precision", "recall", "f1")))
@@ -59,13 +61,9 @@ def boundary_metrics(rows: DataFrame) -> DataFrame:
     joined = rows.where(valid_label(F.col("predicted")))
     both = joined.where(valid_label(F.col("tolerant")))
     exact = both.where(valid_label(F.col("strict")))
-    parts = [
-        _pair_count(both, ["predicted", "tolerant"], "alike"), _pair_count(exact, ["predicted", "tolerant", "strict"], "alike_strict"),
-        _pair_count(both, ["predicted"], "merged"), _pair_count(exact, ["predicted", "strict"], "merged_strict"),
-    ]
+    parts = [_pair_count(both, ["predicted", "tolerant"], "alike"), _pair_count(exact, ["predicted", "tolerant", "strict"], "alike_strict"), _pair_count(both, ["predicted"], "merged")]
     counts = reduce(lambda a, b: a.crossJoin(b), parts)
-    tolerated = F.col("alike") - F.col("alike_strict")
-    hard = F.col("merged") - F.col("merged_strict") - tolerated
+    tolerated, hard = F.col("alike") - F.col("alike_strict"), F.col("merged") - F.col("alike")
     return strict.crossJoin(tolerant).crossJoin(counts.select(tolerated.cast("long").alias("tolerated_merge_pairs"), hard.cast("long").alias("hard_false_positive_pairs")))
 
 
@@ -78,7 +76,21 @@ def recall_at_k(results: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (
     hits = results.join(relevant.select("query_id", "id"), ["query_id", "id"], "left_semi")
     counts = hits.groupBy("query_id").agg(*(F.count_if(F.col("rank") <= k).alias(f"k{k}") for k in ks))
     asked = results.select("query_id").unionByName(relevant.select("query_id")).distinct()
-    each = asked.join(totals, "query_id", "left").join(counts, "query_id", "left")
+    return _mean_recall(asked.join(totals, "query_id", "left").join(counts, "query_id", "left"), ks)
+
+
+def recall_of_classes(results: DataFrame, queries: DataFrame, corpus: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """recall_at_k where all of corpus(id, label) with the label of a query (query_id, label) is relevant.
+
+    Classes are counted and only results get their labels; no list of relevant pairs is made.
+    """
+    sizes = corpus.groupBy("label").agg(F.count("*").alias("total"))
+    labelled = results.join(queries, "query_id").join(corpus.select("id", F.col("label").alias("found")), "id")
+    hits = labelled.where("label = found").groupBy("query_id").agg(*(F.count_if(F.col("rank") <= k).alias(f"k{k}") for k in ks))
+    return _mean_recall(queries.join(sizes, "label", "left").join(hits, "query_id", "left"), ks)
+
+
+def _mean_recall(each: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     share = each.select("query_id", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), (F.coalesce(F.col(f"k{k}"), F.lit(0)) / F.col("total")).alias("r")) for k in ks))).alias("x"))
     return share.groupBy(F.col("x.k").alias("k")).agg(F.count("*").alias("queries"), F.avg(F.coalesce("x.r", F.lit(0.0))).alias("mean_recall"))
 
@@ -118,3 +130,78 @@ def coverage(rows: DataFrame) -> DataFrame:
     """Share of rows with a valid expectation that were given a group."""
     known = rows.where(valid_label(F.col("expected")))
     return known.agg(F.coalesce(F.avg(valid_label(F.col("predicted")).cast("int")), F.lit(0.0)).alias("coverage"))
+
+
+def with_labels(photos: DataFrame, labels: DataFrame, into: str, column: str = "label", default: str | None = "-1") -> DataFrame:
+    """photos with the label that labels(library_id, id, column) give them; of several of a photo the last (by ord, if
+    there is one, else the greatest) counts, and one without any gets the default."""
+    order = [F.desc("ord")] if "ord" in labels.columns else []
+    last = Window.partitionBy("library_id", "id").orderBy(*order, F.desc(column))
+    one = labels.withColumn("__n", F.row_number().over(last)).where("__n = 1").select("library_id", "id", F.col(column).cast("string").alias("__label"))
+    return photos.join(one, ["library_id", "id"], "left").withColumn(into, F.coalesce("__label", F.lit(default))).drop("__label")
+
+
+def _own(column: Column) -> Column:
+    """A group's number as a label that is its own over all libraries; null stays."""
+    return F.when(column.isNotNull(), F.concat_ws("/", F.col("library_id").cast("string"), column.cast("string")))
+
+
+def event_labels(members: DataFrame) -> DataFrame:
+    """(library_id, id, label) of the members of events."""
+    return members.select("library_id", "id", _own(F.col("event_id")).alias("label"))
+
+
+def journey_labels(members: DataFrame, journeys: DataFrame, stop: str | None = None) -> DataFrame:
+    """(library_id, id, label): the journey of a photo's event; with `stop`, a column of journeys, journey:stop."""
+    label = F.col("journey_id") if stop is None else F.concat_ws(":", F.col("journey_id").cast("string"), F.col(stop).cast("string"))
+    return members.select("library_id", "id", "event_id").join(journeys, ["library_id", "event_id"]).select("library_id", "id", _own(label).alias("label"))
+
+
+def evaluate_event_strategies(photos: DataFrame, expected: DataFrame, find: Callable[[str], DataFrame], strategies: tuple[str, ...]) -> DataFrame:
+    """(strategy, precision, recall, f1) of every strategy's events, which find(strategy) gives, against expected
+    labels (library_id, id, label); a photo without one is left out."""
+    known = with_labels(photos.select("library_id", "id"), expected, "expected")
+    each = [pairwise_metrics(with_labels(known, event_labels(find(s)), "predicted")).select(F.lit(s).alias("strategy"), "*") for s in strategies]
+    return reduce(DataFrame.unionByName, each)
+
+
+def evaluate_event_boundaries(photos: DataFrame, strict: DataFrame, tolerant: DataFrame, members: DataFrame) -> DataFrame:
+    """boundary_metrics of the events of members against two sets of labels (library_id, id, label)."""
+    rows = with_labels(with_labels(photos.select("library_id", "id"), strict, "strict"), tolerant, "tolerant")
+    return boundary_metrics(with_labels(rows, event_labels(members), "predicted"))
+
+
+def evaluate_labels(photos: DataFrame, expected: DataFrame, predicted: DataFrame) -> DataFrame:
+    """precision, recall, f1 and coverage of predicted labels against expected ones, both (library_id, id, label)."""
+    rows = with_labels(with_labels(photos.select("library_id", "id"), expected, "expected", default=None), predicted, "predicted")
+    return pairwise_metrics(rows).crossJoin(coverage(rows))  # single rows
+
+
+def evaluate_journeys(photos: DataFrame, members: DataFrame, journeys: DataFrame, expected: DataFrame) -> DataFrame:
+    """evaluate_labels of journeys (library_id, event_id, journey_id), whose events members gives."""
+    return evaluate_labels(photos, expected, journey_labels(members, journeys))
+
+
+def evaluate_journey_hierarchy(photos: DataFrame, members: DataFrame, stopped: DataFrame, parents: DataFrame, stops: DataFrame) -> DataFrame:
+    """evaluate_labels on two levels: parent_journey, and journey_stop with labels journey:stop; stopped has stop_id."""
+    levels = (("parent_journey", parents, None), ("journey_stop", stops, "stop_id"))
+    each = [evaluate_labels(photos, expected, journey_labels(members, stopped, stop)).select(F.lit(level).alias("level"), "*") for level, expected, stop in levels]
+    return reduce(DataFrame.unionByName, each)
+
+
+def evaluate_query_strategies(cases: DataFrame, corpus: DataFrame, encode: Callable[[DataFrame], DataFrame], strategies: tuple[str, ...], ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """(strategy, k, queries, mean_recall) of cases (query, relevant_ids): each query's texts under a strategy are encoded
+    (encode: id, text to id, embedding), their mean is searched for in corpus (id, ord, embedding)."""
+    from lumenlake.functions import text, vector
+    from lumenlake.operators.search import batch_search
+
+    asked = cases.select("query").distinct()
+    relevant = cases.select(F.col("query").alias("query_id"), F.explode("relevant_ids").alias("id")).distinct()
+    each = []
+    for s in strategies:
+        texts = asked.select(F.col("query"), F.explode(text.query_texts(F.col("query"), s)).alias("text")).withColumn("id", F.monotonically_increasing_id())
+        vectors = texts.select("query", "text").join(encode(texts.select(F.col("text").alias("id"), "text").distinct()), F.col("text") == F.col("id")).select("query", "embedding")
+        means = vector.mean_vectors(vectors, ["query"], "embedding")
+        found = batch_search(means.select(F.col("query").alias("query_id"), F.col("centroid").alias("embedding")), corpus, max(ks))
+        each.append(recall_at_k(found, relevant, ks).select(F.lit(s).alias("strategy"), "*"))
+    return reduce(DataFrame.unionByName, each)

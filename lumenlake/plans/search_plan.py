@@ -98,6 +98,15 @@ def semantic_text(query: str, expression: str | None) -> str:
     return re.sub(r"\s+", " ", text).strip(PUNCTUATION) or query.strip()
 
 
+def semantic_column(query: Column, expression: Column) -> Column:
+    """semantic_text as a column; expression is null where a query has none."""
+    text = F.when(expression.isNull(), query).otherwise(F.replace(query, expression, F.lit(" ")))
+    text = F.regexp_replace(text, "|".join(PHOTO_WORDS_ZH), " ")
+    text = F.regexp_replace(text, rf"(?i)\b({'|'.join(PHOTO_WORDS_EN)})\b", " ")
+    left = F.btrim(F.regexp_replace(text, r"\s+", " "), F.lit(PUNCTUATION))
+    return F.when(left == "", F.trim(query)).otherwise(left)
+
+
 def _moment(value: datetime | date | str) -> datetime:
     if isinstance(value, str):
         value = datetime.fromisoformat(value.replace("Z", "+00:00"))

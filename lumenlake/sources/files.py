@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+from pyarrow.fs import FileSystem
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -57,6 +58,54 @@ def read_people(spark: SparkSession, path: str, library_id: str) -> dict[str, Da
     }
 
 
+def write_people(people: dict[str, DataFrame], faces: DataFrame, path: str) -> None:
+    """The people of one library as JSON with faces, groups and noise_face_ids, as read_people reads it.
+
+    One library's people are one document, so it is put together by one task from aggregated parts.
+    """
+    listed = lambda df, key, value: df.groupBy(F.col(key).alias("id")).agg(F.array_sort(F.collect_set(value)).alias(value))
+    groups = people["persons"].select("id", "prototype", "name").join(listed(people["person_faces"], "person_id", "face_id").withColumnRenamed("face_id", "face_ids"), "id", "left")
+    groups = groups.join(listed(people["person_photos"], "person_id", "photo_id").withColumnRenamed("photo_id", "photo_ids"), "id", "left")
+    if "removed" in people:
+        groups = groups.join(listed(people["removed"], "person_id", "photo_id").withColumnRenamed("photo_id", "removed_photo_ids"), "id", "left")
+    one = lambda df, name: df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))
+    # Sorted by their first column; ids of faces come after their place.
+    kept = [c for c in ("id", "photo_id", "bbox", "embedding", "det_score", "appearance_embedding") if c in faces.columns]
+    rows = faces.agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct(*kept).alias("f")))), lambda x: x["f"]).alias("faces"))
+    noise = people["noise"].agg(F.array_sort(F.collect_list("face_id")).alias("noise_face_ids"))
+    one_row = rows.crossJoin(one(groups, "groups")).crossJoin(noise)
+    one_row.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_cases(spark: SparkSession, path: str) -> DataFrame:
+    """Retrieval cases: query and relevant_ids of a JSON list."""
+    return spark.read.schema(schema.CASES).json(path, multiLine=True)
+
+
+def create_project(root: str, name: str, now: str, project_id: str | None = None) -> dict:
+    """Writes the file of a new project below root and returns its fields; a blank name is an error."""
+    import uuid
+
+    clean = " ".join(name.split())
+    if not clean:
+        raise ValueError("a project needs a name")
+    project = {"id": project_id or uuid.uuid4().hex[:12], "name": clean, "created_at": now, "updated_at": now, "photo_count": 0, "analyzed_count": 0, "status": "empty", "encoder": None, "embedding_dimension": None}
+    fs, top = FileSystem.from_uri(root if "://" in root else f"file://{root}")
+    fs.create_dir(f"{top}/{project['id']}", recursive=True)
+    with fs.open_output_stream(f"{top}/{project['id']}/project.json") as out:
+        out.write(json.dumps(project, ensure_ascii=False, indent=2).encode())
+    return project
+
+
+def write_annotations(annotations: DataFrame, path: str) -> None:
+    """Replaces the annotations; one folder per kind."""
+    annotations.write.mode("overwrite").partitionBy("kind").parquet(path)
+
+
+def read_annotations(spark: SparkSession, path: str) -> DataFrame:
+    return read_table(spark, path, schema.ANNOTATIONS)
+
+
 def read_label_sheet(spark: SparkSession, path: str) -> DataFrame:
     """A label sheet: CSV with a header, a JSON list of rows, or a JSON object from photo to event (all sure)."""
     names = schema.parsed(schema.LABELS).names
@@ -99,6 +148,34 @@ def fetch_assets(opener: Callable[[dict], dict], page_size: int = 250) -> Iterat
         page = int(found["nextPage"]) if found.get("nextPage") else None
 
 
+def remote_status(opener: Callable[[str], dict]) -> dict:
+    """Whether the remote manager answers, and its version; opener reads a path of its API."""
+    version = opener("/server/version")
+    return {"reachable": (opener("/server/ping") or {}).get("res") == "pong", "version": ".".join(str(version.get(k, 0)) for k in ("major", "minor", "patch"))}
+
+
+def remote_thumbnail(opener: Callable[[str], bytes], asset_id: str, size: str = "preview") -> bytes:
+    """The bytes of an asset's thumbnail; the id must be one segment of a path."""
+    if not asset_id or not all(c.isalnum() or c in "-_" for c in asset_id):
+        raise ValueError(f"not an asset id: {asset_id!r}")
+    return opener(f"/assets/{asset_id}/thumbnail?size={size}")
+
+
+def create_album(opener: Callable[[str, dict], dict], name: str, wanted: DataFrame, photos: DataFrame) -> dict:
+    """Makes an album of synchronized photos; ids that are none are an error, which names them in order.
+
+    The ids are typed or picked by hand, so they are a short list.
+    """
+    from lumenlake.operators.sync import REMOTE, unknown_ids
+
+    if unknown := [r.id for r in unknown_ids(wanted, photos).collect()]:
+        raise ValueError(f"not synchronized: {unknown}")
+    ids = [str(r.id).removeprefix(f"{REMOTE}:") for r in wanted.select("id").distinct().orderBy("id").collect()]
+    if not name.strip() or not ids:
+        raise ValueError("an album needs a name and photos")
+    return opener("/albums", {"albumName": name.strip(), "assetIds": ids})
+
+
 def api_url(base: str) -> str:
     """A remote address as one that ends in /api."""
     clean = base.strip().rstrip("/")
@@ -118,15 +195,34 @@ def csv_export(photos: DataFrame) -> DataFrame:
 
 
 def write_csv(photos: DataFrame, path: str) -> None:
-    csv_export(photos).write.mode("overwrite").option("header", "true").option("encoding", "UTF-8").csv(path)
+    """The CSV export as files with a header, each of which begins with a byte order mark."""
+    rows = csv_export(photos)
+    marked = rows.withColumnsRenamed({rows.columns[0]: "\ufeff" + rows.columns[0]})
+    marked.write.mode("overwrite").option("header", "true").option("encoding", "UTF-8").option("emptyValue", "").csv(path)
+
+
+def counts(events: DataFrame, journeys: DataFrame | None = None) -> DataFrame:
+    """One row: how many events and journeys there are, have a name, and have one from a backend."""
+    n = lambda df, name: df.agg(F.count("*").alias(name), F.count_if(F.length(F.trim(F.coalesce("name", F.lit("")))) > 0).alias(f"named_{name}"), F.count_if(F.col("name_source") == "llm").alias(f"llm_{name}"))
+    out = n(events, "events")
+    return out if journeys is None else out.crossJoin(n(journeys, "journeys"))
+
+
+def generation_mode(counts: DataFrame) -> DataFrame:
+    """counts with the mode of generation: llm, mixed, template or empty."""
+    llm, named = F.col("llm_events") + F.col("llm_journeys"), F.col("named_events") + F.col("named_journeys")
+    return counts.withColumn("generation_mode", F.when(named == 0, "empty").when(llm == 0, "template").when(llm < named, "mixed").otherwise("llm"))
 
 
 def manifest(project: dict, photos: DataFrame, events: DataFrame, groups: DataFrame, path: str) -> None:
     """The manifest as one JSON table per relation below path, and the project's own fields."""
     spark = photos.sparkSession
     spark.createDataFrame([(json.dumps(project, ensure_ascii=False),)], "value string").write.mode("overwrite").text(f"{path}/project")
+    sizes = spark.range(1).select(*(F.lit(0).alias("one"),))
     for name, rows in (("photos", photos), ("events", events), ("similar_groups", groups)):
         rows.write.mode("overwrite").json(f"{path}/{name}")
+        sizes = sizes.crossJoin(spark.read.json(f"{path}/{name}").agg(F.count("*").alias(name)) if rows.columns else spark.range(0).agg(F.count("*").alias(name)))
+    sizes.drop("one").write.mode("overwrite").json(f"{path}/counts")
 
 
 def best_shot_names(photos: DataFrame, limit: int = 20) -> DataFrame:
@@ -163,8 +259,21 @@ def touched(projects: DataFrame, project_id: str, now: str, **changes) -> DataFr
     return projects
 
 
-def narrative_dump(events: DataFrame, members: DataFrame, photos: DataFrame) -> DataFrame:
-    """One JSON line per event with its texts and the file names of its photos in order."""
-    named = members.select("library_id", "event_id", "id", "pos").join(photos.select("library_id", "id", F.coalesce("original_filename", F.element_at(F.split("path", "/"), -1)).alias("file")), ["library_id", "id"])
-    files = named.groupBy("library_id", "event_id").agg(F.array_sort(F.collect_list(F.struct("pos", "file"))).alias("f"))
-    return events.join(files, ["library_id", "event_id"], "left").withColumn("photos", F.col("f.file")).drop("f").select(F.to_json(F.struct("*")).alias("value"))
+def narrative_dump(events: DataFrame, members: DataFrame, photos: DataFrame, journeys: DataFrame | None = None) -> DataFrame:
+    """One JSON line per event and per journey with its texts and the file names of its photos in order.
+
+    journeys: library_id, journey_id, texts and event_ids; its photos are those of its events.
+    """
+    file = F.coalesce("original_filename", F.element_at(F.split("path", "/"), -1)).alias("file")
+    named = members.select("library_id", "event_id", "id", "pos").join(photos.select("library_id", "id", file), ["library_id", "id"])
+    listed = lambda keys: named_by(keys).agg(F.array_sort(F.collect_list(F.struct(*order[keys], "file"))).alias("f"))
+    order = {("library_id", "event_id"): ("pos",), ("library_id", "journey_id"): ("event_id", "pos")}
+    named_by = lambda keys: rows[keys].groupBy(*keys)
+    rows = {("library_id", "event_id"): named}
+    line = lambda df, kind: df.withColumn("photos", F.coalesce(F.col("f.file"), F.array().cast("array<string>"))).drop("f").select(F.to_json(F.struct(F.lit(kind).alias("kind"), "*")).alias("value"))
+    out = line(events.join(listed(("library_id", "event_id")), ["library_id", "event_id"], "left"), "event")
+    if journeys is None:
+        return out
+    of = journeys.select("library_id", "journey_id", F.explode("event_ids").alias("event_id"))
+    rows["library_id", "journey_id"] = named.join(of, ["library_id", "event_id"])
+    return out.unionByName(line(journeys.join(listed(("library_id", "journey_id")), ["library_id", "journey_id"], "left"), "journey"))

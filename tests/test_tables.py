@@ -197,6 +197,21 @@ def test_exif_and_indexing(spark, tmp_path):
     assert (x.captured_at, x.captured_at_source, x.camera, x.latitude, x.longitude, x.gps_source, x.width) == ("2023-05-06T07:08:09", "exif", "Maker Mod-1", -10.5, 20.01, "exif", 0)
 
 
+def test_headers_of_other_formats():
+    block = exif()
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + b"crc."
+    with_exif = b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", 7, 9, 8, 2, 0, 0, 0)) + part(b"eXIf", block) + part(b"IEND", b"")
+    webp = lambda kind, body: b"RIFF\0\0\0\0WEBP" + kind + struct.pack("<I", len(body)) + body
+    extended = webp(b"VP8X", b"\x08\0\0\0" + (11).to_bytes(3, "little") + (12).to_bytes(3, "little")) + b"EXIF" + struct.pack("<I", len(block)) + block
+    tiff = b"II*\0" + struct.pack("<IH", 8, 2) + struct.pack("<HHII", 256, 4, 1, 30) + struct.pack("<HHII", 257, 3, 1, 20) + b"\0\0\0\0"
+    sizes = {with_exif: (7, 9), extended: (12, 13), webp(b"VP8L", b"\x2f" + (5 | 6 << 14).to_bytes(4, "little")): (6, 7), webp(b"VP8 ", b"\0\0\0\x9d\x01\x2a" + struct.pack("<HH", 31, 32)): (31, 32), tiff: (30, 20), b"GIF89a": (0, 0), b"": (0, 0),
+             b"\xff\xd8\xff\xe0\0\4ab\xff\xc2\0\x0b\x08" + struct.pack(">HH", 5, 6) + b"\3\0\0\0": (6, 5)}
+    assert [images.image_size(raw) for raw in sizes] == list(sizes.values())
+    for raw in (with_exif, extended):
+        assert images.read_exif(raw)["taken"] == "2023/05/06 07:08:09"
+    assert images.read_exif(tiff)["taken"] is None and images.read_exif(with_exif[:30]) == {}
+
+
 def test_upload_paths(spark):
     rows = [("a/b.jpg", 5), ("../outside.jpg", 5), ("/abs.jpg", 5), ("", 5), (None, 5), ("a/notes.txt", 5), ("big.png", 1 << 30), ("C:\\x.png", 1), ("a/../b.png", 1)]
     got = images.sort_uploads(spark.createDataFrame(rows, "path string, length long"))
@@ -239,11 +254,11 @@ def test_backend_is_asked_once_after_a_failure():
             raise OSError("down")
         return io.BytesIO(json.dumps({"choices": [{"message": {"content": '{"name": "N", "summary": "S"}'}}]}).encode())
 
-    backend = narrative.ChatBackend("http://x", "m", "key", opener=opener)
-    assert backend.generate("event_name_and_summary", {})["name"] == "N"
+    backend = narrative.chat_backend("http://x", "m", "key", opener=opener)
+    assert backend("event_name_and_summary", {})["name"] == "N"
     for _ in range(3):
         with pytest.raises(narrative.BackendUnavailable):
-            backend.generate("event_name_and_summary", {})
+            backend("event_name_and_summary", {})
     assert len(calls) == 2
 
 
@@ -284,7 +299,7 @@ def test_files(spark, tmp_path):
     again = files.read_photos(spark, f"file://{tmp_path}/index").where("library_id = 'L'")
     assert col(again, "captured_epoch") == [1735689600.0] and "PartitionFilters: [isnotnull(library_id" in again._jdf.queryExecution().executedPlan().toString()
     files.write_csv(p.where("library_id = 'M'"), f"file://{tmp_path}/csv")
-    assert sorted(x.read_text() for x in (tmp_path / "csv").glob("part*")) == ['photo_id,filename,captured_at,latitude,longitude,quality_score\nb,orig.jpg,"","","",""\n']
+    assert sorted(x.read_text() for x in (tmp_path / "csv").glob("part*")) == ["\ufeffphoto_id,filename,captured_at,latitude,longitude,quality_score\nb,orig.jpg,,,,\n"]
     best = files.best_shot_names(p.withColumn("score", F.col("quality.score")), 99).collect()
     assert [(r.rank, r.archive_name) for r in best] == [(1, "rank01-a-x_y.jpg"), (2, "rank02-b-orig.jpg")]
     (tmp_path / "l.csv").write_bytes("﻿photo_id,event_id\na,E1\n".encode())
