@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.functions import text, vector
-from lumenlake.operators import density, event_people, events, journeys, narrative, people, places, search, similar, sync
+from lumenlake.functions import imaging, text, vector
+from lumenlake.operators import density, event_people, events, journeys, metrics, narrative, people, places, search, similar, sync
+from lumenlake.operators.events import STRATEGIES
 from lumenlake.plans.search_plan import Box, plan_search
 from lumenlake.sources import files, images
 
@@ -28,6 +30,13 @@ def _held(name: str, value, low, high) -> None:
         raise ValueError(f"{name} must be from {low} to {high}")
 
 
+def _checked_box(south: float, west: float, north: float, east: float) -> None:
+    for name, value, most in (("latitude", south, 90), ("latitude", north, 90), ("longitude", west, 180), ("longitude", east, 180)):
+        _held(name, value, -most, most)
+    if south > north or west > east:
+        raise ValueError("bbox is south, west, north, east")
+
+
 @dataclass(frozen=True)
 class Library:
     """Photos of one or more libraries, with the tables of persons if there are any."""
@@ -35,10 +44,12 @@ class Library:
     photos: DataFrame
     people: dict[str, DataFrame] | None = None
     faces: DataFrame | None = None
+    settings: Settings = field(default_factory=Settings)
 
     @classmethod
     def open(cls, spark: SparkSession, settings: Settings | None = None) -> "Library":
-        return cls(files.read_photos(spark, (settings or Settings()).index))
+        settings = settings or Settings()
+        return cls(files.read_photos(spark, settings.index), settings=settings)
 
     def save(self, path: str) -> None:
         files.write_photos(self.photos, path)
@@ -53,13 +64,16 @@ class Library:
         return search.health(self.photos)
 
     def search(self, query: str, top_k: int = 20, strategy: str = "query_enhancement", min_score: float | None = None, start: datetime | date | str | None = None, end: datetime | date | str | None = None,
-               bbox: list[float] | None = None, today: date | str | None = None, fallback: bool = True, encode=text.hash_vector) -> tuple[DataFrame, DataFrame]:
+               bbox: list[float] | None = None, today: date | str | None = None, fallback: bool = True, encode=None) -> tuple[DataFrame, DataFrame]:
         """(decorated results, counts) of a text query; bbox is south, west, north, east."""
         _held("top_k", top_k, 1, 200)
         if strategy not in text.QUERY_STRATEGIES:
             raise ValueError(f"unknown query strategy: {strategy}")
         if bbox is not None and len(bbox) != 4:
             raise ValueError("bbox needs four numbers")
+        if bbox is not None:
+            _checked_box(*bbox)
+        encode = encode or imaging.create_encoder(self.settings.encoder).encode_text
         plan = plan_search(query, start, end, Box(*bbox) if bbox else None, today)
         one = self.photos.sparkSession.range(1).select(text.query_texts(F.lit(plan.semantic), strategy).alias("t")).first()
         found, counts = search.search_details(self.photos, plan, text.encode_query(list(one.t), encode), top_k, min_score, fallback)
@@ -82,8 +96,8 @@ class Library:
 
     def places(self, radius_km: float = 40.0, minimum_photos: int = 2, gazetteer: DataFrame | None = None) -> DataFrame:
         """Home and destinations of each library; a library without coordinates has none."""
-        if radius_km <= 0:
-            raise ValueError("radius_km must be above 0")
+        if radius_km <= 0 or minimum_photos < 1:
+            raise ValueError("radius_km must be above 0 and minimum_photos at least 1")
         return places.journey_places(places.gps_clusters(self.photos, radius_km, gazetteer), minimum_photos)
 
     def journeys(self, found_places: DataFrame | None = None, max_gap_days: float = journeys.MAX_GAP_DAYS, stop_radius_km: float = journeys.STOP_RADIUS_KM) -> dict[str, DataFrame]:
@@ -110,6 +124,25 @@ class Library:
         found = event_people.event_people(members, self.people["person_photos"]) if self.people is not None else None
         return narrative.event_texts(narrative.event_facts(summary, found, names, tags, objects))
 
+    def journey_texts(self, found: dict[str, DataFrame], events_told: DataFrame, names: DataFrame | None = None) -> DataFrame:
+        """Names and notes of journeys, from templates; found is what journeys() gives, events_told what event_texts() does."""
+        start = F.date_format(F.timestamp_seconds("start_epoch"), "yyyy-MM-dd'T'HH:mm:ss")
+        who = event_people.event_people(self.events("strict_event_people"), self.people["person_photos"]) if self.people is not None else None
+        members = found["events"].select("library_id", "journey_id", "event_id", start.alias("start"), "destination", "photo_count")
+        return narrative.journey_texts(narrative.journey_facts(members, events_told, who, names))
+
+    def evaluate_events(self, expected: DataFrame, strategies: tuple[str, ...] = STRATEGIES) -> DataFrame:
+        """How each strategy's events agree with labels (library_id, id, label)."""
+        return metrics.evaluate_event_strategies(self.photos, expected, self.events, strategies)
+
+    def evaluate_journeys(self, found: dict[str, DataFrame], parents: DataFrame, stops: DataFrame) -> DataFrame:
+        """How journeys and their stops agree with labels (library_id, id, label); found is what journeys() gives."""
+        return metrics.evaluate_journey_hierarchy(self.photos, self.events("strict_event_people"), found["events"].select("library_id", "event_id", "journey_id", "stop_id"), parents, stops)
+
+    def evaluate_queries(self, cases: DataFrame, encode: Callable[[DataFrame], DataFrame] = text.hash_encode) -> DataFrame:
+        """Recall of the query strategies on cases (query, relevant_ids)."""
+        return metrics.evaluate_query_strategies(cases, self.photos.select(F.col("id").cast("string").alias("id"), "ord", "embedding"), encode, text.QUERY_STRATEGIES)
+
     def cluster_people(self, faces: DataFrame, eps: float = 0.35, min_samples: int = 2) -> "Library":
         if eps <= 0 or min_samples < 2:
             raise ValueError("eps must be above 0 and min_samples at least 2")

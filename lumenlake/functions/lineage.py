@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_base(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; where that is unset, as in tests, our own."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; where that is unset, as in tests, our own.
+
+    Executors on other machines could not read the driver's own folder, so without a name that is an error there.
+    """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if base is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lumenlake-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(base)
