@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from lumenlake.functions import text, times, vector
 from lumenlake.operators import density, event_people, events, journeys, metrics, narrative, people, places, quality, search, similar, sync
-from lumenlake.plans import search_plan
-from lumenlake.plans.testbed import PHOTOS_SQL, cosine_sql, haversine_sql, photos, table
+from lumenlake.plans import roundtrips, search_plan
+from lumenlake.plans.testbed import PHOTOS_SQL, PLACES_SQL, cosine_sql, haversine_sql, photos, places_and_times, sign_words, table
 
 FLAGSHIP = "search_topk"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,7 +23,7 @@ _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
 #: What the queries search for, and the limits they set.
-QUERY = [0.5, -0.2, 0.1, 0.3]
+QUERY = [((i * 37) % 101 - 50) / 100 for i in range(64)]
 START, END = datetime(2024, 1, 5), datetime(2024, 1, 20)
 BOX = search_plan.Box(30.0, 103.0, 31.0, 105.0)
 WINDOW = 6 * 3600
@@ -41,11 +41,11 @@ def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | roundtrips.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return _ORACLES | roundtrips.ORACLES
 
 
 def _r(c: str | Column, digits: int = 6) -> Column:
@@ -67,9 +67,9 @@ def search_topk(spark, sf_dir):
     return search.search(photos(spark, sf_dir), QUERY, 20).select("id", "library_id", _r("score").alias("score"))
 
 
-@_query("search_min_score", f"{_SCORED}, top AS (SELECT * FROM scored ORDER BY s DESC, ord LIMIT 200) SELECT id, round(s, 6) AS score FROM top WHERE s >= 0.9")
+@_query("search_min_score", f"{_SCORED}, top AS (SELECT * FROM scored ORDER BY s DESC, ord LIMIT 200) SELECT id, round(s, 6) AS score FROM top WHERE s >= 0.3")
 def search_min_score(spark, sf_dir):
-    return search.search(photos(spark, sf_dir), QUERY, 200, 0.9).select("id", _r("score").alias("score"))
+    return search.search(photos(spark, sf_dir), QUERY, 200, 0.3).select("id", _r("score").alias("score"))
 
 
 _WHERE = ("captured_at_source = 'exif' AND captured_wall >= TIMESTAMP '2024-01-05' AND captured_wall < TIMESTAMP '2024-01-20' "
@@ -83,7 +83,7 @@ def search_filtered(spark, sf_dir):
     return found.select("id", _r("score").alias("score"), "metadata_fallback")
 
 
-@_query("search_counts", f"{PHOTOS_SQL} SELECT count(*) AS total_count, count(*) FILTER ({_WHERE}) AS candidate_count, false AS metadata_fallback FROM photos")
+@_query("search_counts", f"{PLACES_SQL} SELECT count(*) AS total_count, count(*) FILTER ({_WHERE}) AS candidate_count, false AS metadata_fallback FROM photos")
 def search_counts(spark, sf_dir):
     return search.search_details(photos(spark, sf_dir), search_plan.plan_search("beach", START, END, BOX, TODAY), QUERY)[1]
 
@@ -99,14 +99,14 @@ def search_fallback(spark, sf_dir):
 _CORPUS = """
 WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 scored AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_dot_product(q.e, v.e) / greatest(sqrt(list_dot_product(q.e, q.e)), 1e-12) / greatest(sqrt(list_dot_product(v.e, v.e)), 1e-12) AS s
-  FROM v q CROSS JOIN v WHERE q.vec_id % 25 = 0),
-top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM scored QUALIFY rank <= 10)
+  FROM v q CROSS JOIN v WHERE q.vec_id % 20 = 0),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, id) AS rank FROM scored QUALIFY rank <= 10)
 """
 
 
 def _batch(spark, sf_dir):
     corpus = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("ord"), "embedding", "label")
-    asked = corpus.where("id % 25 = 0")
+    asked = corpus.where("id % 20 = 0")
     return search.batch_search(asked.select(F.col("id").alias("query_id"), "embedding"), corpus, 10), corpus, asked
 
 
@@ -115,15 +115,15 @@ def batch_topk(spark, sf_dir):
     return _batch(spark, sf_dir)[0].select("query_id", "rank", "id", _r("score").alias("score"))
 
 
-@_query("recall_at_k", f"""{_CORPUS}, rel AS (SELECT q.vec_id AS query_id, v.vec_id AS id FROM v q JOIN v ON q.label = v.label WHERE q.vec_id % 25 = 0),
+@_query("recall_at_k", f"""{_CORPUS}, rel AS (SELECT q.vec_id AS query_id, v.vec_id AS id FROM v q JOIN v ON q.label = v.label WHERE q.vec_id % 20 = 0),
 n AS (SELECT query_id, count(*) AS total FROM rel GROUP BY 1),
 ks AS (SELECT unnest([1, 5, 10])::INTEGER AS k),
 each AS (SELECT ks.k, n.query_id, (SELECT count(*) FROM top t JOIN rel r USING (query_id, id) WHERE t.query_id = n.query_id AND t.rank <= ks.k) / n.total AS r FROM ks CROSS JOIN n)
 SELECT k, count(*) AS queries, round(avg(r), 6) AS mean_recall FROM each GROUP BY k""")
 def recall_at_k(spark, sf_dir):
     found, corpus, asked = _batch(spark, sf_dir)
-    relevant = asked.select(F.col("id").alias("query_id"), "label").join(corpus.select("id", "label"), "label").select("query_id", "id")
-    return metrics.recall_at_k(found, relevant).select("k", "queries", _r("mean_recall").alias("mean_recall"))
+    same = asked.select(F.col("id").alias("query_id"), "label")
+    return metrics.recall_of_classes(found, same, corpus.select("id", "label")).select("k", "queries", _r("mean_recall").alias("mean_recall"))
 
 
 @_query("rerank_recency", f"""{_SCORED}, top AS (SELECT * FROM scored ORDER BY s DESC, ord LIMIT 100)
@@ -133,9 +133,9 @@ def rerank_recency(spark, sf_dir):
     return search.rerank(found, 0.05).select("id", _r("final_score").alias("final_score"))
 
 
-@_query("best_shots", f"{PHOTOS_SQL} SELECT id, round(coalesce(score, 0), 6) AS score FROM photos ORDER BY coalesce(score, 0) DESC, ord LIMIT 50")
+@_query("best_shots", f"{PLACES_SQL} SELECT id, round(coalesce(score, 0), 6) AS score FROM photos ORDER BY coalesce(score, 0) DESC, ord LIMIT 50")
 def best_shots(spark, sf_dir):
-    return similar.best_shots(photos(spark, sf_dir), 50).select("id", _r(F.coalesce("score", F.lit(0.0))).alias("score"))
+    return similar.best_shots(places_and_times(spark, sf_dir), 50).select("id", _r(F.coalesce("score", F.lit(0.0))).alias("score"))
 
 
 @_query("photo_health", f"{PHOTOS_SQL} SELECT count(*) AS photos, count(embedding) AS with_vectors, 'hash' AS encoder FROM photos")
@@ -145,12 +145,7 @@ def photo_health(spark, sf_dir):
 
 # --- query texts and the text encoder ---------------------------------------------------------------------------
 
-_WORDS = "SELECT doc_id AS id, regexp_extract(text, '^\\S+(\\s+\\S+){0,5}') AS q FROM documents"
-
-
-def _word_queries(spark, sf_dir) -> DataFrame:
-    """The first words of every document, as queries; some have a known word put in front."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.regexp_extract("text", r"^\S+(\s+\S+){0,5}", 0).alias("q"))
+_WORDS = "SELECT doc_id AS id, text AS q FROM documents"
 
 
 def _quoted(value: str) -> str:
@@ -163,7 +158,7 @@ def _strings_sql(values) -> str:
 
 _KEYS = list(text.EXPANSIONS)
 _EXPAND_SQL = f"""
-WITH base AS (SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'Beach' WHEN 1 THEN 'my Vacation with food' WHEN 2 THEN regexp_extract(text, '^\\S+(\\s+\\S+){{0,5}}') ELSE lang END AS raw FROM documents),
+WITH base AS (SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'Beach' WHEN 1 THEN 'my Vacation with food, ' || text WHEN 2 THEN text ELSE lang || ' ' || text END AS raw FROM documents),
 q AS (SELECT id, trim(raw, ' ') AS q, lower(trim(raw, ' ')) AS low FROM base),
 e AS (SELECT *, CASE {' '.join(f"WHEN low = {_quoted(k)} THEN {_strings_sql(v)}" for k, v in text.EXPANSIONS.items())} END AS exact,
   {' || '.join(f"(CASE WHEN contains(low, {_quoted(k)}) THEN {_strings_sql(v)} ELSE [] END)" for k, v in text.EXPANSIONS.items())} AS inside,
@@ -179,24 +174,64 @@ SELECT id, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS pos, t AS text
 def query_expansion(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     which = F.col("doc_id") % 4
-    raw = F.when(which == 0, "Beach").when(which == 1, "my Vacation with food").when(which == 2, F.regexp_extract("text", r"^\S+(\s+\S+){0,5}", 0)).otherwise(F.col("lang"))
+    raw = F.when(which == 0, "Beach").when(which == 1, F.concat(F.lit("my Vacation with food, "), "text")).when(which == 2, F.col("text")).otherwise(F.concat_ws(" ", "lang", "text"))
     return docs.select(F.col("doc_id").alias("id"), F.posexplode(text.expand_query(raw)).alias("pos", "text")).select("id", F.col("pos").cast("long").alias("pos"), "text")
 
 
-@_query("hash_text_encoder", f"""
-WITH q AS ({_WORDS}),
+_HASH_SQL = """
 t AS (SELECT id, unnest(CASE WHEN len(w) > 0 THEN w ELSE [lower(q)] END) AS token FROM (SELECT id, q, list_filter(regexp_split_to_array(regexp_replace(lower(q), '[_-]', ' ', 'g'), '\\s+'), lambda x: x <> '') AS w FROM q)),
 s AS (SELECT id, ('0x' || substr(sha256(token), 4 * i + 1, 4))::BIGINT % 256 AS slot, CASE WHEN ('0x' || substr(sha256(token), 4 * i + 1, 2))::BIGINT % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS x FROM t, range(12) r(i)),
 v AS (SELECT id, slot, sum(x) AS x FROM s GROUP BY 1, 2),
-n AS (SELECT id, sqrt(sum(x * x)) AS n FROM v GROUP BY 1)
-SELECT v.id, slot, round(x / CASE WHEN n > 0 THEN n ELSE 1 END, 6) AS value FROM v JOIN n USING (id) WHERE x <> 0""")
+n AS (SELECT id, sqrt(sum(x * x)) AS n FROM v GROUP BY 1)"""
+
+
+@_query("hash_text_encoder", f"WITH q AS ({_WORDS}), {_HASH_SQL} SELECT v.id, slot, round(x / CASE WHEN n > 0 THEN n ELSE 1 END, 6) AS value FROM v JOIN n USING (id) WHERE x <> 0")
 def hash_text_encoder(spark, sf_dir):
-    vectors = text.hash_encode(_word_queries(spark, sf_dir).select("id", F.col("q").alias("text")))
+    vectors = text.hash_encode(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
     return vectors.select("id", F.posexplode("embedding").alias("slot", "x")).where("x <> 0").select("id", F.col("slot").cast("long").alias("slot"), _r("x").alias("value"))
 
 
+_CASES = f"""WITH names AS (SELECT DISTINCT p_name AS name FROM part),
+asked AS (SELECT name, 'raw_clip' AS strategy, [name] AS texts FROM names
+  UNION ALL SELECT name, 'prompt_ensemble', ['a photo of ' || name, 'a photograph of ' || name, 'an image showing ' || name, 'a picture of ' || name, 'a photo depicting ' || name] FROM names
+  UNION ALL SELECT name, 'query_enhancement', [name, 'a photo of ' || name, 'a photo showing ' || name] FROM names),
+q AS (SELECT 'part ' || p_partkey AS id, p_name || ' ' || p_type || ' ' || p_brand AS q FROM part UNION SELECT t, t FROM (SELECT unnest(texts) AS t FROM asked)), {_HASH_SQL},
+u AS (SELECT v.id, slot, x / n AS x FROM v JOIN n USING (id) WHERE n > 0 AND x <> 0),
+means AS (SELECT name, strategy, slot, sum(x) / any_value(len(texts)) AS x FROM (SELECT name, strategy, texts, unnest(texts) AS t FROM asked) a JOIN u ON u.id = a.t GROUP BY 1, 2, 3),
+lengths AS (SELECT name, strategy, sqrt(sum(x * x)) AS l FROM means GROUP BY 1, 2)"""
+
+
+@_query("query_vectors", f"{_CASES} SELECT name, strategy, slot, round(x / l, 6) AS value FROM means JOIN lengths USING (name, strategy) WHERE abs(x / l) > 0.0001")
+def query_vectors(spark, sf_dir):
+    asked = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
+    out = None
+    for s in text.QUERY_STRATEGIES:
+        texts = asked.select("name", F.explode(text.query_texts(F.col("name"), s)).alias("text"))
+        coded = texts.join(text.hash_encode(texts.select(F.col("text").alias("id"), "text").distinct()).withColumnRenamed("id", "text"), "text")
+        one = vector.mean_vectors(coded, ["name"], "embedding").select("name", F.lit(s).alias("strategy"), F.posexplode("centroid").alias("slot", "x"))
+        out = one if out is None else out.unionByName(one)
+    return out.where(F.abs("x") > 0.0001).select("name", "strategy", F.col("slot").cast("long").alias("slot"), _r("x").alias("value"))
+
+
+@_query("query_strategies", f"""{_CASES}, scored AS (SELECT name, strategy, p_partkey, p_name, sum(m.x * u.x) / any_value(l) AS s FROM means m JOIN lengths USING (name, strategy) JOIN u USING (slot) JOIN part ON u.id = 'part ' || p_partkey GROUP BY 1, 2, 3, 4),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY name, strategy ORDER BY round(s, 12) DESC, p_partkey) AS r FROM scored), totals AS (SELECT p_name AS name, count(*) AS total FROM part GROUP BY 1),
+each AS (SELECT strategy, name, k, (SELECT count(*) FROM ranked x WHERE x.name = n.name AND x.strategy = a.strategy AND x.p_name = n.name AND r <= k) / total AS v FROM totals n, (SELECT unnest(['raw_clip', 'prompt_ensemble', 'query_enhancement']) AS strategy) a, (SELECT unnest([1, 5, 10])::INTEGER AS k) ks)
+SELECT strategy, k, count(*) AS queries, round(avg(v), 6) AS mean_recall FROM each GROUP BY 1, 2""")
+def query_strategies(spark, sf_dir):
+    from lumenlake.sources import files
+
+    part = table(spark, sf_dir, "part")
+    cases = part.groupBy(F.col("p_name").alias("query")).agg(F.collect_list(F.col("p_partkey").cast("string")).alias("relevant_ids"))
+    text_ = cases.agg(F.to_json(F.collect_list(F.struct("query", "relevant_ids"))).alias("t")).first()["t"]  # a file of cases is one document
+    read = files.read_cases(spark, roundtrips._write(roundtrips._folder(spark), "cases.json", text_.encode()))
+    corpus = text.hash_encode(part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text")))
+    corpus = corpus.select(F.col("id").cast("string").alias("id"), F.col("id").alias("ord"), "embedding")
+    found = metrics.evaluate_query_strategies(read, corpus, text.hash_encode, text.QUERY_STRATEGIES)
+    return found.select("strategy", "k", "queries", _r("mean_recall").alias("mean_recall"))
+
+
 @_query("time_phrase_windows", """
-WITH q AS (SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN '2024 年 海边' WHEN 1 THEN 'beach Last  Year' WHEN 2 THEN 'food this year' WHEN 3 THEN '上个月的照片' ELSE lang END AS query FROM documents)
+WITH q AS (SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN text || ' 2024 年 海边' WHEN 1 THEN 'beach Last  Year ' || text WHEN 2 THEN 'food this year ' || text WHEN 3 THEN '上个月的照片 ' || text ELSE lang || text END AS query FROM documents)
 SELECT id, query,
   CASE id % 5 WHEN 0 THEN DATE '2024-01-01' WHEN 1 THEN DATE '2025-01-01' WHEN 2 THEN DATE '2026-01-01' WHEN 3 THEN DATE '2026-07-01' END AS window_start,
   CASE id % 5 WHEN 0 THEN DATE '2025-01-01' WHEN 1 THEN DATE '2026-01-01' WHEN 2 THEN DATE '2027-01-01' WHEN 3 THEN DATE '2026-08-01' END AS window_end,
@@ -204,7 +239,8 @@ SELECT id, query,
 FROM q""")
 def time_phrase_windows(spark, sf_dir):
     which = F.col("doc_id") % 5
-    q = F.when(which == 0, "2024 年 海边").when(which == 1, "beach Last  Year").when(which == 2, "food this year").when(which == 3, "上个月的照片").otherwise(F.col("lang"))
+    put = lambda *parts: F.concat(*(F.col(p) if p in ("text", "lang") else F.lit(p) for p in parts))
+    q = F.when(which == 0, put("text", " 2024 年 海边")).when(which == 1, put("beach Last  Year ", "text")).when(which == 2, put("food this year ", "text")).when(which == 3, put("上个月的照片 ", "text")).otherwise(put("lang", "text"))
     return search_plan.time_windows(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), q.alias("query")), TODAY)
 
 
@@ -259,7 +295,7 @@ comp AS (SELECT library_id, u AS ord, min(v) AS head FROM reach GROUP BY 1, 2)""
 
 
 def _recursive(sql: str) -> str:
-    return sql.replace("WITH bits", "WITH RECURSIVE bits", 1)
+    return sql.replace("WITH", "WITH RECURSIVE", 1)
 
 
 @_query("strict_pairs", f"{_STRICT_PAIRS} SELECT library_id, left_ord, right_ord FROM pairs")
@@ -305,7 +341,7 @@ def similar_groups(spark, sf_dir):
 @_query("best_shot_by_group", f"""{PHOTOS_SQL}, r AS (SELECT library_id, event_type, id, round(coalesce(score, 0), 6) AS score, row_number() OVER (PARTITION BY library_id, event_type ORDER BY coalesce(score, 0) DESC, ord) AS n FROM photos)
 SELECT library_id, event_type AS group_id, id AS photo_id, score FROM r WHERE n = 1""")
 def best_shot_by_group(spark, sf_dir):
-    p = photos(spark, sf_dir)
+    p = places_and_times(spark, sf_dir)
     groups = p.select("library_id", F.col("event_type").alias("group_id"), F.col("id").alias("photo_id")).unionByName(p.select("library_id", F.lit("none").alias("group_id"), (-1 - F.col("id")).alias("photo_id")))
     return similar.best_shot_by_group(groups, p).select("library_id", "group_id", "photo_id", _r(F.coalesce("score", F.lit(0.0))).alias("score"))
 
@@ -315,9 +351,7 @@ _BITS = "SELECT vec_id AS id, array_to_string(list_transform(embedding, lambda x
 
 @_query("hamming_neighbours", f"WITH b AS ({_BITS}) SELECT a.id AS left_id, b.id AS right_id, hamming(a.h, b.h)::INTEGER AS distance FROM b a JOIN b ON a.id < b.id WHERE hamming(a.h, b.h) <= 16")
 def hamming_neighbours(spark, sf_dir):
-    bits = F.transform("embedding", lambda x: F.when(x > 0, "1").otherwise("0"))
-    half = lambda at: F.conv(F.array_join(F.slice(bits, at, 32), ""), 2, 10).cast("long")
-    rows = table(spark, sf_dir, "embeddings").select(F.lit(0).alias("library_id"), F.col("vec_id").alias("id"), F.col("vec_id").alias("ord"), F.lit(None).cast("double").alias("captured_epoch"), half(1).alias("phash_hi"), half(33).alias("phash_lo"), F.lit(None).cast("array<double>").alias("embedding"))
+    rows = table(spark, sf_dir, "embeddings").select(F.lit(0).alias("library_id"), F.col("vec_id").alias("id"), F.col("vec_id").alias("ord"), F.lit(None).cast("double").alias("captured_epoch"), *sign_words(), F.lit(None).cast("array<double>").alias("embedding"))
     pairs = similar.similar_pairs(rows, phash_distance=16, require_time=False)
     words = rows.select("id", "phash_hi", "phash_lo")
     side = lambda s: words.select(*(F.col(c).alias(f"{s}_{c}") for c in words.columns))
@@ -327,7 +361,7 @@ def hamming_neighbours(spark, sf_dir):
 
 # --- places -----------------------------------------------------------------------------------------------------
 
-_SPOTS = _recursive(f"""{PHOTOS_SQL}, spots AS (SELECT library_id, latitude, longitude, min(ord) AS ord FROM photos WHERE latitude IS NOT NULL GROUP BY 1, 2, 3),
+_SPOTS = f""", spots AS (SELECT library_id, latitude, longitude, min(ord) AS ord FROM photos WHERE latitude IS NOT NULL GROUP BY 1, 2, 3),
 pairs AS (SELECT a.library_id, a.ord AS left_ord, b.ord AS right_ord FROM spots a JOIN spots b ON a.library_id = b.library_id AND a.ord < b.ord WHERE {haversine_sql('a', 'b')} <= 40),
 {_components_sql('pairs', 'spots')},
 mm AS (SELECT p.*, c.head FROM photos p JOIN spots s ON s.library_id = p.library_id AND s.latitude = p.latitude AND s.longitude = p.longitude JOIN comp c ON c.library_id = s.library_id AND c.ord = s.ord),
@@ -335,23 +369,24 @@ n AS (SELECT library_id, head, count(*) AS photo_count, min(ord) AS first_ord, a
 c AS (SELECT *, row_number() OVER (PARTITION BY library_id ORDER BY photo_count DESC, first_ord) - 1 AS cluster_id FROM n),
 d AS (SELECT c.library_id, c.cluster_id, quantile_cont({haversine_sql('c', 'mm')}, 0.9) AS p90 FROM mm JOIN c ON c.library_id = mm.library_id AND c.head = mm.head GROUP BY 1, 2),
 k AS (SELECT c.*, greatest(20, least(150, p90 + 15)) AS radius_km FROM c JOIN d USING (library_id, cluster_id)),
-h AS (SELECT *, row_number() OVER (PARTITION BY library_id ORDER BY active_months DESC, active_days DESC, photo_count DESC, cluster_id) = 1 AS is_home FROM k)""")
+h AS (SELECT *, row_number() OVER (PARTITION BY library_id ORDER BY active_months DESC, active_days DESC, photo_count DESC, cluster_id) = 1 AS is_home FROM k)"""
+_PLACES_ONLY, _WITH_VECTORS = _recursive(PLACES_SQL + _SPOTS), _recursive(PHOTOS_SQL + _SPOTS)
 
 
-@_query("gps_clusters", f"{_SPOTS} SELECT library_id, cluster_id, photo_count, active_days, active_months, round(latitude, 9) AS latitude, round(longitude, 9) AS longitude, round(radius_km, 4) AS radius_km FROM k")
+@_query("gps_clusters", f"{_PLACES_ONLY} SELECT library_id, cluster_id, photo_count, active_days, active_months, round(latitude, 9) AS latitude, round(longitude, 9) AS longitude, round(radius_km, 4) AS radius_km FROM k")
 def gps_clusters(spark, sf_dir):
-    c = places.gps_clusters(photos(spark, sf_dir))
+    c = places.gps_clusters(places_and_times(spark, sf_dir))
     return c.select("library_id", "cluster_id", "photo_count", "active_days", "active_months", _r("center_latitude", 9).alias("latitude"), _r("center_longitude", 9).alias("longitude"), _r("radius_km", 4).alias("radius_km"))
 
 
-@_query("home_inference", f"""{_SPOTS} SELECT library_id, cluster_id, is_home, round(latitude, 9) AS latitude, round(longitude, 9) AS longitude,
+@_query("home_inference", f"""{_PLACES_ONLY} SELECT library_id, cluster_id, is_home, round(latitude, 9) AS latitude, round(longitude, 9) AS longitude,
   round(CASE WHEN is_home THEN greatest(40, least(100, radius_km + 20)) ELSE radius_km END, 4) AS radius_km FROM h WHERE is_home OR photo_count >= 2""")
 def home_inference(spark, sf_dir):
-    found = places.journey_places(places.gps_clusters(photos(spark, sf_dir)))
+    found = places.journey_places(places.gps_clusters(places_and_times(spark, sf_dir)))
     return found.select("library_id", "cluster_id", "is_home", _r("latitude", 9).alias("latitude"), _r("longitude", 9).alias("longitude"), _r("radius_km", 4).alias("radius_km"))
 
 
-_EVENT_PLACES = f"""{_SPOTS},
+_EVENT_PLACES = f"""{_WITH_VECTORS},
 pl AS (SELECT library_id, cluster_id, is_home, latitude, longitude, CASE WHEN is_home THEN greatest(40, least(100, radius_km + 20)) ELSE radius_km END AS radius_km FROM h WHERE is_home OR photo_count >= 2),
 {_sequential_sql('time_clip_gps')[len(PHOTOS_SQL) + 1:].strip()},
 ev AS (SELECT library_id, event_id, min(captured_epoch) AS start_epoch, avg(latitude) AS latitude, avg(longitude) AS longitude, count(*) AS photo_count FROM e GROUP BY 1, 2),
@@ -416,12 +451,98 @@ def journey_summary(spark, sf_dir):
                         F.size("event_ids").cast("long").alias("event_count"), F.size("loose_photo_ids").cast("long").alias("loose_count"))
 
 
-@_query("journey_stops")
+_STOPS = f"""{_FOLD},
+sm AS (SELECT f.library_id, f.journey_id, f.event_id, st.state, st.start_epoch, st.latitude, st.longitude, st.photo_count, CASE WHEN km <= r THEN 'place ' || nearest END AS destination,
+    row_number() OVER (PARTITION BY f.library_id, f.journey_id ORDER BY st.start_epoch, f.event_id) AS i
+  FROM fold f JOIN st USING (library_id, event_id) LEFT JOIN ds USING (library_id, event_id) WHERE f.joins),
+walk AS (
+  SELECT library_id, journey_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, -1::BIGINT AS stop_id, 0.0::DOUBLE AS slat, 0.0::DOUBLE AS slon, 0::BIGINT AS n, NULL::VARCHAR AS nm FROM (SELECT DISTINCT library_id, journey_id FROM sm)
+  UNION ALL
+  SELECT library_id, journey_id, i, event_id, stop_id + is_new::BIGINT, CASE WHEN is_new THEN 0 ELSE slat END + coalesce(here.latitude, 0), CASE WHEN is_new THEN 0 ELSE slon END + coalesce(here.longitude, 0), CASE WHEN is_new THEN 0 ELSE n END + (here.latitude IS NOT NULL)::BIGINT,
+    CASE WHEN is_new THEN destination ELSE coalesce(nm, destination) END
+  FROM (SELECT s.library_id, s.journey_id, s.i, s.event_id, w.stop_id, w.slat, w.slon, w.n, w.nm, s.destination, struct_pack(latitude := s.latitude, longitude := s.longitude) AS here,
+      w.stop_id < 0 OR (s.latitude IS NOT NULL AND w.n > 0 AND NOT coalesce(s.destination = w.nm, false)
+        AND {haversine_sql('s', 'struct_pack(latitude := w.slat / w.n, longitude := w.slon / w.n)')} > 150) AS is_new
+    FROM walk w JOIN sm s ON s.library_id = w.library_id AND s.journey_id = w.journey_id AND s.i = w.i + 1))"""
+
+
+@_query("journey_stops", f"""{_STOPS} SELECT library_id, journey_id, stop_id, coalesce(arg_min(destination, sm.i) FILTER (destination IS NOT NULL), 'Stop ' || (stop_id + 1)) AS name, count(*) AS event_count,
+  round(avg(latitude), 5) AS centroid_latitude, round(avg(longitude), 5) AS centroid_longitude FROM walk w JOIN sm USING (library_id, journey_id, event_id) GROUP BY 1, 2, 3""")
 def journey_stops(spark, sf_dir):
     s = journeys.stop_summary(journeys.stops(journeys.journeys(_placed_events(spark, sf_dir)[0])))
     return s.select("library_id", "journey_id", "stop_id", "name", "event_count", _r("centroid_latitude", 5).alias("centroid_latitude"), _r("centroid_longitude", 5).alias("centroid_longitude"))
 
 
+@_query("journey_photos", f"{_STOPS} SELECT w.library_id, e.id, w.library_id || '/' || w.journey_id || ':' || w.stop_id AS label FROM walk w JOIN e USING (library_id, event_id)")
+def journey_photos(spark, sf_dir):
+    placed, members = _placed_events(spark, sf_dir)
+    return metrics.journey_labels(members, journeys.stops(journeys.journeys(placed)), "stop_id").select("library_id", "id", "label")
+
+
+def _measured_sql(rows: str, by: str = "") -> str:
+    """Precision, recall and f1 of rows (predicted, expected) from sizes of groups; `by` splits them."""
+    on, pick = (f"GROUP BY {by}", f"{by},") if by else ("", "")
+    ok = lambda c: f"{c} NOT IN ('review', '-1', '')"
+    size = lambda keys, where: f"(SELECT {pick} sum(n * (n - 1) / 2)::DOUBLE AS v FROM (SELECT {pick} {keys}, count(*) AS n FROM {rows} WHERE {where} GROUP BY {pick} {keys}) {on})"
+    tp, p, e = size("predicted, expected", f"{ok('predicted')} AND {ok('expected')}"), size("predicted", f"{ok('predicted')} AND {ok('expected')}"), size("expected", ok("expected"))
+    join = f"LEFT JOIN {p} p USING ({by}) LEFT JOIN {tp} tp USING ({by})" if by else f"CROSS JOIN {p} p CROSS JOIN {tp} tp"
+    return f"""(SELECT {pick} round(pr, 6) AS precision, round(rc, 6) AS recall, round(CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0 END, 6) AS f1
+  FROM (SELECT {pick} CASE WHEN p.v > 0 THEN coalesce(tp.v, 0) / p.v ELSE 0 END AS pr, CASE WHEN e.v > 0 THEN coalesce(tp.v, 0) / e.v ELSE 0 END AS rc FROM {e} e {join}))"""
+
+
+_EXPECTED_SQL = "CASE WHEN id % 13 = 0 THEN 'review' ELSE library_id || '/' || (day(captured_wall) // 2) END"
+
+
+def _expected(spark, sf_dir, days: int = 2) -> DataFrame:
+    """Labels of photos: the library's stretches of days; every thirteenth photo is still to be reviewed."""
+    p = places_and_times(spark, sf_dir)
+    label = F.concat_ws("/", F.col("library_id").cast("string"), F.floor(F.dayofmonth("captured_wall") / days).cast("string"))
+    return p.select("library_id", "id", F.when(F.col("id") % 13 == 0, "review").otherwise(label).alias("label"))
+
+
+def _strategies_sql() -> str:
+    parts, found = [], []
+    for s in events.STRATEGIES[:3]:
+        body = _sequential_sql(s)[len(PHOTOS_SQL) + 1:]
+        for name in ("o", "m", "e"):
+            body = body.replace(f"{name} AS (SELECT", f"{name}_{s} AS (SELECT").replace(f"FROM {name} ", f"FROM {name}_{s} ").replace(f"FROM {name})", f"FROM {name}_{s})").replace(f"JOIN {name} ", f"JOIN {name}_{s} ")
+        parts.append(body.strip())
+        found.append(f"SELECT '{s}' AS strategy, library_id, id, event_id, captured_wall FROM e_{s}")
+    strict = _STRICT[len(_recursive(PHOTOS_SQL)) + 1:].strip()
+    found.append("SELECT 'strict_event' AS strategy, library_id, id, event_id, captured_wall FROM e")
+    return f"""{_recursive(PHOTOS_SQL)}, {', '.join(parts)}, {strict}, x AS (SELECT strategy, library_id || '/' || event_id AS predicted, {_EXPECTED_SQL} AS expected FROM ({' UNION ALL '.join(found)}))
+SELECT * FROM {_measured_sql('x', 'strategy')}"""
+
+
+@_query("event_strategies", _strategies_sql())
+def event_strategies(spark, sf_dir):
+    p = photos(spark, sf_dir)
+    found = metrics.evaluate_event_strategies(p, _expected(spark, sf_dir), lambda s: events.find_events(p, s), events.STRATEGIES[:4])
+    return found.select("strategy", *(_r(c).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@_query("event_boundaries", f"""{_sequential_sql('time_clip_gps')}, x AS (SELECT id, library_id || '/' || event_id AS predicted, {_EXPECTED_SQL} AS strict, {_EXPECTED_SQL.replace('// 2', '// 7')} AS tolerant FROM e),
+a AS (SELECT predicted, strict AS expected FROM x), b AS (SELECT predicted, tolerant AS expected FROM x),
+j AS (SELECT a.strict <> 'review' AND b.strict <> 'review' AND a.strict = b.strict AS same, a.tolerant <> 'review' AND b.tolerant <> 'review' AS valid, a.tolerant = b.tolerant AS alike FROM x a JOIN x b ON a.predicted = b.predicted AND a.id < b.id)
+SELECT s.precision AS strict_precision, s.recall AS strict_recall, t.precision AS tolerant_precision, t.recall AS tolerant_recall, (SELECT count(*) FROM j WHERE NOT same AND valid AND alike) AS tolerated_merge_pairs, (SELECT count(*) FROM j WHERE valid AND NOT alike) AS hard_false_positive_pairs
+FROM {_measured_sql('a')} s, {_measured_sql('b')} t""")
+def event_boundaries(spark, sf_dir):
+    p = photos(spark, sf_dir)
+    m = metrics.evaluate_event_boundaries(p, _expected(spark, sf_dir), _expected(spark, sf_dir, 7), events.sequential_events(p))
+    return m.select(*(_r(f"{a}_{b}").alias(f"{a}_{b}") for a in ("strict", "tolerant") for b in ("precision", "recall")), "tolerated_merge_pairs", "hard_false_positive_pairs")
+
+
+@_query("journey_hierarchy", f"""{_STOPS}, l AS (SELECT e.library_id, e.id, e.captured_wall, w.library_id || '/' || w.journey_id AS parent, w.library_id || '/' || w.journey_id || ':' || w.stop_id AS stop FROM e LEFT JOIN walk w ON w.library_id = e.library_id AND w.event_id = e.event_id),
+a AS (SELECT coalesce(parent, '-1') AS predicted, {_EXPECTED_SQL.replace('// 2', '// 7')} AS expected FROM l), b AS (SELECT coalesce(stop, '-1') AS predicted, {_EXPECTED_SQL} AS expected FROM l)
+SELECT 'parent_journey' AS level, x.*, (SELECT round(avg((predicted <> '-1')::INTEGER), 6) FROM a WHERE expected <> 'review') AS coverage FROM {_measured_sql('a')} x
+UNION ALL SELECT 'journey_stop', x.*, (SELECT round(avg((predicted <> '-1')::INTEGER), 6) FROM b WHERE expected <> 'review') FROM {_measured_sql('b')} x""")
+def journey_hierarchy(spark, sf_dir):
+    placed, members = _placed_events(spark, sf_dir)
+    stopped = journeys.stops(journeys.journeys(placed))
+    found = metrics.evaluate_journey_hierarchy(places_and_times(spark, sf_dir), members, stopped, _expected(spark, sf_dir, 7), _expected(spark, sf_dir))
+    return found.select("level", *(_r(c).alias(c) for c in ("precision", "recall", "f1", "coverage")))
+
+
 @_query("journeys_attach")
 def journeys_attach(spark, sf_dir):
     placed, members = _placed_events(spark, sf_dir)
@@ -435,9 +556,10 @@ def journeys_attach(spark, sf_dir):
 # --- faces and persons ------------------------------------------------------------------------------------------
 
 _FACES = """
-WITH RECURSIVE f AS (SELECT vec_id AS ord, label % 3 AS library_id, list_transform(list_slice(embedding, 1, 4), lambda x: x::DOUBLE) AS e, vec_id // 2 AS photo_id FROM embeddings),
+WITH RECURSIVE f AS (SELECT v.vec_id AS ord, v.label % 3 AS library_id, list_transform(list_zip(p.embedding, v.embedding), lambda x: x[1]::DOUBLE + 0.5::DOUBLE * x[2]::DOUBLE) AS e, v.vec_id // 2 AS photo_id
+  FROM embeddings v JOIN embeddings p ON p.vec_id = v.vec_id % 25),
 u AS (SELECT *, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS v FROM f),
-near AS (SELECT a.library_id, a.ord AS left_ord, b.ord AS right_ord FROM u a JOIN u b ON a.library_id = b.library_id AND a.ord <> b.ord WHERE 1 - list_dot_product(a.v, b.v) <= 0.02::DOUBLE),
+near AS (SELECT a.library_id, a.ord AS left_ord, b.ord AS right_ord FROM u a JOIN u b ON a.library_id = b.library_id AND a.ord <> b.ord WHERE 1 - list_dot_product(a.v, b.v) <= 0.2::DOUBLE),
 core AS (SELECT library_id, left_ord AS ord FROM near GROUP BY 1, 2 HAVING count(*) + 1 >= 4),
 pairs AS (SELECT n.* FROM near n JOIN core a ON a.library_id = n.library_id AND a.ord = n.left_ord JOIN core b ON b.library_id = n.library_id AND b.ord = n.right_ord),
 """ + _components_sql("pairs", "core") + """,
@@ -447,22 +569,24 @@ lf AS (SELECT u.*, coalesce(lab.label, bor.label, -1) AS label, (u.ord % 10 + 1)
 
 
 def _faces(spark, sf_dir) -> DataFrame:
-    """Faces of three libraries, two to a photo, from the embeddings table."""
+    """Faces of three libraries, two to a photo, from the embeddings table: sums of one of 25 vectors and half of each."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select((F.col("label") % 3).alias("library_id"), F.col("vec_id").alias("ord"), F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 2).cast("long").alias("photo_id"),
-                    F.slice("embedding", 1, 4).cast("array<double>").alias("embedding"), ((F.col("vec_id") % 10 + 1) / 11).alias("det_score"))
+    base = e.select(F.col("vec_id").alias("base"), F.col("embedding").alias("shared"))
+    v = F.zip_with("shared", "embedding", lambda a, b: a.cast("double") + 0.5 * b.cast("double"))
+    return e.withColumn("base", F.col("vec_id") % 25).join(base, "base").select((F.col("label") % 3).alias("library_id"), F.col("vec_id").alias("ord"), F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 2).cast("long").alias("photo_id"),
+                    v.alias("embedding"), ((F.col("vec_id") % 10 + 1) / 11).alias("det_score"))
 
 
 @_query("dbscan_labels", f"{_FACES} SELECT library_id, ord AS id, label FROM lf")
 def dbscan_labels(spark, sf_dir):
-    return density.dbscan(_faces(spark, sf_dir), eps=0.02, min_samples=4).select("library_id", "id", "label")
+    return density.dbscan(_faces(spark, sf_dir), eps=0.2, min_samples=4).select("library_id", "id", "label")
 
 
-@_query("person_prototypes", f"""{_FACES}, x AS (SELECT library_id, label, i AS pos, sum(det_score * e[i + 1]) / sum(det_score) AS m FROM lf, range(4) r(i) WHERE label >= 0 GROUP BY 1, 2, 3),
+@_query("person_prototypes", f"""{_FACES}, x AS (SELECT library_id, label, i AS pos, sum(det_score * e[i + 1]) / sum(det_score) AS m FROM lf, range(64) r(i) WHERE label >= 0 GROUP BY 1, 2, 3),
 n AS (SELECT library_id, label, sqrt(sum(m * m)) AS n FROM x GROUP BY 1, 2)
 SELECT library_id, label, pos, round(m / n, 6) AS value FROM x JOIN n USING (library_id, label)""")
 def person_prototypes(spark, sf_dir):
-    found = density.prototypes(density.dbscan(_faces(spark, sf_dir), eps=0.02, min_samples=4))
+    found = density.prototypes(density.dbscan(_faces(spark, sf_dir), eps=0.2, min_samples=4))
     return found.select("library_id", "label", F.posexplode("prototype").alias("pos", "x")).select("library_id", "label", F.col("pos").cast("long").alias("pos"), _r("x").alias("value"))
 
 
@@ -471,15 +595,15 @@ r AS (SELECT *, row_number() OVER (PARTITION BY library_id, label ORDER BY CASE
 SELECT library_id, label AS person_id, photo_id, ord AS face_id, on_photo = 1 AS alone FROM r WHERE n = 1""")
 def person_covers(spark, sf_dir):
     faces = _faces(spark, sf_dir)
-    labelled = density.dbscan(faces, eps=0.02, min_samples=4).where("label >= 0")
+    labelled = density.dbscan(faces, eps=0.2, min_samples=4).where("label >= 0")
     shots = faces.select("library_id", F.col("photo_id").alias("id"), F.col("photo_id").alias("ord"), ((F.col("photo_id") * 37 % 101) / 101).alias("score")).distinct()
     return people.covers(labelled.select("library_id", F.col("label").alias("person_id"), F.col("id").alias("face_id")), faces, shots)
 
 
 def _view_people(spark, sf_dir) -> dict[str, DataFrame]:
-    """Persons of the photo view: two of four on every third photo, with appearances from the photo's vector."""
-    p = photos(spark, sf_dir).where("ord % 3 = 0")
-    seen = p.select("library_id", F.col("id").alias("photo_id"), "embedding", F.explode(F.array_distinct(F.array(F.col("ord") % 4, F.col("ord") % 7 % 4))).alias("person_id"))
+    """Persons of the photo view: up to two of eleven on every photo, with appearances from the photo's vector."""
+    p = photos(spark, sf_dir)
+    seen = p.select("library_id", F.col("id").alias("photo_id"), "embedding", F.explode(F.array_distinct(F.array(F.col("ord") % 11, F.col("ord") % 7))).alias("person_id"))
     faces = seen.select("library_id", F.concat("photo_id", F.lit(":"), "person_id").alias("id"), "photo_id", F.col("embedding").alias("appearance_embedding"), "person_id")
     return {"faces": faces, "person_faces": faces.select("library_id", "person_id", F.col("id").alias("face_id")), "person_photos": seen.select("library_id", "person_id", "photo_id")}
 
@@ -489,7 +613,7 @@ def events_people(spark, sf_dir):
     return event_people.merge_by_people(photos(spark, sf_dir), **_view_people(spark, sf_dir)).select("library_id", "event_id", "id")
 
 
-@_query("event_person_ids", f"""{_sequential_sql('time_only')}, pp AS (SELECT DISTINCT library_id, event_id, unnest([ord % 4, ord % 7 % 4]) AS p FROM e WHERE ord % 3 = 0)
+@_query("event_person_ids", f"""{_sequential_sql('time_only')}, pp AS (SELECT DISTINCT library_id, event_id, unnest([ord % 11, ord % 7]) AS p FROM e)
 SELECT library_id, event_id, string_agg(p::VARCHAR, ',' ORDER BY p) AS person_ids FROM pp GROUP BY 1, 2""")
 def event_person_ids(spark, sf_dir):
     found = event_people.event_people(events.sequential_events(photos(spark, sf_dir), "time_only"), _view_people(spark, sf_dir)["person_photos"])
@@ -497,12 +621,12 @@ def event_person_ids(spark, sf_dir):
 
 
 @_query("face_quality", """
-WITH f AS (SELECT vec_id // 3 AS photo_id, list_transform(list_slice(embedding, 1, 4), lambda x: abs(x::DOUBLE) * 100) AS b, (vec_id % 10 + 1) / 11.0::DOUBLE AS s FROM embeddings),
+WITH f AS (SELECT vec_id // 3 AS photo_id, [list_sum(list_transform(list_slice(embedding, 16 * i + 1, 16 * i + 16), lambda x: abs(x::DOUBLE))) * (CASE WHEN i < 2 THEN 2 ELSE 5 END) for i in range(4)] AS b, (vec_id % 10 + 1) / 11.0::DOUBLE AS s FROM embeddings),
 g AS (SELECT photo_id, avg(greatest(0, least(1, s * least(1, 8 * (greatest(0, b[3] - b[1]) * greatest(0, b[4] - b[2])) / 1000.0)))) AS q FROM f GROUP BY 1)
 SELECT e.vec_id AS id, round(coalesce(q, 0.5), 6) AS face_quality_score FROM embeddings e LEFT JOIN g ON g.photo_id = e.vec_id""")
 def face_quality(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    boxes = F.transform(F.slice("embedding", 1, 4), lambda x: F.abs(x.cast("double")) * 100)
+    boxes = F.array(*(F.aggregate(F.slice("embedding", 16 * i + 1, 16), F.lit(0.0), lambda s, x: s + F.abs(x.cast("double"))) * (2 if i < 2 else 5) for i in range(4)))
     faces = e.select(F.lit(0).alias("library_id"), F.floor(F.col("vec_id") / 3).cast("long").alias("photo_id"), boxes.alias("bbox"), ((F.col("vec_id") % 10 + 1) / 11).alias("det_score"))
     shots = e.select(F.lit(0).alias("library_id"), F.col("vec_id").alias("id"), F.lit(50).alias("width"), F.lit(20).alias("height"))
     return quality.face_quality(shots, faces).select("id", _r("face_quality_score").alias("face_quality_score"))
@@ -510,9 +634,9 @@ def face_quality(spark, sf_dir):
 
 @_query("quality_score", """
 SELECT vec_id AS id, round(0.35 * (s / (s + 100.0)) + 0.20 * e + 0.20 * f + 0.25 * c, 6) AS score FROM (
-  SELECT vec_id, abs(embedding[1])::DOUBLE * 500 AS s, abs(embedding[2])::DOUBLE AS e, abs(embedding[3])::DOUBLE AS f, abs(embedding[4])::DOUBLE AS c FROM embeddings)""")
+  SELECT vec_id, m[1] * 500 AS s, m[2] AS e, m[3] AS f, m[4] AS c FROM (SELECT vec_id, [list_sum(list_transform(list_slice(embedding, 16 * i + 1, 16 * i + 16), lambda x: abs(x::DOUBLE))) / 16 for i in range(4)] AS m FROM embeddings))""")
 def quality_score(spark, sf_dir):
-    x = lambda i: F.abs(F.col("embedding")[i]).cast("double")
+    x = lambda i: F.aggregate(F.slice("embedding", 16 * i + 1, 16), F.lit(0.0), lambda s, v: s + F.abs(v.cast("double"))) / 16
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), _r(quality.total(x(0) * 500, x(1), x(2), x(3))["score"]).alias("score"))
 
 
@@ -583,15 +707,97 @@ def event_template_names(spark, sf_dir):
     return narrative.event_texts(narrative.event_facts(placed, None, None)).select("library_id", "event_id", "name", "summary")
 
 
-@_query("event_tags", f"""{_sequential_sql('time_clip_gps')},
-c AS (SELECT library_id, event_id, i AS p, avg(embedding[i + 1]) AS m FROM e, range(4) r(i) GROUP BY 1, 2, 3), n AS (SELECT library_id, event_id, list(m ORDER BY p) AS m, sqrt(sum(m * m)) AS n FROM c GROUP BY 1, 2),
-t AS (SELECT * FROM (VALUES (0, '海边游玩', [1.0, 0.0, 0.0, 0.0]), (1, '聚餐', [0.0, 1.0, 0.0, 0.0]), (2, '徒步', [0.0, 0.0, 1.0, 0.0]), (3, '城市漫步', [0.0, 0.0, 0.0, 1.0])) v(k, label, w)),
-s AS (SELECT library_id, event_id, label, k, list_dot_product(w::DOUBLE[], m) / n AS s, row_number() OVER (PARTITION BY library_id, event_id ORDER BY list_dot_product(w::DOUBLE[], m) DESC, k) AS r FROM n, t)
-SELECT library_id, event_id, coalesce(string_agg(label, '|' ORDER BY r) FILTER (r <= 2 AND s >= 0.18), '') AS tags FROM s GROUP BY 1, 2""")
-def event_tags(spark, sf_dir):
-    prompts = {label: [1.0 if i == j else 0.0 for j in range(4)] for i, label in enumerate(list(narrative.ACTIVITIES)[:4])}
+def _tags_sql(values: dict[str, str], top: int, name: str) -> str:
+    rows = ", ".join(f"({i}, {_quoted(label)}, {_list(text.hash_vector(prompt, 64))})" for i, (label, prompt) in enumerate(values.items()))
+    return f"""{_sequential_sql('time_clip_gps')},
+c AS (SELECT library_id, event_id, i AS p, avg(embedding[i + 1]) AS m FROM e, range(64) r(i) GROUP BY 1, 2, 3), n AS (SELECT library_id, event_id, list(m ORDER BY p) AS m, sqrt(sum(m * m)) AS n FROM c GROUP BY 1, 2),
+t AS (SELECT * FROM (VALUES {rows}) v(k, label, w)),
+s AS (SELECT library_id, event_id, label, list_dot_product(w, m) / n AS s, row_number() OVER (PARTITION BY library_id, event_id ORDER BY list_dot_product(w, m) DESC, k) AS r FROM n, t)
+SELECT library_id, event_id, coalesce(string_agg(label, '|' ORDER BY r) FILTER (r <= {top} AND s >= 0.18), '') AS {name} FROM s GROUP BY 1, 2"""
+
+
+def _tags(spark, sf_dir, values: dict[str, str], top: int, name: str) -> DataFrame:
+    """Tags of the sequential events, with hash vectors for the prompts."""
+    prompts = {label: text.hash_vector(prompt, 64) for label, prompt in values.items()}
     centroids = vector.mean_vectors(events.sequential_events(photos(spark, sf_dir)), ["library_id", "event_id"], "embedding")
-    return narrative.infer_tags(centroids, prompts, narrative.TOP_ACTIVITIES).select("library_id", "event_id", F.array_join("tags", "|").alias("tags"))
+    return narrative.infer_tags(centroids, prompts, top).select("library_id", "event_id", F.array_join("tags", "|").alias(name))
+
+
+@_query("event_tags", _tags_sql(narrative.ACTIVITIES, narrative.TOP_ACTIVITIES, "tags"))
+def event_tags(spark, sf_dir):
+    return _tags(spark, sf_dir, narrative.ACTIVITIES, narrative.TOP_ACTIVITIES, "tags")
+
+
+@_query("event_objects", _tags_sql(narrative.OBJECTS, narrative.TOP_OBJECTS, "objects"))
+def event_objects(spark, sf_dir):
+    return _tags(spark, sf_dir, narrative.OBJECTS, narrative.TOP_OBJECTS, "objects")
+
+
+def _tag_ctes(values: dict[str, str], top: int, name: str) -> str:
+    rows = ", ".join(f"({i}, {_quoted(label)}, {_list(text.hash_vector(prompt, 64))})" for i, (label, prompt) in enumerate(values.items()))
+    return f"""{name}_p AS (SELECT * FROM (VALUES {rows}) v(k, label, w)),
+{name}_s AS (SELECT library_id, event_id, label, list_dot_product(w, m) / n AS s, row_number() OVER (PARTITION BY library_id, event_id ORDER BY list_dot_product(w, m) DESC, k) AS r FROM nn, {name}_p),
+{name} AS (SELECT library_id, event_id, list(label ORDER BY r) FILTER (r <= {top} AND s >= 0.18) AS {name} FROM {name}_s GROUP BY 1, 2)"""
+
+
+_NARRATED = f"""cc AS (SELECT library_id, event_id, i AS p, avg(embedding[i + 1]) AS m FROM e, range(64) r(i) GROUP BY 1, 2, 3), nn AS (SELECT library_id, event_id, list(m ORDER BY p) AS m, sqrt(sum(m * m)) AS n FROM cc GROUP BY 1, 2),
+{_tag_ctes(narrative.ACTIVITIES, narrative.TOP_ACTIVITIES, 'activities')}, {_tag_ctes(narrative.OBJECTS, narrative.TOP_OBJECTS, 'objects')},
+pp AS (SELECT DISTINCT library_id, event_id, unnest([ord % 11, ord % 7]) AS p FROM e),
+who AS (SELECT library_id, event_id, list('P' || p ORDER BY p) FILTER (p % 3 <> 0) AS people, count(*) FILTER (p % 3 = 0) AS unnamed FROM pp GROUP BY 1, 2),
+su AS (SELECT library_id, event_id, count(*) AS photo_count, strftime(min(captured_wall) FILTER (captured_at_source = 'exif'), '%Y-%m-%d') AS day, round((max(captured_epoch) FILTER (captured_at_source = 'exif') - min(captured_epoch) FILTER (captured_at_source = 'exif')) / 60, 3) AS duration_minutes,
+  CASE WHEN bool_or(captured_at_source <> 'exif') THEN 'strict_clip_fallback' ELSE 'strict_exif_time_clip_gps' END AS evidence FROM e GROUP BY 1, 2),
+fa AS (SELECT su.*, CASE WHEN km <= r THEN 'place ' || nearest END AS place, activities[1] AS act, activities, objects, CASE WHEN len(people) > 2 THEN '和朋友们' WHEN len(people) > 0 THEN '和' || array_to_string(people, '、') WHEN unnamed = 1 THEN '和一位朋友' WHEN unnamed > 1 THEN '和朋友们' END AS company
+  FROM su LEFT JOIN ds USING (library_id, event_id) LEFT JOIN activities USING (library_id, event_id) LEFT JOIN objects USING (library_id, event_id) LEFT JOIN who USING (library_id, event_id)),
+told AS (SELECT *, CASE WHEN place IS NOT NULL AND act IS NOT NULL THEN place || act WHEN act IS NOT NULL THEN coalesce(day || '·', '') || act WHEN place IS NOT NULL THEN place || '记忆' WHEN company IS NOT NULL THEN coalesce(day || '·', '') || '与朋友的时光' WHEN len(objects) > 0 THEN coalesce(day || '·', '') || objects[1] || '记录'
+    WHEN day IS NOT NULL THEN day || '·照片记忆' ELSE '一段未命名的记忆' END AS name,
+  coalesce(nullif(concat_ws('，', day, '地点为' || place, company, '可能记录了' || act, CASE WHEN len(objects) > 0 THEN '画面中可能包含' || array_to_string(objects[1:2], '、') END), '') || '。', '这组照片暂时缺少足够的事件信息。') AS summary FROM fa)"""
+
+
+def _narrated(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(texts of the sequential events, placed events, members, persons of events, names of persons)."""
+    placed, members = _placed_events(spark, sf_dir)
+    facts = events.strict_summary(members).join(placed.select("library_id", "event_id", F.col("destination").alias("place")), ["library_id", "event_id"])
+    who = event_people.event_people(members, _view_people(spark, sf_dir)["person_photos"])
+    names = who.select("library_id", F.explode("person_ids").alias("id")).distinct().withColumn("name", F.when(F.col("id") % 3 != 0, F.concat(F.lit("P"), "id")))
+    centroids = vector.mean_vectors(members, ["library_id", "event_id"], "embedding")
+    prompts = lambda values: {label: text.hash_vector(prompt, 64) for label, prompt in values.items()}
+    tags, objects = narrative.infer_tags(centroids, prompts(narrative.ACTIVITIES), narrative.TOP_ACTIVITIES), narrative.infer_tags(centroids, prompts(narrative.OBJECTS), narrative.TOP_OBJECTS)
+    return narrative.event_texts(narrative.event_facts(facts, who, names, tags, objects)), placed, members, who, names
+
+
+class _NoBackend:
+    """A backend that answers for the first events of a library only."""
+
+    def __call__(self, task: str, facts: dict) -> dict:
+        if facts["event_id"] > 0:
+            raise OSError("down")
+        return {"name": "told", "summary": f"{facts['evidence']} {facts['photo_count']}"}
+
+
+@_query("event_narratives", f"""{_EVENT_PLACES}, {_NARRATED} SELECT library_id, event_id, duration_minutes, evidence, CASE WHEN event_id = 0 THEN 'told' ELSE name END AS name, CASE WHEN event_id = 0 THEN evidence || ' ' || photo_count ELSE summary END AS summary,
+  CASE WHEN event_id = 0 THEN 'llm' ELSE 'template' END AS name_source FROM told""")
+def event_narratives(spark, sf_dir):
+    texts = _narrated(spark, sf_dir)[0].select("library_id", "event_id", "photo_count", _r("duration_minutes", 3).alias("duration_minutes"), "evidence", "name", "summary", "name_source")
+    told = narrative.with_backend(texts, _NoBackend, "event_name_and_summary", ("name", "summary"), ["event_id", "evidence", "photo_count"])
+    return told.drop("photo_count")
+
+
+@_query("journey_narratives", f"""{_FOLD}, {_NARRATED},
+jm AS (SELECT f.library_id, f.journey_id, t.*EXCLUDE (library_id), row_number() OVER (PARTITION BY f.library_id, f.journey_id ORDER BY t.day NULLS LAST, t.event_id) AS i FROM fold f JOIN told t USING (library_id, event_id) WHERE f.joins),
+went AS (SELECT library_id, journey_id, list(place ORDER BY i) AS destinations FROM (SELECT library_id, journey_id, place, min(i) AS i FROM jm WHERE place IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2),
+ac AS (SELECT library_id, journey_id, list(a ORDER BY i) AS acts FROM (SELECT library_id, journey_id, a, min(i * 100 + pos) AS i FROM (SELECT library_id, journey_id, i, unnest(activities) AS a, generate_subscripts(activities, 1) AS pos FROM jm WHERE photo_count > 1) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+jv AS (SELECT library_id, journey_id, min(day) AS day, list(name ORDER BY i) FILTER (photo_count > 1) AS names, count(*) FILTER (photo_count = 1) AS loose FROM jm GROUP BY 1, 2),
+co AS (SELECT library_id, journey_id, list('P' || p ORDER BY p) FILTER (p % 3 <> 0) AS companions, count(*) FILTER (p % 3 = 0) AS unnamed FROM (SELECT DISTINCT jm.library_id, journey_id, p FROM jm JOIN pp USING (library_id, event_id)) GROUP BY 1, 2)
+SELECT library_id, journey_id, CASE WHEN len(destinations) = 1 THEN destinations[1] || '之旅' WHEN len(destinations) > 1 THEN array_to_string(destinations[1:2], '与') || '之旅' WHEN day IS NOT NULL AND len(acts) > 0 THEN day[1:7] || '·' || acts[1] || '之旅' WHEN day IS NOT NULL THEN day[1:7] || '的旅行' ELSE '一段旅行' END AS name,
+  coalesce(day || '，', '') || CASE WHEN len(companions) > 0 THEN '和' || array_to_string(companions[1:2], '、') || '一起' WHEN unnamed > 0 THEN '和朋友们一起' ELSE '' END || '去了' || coalesce(array_to_string(destinations, '、'), '外地') || '。'
+    || CASE WHEN len(acts) > 0 THEN '旅途中记录了' || array_to_string(acts[1:4], '、') || '。' WHEN len(names) > 0 THEN '主要记录包括' || array_to_string(names[1:3], '、') || '。' ELSE '' END || CASE WHEN loose > 0 THEN '另外保留了' || loose || '张旅途中的零散照片。' ELSE '' END AS note
+FROM jv LEFT JOIN went USING (library_id, journey_id) LEFT JOIN ac USING (library_id, journey_id) LEFT JOIN co USING (library_id, journey_id)""")
+def journey_narratives(spark, sf_dir):
+    texts, placed, _, who, names = _narrated(spark, sf_dir)
+    trips = journeys.journeys(placed).select("library_id", "journey_id", "event_id", "destination", "photo_count")
+    day = texts.select("library_id", "event_id", F.substring(F.col("start").cast("string"), 1, 10).alias("start"))
+    facts = narrative.journey_facts(trips.join(day, ["library_id", "event_id"]), texts, who, names)
+    return narrative.journey_texts(facts).select("library_id", "journey_id", "name", "note")
 
 
 _SYNC_SQL = """
@@ -638,19 +844,21 @@ def wall_clock_times(spark, sf_dir):
     return rows.select("id", F.date_format(times.wall_clock(F.col("captured_at")), "yyyy-MM-dd HH:mm:ss").alias("wall"), times.epoch_seconds(F.col("captured_at")).alias("epoch_s"))
 
 
-@_query("ann_lsh")
-def ann_lsh(spark, sf_dir):
-    from lumenlake.operators.ann import Index
+def _ann_sql() -> str:
+    return "SELECT count(*) AS queries, true AS recall_is_at_least_0_9 FROM embeddings WHERE vec_id % 20 = 0"
+
+
+def _ann(kind: str) -> Query:
+    def run(spark, sf_dir):
+        from lumenlake.operators.ann import Index, recall
 
-    corpus = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("ord"), "embedding")
-    query = [float(x) for x in corpus.where("id = 0").first()["embedding"]]
-    return Index(corpus, "lsh").search(query, 10).select("id", _r("score").alias("score"))
+        corpus = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("ord"), "embedding")
+        asked = corpus.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+        found = recall(Index(corpus, kind).search_many(asked, 10), search.batch_search(asked, corpus, 10), 10)
+        return found.select("queries", (F.col("recall") >= 0.9).alias("recall_is_at_least_0_9"))
 
+    return run
 
-@_query("ann_ivf")
-def ann_ivf(spark, sf_dir):
-    from lumenlake.operators.ann import Index
 
-    corpus = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("ord"), "embedding")
-    query = [float(x) for x in corpus.where("id = 0").first()["embedding"]]
-    return Index(corpus, "ivf").search(query, 10).select("id", _r("score").alias("score"))
+for _k in ("lsh", "ivf"):
+    _query(f"ann_{_k}", _ann_sql())(_ann(_k))
