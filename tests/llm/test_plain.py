@@ -3,7 +3,10 @@
 import collections
 import dataclasses
 import hashlib
+import math
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -438,3 +441,69 @@ def test_only_large_vectors_leave_doubles():
         score = lambda j: max(-(2**63), min(2**63 - 1, sum(int(a) * int(b) for a, b in zip(x[i], x[j], strict=True))))
         want = sorted(((-score(j), j) for j in range(60) if j != i))[:4]
         assert [(-s, v) for k, v, s in got if k == i] == want
+
+
+def folded(t):
+    return "".join(toxicity.LOOKALIKES.get(c, c) for c in t)
+
+
+def brute_kind(term, words, stems):
+    """The kind of match by edit distances alone."""
+    t = folded(term)
+    if any(t.startswith(folded(s)) for s in stems):
+        return 3
+    if t in map(folded, words):
+        return 1
+    kind = lambda x: 2 if len(x) >= toxicity.TOLERANT else 4 if len(x) >= toxicity.SHORT else 0
+    near = {kind(w) for w in words if distance(t, folded(w)) == 1}
+    near |= {kind(s) for s in stems for k in range(1, len(t) + 1) if t[k - 1] == folded(s)[-1] and distance(t[: k - 1], folded(s)[:-1]) == 1}
+    return min(near - {0}, default=0)
+
+
+def brute_features(body, words, stems, discounts):
+    low = (body or "").lower()
+    spots = [(m.group(), *m.span()) for m in re.finditer(r"\w+(?:[@$]\w+)*", low)]
+    quotes = [i for i, c in enumerate(low) if c in "\"“”„«»"]
+    weight, distinct, apart, address = dict.fromkeys(toxicity.KINDS, 0.0), {k: set() for k in toxicity.KINDS}, [0, 0, 0, 0], 0.0
+    for i, (t, a, b) in enumerate(spots):
+        if not (kind := brute_kind(t, words, stems)):
+            continue
+        around = spots[max(0, i - toxicity.CONTEXT) : i + toxicity.CONTEXT + 1]
+        quoted = any(around[0][1] - 2 <= q < a for q in quotes) and any(b <= q <= around[-1][2] + 2 for q in quotes)
+        reported = any(w in toxicity.REPORTING for w, _, _ in around)
+        w = (discounts[0] if quoted else 1.0) * (discounts[1] if reported else 1.0)
+        weight[kind] += w
+        distinct[kind].add(t)
+        apart[quoted + 2 * reported] += 1
+        address += w if any(x in toxicity.ADDRESS for x, _, _ in around) else 0
+    n = len(spots)
+    return [x for k in toxicity.KINDS for x in (math.log1p(weight[k]), math.log1p(len(distinct[k])), 100 * weight[k] / (n + 20))] + [math.log1p(n), *(math.log1p(c) for c in apart[1:]), math.log1p(address)]
+
+
+def test_toxicity_scores_against_brute_force():
+    rng = random.Random(22)
+    words, stems = ["scum", "moron", "h4te", "foolishly", "vile", "bad"], ["stup", "foolis"]
+    near = [*words, "skum", "mor0n", "hate", "h8te", "viile", "stupidity", "stuupid", "sutpid", "fool1sh", "foxlis", "foolish", "bda", "st", "fooli"]
+    model = toxicity.Model(tuple(words), tuple(stems), (0.1,) * 17, (0.7,) * 17, tuple(0.3 - 0.05 * k for k in range(18)), (0.2, 0.7))
+    scanner = toxicity.Scanner(toxicity.Lexicon(model.words, model.stems, short=True))
+    for _ in range(60):
+        t = " ".join(rng.choice([rng.choice(near), rng.choice(WORDS), rng.choice(["you", "said", '"', "»x«", '"' + rng.choice(near) + '"'])]) for _ in range(rng.randint(0, 60)))
+        got, want = scanner.features(t, model.discounts), brute_features(t, words, stems, model.discounts)
+        assert got == pytest.approx(want)
+        z = model.weights[-1] + sum((x - 0.1) / 0.7 * w for x, w in zip(want, model.weights, strict=False))
+        assert model.score([got])[0] == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_long_texts_of_many_matches_take_little_time():
+    scanner = toxicity.Scanner(toxicity.Lexicon(["moron"], []))
+    began = time.perf_counter()
+    counts = scanner.counts('he said "what a moron" and ' * 30_000)
+    assert sum(map(sum, counts.matches)) == 30_000 and time.perf_counter() - began < 5
+    scanner.MOST_TERMS = 50
+    many = " ".join(f"mor{c}n {d}moron" for c in "abcdefghijklmnopqrstuvwxyzäöüßéàèùç" for d in "ab")
+    assert sum(map(sum, scanner.counts(many + " " + " ".join(f"w{i}" for i in range(200))).matches)) > 50  # more than is remembered
+
+
+def test_learned_lookalikes_match_themselves():
+    lexicon = toxicity.Lexicon(["h4te", "v1le"], ["sc4m"], short=True)
+    assert [lexicon.match(t) for t in ("h4te", "hate", "v1le", "vile", "sc4mmer", "scammer")] == [1, 1, 1, 1, 3, 3]

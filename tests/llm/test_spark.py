@@ -478,3 +478,68 @@ def test_pipeline(spark, tmp_path):
     assert passage in out[210].text and passage not in out[211].text and out[211].n_chars == len(out[211].text)
     assert out[300].text is None and out[300].n_tokens == 0 and out[5].decoded_sha256 == hashlib.sha256(texts[5].encode()).hexdigest()
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard_join", "substring_dedup", "benchmark_decontamination", "bpe_encoding"]
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    """Every stage on what the one before it kept, held against brute force."""
+    import corpus_pipeline
+
+    from tests.llm.test_plain import brute_features, brute_tiles
+
+    rng = random.Random(51)
+    sentence = lambda: words(rng, rng.randint(4, 12)).capitalize() + "."
+    pool = [" ".join(sentence() for _ in range(rng.randint(3, 6))) for _ in range(12)]
+    items = [words(rng, 30) for _ in range(6)]
+    texts = []
+    for i in range(90):
+        t = " ".join([*(sentence() for _ in range(rng.randint(4, 9))), *rng.sample(pool, rng.randint(0, 2))])
+        t += f" {rng.choice(items)}" if i % 11 == 0 else ""
+        texts.append(t + (" awfulword nastyterm awfulwords." if i % 4 == 0 else ""))
+    texts += [texts[1], texts[2].replace(texts[2].split()[3], "other"), None, "", "!?"]
+    docs = frame(spark, texts)
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(90)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = {}
+
+    def step(name, docs):
+        out = stages[name](spark, docs, str(tmp_path)).cache()
+        assert out.columns[: len(DOCS.split(", "))] == [c.split()[0] for c in DOCS.split(", ")]
+        kept.update({name: {r.doc_id: r for r in out.collect()}})
+        return out
+
+    now = step("toxicity", docs)
+    model = toxicity.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    scores = model.score([brute_features(t, model.words, model.stems, model.discounts) for t in texts])
+    assert set(kept["toxicity"]) == {i for i, s in enumerate(scores) if s < toxicity.THRESHOLD} and len(kept["toxicity"]) < len(texts)
+    now, left = step("ngram_jaccard_join", now), sorted(kept["toxicity"])
+    _, group = brute_links([texts[i] for i in left])
+    assert set(kept["ngram_jaccard_join"]) == {left[g] for g in group} and len(kept["ngram_jaccard_join"]) < len(left)
+    now, left = step("substring_dedup", now), sorted(kept["ngram_jaccard_join"])
+    marks = {r.t: r.m for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.xxhash64("t").alias("m")).collect()}
+    want = dict(zip([i for i in left if texts[i]], brute_spans([texts[i] for i in left if texts[i]], [i for i in left if texts[i]], marks), strict=True))
+    cut = {i: r.text for i, r in kept["substring_dedup"].items()}
+    assert set(cut) == set(left) and all(plain_words(cut[i] or "") == want.get(i, []) for i in left) and any(len(w) < len(plain_words(texts[i])) for i, w in want.items())
+    now = step("benchmark_decontamination", now)
+    leaked = lambda t: any(2 * sum(x[2] for x in brute_tiles(plain_words(t or ""), plain_words(item), 6)) >= len(plain_words(item)) for item in items)
+    assert set(kept["benchmark_decontamination"]) == {i for i, t in cut.items() if not leaked(t)} and len(kept["benchmark_decontamination"]) < len(cut)
+    step("bpe_encoding", now)
+    codec = tokens.Codec(open(vocabulary_path(), encoding="utf-8").read())
+    for r in kept["bpe_encoding"].values():
+        ids = codec.tokenizer.encode(r.text or "", add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+
+
+def test_pipeline_of_an_empty_table_and_odd_rows(spark, odd, empty, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(4, 1, 0), (7, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, None), (1, "never said here at all by anyone")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    helpers = ["leaks", "row", "doc", "own", "mark", "__removed2", "coded", "passes", "tid"]
+    for docs, n in ((odd, 8), (empty, 0)):
+        for c in helpers:
+            docs = docs.withColumn(c, F.lit(7))
+        for _, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, str(tmp_path))
+        rows_ = docs.collect()
+        assert len(rows_) == n and all(r[c] == 7 for r in rows_ for c in helpers) and all(r.key is None and r.shard == 3 for r in rows_)
