@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.functions.lineage import durable
+from lumenlake.functions.lineage import durable, written
 from lumenlake.llm.bytewords import Batch, batches, encoded
 from lumenlake.llm.lpf import window_minima
 
@@ -211,7 +211,7 @@ def remove_repeated(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, lea
     again = _hashes(texts, least_sentences, least_words).groupBy("hash").count().where("count > 1")
     wanted = _filter(again.select(F.col("hash").bitwiseAND(F.lit((1 << RUN_BITS) - 1)).alias("at")), RUN_BITS)
     # Written out, so that the join's two sides are both plain exchanges: only those can Spark split where a run is frequent.
-    found = durable(_spans(texts, least_sentences, least_words, wanted))
+    found = written(_spans(texts, least_sentences, least_words, wanted))
     first = durable(found.groupBy("hash", "check").agg(F.min(here).alias("first"), F.max(here).alias("last"), F.max("again").alias("twice")).where("first < last or twice").select("hash", "check", "first"))
     later = durable(found.join(first, ["hash", "check"]).where((here > F.col("first")) | F.col("again")).groupBy("doc", "mark").agg(F.collect_set("run").alias("runs")))
     place = F.pmod(F.xxhash64("doc", "mark"), F.lit(1 << BITS))
