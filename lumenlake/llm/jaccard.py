@@ -349,7 +349,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     leaders = distinct.select("bucket", F.col("lo").alias("lead")).join(classes.select(F.col("id").alias("lead"), F.col("values").alias("of_lead")), "lead")
     members = bands.select("bucket", "id").join(leaders, "bucket").join(classes.select("id", "values"), "id")
     led = durable(members.select("bucket", "id", "lead", "values", "of_lead").mapInArrow(_led, "bucket long, id long, lead long, values binary, near boolean"))
-    others = led.groupBy("bucket").agg(F.count_if("near").alias("close"), F.count_if(~F.col("near")).alias("far")).where("far > 0")
+    # Written out, so that the join has two plain exchanges, which Spark can split at a large bucket.
+    others = durable(led.groupBy("bucket").agg(F.count_if("near").alias("close"), F.count_if(~F.col("near")).alias("far")).where("far > 0"))
     # Tiles of the others come first; those of the leader's own meet them only.
     far, close, drawn = F.ceil(F.col("far") / TILE).cast("int"), F.ceil(F.col("close") / TILE).cast("int"), F.xxhash64("id", "bucket")
     rest = led.join(others, "bucket").select(
