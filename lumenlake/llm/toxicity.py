@@ -201,14 +201,16 @@ class Scanner:
             self.hits = {}
         low = (text or "").lower()
         terms = _TERM.findall(low)
-        fresh = set(terms)
-        found = [t for t in fresh if t in self.hits] if self.hits else []
-        for t in fresh.difference(self.clean, self.hits):
-            if kind := self.lexicon.match(t):
+        found = []
+        for t in set(terms):
+            if t in self.clean:
+                continue
+            if t not in self.hits:
+                if not (kind := self.lexicon.match(t)):
+                    self.clean.add(t)
+                    continue
                 self.hits[t] = kind
-                found.append(t)
-            else:
-                self.clean.add(t)
+            found.append(t)
         if not found:
             return Counts(len(terms))
         matches, addressed = [[0] * CONTEXTS for _ in KINDS], [0] * CONTEXTS
