@@ -269,6 +269,18 @@ for _s in ("time_only", "time_clip", "time_clip_gps"):
     _query(f"events_{_s}", f"{_sequential_sql(_s)} SELECT library_id, event_id, id, row_number() OVER (PARTITION BY library_id, event_id ORDER BY n) - 1 AS pos FROM e")(_sequential(_s))
 
 
+@_query("events_streamed", f"{_sequential_sql('time_clip_gps')} SELECT library_id, event_id, id FROM e")
+def events_streamed(spark, sf_dir):
+    from lumenlake.streaming.sessions import streaming_events
+
+    folder = roundtrips._folder(spark)
+    shots = photos(spark, sf_dir).select("library_id", "id", "captured_epoch", "latitude", "longitude", "embedding")
+    shots.write.parquet(f"{folder}/in")
+    stream = streaming_events(spark.readStream.schema(shots.schema).parquet(f"{folder}/in"))
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("library_id", "event_id", "id")
+
+
 @_query("event_summary", f"""{_sequential_sql('time_clip_gps')} SELECT library_id, event_id, count(*) AS photo_count, arg_min(captured_wall, n)::VARCHAR AS start_at, arg_max(captured_wall, n)::VARCHAR AS end_at,
   round(avg(latitude), 6) AS centroid_latitude, round(avg(longitude), 6) AS centroid_longitude FROM e GROUP BY 1, 2""")
 def event_summary(spark, sf_dir):
@@ -862,3 +874,13 @@ def _ann(kind: str) -> Query:
 
 for _k in ("lsh", "ivf"):
     _query(f"ann_{_k}", _ann_sql())(_ann(_k))
+
+
+@_query("index_benchmark", """SELECT method, (SELECT count(*) FROM embeddings WHERE vec_id % 20 = 0) AS queries, available, CASE WHEN available THEN true END AS good, available AS timed FROM (VALUES ('exact', true), ('lsh', true), ('ivf', true), ('unheard of', false)) m(method, available)""")
+def index_benchmark(spark, sf_dir):
+    from lumenlake.operators import ann
+
+    corpus = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("ord"), "embedding")
+    asked = [[float(x) for x in r.embedding] for r in corpus.where("id % 20 = 0").orderBy("id").collect()]  # one by one, as they are timed
+    rows = [(r["method"], len(asked), r["available"], None if r["recall_at_10"] is None else r["recall_at_10"] >= 0.9, r["mean_ms"] is not None) for r in ann.benchmark(corpus, asked, ("exact", "lsh", "ivf", "unheard of"))]
+    return spark.createDataFrame(rows, "method string, queries long, available boolean, good boolean, timed boolean")

@@ -483,6 +483,32 @@ def annotations_generated(spark, sf_dir):
     return narrative.generated_annotations(events, journeys, persons).select("kind", "item_id", "name", "note", "name_source")
 
 
+class _Echo:
+    """An endpoint that tells what it was asked, until a fact says that it is down."""
+
+    def __call__(self, request, timeout: float):
+        import io
+
+        asked = json.loads(request.data)
+        facts = json.loads(asked["messages"][1]["content"])["facts"]
+        told = {"name": facts["n_name"], "summary": f"{asked['model']} {asked['temperature']} {asked['response_format']['type']} {request.get_method()} {request.headers['Authorization']}"}
+        if facts["n_regionkey"] == 2:
+            del told["summary"]
+        return io.BytesIO(json.dumps({"choices": [{"message": {"content": json.dumps(told)}}]}).encode())
+
+
+@_query("chat_answers", """SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN 'template' ELSE n_name END AS name, CASE WHEN n_regionkey = 2 THEN 'template' ELSE 'm 0.2 json_object POST Bearer k' END AS summary, CASE WHEN n_regionkey = 2 THEN 'template' ELSE 'llm' END AS name_source FROM nation""")
+def chat_answers(spark, sf_dir):
+    told = F.lit("template")
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey", told.alias("name"), told.alias("summary"), told.alias("name_source"))
+
+    def backend():
+        # A new breaker for each question: one that has failed would not ask for the others of its task.
+        return lambda task, facts: narrative.chat_backend("http://host", "m", "k", opener=_Echo())(task, facts)
+
+    return narrative.with_backend(rows, backend, "event_name_and_summary", ("name", "summary"), ["n_name", "n_regionkey"]).drop("n_name", "n_regionkey")
+
+
 # --- query texts, indexes and a gazetteer -----------------------------------------------------------------------
 
 @_query("query_prompts", """
