@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -100,8 +101,17 @@ class Batch:
     """
 
     def __init__(self, texts: list[bytes]):
-        self.data = np.frombuffer(b"".join(texts), np.uint8)
-        self.at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        self._read(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64))
+
+    @classmethod
+    def of(cls, data: np.ndarray, at: np.ndarray) -> "Batch":
+        """The texts data[at[i]:at[i+1]], which begin and end with data."""
+        out = cls.__new__(cls)
+        out._read(data, at)
+        return out
+
+    def _read(self, data: np.ndarray, at: np.ndarray) -> None:
+        self.data, self.at = data, at
         n = len(self.data)
         low = _LOWER[self.data]
         if n and self.data.max() >= 128:
@@ -154,7 +164,33 @@ class Batch:
         return text, np.concatenate([h, self.runs(self.first[short], self.first[short + 1])])
 
 
-def batches(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, Batch]]:
+def stretches(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first text, bytes, places) of an Arrow column of texts, about `most` bytes at a time and uncopied.
+
+    Text i of a stretch is bytes[places[i]:places[i+1]]; null counts as empty.
+    """
+    if not len(column):
+        return
+    if column.null_count:
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    _, places, raw = column.buffers()
+    at = np.frombuffer(places, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+    a = 0
+    while a < len(column):
+        b = min(len(column), max(a + 1, int(np.searchsorted(at, at[a] + most, "right")) - 1))
+        yield a, data[at[a] : at[b]], at[a : b + 1] - at[a]
+        a = b
+
+
+def arrow_batches(column: pa.Array) -> Iterator[tuple[int, Batch]]:
+    """(number of the first text, batch) over all texts of an Arrow column."""
+    for first, data, at in stretches(column):
+        yield first, Batch.of(data, at)
+
+
+def batches(texts: list[bytes], most: int = 1 << 19) -> Iterator[tuple[int, Batch]]:
     """(number of the first text, batch) over all texts, each batch of about `most` bytes."""
     first, size = 0, 0
     for i, t in enumerate(texts):

@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.functions.lineage import durable
-from lumenlake.llm.bytewords import _WORDS, Batch, batches, encoded, prefix, span
+from lumenlake.llm.bytewords import _WORDS, Batch, arrow_batches, batches, encoded, prefix, span
+from lumenlake.llm.common import frugal
 
 #: Least words of a tile, and the share of an item's words that counts as a leak.
 MIN_MATCH, COVERAGE = 6, 0.5
@@ -212,6 +213,7 @@ def _search(block, min_match: int, coverage: float):
     """A column function from texts to what of the broadcast items has leaked into them."""
 
     @F.pandas_udf(_KIND)
+    @frugal
     def leaks(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         items = Items(*block.value, min_match, coverage)
         for column in columns:
@@ -227,6 +229,7 @@ def _search(block, min_match: int, coverage: float):
 def _item_seeds(min_match: int):
     """From items (key, text): key, words, n and, of every seed, its hash and place."""
 
+    @frugal
     def seeds(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             batch = Batch(encoded(part.column(1).to_pylist()))
@@ -244,10 +247,11 @@ def _item_seeds(min_match: int):
 def _doc_seeds(lengths: list[int], wanted):
     """From texts (tid, text): tid, n and hash of the seeds that may be an item's."""
 
+    @frugal
     def seeds(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(wanted.value, np.int64)
         for part in parts:
-            for first, batch in batches(encoded(part.column(1).to_pylist())):
+            for first, batch in arrow_batches(part.column(1)):
                 for n in lengths:
                     k = np.arange(max(0, len(batch.word) - n + 1))
                     text = np.searchsorted(batch.first, k, side="right") - 1
@@ -264,6 +268,7 @@ def _doc_seeds(lengths: list[int], wanted):
 def _tiled(min_match: int, coverage: float):
     """From pairs (tid, ids of the item, its text, the document's text): the leaks."""
 
+    @frugal
     def leaks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             rows, last, words = [], None, None

@@ -37,7 +37,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.functions.lineage import durable
-from lumenlake.llm.bytewords import U, Batch, batches, encoded, mix
+from lumenlake.llm.bytewords import U, Batch, arrow_batches, encoded, mix
+from lumenlake.llm.common import frugal
 from lumenlake.operators.components import connected_components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -190,6 +191,7 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, HASHES)
 
 
+@frugal
 def _led(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of members (bucket, id, lead, values, those of the bucket's leader): whether the pair with the leader survives."""
     for part in parts:
@@ -203,6 +205,7 @@ def _led(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(k) for k in range(4)] + [pa.array(near)], ["bucket", "id", "lead", "values", "near"])
 
 
+@frugal
 def _candidates(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the members of pairs of tiles (bucket, x, y, own, id, values): forests of the surviving pairs."""
     out: list[tuple[int, int]] = []
@@ -225,6 +228,7 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"u": pa.array([p[0] for p in pairs], pa.int64()), "v": pa.array([p[1] for p in pairs], pa.int64())})
 
 
+@frugal
 def _differences(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of classes with the text of their component's pivot (component, id, n, text, pivot): sizes of the set, of the
     pivot's and of what they share, the MinHash values and the runs that only one of the two has."""
@@ -232,8 +236,8 @@ def _differences(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
     for part in parts:
         components, want, n = (part.column(k).to_pylist() for k in range(3))
-        texts, leads, rows = encoded(part.column(3).to_pylist()), part.column(4), []
-        for first, batch in batches(texts):
+        leads, rows = part.column(4), []
+        for first, batch in arrow_batches(part.column(3)):
             for t, i, own, values in zip(*signatures(batch), strict=True):
                 k = first + int(t)
                 if int(i) != want[k]:
@@ -248,6 +252,7 @@ def _differences(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["component", "id", "n", "size", "pivot", "common", "values", "apart"])
 
 
+@frugal
 def _verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the members of pairs of tiles (component, x, y, own, and what _differences gives): links per class, and
     forests of them.
@@ -319,11 +324,11 @@ def _by_distance(apart: DataFrame) -> tuple[DataFrame, DataFrame]:
 def signed(docs: DataFrame) -> DataFrame:
     """doc, mark (a hash of the text), id (the class, null without words) and values of every row."""
 
+    @frugal
     def sign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            raw = encoded(part.column(2).to_pylist())
-            ids, values = [None] * len(raw), [None] * len(raw)
-            for first, batch in batches(raw):
+            ids, values = [None] * part.num_rows, [None] * part.num_rows
+            for first, batch in arrow_batches(part.column(2)):
                 for t, i, v in zip(*(x for k, x in enumerate(signatures(batch)) if k != 2), strict=True):
                     ids[first + t], values[first + t] = int(i), v.tobytes()
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.int64()), pa.array(values, pa.binary())], ["doc", "mark", "id", "values"])

@@ -40,7 +40,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.functions.lineage import durable
-from lumenlake.llm.bytewords import _BYTES, _VALUE, Powers, prefix, span
+from lumenlake.llm.bytewords import _BYTES, _VALUE, Powers, prefix, span, stretches
+from lumenlake.llm.common import frugal
 from lumenlake.llm.jaccard import _groups
 
 #: Bytes of a string, bytes of the runs hashed for its key, most places of a chunk, kinds of chunk sorted together, and
@@ -169,26 +170,17 @@ def dealt(body: bytes, places: int, key: int, kinds: int, length: int) -> list[t
 def _chunk_rows(texts: DataFrame, length: int) -> DataFrame:
     """tid, key, start, places, print and recurs of all chunks of texts(tid, body)."""
 
+    @frugal
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            tids, bodies = part.column(0), part.column(1).to_pylist()
-            for first, group in _bounded(bodies):
-                at = np.concatenate([[0], np.cumsum([len(b) for b in group])]).astype(np.int64)
-                text, key, start, places, print_, recurs = chunks(np.frombuffer(b"".join(group), np.uint8), at, length)
+            tids = part.column(0)
+            for first, data, at in stretches(part.column(1)):
+                text, key, start, places, print_, recurs = chunks(data, at, length)
                 yield pa.RecordBatch.from_arrays([tids.take(pa.array(text + first)), pa.array(key.view(np.int64)), pa.array(start, pa.int64()), pa.array(places, pa.int64()), pa.array(print_.view(np.int64)), pa.array(recurs)], ["tid", "key", "start", "places", "print", "recurs"])
 
     return texts.mapInArrow(scan, "tid binary, key long, start long, places long, print long, recurs boolean")
 
 
-def _bounded(bodies: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
-    first, size = 0, 0
-    for i, b in enumerate(bodies):
-        size += len(b)
-        if size >= most or i + 1 == len(bodies):
-            yield first, bodies[first : i + 1]
-            first, size = i + 1, 0
-
-
 def _batch(rows: list[tuple], names: list[str], types: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
@@ -197,6 +189,7 @@ def _fetch(length: int):
     """From texts with their wanted chunks (tid, body, wanted): what the parts of their keys get of them."""
     names, types = ["key", "part", "multiple", "tid", "start", "places", "bytes"], (pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
 
+    @frugal
     def fetch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             rows, size = [], 0
@@ -217,6 +210,7 @@ def _fetch(length: int):
 def _strings(length: int):
     """From texts with their wanted chunks: two hashes of every string, with its place."""
 
+    @frugal
     def strings(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for tid, body, wanted in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
@@ -231,6 +225,7 @@ def _strings(length: int):
 def _sort(length: int, keep: str):
     """Of what a part gets (key, part, multiple, tid, start, places, bytes): the runs of repeated strings."""
 
+    @frugal
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[bytes, int, int]] = []
         for group in _groups(batches, 2):
@@ -312,6 +307,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none") ->
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) and kept_sha256 of every row."""
     texts, rows = repeated_spans(docs, length, keep)
 
+    @frugal
     def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for bodies, copies, runs in batches:
             out = []

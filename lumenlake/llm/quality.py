@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenlake.llm.common import frugal
 from lumenlake.llm.toxicity import training_rows
 
 #: Most labelled rows to learn from, and passes over them.
@@ -188,6 +189,7 @@ def score_documents(docs: DataFrame, net: Network, into: str = "score") -> DataF
     """docs with a double column `into` (replaced if there): the quality of the whole text, from 0 to 1."""
 
     @F.pandas_udf("double")
+    @frugal
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(net)
         for texts in batches:

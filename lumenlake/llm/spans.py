@@ -37,7 +37,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.functions.lineage import durable, written
-from lumenlake.llm.bytewords import Batch, batches, encoded
+from lumenlake.llm.bytewords import Batch, arrow_batches
+from lumenlake.llm.common import frugal
 from lumenlake.llm.lpf import window_minima
 
 #: Least sentences and words of a run; words after which a sentence counts as long.
@@ -121,9 +122,10 @@ def _runs(batch: Batch, least_sentences: int, least_words: int) -> tuple[np.ndar
 def _hashes(docs: DataFrame, least_sentences: int, least_words: int) -> DataFrame:
     """The hash of every run."""
 
+    @frugal
     def hashes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for _, batch in batches(encoded(part.column(0).to_pylist())):
+            for _, batch in arrow_batches(part.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(_runs(batch, least_sentences, least_words)[2].view(np.int64))], ["hash"])
 
     return docs.select("body").mapInArrow(hashes, "hash long")
@@ -135,11 +137,12 @@ def _spans(docs: DataFrame, least_sentences: int, least_words: int, wanted) -> D
     wanted: a broadcast filter of hashes; others are left out.
     """
 
+    @frugal
     def spans(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(wanted.value, np.int64)
         for part in parts:
             doc, mark = (part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for first, batch in batches(encoded(part.column(2).to_pylist())):
+            for first, batch in arrow_batches(part.column(2)):
                 start, end, h, sentences = _runs(batch, least_sentences, least_words)
                 at = (h & np.uint64((1 << RUN_BITS) - 1)).astype(np.int64)
                 known = (bits[at >> 6] >> (at & 63)) & 1 == 1
@@ -158,6 +161,7 @@ def _spans(docs: DataFrame, least_sentences: int, least_words: int, wanted) -> D
     return docs.mapInArrow(spans, "doc long, mark long, run long, hash long, check long, again boolean")
 
 
+@frugal
 def _cut(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for texts, runs in columns:
         out = []

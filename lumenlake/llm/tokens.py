@@ -38,6 +38,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenlake.llm.common import frugal
+
 #: Mean, least and greatest bytes of a chunk, and bytes under the rolling hash.
 MEAN, LEAST, MOST, WINDOW = 2048, 256, 16384, 24
 #: Bytes of text, ids and decoded text that a worker keeps for reuse.
@@ -275,6 +277,7 @@ def encode_documents(docs: DataFrame, spec_path: str) -> DataFrame:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @frugal
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import os
 

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenlake.llm.common import frugal
+
 #: Vectors of a block of queries and of one of candidates, queries whose bounds a task holds at once, and blocks of
 #: candidates of a group: for each group a block of queries is shuffled once, and for each block of queries a group.
 QUERY_BLOCK, CANDIDATE_BLOCK, AT_ONCE, GROUP = 4096, 4096, 256, 16
@@ -50,6 +52,7 @@ def usable(vector: Column) -> Column:
 def _pack(keyed: DataFrame, rows: int, once: bool) -> DataFrame:
     """Rows (qb, id, v) as blocks of at most `rows` of one qb and one length; once: equal rows count once."""
 
+    @frugal
     def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[tuple[int, int], tuple[list[int], list[bytes]]] = {}
         seen: set[tuple[int, bytes]] = set()
@@ -206,6 +209,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.
     packed = packed.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(tasks, *keys)
     met = (packed.select(*keys, F.col("ids").alias("c_ids"), F.col("vectors").alias("c")).join(asked.hint("merge"), keys).select(*keys, "ids", "vectors", "c_ids", "c"))
 
+    @frugal
     def top(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, {}
 

@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import held_out
+from lumenlake.llm.common import frugal, held_out
 
 #: Most labelled rows to learn from.
 FIT_ROWS = 6000
@@ -183,7 +183,7 @@ class Counts:
 class Scanner:
     """Counts of texts under a lexicon; remembers what it has found out about terms."""
 
-    MOST_TERMS = 400_000
+    MOST_TERMS = 200_000
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
@@ -359,6 +359,7 @@ def score_documents(docs: DataFrame, model: Model, into: str = "score") -> DataF
     """docs with a double column `into` (replaced if there): the toxicity of the whole text, from 0 to 1."""
 
     @F.pandas_udf("double")
+    @frugal
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scanner = Scanner(Lexicon(model.words, model.stems, short=True))
         for texts in batches:

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlake.functions.lineage import durable, shared_dir
+from lumenlake.llm.common import frugal
 
 #: Payloads below this many bytes are always stored.
 REVISIT_FROM = 100
@@ -107,6 +108,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     later = long.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).distinct().select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first")
     marked = rows.join(later, rows["page_id"].eqNullSafe(later["p"]) & (rows["digest"] == later["d"]), "left")
 
+    @frugal
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = _filesystem(folder)
         fs.create_dir(top, recursive=True)
@@ -145,6 +147,7 @@ def build_index(captures: DataFrame, folder: str) -> DataFrame:
     keyed = captures.withColumn("page", F.coalesce("page_id", F.lit(_LOWEST)))
     ordered = keyed.repartitionByRange("key", "page", "file", "start").sortWithinPartitions("key", "page", "file", "start").select("key", "page", "file", "start", "length")
 
+    @frugal
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = _filesystem(folder)
         fs.create_dir(top, recursive=True)
@@ -212,6 +215,7 @@ def look_up(wanted: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
     fences = sorted((_sortable(r["first"]["key"], r["first"]["page"]), r["shard"]) for r in ends)
     firsts, shards = spark.sparkContext.broadcast([f for f, _ in fences]), [s for _, s in fences]
 
+    @frugal
     def route(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = firsts.value
         for part in parts:
@@ -231,6 +235,7 @@ def look_up(wanted: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
     blocks = directory.join(F.broadcast(names), "shard").select(F.col("number").alias("shard"), F.lit(0).alias("kind"), "key", "page", "start", "length")
     both = blocks.unionByName(asked.select("shard", F.lit(1).alias("kind"), "key", "page", F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("length")))
 
+    @frugal
     def resolve(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = _filesystem(folder)
         now, blocks, shard = None, [], None
@@ -258,6 +263,7 @@ def look_up(wanted: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
 def read_records(places: DataFrame, folder: str) -> DataFrame:
     """Reads records by ranges: page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload."""
 
+    @frugal
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = _filesystem(folder)
         name, file, buffer, base = "", None, b"", 0
