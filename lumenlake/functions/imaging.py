@@ -62,7 +62,7 @@ def exposure(image: np.ndarray) -> float:
 
 def composition(image: np.ndarray) -> float:
     """How near the centre of edge energy is to a point of the rule of thirds, and how much of the image has edges."""
-    g = shrink(gray(image), 128, 128) / 255.0
+    g = np.round(shrink(gray(image), 128, 128) / 255.0, 9)  # or the noise of rounding would count as edges
     energy = np.abs(np.diff(g, axis=1, prepend=g[:, :1])) + np.abs(np.diff(g, axis=0, prepend=g[:1])) + 1e-6
     places = np.arange(128) / 127.0
     x, y = (energy.sum(0) @ places) / energy.sum(), (energy.sum(1) @ places) / energy.sum()

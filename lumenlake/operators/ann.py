@@ -1,7 +1,7 @@
 """Approximate search behind one interface: exact, random-hyperplane LSH, or k-means cells.
 
 An index is fitted on a bounded sample, of which a part also serves as queries: it is tuned to the coarsest setting
-that finds the wanted share of their true neighbours.  Every row is put into the index.
+that finds the wanted share of their true neighbours.  Every row is put into the index, which is written out.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.functions import vector
+from lumenlake.functions.lineage import durable
 from lumenlake.operators.search import batch_search
 
 #: Names of the index kinds, and the names under which other tools know them.
@@ -67,7 +68,7 @@ class Index:
         rank = (-(x[: len(true)] @ self.centres.T)).argsort(1).argsort(1)
         needed = np.sort(np.take_along_axis(rank, cell[true], 1).ravel()) if true.size else np.zeros(1, int)
         self.probes = int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))) - 1)]) + 1
-        self.indexed = self._keyed(self.rows, 1)
+        self.indexed = durable(self._keyed(self.rows, 1).select("key", "id", "ord", "embedding"))
 
     def _tune_planes(self, x: np.ndarray, true: np.ndarray, target: float, rng: np.random.Generator) -> None:
         self.planes = rng.normal(0, 1, (TABLES, MOST_BITS, x.shape[1]))
@@ -75,7 +76,7 @@ class Index:
         agree = np.logical_and.accumulate(side[: len(true), None] == side[true], axis=3) if true.size else np.ones((1, 1, 1, MOST_BITS), bool)
         share = agree.any(2).mean((0, 1))  # of neighbours met in some table, by bits of the key
         self.bits = int((share >= target).sum())
-        self.indexed = self._keyed(self.rows, 1)
+        self.indexed = durable(self._keyed(self.rows, 1).select("key", "id", "ord", "embedding"))
 
     def _keyed(self, rows: DataFrame, probes: int) -> DataFrame:
         """rows with the keys at which they are kept, or (cells) sought."""
@@ -105,7 +106,7 @@ class Index:
             return batch_search(queries, self.rows, top_k)
         asked = queries.where(vector.present(F.col("embedding"))).withColumn("embedding", vector.unit(vector.as_double(F.col("embedding"))))
         sought = self._keyed(asked, self.probes if self.kind == "ivf" else 1).select("query_id", "key", F.col("embedding").alias("q"))
-        met = self.indexed.select("key", "id", "ord", "embedding").join(sought, "key").where(F.size("q") == F.size("embedding"))
+        met = self.indexed.join(sought, "key").where(F.size("q") == F.size("embedding"))
         # A row that is met at several keys scores the same at each.
         scored = met.groupBy("query_id", "id", "ord").agg(F.max(vector.dot(F.col("q"), F.col("embedding"))).alias("score"))
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")

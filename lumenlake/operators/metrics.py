@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenlake.functions.lineage import durable
+
 INVALID = ("", "-1", "review")
 CONFIDENCE = {"low": 0, "medium": 1, "high": 2}
 
@@ -161,19 +163,21 @@ def evaluate_event_strategies(photos: DataFrame, expected: DataFrame, find: Call
     """(strategy, precision, recall, f1) of every strategy's events, which find(strategy) gives, against expected
     labels (library_id, id, label); a photo without one is left out."""
     known = with_labels(photos.select("library_id", "id"), expected, "expected")
-    each = [pairwise_metrics(with_labels(known, event_labels(find(s)), "predicted")).select(F.lit(s).alias("strategy"), "*") for s in strategies]
+    # Written out, as every measure reads them several times.
+    each = [pairwise_metrics(durable(with_labels(known, event_labels(find(s)), "predicted").select("expected", "predicted"))).select(F.lit(s).alias("strategy"), "*") for s in strategies]
     return reduce(DataFrame.unionByName, each)
 
 
 def evaluate_event_boundaries(photos: DataFrame, strict: DataFrame, tolerant: DataFrame, members: DataFrame) -> DataFrame:
     """boundary_metrics of the events of members against two sets of labels (library_id, id, label)."""
     rows = with_labels(with_labels(photos.select("library_id", "id"), strict, "strict"), tolerant, "tolerant")
-    return boundary_metrics(with_labels(rows, event_labels(members), "predicted"))
+    return boundary_metrics(durable(with_labels(rows, event_labels(members), "predicted").select("strict", "tolerant", "predicted")))
 
 
 def evaluate_labels(photos: DataFrame, expected: DataFrame, predicted: DataFrame) -> DataFrame:
     """precision, recall, f1 and coverage of predicted labels against expected ones, both (library_id, id, label)."""
     rows = with_labels(with_labels(photos.select("library_id", "id"), expected, "expected", default=None), predicted, "predicted")
+    rows = durable(rows.select("expected", "predicted"))
     return pairwise_metrics(rows).crossJoin(coverage(rows))  # single rows
 
 

@@ -479,10 +479,10 @@ walk AS (
 
 
 @_query("journey_stops", f"""{_STOPS} SELECT library_id, journey_id, stop_id, coalesce(arg_min(destination, sm.i) FILTER (destination IS NOT NULL), 'Stop ' || (stop_id + 1)) AS name, count(*) AS event_count,
-  round(avg(latitude), 5) AS centroid_latitude, round(avg(longitude), 5) AS centroid_longitude FROM walk w JOIN sm USING (library_id, journey_id, event_id) GROUP BY 1, 2, 3""")
+  round(avg(latitude), 9) AS centroid_latitude, round(avg(longitude), 9) AS centroid_longitude FROM walk w JOIN sm USING (library_id, journey_id, event_id) GROUP BY 1, 2, 3""")
 def journey_stops(spark, sf_dir):
     s = journeys.stop_summary(journeys.stops(journeys.journeys(_placed_events(spark, sf_dir)[0])))
-    return s.select("library_id", "journey_id", "stop_id", "name", "event_count", _r("centroid_latitude", 5).alias("centroid_latitude"), _r("centroid_longitude", 5).alias("centroid_longitude"))
+    return s.select("library_id", "journey_id", "stop_id", "name", "event_count", _r("centroid_latitude", 9).alias("centroid_latitude"), _r("centroid_longitude", 9).alias("centroid_longitude"))
 
 
 @_query("journey_photos", f"{_STOPS} SELECT w.library_id, e.id, w.library_id || '/' || w.journey_id || ':' || w.stop_id AS label FROM walk w JOIN e USING (library_id, event_id)")

@@ -523,13 +523,14 @@ def query_prompts(spark, sf_dir):
     return one("raw_clip").unionByName(one("prompt_ensemble"))
 
 
-_STOP = "photos?|pictures?|images?|taken|captured|from|in"
+#: A stop word between what is no part of a word in any script; words that follow each other need a second pass.
+_STOP = r"(?i)(^|[^\p{L}\p{N}_])(?:photos?|pictures?|images?|taken|captured|from|in)([^\p{L}\p{N}_]|$)"
 
 
 @_query("semantic_texts", f"""
 WITH q AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Photos taken last  year in ' || text WHEN 1 THEN '2024 年拍摄的照片，' || text ELSE 'Photo from, ' END AS q, CASE doc_id % 3 WHEN 0 THEN 'last  year' WHEN 1 THEN '2024 年' END AS e FROM documents),
 a AS (SELECT doc_id, q, CASE WHEN e IS NULL THEN q ELSE replace(q, e, ' ') END AS t FROM q),
-b AS (SELECT doc_id, q, regexp_replace(regexp_replace(t, '拍摄的|拍的|拍摄|照片|图片|相片|在', ' ', 'g'), '(?i)\\b({_STOP})\\b', ' ', 'g') AS t FROM a),
+b AS (SELECT doc_id, q, regexp_replace(regexp_replace(regexp_replace(t, '拍摄的|拍的|拍摄|照片|图片|相片|在', ' ', 'g'), '{_STOP}', '\\1 \\2', 'g'), '{_STOP}', '\\1 \\2', 'g') AS t FROM a),
 c AS (SELECT doc_id, q, trim(regexp_replace(t, '\\s+', ' ', 'g'), ' ，,。.') AS t FROM b)
 SELECT doc_id, CASE WHEN t = '' THEN trim(q) ELSE t END AS semantic FROM c""")
 def semantic_texts(spark, sf_dir):

@@ -1,5 +1,7 @@
 """The library object end to end, and what remains when the training-data operators are gone."""
 
+import os
+import shutil
 import subprocess
 import sys
 
@@ -39,3 +41,19 @@ assert "search_topk" in e.queries() and "pipeline" not in e.queries() and not an
 assert set(e.oracle_sql()) <= set(e.queries())
 """
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def test_queries_survive_the_deletion_of_the_optional_folders(tmp_path):
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{here}/lumenlake", tmp_path / "lumenlake", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{here}/__spark_entry__.py", tmp_path)
+    run = lambda code: subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    left = "import __spark_entry__ as e; q = e.queries(); assert 'search_topk' in q and 'csv_export' in q and not any(n.startswith('op') for n in q) and set(e.oracle_sql()) <= set(q)"
+    assert run(left).returncode == 0
+    # A mistake inside of the optional package is not passed over.
+    (tmp_path / "lumenlake/llm").mkdir()
+    (tmp_path / "lumenlake/llm/__init__.py").write_text("")
+    (tmp_path / "lumenlake/llm/queries.py").write_text("import lumenlake.llm.misspelt\n")
+    assert "misspelt" in run(left).stderr
+    (tmp_path / "lumenlake/llm/queries.py").unlink()
+    assert run(left).returncode != 0
