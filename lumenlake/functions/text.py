@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,8 +37,6 @@ EXPANSIONS = {
 QUERY_STRATEGIES = ("raw_clip", "prompt_ensemble", "query_enhancement")
 #: Dimensions of the hash encoder and slots per token.
 DIM, SLOTS = 256, 12
-#: Tokens whose slots a worker keeps.
-MOST_TOKENS = 200_000
 _BLANKS = re.compile("[ \\t\\n\\x0b\\f\\r]+")
 
 
@@ -72,46 +71,36 @@ def _tokens(text: str) -> list[str]:
     return [t for t in _BLANKS.split(low.replace("_", " ").replace("-", " ")) if t] or [low]
 
 
-def _slots(token: str, dim: int) -> tuple[list[int], list[float]]:
-    digest = hashlib.sha256(token.encode()).digest()
-    return [int.from_bytes(digest[2 * i : 2 * i + 2], "big") % dim for i in range(SLOTS)], [1.0 if digest[2 * i] % 2 else -1.0 for i in range(SLOTS)]
+def _slots(tokens: Iterable[str], dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, signs) of every token, a row each: two bytes of its digest are a slot, the first one's parity the sign."""
+    digests = b"".join(hashlib.sha256(t.encode()).digest()[: 2 * SLOTS] for t in tokens)
+    pairs = np.frombuffer(digests, ">u2").reshape(-1, SLOTS).astype(np.int64)
+    return pairs % dim, np.where(pairs >> 8 & 1, 1.0, -1.0)
+
+
+def _vector(text: str, dim: int) -> np.ndarray:
+    counts = Counter(_tokens(text))
+    at, signs = _slots(counts, dim)
+    v = np.bincount(at.ravel(), (signs * np.array(list(counts.values()))[:, None]).ravel(), dim)
+    n = float(np.sqrt(v @ v))
+    return v / n if n > 0 else v
 
 
 def hash_encode(texts: DataFrame, dim: int = DIM) -> DataFrame:
     """(id, embedding) of texts(id, text): signed hash slots of the tokens, at unit length; null texts are left out.
 
-    A text without tokens is hashed as a whole.  One pass in Arrow batches, without a shuffle; a worker keeps the slots
-    of the tokens that it has met, up to a number.
+    A text without tokens is hashed as a whole.  One pass in Arrow batches, without a shuffle.
     """
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[str, tuple[list[int], list[float]]] = {}
         for batch in batches:
-            out = []
-            for text in batch:
-                if len(known) > MOST_TOKENS:
-                    known = {}
-                at, signs = [], []
-                for t in _tokens(text):
-                    if t not in known:
-                        known[t] = _slots(t, dim)
-                    at += known[t][0]
-                    signs += known[t][1]
-                v = np.bincount(at, signs, dim)
-                n = float(np.sqrt(v @ v))
-                out.append(v / n if n > 0 else v)
-            yield pd.Series(out, dtype=object)
+            yield pd.Series([_vector(text, dim) for text in batch], dtype=object)
 
     return texts.where("text is not null").select("id", F.pandas_udf(encode, "array<double>")(F.col("text").cast("string")).alias("embedding"))
 
 
 def hash_vector(text: str, dim: int = DIM) -> list[float]:
     """The same encoding of one text, on the driver."""
-    out = [0.0] * dim
-    for t in _tokens(text):
-        for at, sign in zip(*_slots(t, dim), strict=True):
-            out[at] += sign
-    n = math.sqrt(sum(x * x for x in out)) or 1.0
-    return [x / n for x in out]
+    return _vector(text, dim).tolist()
 
 
 def encode_query(texts: list[str], encode=hash_vector) -> list[float]:

@@ -16,7 +16,11 @@ from lumenlake.operators.events import DEFAULTS, EventConfig, strict_events
 def appearance_vectors(faces: DataFrame, person_faces: DataFrame) -> DataFrame:
     """(library_id, photo_id, person_id, appearance): the mean appearance of a person on a photo, at unit length."""
     seen = faces.select("library_id", F.col("id").alias("face_id"), "photo_id", "appearance_embedding").join(person_faces.select("library_id", "person_id", "face_id"), ["library_id", "face_id"])
-    return vector.mean_vectors(seen, ["library_id", "photo_id", "person_id"], "appearance_embedding", "appearance")
+    # A person has a face or two on a photo, so their vectors are gathered rather than taken apart.
+    rows = seen.where(vector.present(F.col("appearance_embedding"))).groupBy("library_id", "photo_id", "person_id").agg(F.collect_list(vector.as_double(F.col("appearance_embedding"))).alias("v"))
+    total = F.aggregate(F.slice("v", 2, F.greatest(F.size("v") - 1, F.lit(0))), F.col("v")[0], lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
+    means = rows.select("library_id", "photo_id", "person_id", F.transform(total, lambda x: x / F.size("v")).alias("v"))
+    return means.where(vector.norm(F.col("v")) > vector.EPSILON).select("library_id", "photo_id", "person_id", vector.unit(F.col("v")).alias("appearance"))
 
 
 def event_people(members: DataFrame, person_photos: DataFrame) -> DataFrame:
