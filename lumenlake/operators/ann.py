@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.functions import vector
 from lumenlake.functions.lineage import durable
-from lumenlake.operators.search import batch_search
+from lumenlake.operators.search import batch_search, search
 
 #: Names of the index kinds, and the names under which other tools know them.
 ALIASES = {"exact": "exact", "numpy": "exact", "numpy_exact": "exact", "faiss": "exact", "faiss_flat": "exact", "lsh": "lsh", "faiss_hnsw": "lsh", "hnsw": "lsh", "hnswlib": "lsh",
@@ -114,6 +114,8 @@ class Index:
 
     def search(self, query: list[float], top_k: int = 10) -> DataFrame:
         """id and score of about the best top_k for one query."""
+        if self.kind == "exact":
+            return search(self.rows, query, top_k).select("id", "score")
         one = self.rows.sparkSession.createDataFrame([(0, [float(x) for x in query])], "query_id int, embedding array<double>")
         return self.search_many(one, top_k).orderBy("rank").select("id", "score")
 
