@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.llm import decontamination, jaccard, lpf, quality, sharding, spans, tokens, topk, toxicity, warc
+from lumenlake.llm import decontamination, jaccard, lpf, quality, resync, sharding, spans, tokens, topk, toxicity, warc
 from lumenlake.llm.common import held_out, read_table
 
 #: The public vocabulary that op6 and the pipeline encode with.
@@ -78,6 +78,11 @@ def op10_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.coalesce(F.array_max("leaks.coverage"), F.lit(0.0)).alias("coverage"))
 
 
+def op11_overlap_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resync.count_tokens(docs, vocabulary_path()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_automata": op1_toxicity_automata,
     "op2_lpf_dedup": op2_lpf_dedup,
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bayesian_jaccard": op8_bayesian_jaccard,
     "op9_sentence_spans": op9_sentence_spans,
     "op10_greedy_tiling": op10_greedy_tiling,
+    "op11_overlap_token_counts": op11_overlap_token_counts,
 }
 
 ORACLE_SQL_BY_QUERY: dict[str, str | None] = {
