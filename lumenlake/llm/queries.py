@@ -7,17 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.llm import decontamination, jaccard, lpf, quality, resync, sharding, spans, tokens, topk, toxicity, warc
+from lumenlake.llm import alignment, decontamination, jaccard, lpf, quality, resync, sharding, spans, tokens, topk, toxicity, warc
 from lumenlake.llm.common import held_out, read_table
 
-#: The public vocabulary that op6 and the pipeline encode with.
-VOCABULARY = "byte_bpe_50k.json"
+#: The public vocabulary that op6, op11 and the pipeline encode with, and the one that op13 holds it against.
+VOCABULARY, OTHER_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 def _predicted(scored: DataFrame, threshold: float) -> DataFrame:
@@ -83,6 +83,11 @@ def op11_overlap_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resync.count_tokens(docs, vocabulary_path()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, vocabulary_path(), vocabulary_path(OTHER_VOCABULARY))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_automata": op1_toxicity_automata,
     "op2_lpf_dedup": op2_lpf_dedup,
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentence_spans": op9_sentence_spans,
     "op10_greedy_tiling": op10_greedy_tiling,
     "op11_overlap_token_counts": op11_overlap_token_counts,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 ORACLE_SQL_BY_QUERY: dict[str, str | None] = {
