@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.llm import alignment, decontamination, jaccard, lpf, quality, resync, sharding, spans, tokens, topk, toxicity, warc
+from lumenlake.llm import alignment, decontamination, jaccard, lpf, quality, resync, sharding, spans, spelling, tokens, topk, toxicity, warc
 from lumenlake.llm.common import held_out, read_table
 
 #: The public vocabulary that op6, op11 and the pipeline encode with, and the one that op13 holds it against.
@@ -83,6 +83,10 @@ def op11_overlap_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resync.count_tokens(docs, vocabulary_path()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return alignment.align(docs, vocabulary_path(), vocabulary_path(OTHER_VOCABULARY))
@@ -100,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentence_spans": op9_sentence_spans,
     "op10_greedy_tiling": op10_greedy_tiling,
     "op11_overlap_token_counts": op11_overlap_token_counts,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
@@ -107,4 +112,5 @@ ORACLE_SQL_BY_QUERY: dict[str, str | None] = {
     "op3_warc_capture_index": warc.ORACLE_SQL,
     "op4_weighted_tree_sharding": sharding.oracle_sql(),
     "op7_segment_topk": topk.oracle_sql(),
+    "op12_spelling_variants": spelling.oracle_sql(),
 }

@@ -114,7 +114,7 @@ def descend_sql(node: Node) -> str:
 
 
 #: CRC-32 of a blob in DuckDB's SQL, which has no such function: the usual table of 256, then a fold over the bytes.
-_CRC_SQL = """
+CRC_SQL = """
 WITH crc_table AS (
   SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
     lambda c, step: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END)) AS t)
@@ -123,7 +123,7 @@ WITH crc_table AS (
 
 def oracle_sql() -> str:
     """shard_rows with its defaults, over documents."""
-    return f"""{_CRC_SQL}, keyed AS (
+    return f"""{CRC_SQL}, keyed AS (
   SELECT doc_id, coalesce(doc_id::VARCHAR, 'null') AS k, coalesce(text, '') AS body FROM documents),
 placed AS (
   SELECT doc_id, k, strlen(body) + 1 AS size,
