@@ -55,7 +55,7 @@ def _pack(keyed: DataFrame, rows: int, once: bool) -> DataFrame:
     @frugal
     def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[tuple[int, int], tuple[list[int], list[bytes]]] = {}
-        seen: set[tuple[int, bytes]] = set()
+        seen: set[bytes] = set()
 
         def out(key: tuple[int, int]) -> pa.RecordBatch:
             ids, vectors = open_.pop(key)
@@ -67,9 +67,10 @@ def _pack(keyed: DataFrame, rows: int, once: bool) -> DataFrame:
             for i, (qb, vec) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
                 raw = values[at[i] : at[i + 1]].tobytes()
                 if once:
-                    if (vec, raw) in seen:
+                    mark = hashlib.blake2b(vec.to_bytes(8, "little", signed=True) + raw, digest_size=16).digest()
+                    if mark in seen:
                         continue
-                    seen.add((vec, raw))
+                    seen.add(mark)
                 key = (qb, len(raw) // 8)
                 ids, vectors = open_.setdefault(key, ([], []))
                 ids.append(vec)
@@ -142,8 +143,8 @@ def _cascade(q: Block, rows: slice, c: Block, best: Best, seen: Counter) -> None
         best.add(int(mine[i]), c.values[at] @ x[i], c.plain_ids[at])
 
     for n in LEVELS:
-        if n >= x.shape[1]:
-            break  # as long as the vectors themselves
+        if 2 * n >= x.shape[1]:
+            break  # a segment has two numbers: bounds would cost what scores do
         fq, fc = q.segments(n)[rows], c.segments(n)
         if live.mean() > DENSE:
             bound = np.where(live, fq @ fc.T, -np.inf)
@@ -225,11 +226,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.
                     if held:
                         yield out()
                     now, held = key, {}
-                if row["ids"] not in held:
+                # Blocks of queries are told apart by all that they hold: many vectors may share an id.
+                block = hashlib.blake2b(row["ids"] + row["vectors"], digest_size=16).digest()
+                if block not in held:
                     ids = np.frombuffer(row["ids"], np.int64)
                     q = np.frombuffer(row["vectors"], np.float64).reshape(len(ids), row["dim"])
-                    held[row["ids"]] = (Block(ids, q), [hashlib.blake2b(x.tobytes(), digest_size=8).hexdigest() for x in q], Best(len(ids), k))
-                q, _, best = held[row["ids"]]
+                    held[block] = (Block(ids, q), [hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest() for x in q], Best(len(ids), k))
+                q, _, best = held[block]
                 c_ids = np.frombuffer(row["c_ids"], np.int64)
                 compare(q, Block(c_ids, np.frombuffer(row["c"], np.float64).reshape(len(c_ids), row["dim"])), best)
         if held:

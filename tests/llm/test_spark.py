@@ -252,6 +252,19 @@ def test_search(spark):
     assert topk.search(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_every_vector_of_one_id_is_answered(spark):
+    """More queries of one id than a block holds: each is answered once, by its own best candidates."""
+    x = np.random.default_rng(8).integers(-40, 40, (9049, 8))
+    table = spark.createDataFrame([(0 if i < 9000 else i, (v / 256).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    got = topk.search(table, F.col("vec_id") == 0)
+    scores = x[:9000] @ x[9000:].T
+    want = collections.Counter()
+    for q in {tuple(v): s for v, s in zip(x[:9000].tolist(), scores, strict=True)}.values():
+        best = np.lexsort((np.arange(49), -q))[:5]
+        want.update((k + 1, int(9000 + i), int(q[i])) for k, i in enumerate(best))
+    assert collections.Counter((r["rank"], r.vec_id, r.score) for r in got.collect()) == want
+
+
 # --- op8 --------------------------------------------------------------------------------------------------------
 
 def shingles(t):
