@@ -35,24 +35,23 @@ from lumenlake.llm.common import frugal
 from lumenlake.llm.resync import Resync, coder
 
 #: Bytes of text that go through DuckDB at once, and of the texts of a block; the memory that a connection may take.
-AT_ONCE, BLOCK, MEMORY = 1 << 19, 8 << 20, "200MB"
+AT_ONCE, BLOCK, MEMORY = 1 << 20, 8 << 20, "200MB"
+#: Bytes of the chunks in which very long texts are encoded.
+CHUNK = 1 << 18
 
-#: The first B token that each A token meets; of those that reach beyond it, the last one as well; then all links.  The
-#: first two are tables, so that the range join is planned by their true sizes.
+#: The B token that each A token begins in, and the B tokens that begin inside of an A token: tables, so that the range join
+#: of those that are left is planned by their true sizes.
 _STEPS = (
-    "CREATE OR REPLACE TEMP TABLE low AS SELECT a.seg, a.id, a.e, b.j AS first, b.e AS until, b.id AS b FROM a ASOF JOIN b ON a.s >= b.s",
-    "CREATE OR REPLACE TEMP TABLE wide AS SELECT x.seg, x.id, x.first, b.j AS last FROM (SELECT * FROM low WHERE e > until) x ASOF JOIN b ON x.e > b.s",
+    "CREATE OR REPLACE TEMP TABLE low AS SELECT a.seg, a.id, a.s, a.e, b.id AS b, b.e AS until FROM a ASOF JOIN b ON a.s >= b.s",
+    "CREATE OR REPLACE TEMP TABLE inner_b AS SELECT b.id, b.s FROM b ANTI JOIN a ON a.s = b.s",
+    "CREATE OR REPLACE TEMP TABLE wide AS SELECT seg, id, s, e FROM low WHERE e > until",
 )
 _LINKS = """
-WITH met AS (SELECT seg, id, b FROM low UNION ALL SELECT wide.seg, wide.id, b.id FROM wide JOIN b ON b.j > wide.first AND b.j <= wide.last)
+WITH met AS (SELECT seg, id, b FROM low UNION ALL SELECT wide.seg, wide.id, inner_b.id FROM wide JOIN inner_b ON inner_b.s > wide.s AND inner_b.s < wide.e)
 SELECT seg, id AS a, b, count(*)::INTEGER AS many FROM met GROUP BY ALL ORDER BY seg
 """
-
-#: The group of every token of one side: how many of its earlier tokens end where one of the other side does.
-_GROUPS = """
-SELECT x.{n} AS n, (sum((y.e IS NOT NULL)::INTEGER) OVER (ORDER BY x.{n} ROWS UNBOUNDED PRECEDING) - (y.e IS NOT NULL)::INTEGER)::INTEGER AS g
-FROM {side} x LEFT JOIN {other} y ON x.e = y.e
-"""
+#: The places where both tokens end, that is the last A and B token of every group, numbered by a running sum.
+_GROUPS = "SELECT a.i, b.j, sum(1) OVER (ORDER BY a.i ROWS UNBOUNDED PRECEDING)::INTEGER AS g FROM a JOIN b ON a.e = b.e"
 
 
 class Joiner:
@@ -64,28 +63,21 @@ class Joiner:
         self.connection = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY, "preserve_insertion_order": "false"})
 
     def run(self, segments: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> tuple[dict, np.ndarray, np.ndarray]:
-        """Of segments (ids and lengths by A, ids and lengths by B): links (seg, a, b, many), and the group of each token of
-        A and of B, numbered through."""
-        sizes = []
+        """Of segments (ids and lengths by A, ids and lengths by B): links (seg, a, b, many), and the first A and B token after
+        each group, in order."""
         for name, number, ids, lengths in (("a", "i", 0, 1), ("b", "j", 2, 3)):
-            each = [len(s[ids]) for s in segments]
             size = np.concatenate([s[lengths] for s in segments])
             end = np.cumsum(size, dtype=np.int64)
-            sizes.append(len(end))
             self.connection.register(name, pa.table({
-                "seg": np.repeat(np.arange(len(segments), dtype=np.int32), each), number: np.arange(len(end), dtype=np.int32), "id": np.concatenate([s[ids] for s in segments]).astype(np.int32), "s": end - size, "e": end}))
+                "seg": np.repeat(np.arange(len(segments), dtype=np.int32), [len(s[ids]) for s in segments]), number: np.arange(len(end), dtype=np.int32), "id": np.concatenate([s[ids] for s in segments]), "s": end - size, "e": end}))
         for step in _STEPS:
             self.connection.execute(step)
-        links = self.connection.execute(_LINKS).fetchnumpy()
-        groups = []
-        for (side, n, other), size in zip((("a", "i", "b"), ("b", "j", "a")), sizes, strict=True):
-            found = self.connection.execute(_GROUPS.format(side=side, n=n, other=other)).fetchnumpy()
-            number = np.empty(size, np.int64)
-            number[found["n"]] = found["g"]
-            groups.append(number)
+        links, groups = self.connection.execute(_LINKS).fetchnumpy(), self.connection.execute(_GROUPS).fetchnumpy()
         self.connection.unregister("a")
         self.connection.unregister("b")
-        return links, *groups
+        order = np.empty(len(groups["g"]), np.int64)
+        order[groups["g"] - 1] = np.arange(len(order))
+        return links, groups["i"][order].astype(np.int64) + 1, groups["j"][order].astype(np.int64) + 1
 
 
 def segments(a: np.ndarray, b: np.ndarray, most: int) -> list[tuple[int, int, int, int]]:
@@ -102,28 +94,45 @@ class Aligner:
     """Encodes texts by both tokenizers and joins their tokens."""
 
     def __init__(self, a, b, at_once: int = AT_ONCE):
-        self.a, self.b, self.at_once = Resync(a), Resync(b), at_once
+        self.a, self.b, self.at_once = Resync(a, CHUNK), Resync(b, CHUNK), at_once
         self.joiner = Joiner()
         # An id with what may stand before it: nothing, the comma within a side, the bar between sides, the next group's sign.
         self.size = max(len(a.bytes), len(b.bytes))
-        self.written = [sign + str(i) for sign in ("", ",", "|", ";") for i in range(self.size)]
-
-    def _spelled(self, ids: np.ndarray, tokenizer, raw: bytes) -> bool:
-        return b"".join(map(tokenizer.bytes.__getitem__, ids.tolist())) == raw
-
-    def _body(self, a: np.ndarray, ga: np.ndarray, b: np.ndarray, gb: np.ndarray) -> str:
-        """The groups of a segment as text."""
-        side = np.concatenate([2 * ga, 2 * gb + 1])
-        order = np.argsort(side, kind="stable")
-        side, ids = side[order], np.concatenate([a, b])[order].astype(np.int64)
-        sign = np.where(np.diff(side) == 0, 1, np.where(side[1:] % 2 == 1, 2, 3))
-        ids[1:] += sign * self.size
-        return "".join(map(self.written.__getitem__, ids.tolist()))
+        self.signed = pa.array([sign + str(i) for sign in ("", ",", "|", ";") for i in range(self.size)], pa.large_string())
+        self.spelling = pa.array(a.bytes, pa.large_binary()), pa.array(b.bytes, pa.large_binary())
+
+    def _spelled(self, side: int, ids: list[np.ndarray], raws: list[bytes]) -> list[bool]:
+        """Whether the tokens of each text spell it."""
+        if not (total := sum(map(len, ids))):
+            return [not r for r in raws]
+        got = self.spelling[side].take(pa.array(np.concatenate(ids)))
+        at = np.frombuffer(got.buffers()[1], np.int64, total + 1)[np.concatenate([[0], np.cumsum([len(i) for i in ids])])].tolist()
+        data = got.buffers()[2].to_pybytes()
+        return [data[x:y] == r for x, y, r in zip(at, at[1:], raws, strict=False)]
+
+    def _bodies(self, held: list[tuple], i: np.ndarray, j: np.ndarray) -> list[memoryview]:
+        """The groups of each segment as text; i and j are the first tokens after each group."""
+        of_a, of_b = (np.cumsum([len(s[n]) for _, s in held]) for n in (0, 2))
+        i0, j0 = (np.concatenate([[0], x[:-1]]) for x in (i, j))
+        code = np.empty(int(i[-1] + j[-1]), np.int64)
+        # A group's A tokens stand before its B tokens, after all tokens of the groups before.
+        for first, last, shift, ids, number, sign in ((i0, i, j0, 0, 0, 3), (j0, j, i, 2, 1, 2)):
+            signs = np.ones(int(last[-1]), np.int64)
+            signs[first] = sign
+            if not number:
+                signs[np.concatenate([[0], of_a[:-1]])] = 0
+            code[np.arange(int(last[-1])) + np.repeat(shift, last - first)] = np.concatenate([s[ids] for _, s in held]) + signs * self.size
+        text = self.signed.take(pa.array(code))
+        at = np.frombuffer(text.buffers()[1], np.int64, len(code) + 1)[np.concatenate([[0], of_a + of_b])].tolist()
+        data = memoryview(text.buffers()[2])
+        return [data[x:y] for x, y in zip(at, at[1:], strict=False)]
 
     def run(self, texts: list[str]) -> tuple[list[tuple[int, int, int, int, str]], list[tuple[np.ndarray, np.ndarray]]]:
         """Of each text: (n_a, n_b, n_groups, n_links, groups_sha256), and (distinct pairs as a << 32 | b, times linked)."""
         spaced = [" " + t for t in texts]
-        ids = list(zip(self.a.ids(spaced), self.b.ids(texts), strict=True))
+        raws = [t.encode() if len(t) > 1 else b"" for t in spaced]
+        ids = [list(self.a.ids(spaced)), list(self.b.ids(texts))]
+        spelled = [self._spelled(0, ids[0], raws), self._spelled(1, ids[1], raws)]
         counts = [[0, 0, 0, 0] for _ in texts]
         hashes = [None] * len(texts)
         pairs: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in texts]
@@ -131,32 +140,31 @@ class Aligner:
         size = 0
 
         def join() -> None:
-            links, ga, gb = self.joiner.run([s for _, s in held])
-            at = np.searchsorted(links["seg"], np.arange(len(held) + 1))
-            keys = links["a"].astype(np.int64) << 32 | links["b"].astype(np.int64)
-            of_a, of_b = (np.concatenate([[0], np.cumsum([len(s[n]) for _, s in held])]) for n in (0, 2))
-            for k, (i, (a, _, b, _)) in enumerate(held):
-                mine, other = ga[of_a[k] : of_a[k + 1]], gb[of_b[k] : of_b[k + 1]]
-                if hashes[i] is None:
-                    hashes[i] = hashlib.sha256()
+            links, i, j = self.joiner.run([s for _, s in held])
+            at = np.searchsorted(links["seg"], np.arange(len(held) + 1)).tolist()
+            keys, many = links["a"].astype(np.int64) << 32 | links["b"].astype(np.int64), links["many"].astype(np.int64)
+            groups = np.searchsorted(i, np.concatenate([[0], np.cumsum([len(s[0]) for _, s in held])]), "right").tolist()
+            total = np.concatenate([[0], np.cumsum(many)])[at].tolist()
+            for k, ((n, _), body) in enumerate(zip(held, self._bodies(held, i, j), strict=True)):
+                if hashes[n] is None:
+                    hashes[n] = hashlib.sha256()
                 else:
-                    hashes[i].update(b";")
-                hashes[i].update(self._body(a, mine, b, other).encode())
-                counts[i][2] += int(mine[-1] - mine[0]) + 1
-                counts[i][3] += int(links["many"][at[k] : at[k + 1]].sum())
-                pairs[i].append((keys[at[k] : at[k + 1]], links["many"][at[k] : at[k + 1]].astype(np.int64)))
+                    hashes[n].update(b";")
+                hashes[n].update(body)
+                counts[n][2] += groups[k + 1] - groups[k]
+                counts[n][3] += total[k + 1] - total[k]
+                pairs[n].append((keys[at[k] : at[k + 1]], many[at[k] : at[k + 1]]))
             held.clear()
 
-        for i, (t, (a, b)) in enumerate(zip(spaced, ids, strict=True)):
-            raw = t.encode()
-            if len(t) == 1 or not self._spelled(a, self.a.tokenizer, raw) or not self._spelled(b, self.b.tokenizer, raw):
+        for n, (raw, a, b) in enumerate(zip(raws, *ids, strict=True)):
+            if not raw or not spelled[0][n] or not spelled[1][n]:
                 continue
-            counts[i][:2] = len(a), len(b)
+            counts[n][:2] = len(a), len(b)
             la, lb = self.a.tokenizer.lengths[a], self.b.tokenizer.lengths[b]
             for a0, a1, b0, b1 in segments(np.cumsum(la), np.cumsum(lb), self.at_once):
-                held.append((i, (a[a0:a1], la[a0:a1], b[b0:b1], lb[b0:b1])))
+                held.append((n, (a[a0:a1], la[a0:a1], b[b0:b1], lb[b0:b1])))
                 size += int(la[a0:a1].sum())
-                if size >= self.at_once:
+                if size >= 2 * self.at_once:
                     join()
                     size = 0
         if held:

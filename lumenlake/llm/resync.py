@@ -127,7 +127,7 @@ class Words:
         # What all Unicode versions say the same of goes to the faster library.
         fast = [self.fast is not None and _PLAIN.match(t) is not None and (self.plain or not any(a in t for a in self.added)) for t in texts]
         rest = iter(self.library.encode_batch_fast([t for t, f in zip(texts, fast, strict=True) if not f], add_special_tokens=False))
-        return [np.array(self.fast.encode_ordinary(t) if f else next(rest).ids, np.int32) for t, f in zip(texts, fast, strict=True)]
+        return [self.fast.encode_to_numpy(t, disallowed_special=()).astype(np.int32) if f else np.array(next(rest).ids, np.int32) for t, f in zip(texts, fast, strict=True)]
 
     def stretches(self, starts: list[int], texts: list[str]) -> list[Stretch]:
         out = []
