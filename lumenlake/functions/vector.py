@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,13 +52,123 @@ def visual_distance(a: Column, b: Column) -> Column:
     return F.coalesce(1 - cosine(a, b), F.lit(0.0))
 
 
+class _Sums:
+    """Weighted sums of vectors by key; weights are kept once, or element by element where vectors differ in length."""
+
+    def __init__(self, fields: list[pa.Field]):
+        self.fields, self.held = fields, {}
+
+    def add(self, part: pa.RecordBatch) -> None:
+        """Rows of the keys, a vector, and its weights (one for all elements, or one for each)."""
+        n = len(self.fields)
+        keys = pd.DataFrame({i: part.column(i).to_pandas() for i in range(n)})
+        code = keys.groupby(list(range(n)), sort=False, dropna=False).ngroup().to_numpy()
+        first = np.unique(code, return_index=True)[1]
+        names = list(zip(*(part.column(i).take(pa.array(first)).to_pylist() for i in range(n)), strict=True))
+        order = np.argsort(code, kind="stable")
+        starts = np.searchsorted(code[order], np.arange(len(first)))
+        matrix, long = _padded(part.column(n))
+        weights, spread = _padded(part.column(n + 1))
+        if (long != matrix.shape[1]).any() or (spread != 1).any():
+            inside = np.arange(matrix.shape[1])[None, :] < long[:, None]
+            weights = np.where(spread[:, None] == 1, weights[:, :1], np.pad(weights, ((0, 0), (0, matrix.shape[1] - weights.shape[1])))) * inside
+        total, weight = (np.add.reduceat(x[order], starts, axis=0) for x in (matrix, weights))
+        for key, t, w in zip(names, total, weight, strict=True):
+            if len(w) > 1:  # as long as the longest vector of the key
+                t, w = t[: (n := int(np.flatnonzero(w)[-1]) + 1)], w[:n]
+            if (old := self.held.get(key)) is not None:
+                t, w = _plus(old[0], t), (old[1] + w if len(old[1]) == len(w) == 1 and len(old[0]) == len(t) else _plus(_each(old[1], old[0]), _each(w, t)))
+            self.held[key] = t, w
+
+    def out(self, most: int, finish: Callable[[np.ndarray, np.ndarray], np.ndarray | None] | None = None) -> Iterator[pa.RecordBatch]:
+        """What has been added up, but for the `most` last keys."""
+        if len(self.held) <= most:
+            return
+        done = [(k, self.held.pop(k)) for k in list(self.held)[: len(self.held) - most]]
+        if finish is not None:
+            done = [(k, (v,)) for k, (t, w) in done if (v := finish(t, w)) is not None]
+        kind = pa.list_(pa.float64())
+        arrays = [pa.array([k[i] for k, _ in done], f.type) for i, f in enumerate(self.fields)]
+        values = [pa.array([v[i] for _, v in done], kind) for i in range(1 if finish is not None else 2)]
+        yield pa.RecordBatch.from_arrays(arrays + values, [*(f.name for f in self.fields), *("__v", "__w")[: len(values)]])
+
+
+def _padded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    long = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, most = column.flatten().fill_null(0.0).to_numpy(zero_copy_only=False), int(long.max(initial=0))
+    if (long == most).all():
+        return flat.reshape(len(long), most), long
+    out = np.zeros((len(long), most))
+    out[np.arange(most)[None, :] < long[:, None]] = flat
+    return out, long
+
+
+def _each(weight: np.ndarray, total: np.ndarray) -> np.ndarray:
+    return weight if len(weight) == len(total) else np.repeat(weight, len(total))
+
+
+def _plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    if len(a) < len(b):
+        a, b = b, a
+    out = a.copy()
+    out[: len(b)] += b
+    return out
+
+
+#: Keys whose sums a task holds before it hands them on.
+HELD = 20_000
+
+
+def _aggregated(df: DataFrame, keys: list[str], vector: str, weight: str | None, finish: Callable[[np.ndarray, np.ndarray], np.ndarray | None]) -> DataFrame:
+    """Per key what `finish` makes of the sum of the weighted present vectors and of their weights.
+
+    A task adds up what it has, in Arrow batches, and hands on one vector for each of its keys; so a group of any size is
+    aggregated before the shuffle and never gathered, and a vector is never taken apart.
+    """
+    w = F.lit(1.0) if weight is None else F.greatest(F.col(weight).cast("double"), F.lit(1e-6))
+    v = as_double(F.col(vector))
+    rows = df.where(present(F.col(vector)) & w.isNotNull()).select(*keys, (v if weight is None else F.transform(v, lambda x: x * w)).alias("__v"), F.array(w).alias("__w"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keys)])
+
+    def partial(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = None
+        for part in parts:
+            sums = sums or _Sums([part.schema.field(i) for i in range(len(keys))])
+            if part.num_rows:
+                sums.add(part)
+            if len(sums.held) > HELD:
+                yield from sums.out(0)
+        if sums:
+            yield from sums.out(0)
+
+    def final(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = None
+        for part in parts:
+            sums = sums or _Sums([part.schema.field(i) for i in range(len(keys))])
+            if part.num_rows:
+                sums.add(part)
+            yield from sums.out(1, finish)  # rows are sorted: the last key may go on
+        if sums:
+            yield from sums.out(0, finish)
+
+    dealt = rows.mapInArrow(partial, f"{schema}, __v array<double>, __w array<double>").repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(final, f"{schema}, __v array<double>")
+
+
+def _direction(total: np.ndarray, weight: np.ndarray) -> np.ndarray | None:
+    mean = np.divide(total, weight, out=np.zeros_like(total), where=np.broadcast_to(weight, total.shape) > 0)
+    length = float(np.sqrt((mean * mean).sum()))
+    return mean / length if length > EPSILON else None
+
+
+def sum_vectors(df: DataFrame, keys: list[str], vector: str, into: str = "total") -> DataFrame:
+    """Per key the element-wise sum of the present vectors."""
+    return _aggregated(df, keys, vector, None, lambda total, weight: total).withColumnRenamed("__v", into)
+
+
 def mean_vectors(df: DataFrame, keys: list[str], vector: str, into: str = "centroid", weight: str | None = None) -> DataFrame:
     """Per key the element-wise mean of the present vectors (weighted, if a weight column is given), at unit length.
 
-    Elements are averaged one by one, so a group of any size is aggregated before the shuffle and never gathered.
     A group whose mean has no length has no row.
     """
-    rows = df.where(present(F.col(vector))).select(*keys, (F.lit(1.0) if weight is None else F.greatest(F.col(weight).cast("double"), F.lit(1e-6))).alias("__w"), F.posexplode(as_double(F.col(vector))).alias("__p", "__x"))
-    means = rows.groupBy(*keys, "__p").agg((F.sum(F.col("__w") * F.col("__x")) / F.sum("__w")).alias("__m"))
-    vectors = means.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__p", "__m"))).alias("__v"))
-    return vectors.select(*keys, F.col("__v.__m").alias("__v")).where(norm(F.col("__v")) > EPSILON).select(*keys, unit(F.col("__v")).alias(into))
+    return _aggregated(df, keys, vector, weight, _direction).withColumnRenamed("__v", into)

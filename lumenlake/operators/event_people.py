@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,17 +11,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.functions import geo, times, vector
+from lumenlake.functions.lineage import written
+from lumenlake.operators.components import connected_components
 from lumenlake.operators.events import DEFAULTS, EventConfig, strict_events
 
 
 def appearance_vectors(faces: DataFrame, person_faces: DataFrame) -> DataFrame:
     """(library_id, photo_id, person_id, appearance): the mean appearance of a person on a photo, at unit length."""
     seen = faces.select("library_id", F.col("id").alias("face_id"), "photo_id", "appearance_embedding").join(person_faces.select("library_id", "person_id", "face_id"), ["library_id", "face_id"])
-    # A person has a face or two on a photo, so their vectors are gathered rather than taken apart.
-    rows = seen.where(vector.present(F.col("appearance_embedding"))).groupBy("library_id", "photo_id", "person_id").agg(F.collect_list(vector.as_double(F.col("appearance_embedding"))).alias("v"))
-    total = F.aggregate(F.slice("v", 2, F.greatest(F.size("v") - 1, F.lit(0))), F.col("v")[0], lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
-    means = rows.select("library_id", "photo_id", "person_id", F.transform(total, lambda x: x / F.size("v")).alias("v"))
-    return means.where(vector.norm(F.col("v")) > vector.EPSILON).select("library_id", "photo_id", "person_id", vector.unit(F.col("v")).alias("appearance"))
+    return vector.mean_vectors(seen, ["library_id", "photo_id", "person_id"], "appearance_embedding", "appearance")
 
 
 def event_people(members: DataFrame, person_photos: DataFrame) -> DataFrame:
@@ -105,72 +104,175 @@ def _score(a: _Group, b: _Group, rules: dict) -> float | None:
     return score
 
 
+class _Rater:
+    """Which pairs of groups are worth a look: whole rows of pairs at once, from bounds of what _score asks for."""
+
+    #: Pairs whose bounds are computed at once.
+    AT_ONCE = 1 << 20
+
+    def __init__(self, groups: list[_Group], rules: dict):
+        self.rules, n = rules, len(groups)
+        units = [g.unit() for g in groups]
+        size = max((len(u) for u in units if u is not None), default=0)
+        self.unit = np.array([np.zeros(size) if u is None or len(u) != size else u for u in units]).reshape(n, size)
+        self.people = np.array([len(g.people) for g in groups], float)
+        self.first, self.last = (np.array([g.times[at] if len(g.times) else np.nan for g in groups]) for at in (0, -1))
+        self.alive = np.array([u is not None and len(u) == size for u in units], bool) & (self.people > 0)
+        #: The groups that hold a person, as numbers of their first events; owner tells which group an event has gone to.
+        self.having: dict[int, np.ndarray] = {}
+        for i in np.flatnonzero(self.alive).tolist():
+            for p in groups[i].people:
+                self.having.setdefault(p, []).append(i)
+        self.having = {p: np.array(v) for p, v in self.having.items()}
+        self.owner = np.arange(n)
+
+    def _likely(self, i: np.ndarray, others: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        """Of groups i and others (columns): whether their bounds reach what is required."""
+        visual = self.unit[i] @ self.unit[others].T
+        containment = shared / np.maximum(1, np.minimum(self.people[i][:, None], self.people[others][None, :]))
+        required = np.where(shared >= 2, self.rules["multi"], self.rules["merge"]) - 1e-9
+        most = np.maximum(0.45 * visual + 0.30 * containment + 0.25, 0.55 * visual + 0.45 * containment)
+        with np.errstate(invalid="ignore"):
+            apart = np.maximum(self.first[others][None, :] - self.last[i][:, None], self.first[i][:, None] - self.last[others][None, :]) > self.rules["gap_seconds"]
+        return (shared > 0) & (visual >= self.rules["min_visual"] - 1e-9) & (most >= required) & ~apart
+
+    def all(self) -> Iterator[tuple[int, int]]:
+        """Pairs of groups, the earlier one first, each once."""
+        live = np.flatnonzero(self.alive)
+        step = max(1, self.AT_ONCE // max(1, len(live)))
+        place = np.full(len(self.alive), -1)
+        place[live] = np.arange(len(live))
+        for at in range(0, len(live), step):
+            mine = live[at : at + step]
+            shared = np.zeros((len(mine), len(live)), np.float32)
+            for v in self.having.values():
+                here = place[v]
+                inside = here[(here >= at) & (here < at + step)] - at
+                if len(inside):
+                    shared[inside[:, None], here[None, :]] += 1
+            i, j = np.nonzero(self._likely(mine, live, shared))
+            keep = live[j] > mine[i]
+            yield from zip(mine[i[keep]].tolist(), live[j[keep]].tolist(), strict=True)
+
+    def of(self, i: int, groups: list[_Group]) -> list[int]:
+        """The groups that may merge with group i."""
+        found = []
+        for p in groups[i].people:
+            self.having[p] = np.unique(self.owner[self.having[p]])
+            found.append(self.having[p])
+        others, shared = np.unique(np.concatenate(found), return_counts=True)
+        keep = others != i
+        others, shared = others[keep], shared[keep]
+        return others[self._likely(np.array([i]), others, shared[None, :])[0]].tolist() if len(others) else []
+
+    def merged(self, i: int, j: int, groups: list[_Group]) -> None:
+        """Group j has gone into group i."""
+        g = groups[i]
+        unit = g.unit()
+        self.owner[self.owner == j] = i
+        self.unit[i] = 0.0 if unit is None else unit
+        self.people[i], self.alive[j] = len(g.people), False
+        self.first[i], self.last[i] = (g.times[0], g.times[-1]) if len(g.times) else (np.nan, np.nan)
+
+
 def _greedy(groups: list[_Group], rules: dict) -> list[_Group]:
     """Merges the best pair, again and again; the first of equal pairs wins.
 
-    Only pairs that share a person are rated; they wait in a heap, and one that a merge has made stale is passed over.
-    After a merge only the merged event's pairs are rated anew.
+    Only pairs that share a person and whose bounds allow it are rated; they wait in a heap, and one that a merge has made
+    stale is passed over.  After a merge only the merged group's pairs are rated anew.
     """
     alive = dict.fromkeys(range(len(groups)))
     version = [0] * len(groups)
     heap: list[tuple[float, int, int, int, int]] = []
-    with_people: dict[int, set[int]] = {}
-    for i, g in enumerate(groups):
-        for p in g.people:
-            with_people.setdefault(p, set()).add(i)
+    rater = _Rater(groups, rules)
 
     def rate(i: int, j: int) -> None:
         if (s := _score(groups[i], groups[j], rules)) is not None:
             heapq.heappush(heap, (-s, i, j, version[i], version[j]))
 
-    for i in range(len(groups)):
-        for j in sorted(set().union(*(with_people[p] for p in groups[i].people))) if groups[i].people else ():
-            if i < j:
-                rate(i, j)
+    for i, j in rater.all():
+        rate(i, j)
     while heap:
         _, i, j, vi, vj = heapq.heappop(heap)
         if i not in alive or j not in alive or version[i] != vi or version[j] != vj:
             continue
-        for p in groups[j].people:
-            with_people[p].discard(j)
-            with_people[p].add(i)
         groups[i].absorb(groups[j])
+        rater.merged(i, j, groups)
         del alive[j]
         version[i] += 1
-        for k in sorted(set().union(*(with_people[p] for p in groups[i].people)) - {i}):
+        for k in rater.of(i, groups):
             rate(min(i, k), max(i, k))
     return [groups[i] for i in alive]
 
 
+#: Events of a library that are merged as one group; a larger library is cut into cells first.
+TOGETHER = 4096
+
+
+def merge_cells(rows: DataFrame, gap_seconds: float, together: int = TOGETHER) -> DataFrame:
+    """(library_id, event_id, cell): events of rows(library_id, event_id, person_ids, times) that may end up in one group.
+
+    Two groups merge only if an event of the one shares a person with an event of the other; and if both have times, only
+    if some two of those are near.  So the times of a group lie in one stretch, a component of the times alone, and two
+    events are linked by a person only if they lie in one stretch or one of them has no time.  Groups form only within
+    the components of these links; there the stretches may fall apart further, so both steps are repeated until nothing
+    does.  Steps of time and persons (of a stretch, or of all, if an event without a time has that person) are nodes of
+    their own, so that no pair of events is formed.  The greedy order's choices in one cell do not touch another.
+    """
+    counts = rows.groupBy("library_id").agg(F.count("*").alias("many"))
+    events = rows.join(counts, "library_id").select("library_id", "event_id", "person_ids", "times", (F.col("many") > together).alias("large"), F.lit(0).cast("long").alias("cell"))
+    if counts.where(F.col("many") > together).isEmpty():
+        return events.select("library_id", "event_id", "cell")
+    whole = events.where(~F.col("large")).select("library_id", "event_id", "cell")
+    place = ("library_id", "cell")
+    hub = lambda kind, *c: F.xxhash64(F.lit(kind), F.col("library_id").cast("string"), F.col("cell"), *c)
+    own = F.xxhash64(F.lit("e"), F.col("library_id").cast("string"), F.col("event_id"))
+    now, parts = written(events.where("large").select("library_id", "event_id", "person_ids", "times", "cell", own.alias("node"))), -1
+    while True:
+        steps = now.select(*place, "node", F.explode(F.array_distinct(F.transform("times", lambda t: F.floor(t / max(gap_seconds, 1e-6)).cast("long")))).alias("step"))
+        taken = steps.select(*place, "step").distinct()
+        following = taken.join(taken.select(*place, (F.col("step") - 1).alias("step")), [*place, "step"])
+        near = steps.select(F.col("node").alias("u"), hub("t", "step").alias("v")).unionByName(following.select(hub("t", "step").alias("u"), hub("t", F.col("step") + 1).alias("v")))
+        stretches = connected_components(near).select(F.col("id").alias("node"), F.col("component").alias("stretch"))
+        persons = now.join(stretches, "node", "left").select(*place, "node", "stretch", F.explode("person_ids").alias("person"))
+        everywhere = persons.where("stretch IS NULL").select(*place, "person").distinct().withColumn("loose", F.lit(True))
+        held = persons.join(everywhere, [*place, "person"], "left").select("node", hub("p", "person", F.when(F.col("loose"), F.lit(None)).otherwise(F.col("stretch"))).alias("hub"))
+        cells = connected_components(held.select(F.col("node").alias("u"), F.col("hub").alias("v"))).select(F.col("id").alias("node"), "component")
+        now = written(now.join(cells, "node", "left").withColumn("cell", F.coalesce("component", "node")).drop("component"))
+        before, parts = parts, now.select(*place).distinct().count()
+        if parts == before:
+            return whole.unionByName(now.select("library_id", "event_id", "cell"))
+
+
 def merge_by_people(photos: DataFrame, faces: DataFrame | None = None, person_faces: DataFrame | None = None, person_photos: DataFrame | None = None, config: EventConfig = DEFAULTS,
-                    max_geo_km: float = 80.0, min_visual: float = 0.72, merge_threshold: float = 0.86, multi_threshold: float = 0.82) -> DataFrame:
+                    max_geo_km: float = 80.0, min_visual: float = 0.72, merge_threshold: float = 0.86, multi_threshold: float = 0.82, together: int = TOGETHER) -> DataFrame:
     """photos with event_id: strict events of which those with shared people and like looks have been merged.
 
-    The greedy loop needs an order, so it runs per library; its input is one row per event with people, made by joins
-    and aggregates before: sums of unit-free vectors, distinct spots, trusted times.  Events without people pass by it.
-    The result is numbered by the first capture time of any source, unknown times last, then by the order before.
+    The greedy loop needs an order, so it runs cell by cell (merge_cells); its input is one row per event with people and
+    a vector, made by joins and aggregates before: sums of vectors, distinct spots, trusted times.  Other events pass by
+    it.  The result is numbered by the first capture time of any source, unknown times last, then by the order before.
     """
-    members = strict_events(photos, config)
     if person_photos is None:
+        members = strict_events(photos, config)
         merged = members.select("library_id", "event_id").distinct().withColumn("target", F.col("event_id"))
     else:
-        people = event_people(members, person_photos)
-        with_people = members.join(people.select("library_id", "event_id"), ["library_id", "event_id"], "left_semi")
+        members, keys = written(strict_events(photos, config)), ["library_id", "event_id"]
+        people = written(event_people(members, person_photos))
+        with_people = members.join(people.select(*keys), keys, "left_semi")
         known = times.trusted(F.col("captured_at_source"), F.col("captured_epoch"))
-        facts = with_people.groupBy("library_id", "event_id").agg(
+        facts = with_people.groupBy(*keys).agg(
             F.collect_set(F.when(known, F.col("captured_epoch"))).alias("times"), F.collect_set(F.when(geo.located(F.col("latitude"), F.col("longitude")), F.array("latitude", "longitude"))).alias("spots"))
         # The mean of all photos is what merging keeps, so sums and not means are handed on.
-        parts = with_people.where(vector.present(F.col("embedding"))).select("library_id", "event_id", F.posexplode(vector.as_double(F.col("embedding"))).alias("p", "x"))
-        sums = parts.groupBy("library_id", "event_id", "p").agg(F.sum("x").alias("x")).groupBy("library_id", "event_id").agg(F.array_sort(F.collect_list(F.struct("p", "x"))).alias("v"))
-        rows = people.join(facts, ["library_id", "event_id"]).join(sums.select("library_id", "event_id", F.col("v.x").alias("vector")), ["library_id", "event_id"], "left")
+        rows = people.join(facts, keys).join(vector.sum_vectors(with_people, keys, "embedding", "vector"), keys)
         if faces is not None and person_faces is not None:
-            looks = members.select("library_id", "event_id", F.col("id").alias("photo_id")).join(appearance_vectors(faces, person_faces), ["library_id", "photo_id"])
-            parts = looks.select("library_id", "event_id", "person_id", F.posexplode("appearance").alias("p", "x")).groupBy("library_id", "event_id", "person_id", "p").agg(F.sum("x").alias("x"))
-            each = parts.groupBy("library_id", "event_id", "person_id").agg(F.array_sort(F.collect_list(F.struct("p", "x"))).alias("v"))
-            looks = each.groupBy("library_id", "event_id").agg(F.collect_list(F.struct(F.col("person_id").cast("long").alias("person_id"), F.col("v.x").alias("v"))).alias("looks"))
-            rows = rows.join(looks, ["library_id", "event_id"], "left")
+            looks = members.select(*keys, F.col("id").alias("photo_id")).join(appearance_vectors(faces, person_faces), ["library_id", "photo_id"])
+            each = vector.sum_vectors(looks, [*keys, "person_id"], "appearance", "v")
+            looks = each.groupBy(*keys).agg(F.collect_list(F.struct(F.col("person_id").cast("long").alias("person_id"), "v")).alias("looks"))
+            rows = rows.join(looks, keys, "left")
         else:
             rows = rows.withColumn("looks", F.lit(None).cast("array<struct<person_id: bigint, v: array<double>>>"))
+        rows = written(rows)
+        rows = rows.join(merge_cells(rows.select(*keys, "person_ids", "times"), config.max_gap_hours * 3600, together), keys)
         rules = {"min_visual": min_visual, "merge": merge_threshold, "multi": multi_threshold, "gap_seconds": config.max_gap_hours * 3600, "geo_km": max_geo_km}
         kind = dict(members.dtypes)["library_id"]
 
@@ -187,7 +289,7 @@ def merge_by_people(photos: DataFrame, faces: DataFrame | None = None, person_fa
             out = [(pdf.library_id.iloc[0], e, g.ids[0]) for g in _greedy(groups, rules) for e in g.ids]
             return pd.DataFrame(out, columns=["library_id", "event_id", "target"])
 
-        merged = rows.groupBy("library_id").applyInPandas(merge, f"library_id {kind}, event_id long, target long")
+        merged = rows.groupBy("library_id", "cell").applyInPandas(merge, f"library_id {kind}, event_id long, target long")
     joined = members.join(merged, ["library_id", "event_id"], "left").withColumn("target", F.coalesce("target", "event_id"))
     order = joined.groupBy("library_id", "target").agg(F.min("captured_epoch").alias("__first"))
     order = order.withColumn("__id", (F.row_number().over(Window.partitionBy("library_id").orderBy(F.col("__first").asc_nulls_last(), "target")) - 1).cast("long"))

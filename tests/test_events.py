@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -277,3 +278,87 @@ def test_streaming_events_follow_the_sequential_rule(spark, tmp_path):
     q.stop()
     want = {r.id: r.event_id for r in events.sequential_events(p.withColumn("ord", F.col("id"))).collect()}
     assert {r.id: r.event_id for r in spark.table("sessions").collect()} == want
+
+
+def people_library(rng, n):
+    """Events of one library as rows and as the greedy loop's groups; times in stretches, people who keep to them or not."""
+    rows, made = [], []
+    for i in range(n):
+        stretch = rng.randrange(n // 12 + 1)
+        loose = stretch % 7 == 0 and rng.random() < 0.4
+        people = sorted({stretch % 40 * 3 + rng.randrange(3) for _ in range(rng.randint(1, 3))} | ({500} if not loose and rng.random() < 0.3 else set()))
+        times = [] if loose else sorted(stretch * 90000.0 + rng.uniform(0, 30000) for _ in range(rng.randint(1, 3)))
+        v = (np.array([1.0, rng.gauss(0, 0.5), rng.gauss(0, 0.3)]) * rng.randint(1, 4)).tolist()
+        rows.append(("L", i, people, times, v))
+        g = event_people._Group([i])
+        g.people, g.times, g.vector_sum = set(people), np.array(times), np.array(v)
+        made.append(g)
+    return rows, made
+
+
+def test_cells_do_not_change_what_is_merged(spark):
+    rng = random.Random(26)
+    rules = {"min_visual": 0.72, "merge": 0.86, "multi": 0.82, "gap_seconds": 8 * 3600, "geo_km": 80}
+    rows, made = people_library(rng, 700)
+    df = spark.createDataFrame(rows, "library_id string, event_id long, person_ids array<long>, times array<double>, v array<double>")
+    cells = {r.event_id: r.cell for r in event_people.merge_cells(df, 8 * 3600, together=10).collect()}
+    assert len(cells) == 700 and len(set(cells.values())) > 20
+    by_cell = {}
+    for g in copy.deepcopy(made):
+        by_cell.setdefault(cells[g.ids[0]], []).append(g)
+    apart = sorted(sorted(g.ids) for gs in by_cell.values() for g in event_people._greedy(gs, rules))
+    assert apart == sorted(sorted(g.ids) for g in event_people._greedy(made, rules)) and any(len(g) > 2 for g in apart)
+    assert event_people.merge_cells(df, 8 * 3600).select("cell").distinct().count() == 1
+
+
+def test_a_library_of_many_events_is_merged_cell_by_cell():
+    """1e5 events of one library: cells of twelve or so, each like the loop over all its pairs."""
+    rng = random.Random(27)
+    rules = {"min_visual": 0.72, "merge": 0.86, "multi": 0.82, "gap_seconds": 8 * 3600, "geo_km": 80}
+    _, made = people_library(rng, 100_000)
+    cells = {}
+    for g in made:  # what merge_cells makes of them: stretches of time are far apart, but for events without a time
+        cells.setdefault(int(g.times[0] // 90000) if len(g.times) else -1, []).append(g)
+    for gs in list(cells.values())[:300]:
+        copies = copy.deepcopy(gs)
+        got = sorted(sorted(g.ids) for g in event_people._greedy(gs[:40], rules))
+        copies = copies[:40]
+        while True:
+            rated = [(-s, i, j) for i in range(len(copies)) for j in range(i + 1, len(copies)) if (s := event_people._score(copies[i], copies[j], rules)) is not None]
+            if not rated:
+                break
+            _, i, j = min(rated)
+            copies[i].absorb(copies[j])
+            del copies[j]
+        assert got == sorted(sorted(g.ids) for g in copies)
+
+
+def test_vectors_are_added_up_before_the_shuffle(spark):
+    from lumenlake.functions import vector
+
+    rng = np.random.default_rng(3)
+    rows = [(None if i % 50 == 0 else f"k{i % 7}", i % 3, None if i % 11 == 0 else [] if i % 13 == 0 else rng.normal(size=3 if i % 5 else 2).tolist(), float(rng.random())) for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, n int, v array<float>, w double").repartition(3)
+    want, weights, sums = {}, {}, {}
+    for r in df.collect():
+        if r.v:
+            for into, w in ((want, max(r.w, 1e-6)), (sums, 1.0)):
+                total = into.setdefault((r.k, r.n), np.zeros(3))
+                total[: len(r.v)] += w * np.array(r.v)
+            weights.setdefault((r.k, r.n), np.zeros(3))[: len(r.v)] += max(r.w, 1e-6)
+    got = {(r.k, r.n): r.m for r in vector.mean_vectors(df, ["k", "n"], "v", "m", "w").collect()}
+    for key in want:
+        n = np.count_nonzero(weights[key])
+        mean, sums[key] = want[key][:n] / weights[key][:n], sums[key][:n]
+        assert got[key] == pytest.approx((mean / np.linalg.norm(mean)).tolist())
+    added = {(r.k, r.n): r.total for r in vector.sum_vectors(df, ["k", "n"], "v").collect()}
+    assert set(added) == set(sums) == set(got) and all(added[k] == pytest.approx(sums[k].tolist()) for k in sums)
+    plan = vector.sum_vectors(df, ["k", "n"], "v")._jdf.queryExecution().toString()
+    assert "Generate" not in plan
+    # One row for each key and task is shuffled, whatever the number of rows.
+    many = spark.range(0, 30000, 1, 3).selectExpr("id % 2 AS k", "array(1D, 2D) AS v")
+    sums = vector._Sums([pa.field("k", pa.int64())])
+    for batch in many.toArrow().to_batches(max_chunksize=1000):
+        sums.add(batch.append_column("w", pa.array([[1.0]] * batch.num_rows)))
+    assert len(sums.held) == 2
+    assert sorted(r.total for r in vector.sum_vectors(many, ["k"], "v").collect()) == [[15000.0, 30000.0]] * 2
