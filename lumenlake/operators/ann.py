@@ -1,7 +1,8 @@
-"""Approximate search behind one interface: exact, random-hyperplane LSH, or k-means cells.
+"""Approximate search behind one interface: exact, navigable small-world graphs, random-hyperplane LSH, or k-means cells.
 
 An index is fitted on a bounded sample, of which a part also serves as queries: it is tuned to the coarsest setting
-that finds the wanted share of their true neighbours.  Every row is put into the index, which is written out.
+that finds the wanted share of their true neighbours.  Every row is put into the index, which is written out.  Graphs need
+no fitting but for the width of the beam, which may be given instead.
 """
 
 from __future__ import annotations
@@ -11,16 +12,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.functions import vector
-from lumenlake.functions.lineage import durable
-from lumenlake.operators.search import batch_search, search
+from lumenlake.functions.lineage import durable, written
+from lumenlake.operators.graph import BEAM, Graph
+from lumenlake.operators.search import DIGITS, batch_search, by_size, meet_blocks, packed, search
 
 #: Names of the index kinds, and the names under which other tools know them.
-ALIASES = {"exact": "exact", "numpy": "exact", "numpy_exact": "exact", "faiss": "exact", "faiss_flat": "exact", "lsh": "lsh", "faiss_hnsw": "lsh", "hnsw": "lsh", "hnswlib": "lsh",
-           "ivf": "ivf", "qdrant": "ivf", "qdrant_hnsw": "ivf"}
+ALIASES = {"exact": "exact", "numpy": "exact", "numpy_exact": "exact", "faiss": "exact", "faiss_flat": "exact", "graph": "graph", "faiss_hnsw": "graph", "hnsw": "graph", "hnswlib": "graph",
+           "qdrant": "graph", "qdrant_hnsw": "graph", "lsh": "lsh", "ivf": "ivf"}
+#: Rows of a graph's shard, and the beams that are tried when it is tuned.
+SHARD, BEAMS = 4096, (10, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256)
 #: Rows of the sample, those of them that are asked for when an index is tuned, and the share of neighbours to be found.
 SAMPLE, ASKED, TARGET = 20_000, 200, 0.96
 #: Tables of the LSH index, most bits of a table's key, most cells.
@@ -42,7 +47,7 @@ def _centres(x: np.ndarray, n: int, rng: np.random.Generator, rounds: int = 8) -
 class Index:
     """An index over photos(id, ord, embedding)."""
 
-    def __init__(self, photos: DataFrame, kind: str = "exact", target: float = TARGET, sample: int = SAMPLE, seed: int = 7):
+    def __init__(self, photos: DataFrame, kind: str = "exact", target: float = TARGET, sample: int = SAMPLE, seed: int = 7, beam: int | None = None):
         if kind not in ALIASES:
             raise ValueError(f"unknown vector index: {kind}")
         self.kind = ALIASES[kind]
@@ -50,6 +55,9 @@ class Index:
         self.rows = photos.where(vector.present(F.col("embedding"))).withColumn("embedding", unit)
         if self.kind == "exact":
             return
+        if self.kind == "graph":
+            self._build_graphs(target, beam)
+            return
         chosen = [r.embedding for r in self.rows.orderBy(F.xxhash64("ord"), "ord").limit(sample).select("embedding").collect()]
         rng = np.random.default_rng(seed)
         if not chosen:
@@ -61,6 +69,69 @@ class Index:
         true = np.argsort(-known, axis=0)[: min(10, len(x) - 1)].T  # the neighbours of the sample's first rows
         (self._tune_cells if self.kind == "ivf" else self._tune_planes)(x, true, target, rng)
 
+    def _build_graphs(self, target: float, beam: int | None) -> None:
+        """Shards with their graphs as a table; without a given beam, the narrowest one that finds the wanted share of the
+        neighbours of some nodes of the first shard, which is read by the driver for that."""
+        shards = max(1, -(-self.rows.count() // SHARD))
+        kinds = {k: dict(self.rows.dtypes)[k] for k in ("id", "ord")}
+        rows = packed(self.rows.repartition(shards, F.xxhash64("ord")), kinds, SHARD)
+
+        def build(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                for n in range(part.num_rows):
+                    sizes, values = (part.column(k)[n].values.to_numpy(zero_copy_only=False) for k in (2, 3))
+                    graphs = [{"size": size, "graph": Graph.of(m).pack()} for size, (_, m) in by_size(sizes, values).items()]
+                    made = pa.array([graphs], pa.list_(pa.struct([("size", pa.int32()), ("graph", pa.binary())])))
+                    yield pa.RecordBatch.from_arrays([*part.slice(n, 1).columns, made], [*part.schema.names, "graphs"])
+
+        schema = ", ".join([*(f"{k} array<{t}>" for k, t in kinds.items()), "sizes array<int>", "values array<double>", "graphs array<struct<size: int, graph: binary>>"])
+        self.indexed, self.beam = written(rows.mapInArrow(build, schema)), beam or BEAM
+        first = None if beam else self.indexed.select("sizes", "values", "graphs").first()
+        if first is None:
+            return
+        size, (_, m) = max(by_size(first.sizes, first["values"]).items(), key=lambda kv: len(kv[1][0]))
+        graph = Graph.unpack(m, next(g.graph for g in first.graphs if g.size == size))
+        asked = m[:: max(1, len(m) // ASKED)]
+        true = np.argsort(-(asked @ m.T), axis=1, kind="stable")[:, :10]
+        for self.beam in BEAMS:
+            got = graph.search(asked, 10, self.beam)[0]
+            if np.mean([np.isin(t, g).mean() for t, g in zip(true, got, strict=True)]) >= target:
+                return
+
+    def _search_graphs(self, queries: DataFrame, top_k: int) -> DataFrame:
+        """(query_id, id, ord, score, read): the best of each shard, and the vectors of the shard that were looked at."""
+        kinds = {"q": dict(queries.dtypes)["query_id"], "i": dict(self.rows.dtypes)["id"], "o": dict(self.rows.dtypes)["ord"]}
+        met = meet_blocks(queries, self.indexed, ("id", "ord", "sizes", "values", "graphs"))
+        beam = self.beam
+
+        def look(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                for n in range(part.num_rows):
+                    q_ids, q_sizes, q_values, ids, ords, sizes, values, graphs = (part.column(k)[n].values for k in range(8))
+                    asked, members = by_size(q_sizes.to_numpy(zero_copy_only=False), q_values.to_numpy(zero_copy_only=False)), by_size(sizes.to_numpy(zero_copy_only=False), values.to_numpy(zero_copy_only=False))
+                    packs = {g["size"]: g["graph"] for g in graphs.to_pylist()}
+                    for size, (q_at, q) in asked.items():
+                        if size not in members:
+                            continue
+                        at, m = members[size]
+                        got, _, count = Graph.unpack(m, packs[size]).search(q, top_k, beam)
+                        i, j = np.nonzero(got >= 0)
+                        what = got[i, j]
+                        who, score = q_at[i], np.round((q[i] * m[what]).sum(1), DIGITS)
+                        yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(who)), ids.take(pa.array(at[what])), ords.take(pa.array(at[what])), pa.array(score), pa.array(np.where(j == 0, count[i], 0))], ["query_id", "id", "ord", "score", "read"])
+
+        return met.mapInArrow(look, f"query_id {kinds['q']}, id {kinds['i']}, ord {kinds['o']}, score double, read long")
+
+    def read_counts(self, queries: DataFrame, top_k: int = 10) -> DataFrame:
+        """(query_id, read): how many vectors of the corpus each query is held against."""
+        if self.kind == "graph":
+            return self._search_graphs(queries, top_k).groupBy("query_id").agg(F.sum("read").alias("read"))
+        if self.kind == "exact":
+            return queries.select("query_id").crossJoin(self.rows.agg(F.count("*").alias("read")))  # one row
+        sizes = self.indexed.groupBy("key").agg(F.count("*").alias("many"))
+        sought = self._keyed(queries.withColumn("embedding", vector.unit(vector.as_double(F.col("embedding")))), self.probes if self.kind == "ivf" else 1).select("query_id", "key")
+        return sought.join(sizes, "key").groupBy("query_id").agg(F.sum("many").alias("read"))
+
     def _tune_cells(self, x: np.ndarray, true: np.ndarray, target: float, rng: np.random.Generator) -> None:
         n = self.rows.count()
         self.centres = _centres(x, max(1, min(MOST_CELLS, len(x) // 4 or 1, round(n**0.5))), rng)
@@ -104,12 +175,14 @@ class Index:
         """(query_id, rank, id, score): about the best top_k for each of queries(query_id, embedding)."""
         if self.kind == "exact":
             return batch_search(queries, self.rows, top_k)
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")
+        if self.kind == "graph":
+            return self._search_graphs(queries, top_k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "rank", "id", "score")
         asked = queries.where(vector.present(F.col("embedding"))).withColumn("embedding", vector.unit(vector.as_double(F.col("embedding"))))
         sought = self._keyed(asked, self.probes if self.kind == "ivf" else 1).select("query_id", "key", F.col("embedding").alias("q"))
         met = self.indexed.join(sought, "key").where(F.size("q") == F.size("embedding"))
         # A row that is met at several keys scores the same at each.
         scored = met.groupBy("query_id", "id", "ord").agg(F.max(vector.dot(F.col("q"), F.col("embedding"))).alias("score"))
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")
         return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "rank", "id", "score")
 
     def search(self, query: list[float], top_k: int = 10) -> DataFrame:
@@ -131,7 +204,30 @@ def recall(found: DataFrame, exact: DataFrame, top_k: int = 10) -> DataFrame:
     return exact.join(hit, ["query_id", "id"], "left").agg(F.count_distinct("query_id").alias("queries"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
 
 
-def benchmark(photos: DataFrame, queries: list[list[float]], kinds: tuple[str, ...] = ("exact", "lsh", "ivf"), top_k: int = 10) -> list[dict]:
+def measured(photos: DataFrame, queries: DataFrame, kinds: tuple[str, ...] = ("exact", "graph", "lsh", "ivf"), top_k: int = 10) -> DataFrame:
+    """A row for each kind: queries, their mean milliseconds when asked together, recall against the exact search, the mean
+    share of the corpus that a query is held against, and megabytes; a kind that cannot be run is a row of the report.
+
+    All queries of a kind are one job; the driver gets the row alone.
+    """
+    spark, exact = photos.sparkSession, written(batch_search(queries, photos, top_k))
+    total = photos.where(vector.present(F.col("embedding"))).count()
+    rows = []
+    for kind in kinds:
+        try:
+            index = Index(photos, kind)
+            began = time.perf_counter()
+            found = written(index.search_many(queries, top_k))
+            ms = (time.perf_counter() - began) * 1000
+            got = recall(found, exact, top_k).first()
+            share = index.read_counts(queries, top_k).agg(F.avg("read")).first()[0]
+            rows.append((kind, got.queries, True, ms / max(1, got.queries), got.recall, None if share is None else share / max(1, total), index.memory_bytes().first()[0] / 2**20, None))
+        except ValueError as e:
+            rows.append((kind, 0, False, None, None, None, None, str(e)[:200]))
+    return spark.createDataFrame(rows, "method string, queries long, available boolean, mean_ms double, recall double, share_read double, memory_mb double, error string")
+
+
+def benchmark(photos: DataFrame, queries: list[list[float]], kinds: tuple[str, ...] = ("exact", "graph", "lsh", "ivf"), top_k: int = 10) -> list[dict]:
     """Mean and p95 milliseconds, recall against the exact search and megabytes per kind; failures are reported."""
     k = max(top_k, 10)
     asked = photos.sparkSession.createDataFrame([(i, [float(x) for x in q]) for i, q in enumerate(queries)], "query_id int, embedding array<double>")

@@ -35,7 +35,7 @@ def search_details(photos: DataFrame, plan: SearchPlan, query: list[float], top_
     return search(candidates, query, top_k, min_score), counts
 
 
-def _packed(rows: DataFrame, keys: dict[str, str], most: int) -> DataFrame:
+def packed(rows: DataFrame, keys: dict[str, str], most: int) -> DataFrame:
     """rows (the keys, embedding) with up to `most` of a partition in one row: lists of the keys, of the vectors' sizes
     and of their components."""
     names = list(keys)
@@ -54,7 +54,7 @@ def _packed(rows: DataFrame, keys: dict[str, str], most: int) -> DataFrame:
     return rows.select(*names, "embedding").mapInArrow(pack, schema)
 
 
-def _by_size(sizes: list[int], values: list[float]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def by_size(sizes: list[int], values: list[float]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Size of vectors -> (their places, the vectors at unit length)."""
     sizes, values = np.asarray(sizes, np.int64), np.asarray(values, np.float64)
     ends = np.cumsum(sizes)
@@ -66,6 +66,21 @@ def _by_size(sizes: list[int], values: list[float]) -> dict[int, tuple[np.ndarra
     return out
 
 
+def _present(df: DataFrame) -> DataFrame:
+    return df.where(vector.present(F.col("embedding"))).withColumn("embedding", vector.as_double(F.col("embedding")))
+
+
+def meet_blocks(queries: DataFrame, rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Every row of packed `rows` with every block of queries(query_id, embedding): the block's query_id, q_sizes and
+    q_values, then the columns."""
+    asked = _present(queries)
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    spread = asked.repartition(blocks, F.xxhash64("query_id"))
+    block = F.pmod(F.spark_partition_id(), F.lit(blocks)).alias("block")
+    those = packed(spread, {"query_id": dict(queries.dtypes)["query_id"]}, QUERY_BLOCK).select(block, "query_id", F.col("sizes").alias("q_sizes"), F.col("values").alias("q_values"))
+    return rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(those, "block").select("query_id", "q_sizes", "q_values", *columns)
+
+
 def batch_search(queries: DataFrame, corpus: DataFrame, top_k: int = 10) -> DataFrame:
     """(query_id, rank, id, score): the top_k of corpus(id, ord, embedding) for each of queries(query_id, embedding).
 
@@ -74,15 +89,9 @@ def batch_search(queries: DataFrame, corpus: DataFrame, top_k: int = 10) -> Data
     final ranks.  Scores that agree in DIGITS decimals are ties, which go to the smaller ord: how a product is rounded
     depends on the block that a row is in.
     """
-    present = lambda df: df.where(vector.present(F.col("embedding"))).withColumn("embedding", vector.as_double(F.col("embedding")))
-    asked = present(queries)
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     kinds = {"q": dict(queries.dtypes)["query_id"], "i": dict(corpus.dtypes)["id"]}
-    spread = asked.repartition(blocks, F.xxhash64("query_id"))
-    block = F.pmod(F.spark_partition_id(), F.lit(blocks)).alias("block")
-    packed = _packed(spread, {"query_id": kinds["q"]}, QUERY_BLOCK).select(block, "query_id", F.col("sizes").alias("q_sizes"), F.col("values").alias("q_values"))
-    rows = _packed(present(corpus).withColumn("ord", F.col("ord").cast("long")), {"id": kinds["i"], "ord": "bigint"}, TILE)
-    met = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "block").select("query_id", "q_sizes", "q_values", "id", "ord", "sizes", "values")
+    rows = packed(_present(corpus).withColumn("ord", F.col("ord").cast("long")), {"id": kinds["i"], "ord": "bigint"}, TILE)
+    met = meet_blocks(queries, rows, ("id", "ord", "sizes", "values"))
     schema = f"query_id {kinds['q']}, id {kinds['i']}, ord long, score double"
 
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +99,7 @@ def batch_search(queries: DataFrame, corpus: DataFrame, top_k: int = 10) -> Data
             for n in range(part.num_rows):
                 q_ids, ids, ords = (part.column(k)[n].values for k in (0, 3, 4))
                 ord_ = ords.to_numpy(zero_copy_only=False)
-                asked, members = (_by_size(part.column(k)[n].values.to_numpy(zero_copy_only=False), part.column(k + 1)[n].values.to_numpy(zero_copy_only=False)) for k in (1, 5))
+                asked, members = (by_size(part.column(k)[n].values.to_numpy(zero_copy_only=False), part.column(k + 1)[n].values.to_numpy(zero_copy_only=False)) for k in (1, 5))
                 who, what, scores = [], [], []
                 for size, (q_at, q) in asked.items():
                     if size not in members:

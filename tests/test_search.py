@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenlake.functions import text
-from lumenlake.operators import search
+from lumenlake.operators import ann, search
 from lumenlake.operators.ann import Index, benchmark
+from lumenlake.operators.graph import Graph
 from lumenlake.plans.search_plan import Box, Filter, apply_filter, plan_search, semantic_text, time_windows
 from tests.helpers import col, photos
 
@@ -93,13 +94,49 @@ def test_hash_encoder_in_sql_and_on_the_driver(spark):
 def test_indexes(spark):
     rng = np.random.default_rng(3)
     p = spark.createDataFrame([(i, i, rng.normal(size=8).tolist()) for i in range(60)], "id long, ord long, embedding array<double>").cache()
-    report = {r["method"]: r for r in benchmark(p, [rng.normal(size=8).tolist() for _ in range(2)], ("exact", "ivf", "lsh", "nope"))}
-    assert report["exact"]["recall_at_10"] == 1 and report["ivf"]["recall_at_10"] >= 0.9 and report["lsh"]["recall_at_10"] >= 0.9 and not report["nope"]["available"]
+    report = {r["method"]: r for r in benchmark(p, [rng.normal(size=8).tolist() for _ in range(2)], ("exact", "graph", "ivf", "lsh", "nope"))}
+    assert report["exact"]["recall_at_10"] == 1 and report["graph"]["recall_at_10"] >= 0.95 and report["ivf"]["recall_at_10"] >= 0.9 and report["lsh"]["recall_at_10"] >= 0.9 and not report["nope"]["available"]
     assert Index(p, "faiss_flat").memory_bytes().first()[0] == 60 * 8 * 4
     with pytest.raises(ValueError):
         Index(p, "other")
 
 
+def test_graphs_find_neighbours_and_read_little():
+    """Recall against brute force and the share of vectors read, on vectors with and without structure."""
+    rng = np.random.default_rng(1)
+    centre = rng.normal(size=(40, 64))
+    for x, most in ((centre[rng.integers(0, 40, 3000)] + 0.4 * rng.normal(size=(3000, 64)), 0.12), (rng.normal(size=(3000, 16)), 0.3)):
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        g = Graph.of(x)
+        assert [len(n) for n, _ in g.layers] == sorted((len(n) for n, _ in g.layers), reverse=True) and all((near < len(n)).all() for n, near in g.layers)
+        assert g.layers[0][1].shape == (3000, 32) and (g.layers[0][1] >= 0).any(1).all()
+        got, score, read = Graph.unpack(x, g.pack()).search(x[::15], 10)
+        true = np.argsort(-(x[::15] @ x.T), axis=1)[:, :10]
+        assert np.mean([np.isin(t, f).mean() for t, f in zip(true, got, strict=True)]) >= 0.97
+        assert read.mean() <= most * len(x) and np.allclose(score[:, 0], 1, atol=1e-5)
+    for few in (np.ones((1, 3)), np.eye(3), np.ones((50, 2)) / 2**0.5):
+        got, _, _ = Graph.of(few).search(few, 10)
+        assert (got[:, : min(10, len(few))] >= 0).all()
+    assert Graph.of(np.zeros((0, 3))).search(np.zeros((0, 3)), 5)[0].shape[0] == 0
+
+
+def test_graphs_of_shards_are_merged(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(10, 24))
+    x = centre[rng.integers(0, 10, 1500)] + 0.3 * rng.normal(size=(1500, 24))
+    p = spark.createDataFrame([(f"p{i}", i, v.tolist()) for i, v in enumerate(x)] + [("odd", 5000, [1.0, 2.0]), ("none", 5001, None)], "id string, ord long, embedding array<double>")
+    asked = p.where("ord % 20 = 0").select(F.col("ord").alias("query_id"), "embedding")
+    monkeypatch.setattr(ann, "SHARD", 400)
+    index = Index(p, "hnsw")
+    exact = search.batch_search(asked, p, 10)
+    found = ann.recall(index.search_many(asked, 10), exact).first()
+    assert found.recall >= 0.95 and found.queries == 76 and index.beam in ann.BEAMS
+    read = {r.query_id: r.read for r in index.read_counts(asked).collect()}
+    assert len(read) == 76 and read[5000] == 1 and np.mean([n for i, n in read.items() if i != 5000]) < 0.2 * 1500
+    assert [r.id for r in index.search([1.0, 2.0], 3).collect()] == ["odd"]
+    assert Index(p.limit(0), "graph").search_many(asked, 3).count() == 0
+
+
 def test_rerank_decorate_and_list(spark):
     r = spark.createDataFrame([("a", 0.5, None, 0, "local"), ("b", 0.45, "2025", 1, "immich"), ("c", 0.5, "", 2, "local")], "id string, score double, captured_at string, ord long, source string")
     assert col(search.rerank(r, 0.1), "id") == ["b", "a", "c"] and col(search.rerank(r), "id") == ["a", "c", "b"]
