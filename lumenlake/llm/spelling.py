@@ -59,27 +59,28 @@ def rarest_bigrams(words: DataFrame) -> DataFrame:
     return words.join(ranked, "word").select(*words.columns, F.explode("rare").alias("g")).select(*words.columns, "g.gram", "g.at")
 
 
-def _halves(before: Column, after: Column) -> Column:
-    return F.array(F.concat(F.lit("<"), before), F.concat(F.lit(">"), after))
-
-
 def near_pairs(words: DataFrame) -> DataFrame:
-    """(word, n, other, other_n): every two words of words(word, n) that are one edit apart, once; the shorter first."""
-    rare = written(rarest_bigrams(words).withColumn("size", F.length("word")))
-    rest = lambda start: F.col("word").substr(start, F.col("size"))
+    """(word, n, other, other_n): every two words of words(word, n) that are one edit apart, once; the shorter first.
+
+    What words meet by is hashed into one number; the edit distance tells true meetings from chance.
+    """
+    rare = written(rarest_bigrams(words))
+    size, at = F.length("word"), F.col("at")
+    rest = lambda start: F.col("word").substr(start, size)
     part = lambda length: F.col("word").substr(F.lit(1), length)
-    half, shorter = F.floor(F.col("size") / 2).cast("int"), F.floor((F.col("size") - 1) / 2).cast("int")
-    # A word asks for words of its length, and for those with one letter more, at its bigram's place or the next one.
-    same, more = _halves(part(half), rest(half + 1)), _halves(part(shorter), rest(shorter + 2))
-    key = lambda size, at, side: F.struct(size.cast("int").alias("size"), at.cast("int").alias("at"), side.alias("side"))
-    size, at = F.col("size"), F.col("at")
-    asks = F.concat(F.transform(same, lambda s: key(size, at, s)), F.transform(same, lambda s: key(size + 1, at, s)), F.transform(same, lambda s: key(size + 1, at + 1, s)))
-    found = F.concat(F.transform(same, lambda s: F.struct(F.lit(False).alias("longer"), s.alias("side"))), F.transform(more, lambda s: F.struct(F.lit(True).alias("longer"), s.alias("side"))))
-    left = rare.select("word", "n", "gram", "size", F.explode(asks).alias("k")).select("word", "n", "gram", "k.*", (F.col("k.size") > F.col("size")).alias("longer"))
-    right = rare.select(F.col("word").alias("other"), F.col("n").alias("other_n"), "gram", "size", "at", F.explode(found).alias("k")).select("other", "other_n", "gram", "size", "at", "k.longer", "k.side")
-    met = left.join(right, ["gram", "size", "at", "side", "longer"])
-    apart = (F.col("longer") | (F.col("word") < F.col("other"))) & (F.levenshtein("word", "other", 1) == 1)
-    return met.where(apart).select("word", "n", "other", "other_n").distinct()
+    half, shorter = F.floor(size / 2).cast("int"), F.floor((size - 1) / 2).cast("int")
+    key = lambda kind, length, place, side: F.xxhash64(F.lit(kind), "gram", length, place, side)
+    same = [key("=<", size, at, part(half)), key("=>", size, at, rest(half + 1))]
+    # A word with one letter more has the bigram at the same place or the next: in an equal first half at the same, in an
+    # equal second half at the next.
+    asks = [*same, key("+<", size + 1, at, part(half)), F.when(at + 1 > half, key("+<", size + 1, at + 1, part(half))),
+            key("+>", size + 1, at + 1, rest(half + 1)), F.when(at <= half, key("+>", size + 1, at, rest(half + 1)))]
+    found = [*same, key("+<", size, at, part(shorter)), key("+>", size, at, rest(shorter + 2))]
+    left = rare.select("word", "n", F.explode(F.array(*asks)).alias("key")).where("key IS NOT NULL")
+    right = rare.select(F.col("word").alias("other"), F.col("n").alias("other_n"), F.explode(F.array(*found)).alias("key"))
+    longer = F.length("other") - F.length("word")
+    apart = ((longer == 1) | ((longer == 0) & (F.col("word") < F.col("other")))) & (F.levenshtein("word", "other", 1) == 1)
+    return left.join(right, "key").where(apart).select("word", "n", "other", "other_n").distinct()
 
 
 def last_forms(forms: DataFrame, ratio: int) -> DataFrame:
