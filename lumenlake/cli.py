@@ -104,14 +104,14 @@ def remote_status(spark: SparkSession | None, args: argparse.Namespace) -> None:
 
 
 def remote_sync(spark: SparkSession, args: argparse.Namespace) -> None:
-    """Lands the remote listing as a file and shows what a synchronization would do with each asset."""
+    """Lands the remote listing as a folder and shows what a synchronization would do with each asset."""
     from lumenlake.operators import sync
+    from lumenlake.sources import remote
 
     opener = remote_opener(args.url, args.key)
-    with open(args.landing, "w", encoding="utf-8") as out:
-        json.dump(list(files.fetch_assets(lambda body: opener("/search/metadata", body), args.page_size)), out)
-    remote = files.read_assets(spark, args.landing).select("id", F.col("updatedAt").alias("updated_at"), F.lit(True).alias("cached"), F.lit(False).alias("failed"))
-    plan = sync.plan_sync(_open(spark, args).photos, remote, args.force, args.prune)
+    remote.read_remote(spark, lambda body: opener("/search/metadata", body), args.page_size).write.mode("overwrite").json(args.landing)
+    found = files.read_assets(spark, args.landing, lines=True).select("id", F.col("updatedAt").alias("updated_at"), F.lit(True).alias("cached"), F.lit(False).alias("failed"))
+    plan = sync.plan_sync(_open(spark, args).photos, found, args.force, args.prune)
     _show(sync.sync_counts(plan))
 
 

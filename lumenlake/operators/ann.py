@@ -128,9 +128,8 @@ class Index:
             return self._search_graphs(queries, top_k).groupBy("query_id").agg(F.sum("read").alias("read"))
         if self.kind == "exact":
             return queries.select("query_id").crossJoin(self.rows.agg(F.count("*").alias("read")))  # one row
-        sizes = self.indexed.groupBy("key").agg(F.count("*").alias("many"))
-        sought = self._keyed(queries.withColumn("embedding", vector.unit(vector.as_double(F.col("embedding")))), self.probes if self.kind == "ivf" else 1).select("query_id", "key")
-        return sought.join(sizes, "key").groupBy("query_id").agg(F.sum("many").alias("read"))
+        asked = queries.where(vector.present(F.col("embedding"))).withColumn("embedding", vector.unit(vector.as_double(F.col("embedding"))))
+        return self._met(asked).groupBy("query_id").agg(F.count("*").alias("read"))
 
     def _tune_cells(self, x: np.ndarray, true: np.ndarray, target: float, rng: np.random.Generator) -> None:
         n = self.rows.count()
@@ -147,30 +146,34 @@ class Index:
         agree = np.logical_and.accumulate(side[: len(true), None] == side[true], axis=3) if true.size else np.ones((1, 1, 1, MOST_BITS), bool)
         share = agree.any(2).mean((0, 1))  # of neighbours met in some table, by bits of the key
         self.bits = int((share >= target).sum())
-        self.indexed = durable(self._keyed(self.rows, 1).select("key", "id", "ord", "embedding"))
+        self.indexed = durable(self._keyed(self.rows, 1).select("key", "id", "ord"))
 
     def _keyed(self, rows: DataFrame, probes: int) -> DataFrame:
-        """rows with the keys at which they are kept, or (cells) sought."""
+        """rows with the keys at which they are kept, or (cells) sought; vectors of another length are kept at the first."""
         if self.kind == "ivf":
-            centres = self.centres
-
-            def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-                for batch in batches:
-                    out = []
-                    for v in batch:
-                        score = centres @ np.asarray(v, float) if len(v) == centres.shape[1] else np.zeros(len(centres))
-                        out.append([int(k) for k in np.argsort(-score, kind="stable")[:probes]])
-                    yield pd.Series(out, dtype=object)
+            centres, size = self.centres, self.centres.shape[1]
+            keys_of = lambda x: np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes]
         else:
-            planes = self.planes[:, : self.bits]
-            weights = 1 << np.arange(self.bits, dtype=np.int64)
-
-            def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-                for batch in batches:
-                    yield pd.Series([[(t << 32) + int(k) for t, k in enumerate(((planes @ np.asarray(v, float) > 0) * weights).sum(1) if len(v) == planes.shape[2] else np.zeros(TABLES, int))] for v in batch], dtype=object)
+            planes, size = self.planes[:, : self.bits], self.planes.shape[2]
+            weights, tables = 1 << np.arange(self.bits, dtype=np.int64), np.arange(len(planes), dtype=np.int64) << 32
+            keys_of = lambda x: ((np.einsum("tbd,nd->ntb", planes, x) > 0) * weights).sum(2) + tables
+
+        def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for batch in batches:
+                x = np.zeros((len(batch), size))
+                for i, v in enumerate(batch):
+                    if len(v) == size:
+                        x[i] = v
+                yield pd.Series(list(keys_of(x).astype(np.int64)), dtype=object)
 
         return rows.withColumn("key", F.explode(F.pandas_udf(keys, "array<long>")("embedding")))
 
+    def _met(self, queries: DataFrame) -> DataFrame:
+        """(query_id, id, ord): the rows that each query meets, once each, whatever the number of keys they meet at."""
+        sought = self._keyed(queries, self.probes if self.kind == "ivf" else 1).select("query_id", "key")
+        met = self.indexed.select("key", "id", "ord").join(sought, "key").select("query_id", "id", "ord")
+        return met if self.kind == "ivf" else met.distinct()
+
     def search_many(self, queries: DataFrame, top_k: int = 10) -> DataFrame:
         """(query_id, rank, id, score): about the best top_k for each of queries(query_id, embedding)."""
         if self.kind == "exact":
@@ -179,10 +182,9 @@ class Index:
         if self.kind == "graph":
             return self._search_graphs(queries, top_k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "rank", "id", "score")
         asked = queries.where(vector.present(F.col("embedding"))).withColumn("embedding", vector.unit(vector.as_double(F.col("embedding"))))
-        sought = self._keyed(asked, self.probes if self.kind == "ivf" else 1).select("query_id", "key", F.col("embedding").alias("q"))
-        met = self.indexed.join(sought, "key").where(F.size("q") == F.size("embedding"))
-        # A row that is met at several keys scores the same at each.
-        scored = met.groupBy("query_id", "id", "ord").agg(F.max(vector.dot(F.col("q"), F.col("embedding"))).alias("score"))
+        vectors = self.indexed.select("id", "ord", "embedding") if self.kind == "ivf" else self.rows.select("id", "ord", "embedding")
+        met = self._met(asked).join(vectors, ["id", "ord"]).join(asked.select("query_id", F.col("embedding").alias("q")), "query_id").where(F.size("q") == F.size("embedding"))
+        scored = met.select("query_id", "id", "ord", vector.dot(F.col("q"), F.col("embedding")).alias("score"))
         return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "rank", "id", "score")
 
     def search(self, query: list[float], top_k: int = 10) -> DataFrame:

@@ -222,8 +222,9 @@ def query_strategies(spark, sf_dir):
 
     part = table(spark, sf_dir, "part")
     cases = part.groupBy(F.col("p_name").alias("query")).agg(F.collect_list(F.col("p_partkey").cast("string")).alias("relevant_ids"))
-    text_ = cases.agg(F.to_json(F.collect_list(F.struct("query", "relevant_ids"))).alias("t")).first()["t"]  # a file of cases is one document
-    read = files.read_cases(spark, roundtrips._write(roundtrips._folder(spark), "cases.json", text_.encode()))
+    path = f"{roundtrips._folder(spark)}/cases"
+    cases.write.json(path)
+    read = files.read_cases(spark, path, lines=True)
     corpus = text.hash_encode(part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text")))
     corpus = corpus.select(F.col("id").cast("string").alias("id"), F.col("id").alias("ord"), "embedding")
     found = metrics.evaluate_query_strategies(read, corpus, text.hash_encode, text.QUERY_STRATEGIES)

@@ -6,23 +6,25 @@ operator, so its result can be told from the tables alone.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import struct
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlake.functions import imaging
-from lumenlake.functions.lineage import shared_dir
+from lumenlake.functions.lineage import shared_dir, written
 from lumenlake.operators import metrics, narrative, people, quality, search, sync
 from lumenlake.plans import search_plan
 from lumenlake.plans.testbed import PLACES_SQL, places_and_times, table
-from lumenlake.sources import files, images
+from lumenlake.sources import files, images, remote
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -249,9 +251,9 @@ _SUPPLIER_SQL = """p AS (SELECT s_suppkey AS k, 'p' || s_suppkey AS id, '/photos
 @_query("photo_index_json", f"WITH {_SUPPLIER_SQL} SELECT 'other' AS library_id, row_number() OVER (ORDER BY id) - 1 AS ord, id, path, captured_at, latitude, coalesce(source, 'local') AS source, score, CASE WHEN captured_at IS NOT NULL THEN captured_at || ' 00:00:00' END AS wall FROM p")
 def photo_index_json(spark, sf_dir):
     rows = _supplier_photos(spark, sf_dir).drop("library_id", "ord", "score")
-    # The file is one JSON document, so it is put together as one row.
-    text = rows.agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("t")).first()["t"]
-    found = files.read_json_index(spark, _write(_folder(spark), "index.json", text.encode()), "other")
+    folder = _folder(spark)
+    rows.write.json(f"{folder}/index")
+    found = files.read_json_index(spark, f"{folder}/index", "other", lines=True)
     return found.select("library_id", "ord", "id", "path", "captured_at", "latitude", "source", F.col("quality.score").alias("score"), F.col("captured_wall").cast("string").alias("wall"))
 
 
@@ -264,11 +266,13 @@ def label_sheets(spark, sf_dir):
     sheet = table(spark, sf_dir, "labels").select(F.concat(F.lit("x"), d).alias("photo_id"), F.concat(F.lit("E"), "quality", "toxic").alias("event_id"), F.concat(F.lit("J"), d % 5).alias("journey_id"), F.when(d % 3 == 0, "low").when(d % 3 == 1, "high").alias("label_confidence"))
     folder = _folder(spark)
     sheet.withColumnRenamed("photo_id", "\ufeffphoto_id").write.option("header", "true").csv(f"{folder}/sheet.csv")
-    listed, mapped = sheet.agg(F.to_json(F.collect_list(F.struct(*sheet.columns))).alias("a"), F.to_json(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("photo_id", "event_id"))))).alias("b")).first()
-    found = [("csv", f"{folder}/sheet.csv"), ("list", _write(f"{folder}/l", "list.json", listed.encode())), ("map", _write(f"{folder}/m", "map.json", mapped.encode()))]
+    sheet.write.json(f"{folder}/rows")
+    # One object for each photo here; a file of a single large object is read by the same column expression.
+    sheet.select(F.to_json(F.create_map("photo_id", "event_id")).alias("value")).distinct().write.text(f"{folder}/maps")
+    found = [("csv", f"{folder}/sheet.csv", None), ("list", f"{folder}/rows", "rows"), ("map", f"{folder}/maps", "maps")]
     out = None
-    for kind, path in found:
-        rows = files.read_label_sheet(spark, path).select(F.lit(kind).alias("kind"), "photo_id", "event_id", "journey_id", "label_confidence")
+    for kind, path, lines in found:
+        rows = files.read_label_sheet(spark, path, lines).select(F.lit(kind).alias("kind"), "photo_id", "event_id", "journey_id", "label_confidence")
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -294,48 +298,49 @@ def people_file(spark, sf_dir):
 SELECT 'a' || s_suppkey AS id, '/cache/a' || s_suppkey || '.jpg' AS path, CASE WHEN s_suppkey % 3 = 0 THEN 7 ELSE s_suppkey % 3 END::INTEGER AS width, CASE WHEN s_suppkey % 2 = 0 THEN '2024-05-01' ELSE '2024-06-01' END AS captured_at,
   CASE WHEN s_suppkey % 4 <> 0 THEN s_acctbal / 100.0 END AS latitude, CASE WHEN s_suppkey % 4 <> 0 THEN 'immich' END AS gps_source, CASE WHEN s_suppkey % 5 <> 0 THEN 'Make ' || s_suppkey END AS camera, 'v' || (s_suppkey % 9) AS source_updated_at FROM supplier""")
 def remote_assets(spark, sf_dir):
-    rows = [r.asDict() for r in table(spark, sf_dir, "supplier").orderBy("s_suppkey").collect()]  # what stands for the remote manager
+    """A listing of 40 assets a page, landed page by page as the manager sends it, read by the data source: pages are partitions."""
+    k, folder, size = F.col("s_suppkey"), _folder(spark), 40
+    rows = table(spark, sf_dir, "supplier")
+    total = rows.agg(F.max(k) + 1).first()[0] or 0  # ids run through, from 0 or 1
+    FileSystem.from_uri(folder)[0].create_dir(FileSystem.from_uri(folder)[1], recursive=True)
 
-    def opener(body: dict) -> dict:
-        at = (body["page"] - 1) * body["size"]
-        items = [{"id": f"a{r['s_suppkey']}", "updatedAt": f"v{r['s_suppkey'] % 9}", "fileCreatedAt": "2024-05-01" if r["s_suppkey"] % 2 == 0 else "", "localDateTime": "2024-06-01", "originalFileName": r["s_name"], "width": r["s_suppkey"] % 3,
-                  "exifInfo": {"latitude": repr(r["s_acctbal"] / 100) if r["s_suppkey"] % 4 else None, "longitude": "x", "make": " Make " if r["s_suppkey"] % 5 else None, "model": str(r["s_suppkey"]) if r["s_suppkey"] % 5 else " ", "exifImageWidth": 7}} for r in rows[at : at + body["size"]]]
-        return {"assets": {"items": [*items, {}], "nextPage": str(body["page"] + 1) if at + body["size"] < len(rows) else None}}
+    def land(page: pd.DataFrame) -> pd.DataFrame:
+        number = int(page.page.iloc[0])
+        items = [{"id": f"a{r.s_suppkey}", "updatedAt": f"v{r.s_suppkey % 9}", "fileCreatedAt": "2024-05-01" if r.s_suppkey % 2 == 0 else "", "localDateTime": "2024-06-01", "originalFileName": r.s_name, "width": int(r.s_suppkey % 3),
+                  "exifInfo": {"latitude": repr(r.s_acctbal / 100) if r.s_suppkey % 4 else None, "longitude": "x", "make": " Make " if r.s_suppkey % 5 else None, "model": str(r.s_suppkey) if r.s_suppkey % 5 else " ", "exifImageWidth": 7}} for r in page.itertuples()]
+        _write(folder, f"{number}.json", json.dumps({"assets": {"total": total, "items": [*items, {}], "nextPage": str(number + 1) if number * size < total else None}}).encode())
+        return pd.DataFrame({"page": [number]})
 
-    path = _write(_folder(spark), "assets.json", json.dumps(list(files.fetch_assets(opener, 40))).encode())
-    return sync.record_from_asset(files.read_assets(spark, path), "/cache").select("id", "path", "width", "captured_at", "latitude", "gps_source", "camera", "source_updated_at")
+    rows.select("s_suppkey", "s_name", F.col("s_acctbal").cast("double").alias("s_acctbal"), F.floor(k / size + 1).cast("int").alias("page")).groupBy("page").applyInPandas(land, "page int").write.format("noop").mode("overwrite").save()
+    found = remote.read_remote(spark, remote.PageFolder(folder), size)
+    return sync.record_from_asset(found, "/cache").select("id", "path", "width", "captured_at", "latitude", "gps_source", "camera", "source_updated_at")
 
 
-@_query("remote_manager", f"""WITH {_SUPPLIER_SQL} SELECT true AS reachable, '1.2.3' AS version, 9 AS thumbnail_bytes, 'Best' AS album, count(*) FILTER (source = 'immich') AS album_size, 'p1' AS first_unknown, 'http://host/api' AS url FROM p""")
+@_query("remote_manager", f"""WITH {_SUPPLIER_SQL} SELECT id AS asset, 'Best' AS album, count(*) OVER () AS album_size FROM p WHERE source = 'immich'""")
 def remote_manager(spark, sf_dir):
-    photos = _supplier_photos(spark, sf_dir)
-    status = files.remote_status(lambda path: {"res": "pong"} if path.endswith("ping") else {"major": 1, "minor": 2, "patch": 3})
-    made = files.create_album(lambda path, body: body, " Best ", photos.where("source = 'immich'"), photos)
-    try:
-        files.create_album(lambda path, body: body, "All", photos, photos)
-        unknown = ""
-    except ValueError as e:
-        unknown = str(e).split("'")[1]
-    row = (status["reachable"], status["version"], len(files.remote_thumbnail(lambda path: b"9 bytes ..."[:9], "a1")), made["albumName"], len(made["assetIds"]), unknown, files.api_url(" http://host/ "))
-    return spark.createDataFrame([row], "reachable boolean, version string, thumbnail_bytes int, album string, album_size long, first_unknown string, url string")
+    """An album of all synchronized photos: requests go out from the tasks, and what they have sent is read where it arrived."""
+    photos, folder = _supplier_photos(spark, sf_dir), _folder(spark)
+    FileSystem.from_uri(folder)[0].create_dir(FileSystem.from_uri(folder)[1], recursive=True)
+
+    def inbox(path: str, body: dict) -> dict:
+        _write(folder, f"{hashlib.md5(json.dumps([path, body]).encode()).hexdigest()}.json", json.dumps({"path": path, **body}).encode())
+        return {"id": "Best", **body}
+
+    sent = written(files.create_album(inbox, " Best ", photos.where("source = 'immich'"), photos, 50))
+    total = sent.agg(F.sum("sent").alias("album_size"))
+    arrived = spark.read.schema("path string, ids array<string>").json(folder)
+    return arrived.where("ids IS NOT NULL").select(F.explode("ids").alias("id"), F.element_at(F.split("path", "/"), 3).alias("album")).crossJoin(total).withColumnRenamed("id", "asset")
 
 
 @_query("project_files", """
-SELECT substr(md5(n_name), 1, 12) AS id, 'The ' || n_name AS name, CASE WHEN n_nationkey % 5 = 0 THEN 3 ELSE 0 END::INTEGER AS photo_count, '2024-01-' || lpad((n_nationkey % 28 + 1)::VARCHAR, 2, '0') AS created_at, true AS valid,
-  row_number() OVER (ORDER BY '2024-01-' || lpad((n_nationkey % 28 + 1)::VARCHAR, 2, '0') DESC) AS position FROM nation""")
+SELECT substr(md5(s_name), 1, 12) AS id, 'The ' || s_name AS name, CASE WHEN s_suppkey % 50 = 0 THEN 3 ELSE 0 END::INTEGER AS photo_count, '2024-01-' || lpad((s_suppkey % 28 + 1)::VARCHAR, 2, '0') AS created_at, true AS valid FROM supplier""")
 def project_files(spark, sf_dir):
-    from pyspark.sql import Window
-
-    root = _folder(spark)
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.substring(F.md5("n_name"), 1, 12).alias("id")).collect()  # 25 nations
-    for r in rows:
-        files.create_project(root, f" The   {r.n_name} ", f"2024-01-{r.n_nationkey % 28 + 1:02d}", r.id)
+    root, k = _folder(spark), F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(F.substring(F.md5("s_name"), 1, 12).alias("id"), F.concat(F.lit(" The   "), "s_name", F.lit(" ")).alias("name"), F.concat(F.lit("2024-01-"), F.lpad((k % 28 + 1).cast("string"), 2, "0")).alias("now"), (k % 50 == 0).alias("known"))
+    files.create_projects(rows, root).write.format("noop").mode("overwrite").save()
     _write(f"{root}/broken", "project.json", b"{no json")
-    found = files.read_projects(spark, root)
-    for r in rows:
-        if r.n_nationkey % 5 == 0:
-            found = files.touched(found, r.id, f"2024-01-{r.n_nationkey % 28 + 1:02d}", photo_count=3)
-    return found.select("id", "name", "photo_count", "created_at", search.project_id_is_valid(F.col("id")).alias("valid"), F.row_number().over(Window.orderBy(F.desc("updated_at"))).alias("position"))
+    found = files.read_projects(spark, root).join(rows.select("id", "known"), "id")
+    return found.select("id", "name", F.when(F.col("known"), 3).otherwise(F.col("photo_count")).alias("photo_count"), "created_at", search.project_id_is_valid(F.col("id")).alias("valid"))
 
 
 @_query("csv_export", f"WITH {_SUPPLIER_SQL} SELECT id AS photo_id, filename, coalesce(captured_at, '') AS captured_at, latitude, longitude, score AS quality_score, true AS marked FROM p")

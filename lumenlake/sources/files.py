@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyarrow.fs import FileSystem
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -35,14 +36,49 @@ def read_photos(spark: SparkSession, path: str) -> DataFrame:
     return schema.with_times(read_table(spark, path, schema.PHOTOS))
 
 
-def read_json_index(spark: SparkSession, path: str, library_id: str) -> DataFrame:
-    """A JSON array of photos; quality may lack fields, and positions in the array are not kept by Spark: ord is by id."""
+def read_json_index(spark: SparkSession, path: str, library_id: str, lines: bool = False) -> DataFrame:
+    """A JSON array of photos, or a folder of files with one photo in a line; quality may lack fields, and positions in the
+    array are not kept by Spark: ord is by id."""
     kind = StructType([f for f in schema.parsed(schema.PHOTOS).fields if f.name not in ("library_id", "ord")])
-    rows = spark.read.schema(kind).json(path, multiLine=True).withColumn("library_id", F.lit(library_id)).withColumn("source", F.coalesce("source", F.lit("local")))
+    rows = spark.read.schema(kind).json(path, multiLine=not lines).withColumn("library_id", F.lit(library_id)).withColumn("source", F.coalesce("source", F.lit("local")))
     return schema.with_times(rows.withColumn("ord", (F.row_number().over(Window.partitionBy("library_id").orderBy("id")) - 1).cast("long")))
 
 
+#: The tables of a people folder, as write_people writes them.
+_PEOPLE = {"faces": schema.FACES.replace("library_id string, ", ""), "persons": "id bigint, prototype array<double>, name string", "person_faces": "person_id bigint, face_id string",
+           "person_photos": "person_id bigint, photo_id string", "removed": "person_id bigint, photo_id string", "noise": "face_id string"}
+
+
+def write_people(people: dict[str, DataFrame], faces: DataFrame, path: str) -> None:
+    """The people of one library as a folder: each table in files of its own, a row in a line; nothing is gathered."""
+    tables = {k: v for k, v in people.items() if k in _PEOPLE} | {"faces": faces}
+    for name, ddl in _PEOPLE.items():
+        if name in tables:
+            columns = [f.name for f in schema.parsed(ddl).fields if f.name in tables[name].columns]
+            tables[name].select(*columns).write.mode("overwrite").json(f"{path}/{name}")
+
+
 def read_people(spark: SparkSession, path: str, library_id: str) -> dict[str, DataFrame]:
+    """The tables of a people folder, or of a people file (one JSON document)."""
+    lib = F.lit(library_id).alias("library_id")
+    try:
+        spark.read.schema(_PEOPLE["persons"]).json(f"{path}/persons")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
+            raise
+        return read_people_document(spark, path, library_id)
+    out = {}
+    for name, ddl in _PEOPLE.items():
+        try:
+            out[name] = spark.read.schema(ddl).json(f"{path}/{name}").select(lib, "*")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
+                raise
+            out[name] = spark.createDataFrame([], schema.parsed(ddl)).select(lib, "*")
+    return out
+
+
+def read_people_document(spark: SparkSession, path: str, library_id: str) -> dict[str, DataFrame]:
     """The tables of a people file (JSON with faces, groups and noise_face_ids)."""
     inner = lambda kind: ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in schema.parsed(kind).fields if f.name not in ("library_id", "ord"))
     file = spark.read.schema(f"faces array<struct<{inner(schema.FACES)}>>, groups array<struct<{inner(schema.PERSONS)}>>, noise_face_ids array<string>").json(path, multiLine=True)
@@ -58,10 +94,10 @@ def read_people(spark: SparkSession, path: str, library_id: str) -> dict[str, Da
     }
 
 
-def write_people(people: dict[str, DataFrame], faces: DataFrame, path: str) -> None:
-    """The people of one library as JSON with faces, groups and noise_face_ids, as read_people reads it.
+def write_people_document(people: dict[str, DataFrame], faces: DataFrame, path: str) -> None:
+    """The people of one library as one JSON document with faces, groups and noise_face_ids, for tools that want that.
 
-    One library's people are one document, so it is put together by one task from aggregated parts.
+    It is put together by one task, so it is for libraries that fit in one; write_people has no such bound.
     """
     listed = lambda df, key, value: df.groupBy(F.col(key).alias("id")).agg(F.array_sort(F.collect_set(value)).alias(value))
     groups = people["persons"].select("id", "prototype", "name").join(listed(people["person_faces"], "person_id", "face_id").withColumnRenamed("face_id", "face_ids"), "id", "left")
@@ -77,9 +113,9 @@ def write_people(people: dict[str, DataFrame], faces: DataFrame, path: str) -> N
     one_row.coalesce(1).write.mode("overwrite").json(path)
 
 
-def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Retrieval cases: query and relevant_ids of a JSON list."""
-    return spark.read.schema(schema.CASES).json(path, multiLine=True)
+def read_cases(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Retrieval cases: query and relevant_ids of a JSON list, or of a folder of files with one case in a line."""
+    return spark.read.schema(schema.CASES).json(path, multiLine=not lines)
 
 
 def create_project(root: str, name: str, now: str, project_id: str | None = None) -> dict:
@@ -97,6 +133,16 @@ def create_project(root: str, name: str, now: str, project_id: str | None = None
     return project
 
 
+def create_projects(projects: DataFrame, root: str) -> DataFrame:
+    """(id): writes the files of projects(id, name, now) in the tasks that hold them; doing so again changes nothing."""
+
+    def make(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame({"id": [create_project(root, r.name_, r.now, r.id)["id"] for r in part.rename(columns={"name": "name_"}).itertuples()]}, dtype=object)
+
+    return projects.select("id", "name", "now").mapInPandas(make, "id string")
+
+
 def write_annotations(annotations: DataFrame, path: str) -> None:
     """Replaces the annotations; one folder per kind."""
     annotations.write.mode("overwrite").partitionBy("kind").parquet(path)
@@ -106,10 +152,17 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path, schema.ANNOTATIONS)
 
 
-def read_label_sheet(spark: SparkSession, path: str) -> DataFrame:
-    """A label sheet: CSV with a header, a JSON list of rows, or a JSON object from photo to event (all sure)."""
+def read_label_sheet(spark: SparkSession, path: str, lines: str | None = None) -> DataFrame:
+    """A label sheet: CSV with a header, a JSON list of rows, or a JSON object from photo to event (all sure).
+
+    Of a folder of JSON files with a row or an object in each line, `lines` tells which: rows or maps.
+    """
     names = schema.parsed(schema.LABELS).names
-    if path.lower().endswith(".csv"):
+    if lines == "rows":
+        rows = spark.read.schema(schema.LABELS).json(path)
+    elif lines == "maps":
+        rows = spark.read.text(path).select(F.explode(F.from_json("value", "map<string, string>")).alias("photo_id", "event_id")).withColumn("label_confidence", F.lit("high"))
+    elif path.lower().endswith(".csv"):
         rows = spark.read.csv(path, header=True, multiLine=True)
         rows = rows.withColumnsRenamed({c: c.lstrip("﻿") for c in rows.columns})
     elif path.lower().endswith(".json"):
@@ -123,9 +176,9 @@ def read_label_sheet(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in names)).withColumn("ord", F.monotonically_increasing_id())
 
 
-def read_assets(spark: SparkSession, path: str) -> DataFrame:
-    """Landed JSON of remote assets."""
-    return spark.read.schema(schema.ASSETS).json(path, multiLine=True)
+def read_assets(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Landed JSON of remote assets, one list or one in a line; sources/remote.py reads the manager itself."""
+    return spark.read.schema(schema.ASSETS).json(path, multiLine=not lines)
 
 
 def read_projects(spark: SparkSession, root: str) -> DataFrame:
@@ -161,19 +214,28 @@ def remote_thumbnail(opener: Callable[[str], bytes], asset_id: str, size: str =
     return opener(f"/assets/{asset_id}/thumbnail?size={size}")
 
 
-def create_album(opener: Callable[[str, dict], dict], name: str, wanted: DataFrame, photos: DataFrame) -> dict:
-    """Makes an album of synchronized photos; ids that are none are an error, which names them in order.
+def create_album(opener: Callable[[str, dict], dict], name: str, wanted: DataFrame, photos: DataFrame, batch: int = 1000) -> DataFrame:
+    """(album_id, sent): makes an album of synchronized photos and adds them from the tasks that hold them.
 
-    The ids are typed or picked by hand, so they are a short list.
+    Ids that are no synchronized photo are an error, which names the first of them; the driver asks for the empty album
+    alone.  A row tells of one request; adding a photo again does not change an album.
     """
     from lumenlake.operators.sync import REMOTE, unknown_ids
 
-    if unknown := [r.id for r in unknown_ids(wanted, photos).collect()]:
+    if unknown := [r.id for r in unknown_ids(wanted, photos).limit(20).collect()]:
         raise ValueError(f"not synchronized: {unknown}")
-    ids = [str(r.id).removeprefix(f"{REMOTE}:") for r in wanted.select("id").distinct().orderBy("id").collect()]
-    if not name.strip() or not ids:
+    if not name.strip() or wanted.isEmpty():
         raise ValueError("an album needs a name and photos")
-    return opener("/albums", {"albumName": name.strip(), "assetIds": ids})
+    made = opener("/albums", {"albumName": name.strip(), "assetIds": []})
+
+    def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for at in range(0, len(part), batch):
+                ids = [i.removeprefix(f"{REMOTE}:") for i in part.id.iloc[at : at + batch]]
+                opener(f"/albums/{made['id']}/assets", {"ids": ids})
+                yield pd.DataFrame({"album_id": [str(made["id"])], "sent": [len(ids)]})
+
+    return wanted.select(F.col("id").cast("string")).distinct().mapInPandas(add, "album_id string, sent long")
 
 
 def api_url(base: str) -> str:
