@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlake.functions import text, times, vector
+from lumenlake.functions.lineage import written
 from lumenlake.operators import density, event_people, events, journeys, metrics, narrative, people, places, quality, search, similar, sync
 from lumenlake.plans import roundtrips, search_plan
 from lumenlake.plans.testbed import PHOTOS_SQL, PLACES_SQL, cosine_sql, haversine_sql, photos, places_and_times, sign_words, table
@@ -613,9 +614,9 @@ def person_covers(spark, sf_dir):
     return people.covers(labelled.select("library_id", F.col("label").alias("person_id"), F.col("id").alias("face_id")), faces, shots)
 
 
-def _view_people(spark, sf_dir) -> dict[str, DataFrame]:
+def _view_people(spark, sf_dir, p: DataFrame | None = None) -> dict[str, DataFrame]:
     """Persons of the photo view: up to two of eleven on every photo, with appearances from the photo's vector."""
-    p = photos(spark, sf_dir)
+    p = photos(spark, sf_dir) if p is None else p
     seen = p.select("library_id", F.col("id").alias("photo_id"), "embedding", F.explode(F.array_distinct(F.array(F.col("ord") % 11, F.col("ord") % 7))).alias("person_id"))
     faces = seen.select("library_id", F.concat("photo_id", F.lit(":"), "person_id").alias("id"), "photo_id", F.col("embedding").alias("appearance_embedding"), "person_id")
     return {"faces": faces, "person_faces": faces.select("library_id", "person_id", F.col("id").alias("face_id")), "person_photos": seen.select("library_id", "person_id", "photo_id")}
@@ -623,7 +624,8 @@ def _view_people(spark, sf_dir) -> dict[str, DataFrame]:
 
 @_query("events_people")
 def events_people(spark, sf_dir):
-    return event_people.merge_by_people(photos(spark, sf_dir), **_view_people(spark, sf_dir)).select("library_id", "event_id", "id")
+    p = written(photos(spark, sf_dir))  # read six times
+    return event_people.merge_by_people(p, **_view_people(spark, sf_dir, p)).select("library_id", "event_id", "id")
 
 
 @_query("event_person_ids", f"""{_sequential_sql('time_only')}, pp AS (SELECT DISTINCT library_id, event_id, unnest([ord % 11, ord % 7]) AS p FROM e)
