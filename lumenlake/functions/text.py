@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -46,14 +45,19 @@ def _strings(values: list[str]) -> Column:
 
 def expand_query(query: Column) -> Column:
     """The texts a query is expanded to: itself, then its own entry, or those of all entries it contains, or prompts."""
-    q = F.trim(query)
-    low = F.lower(q)
     none = F.array().cast("array<string>")
-    exact = F.coalesce(*(F.when(low == k, _strings(v)) for k, v in EXPANSIONS.items()))
-    inside = F.concat(*(F.when(F.contains(low, F.lit(k)), _strings(v)).otherwise(none) for k, v in EXPANSIONS.items()))
-    words = F.filter(F.split(q, r"\s+"), lambda w: w != "")
-    plain = F.concat(F.array(q, F.concat(F.lit("a photo of "), q)), F.when(F.size(words) > 1, F.array(F.concat(F.lit("a photo showing "), F.array_join(words, " ")))).otherwise(none))
-    return F.array_distinct(F.concat(F.array(q), F.when(exact.isNotNull(), exact).when(F.size(inside) > 0, inside).otherwise(plain)))
+
+    def expanded(both: Column) -> Column:
+        q, low = both["q"], both["low"]
+        exact = F.coalesce(*(F.when(low == k, _strings(v)) for k, v in EXPANSIONS.items()))
+        inside = F.concat(*(F.when(F.contains(low, F.lit(k)), _strings(v)).otherwise(none) for k, v in EXPANSIONS.items()))
+        words = F.filter(F.split(q, r"\s+"), lambda w: w != "")
+        plain = F.concat(F.array(q, F.concat(F.lit("a photo of "), q)), F.when(F.size(words) > 1, F.array(F.concat(F.lit("a photo showing "), F.array_join(words, " ")))).otherwise(none))
+        return F.array_distinct(F.concat(F.array(q), F.when(exact.isNotNull(), exact).when(F.size(inside) > 0, inside).otherwise(plain)))
+
+    # Bound to a name, so that a text is trimmed and lower-cased once and not for each entry.
+    q = F.trim(query)
+    return F.transform(F.array(F.struct(q.alias("q"), F.lower(q).alias("low"))), expanded)[0]
 
 
 def query_texts(query: Column, strategy: str = "query_enhancement") -> Column:
@@ -78,12 +82,47 @@ def _slots(tokens: Iterable[str], dim: int) -> tuple[np.ndarray, np.ndarray]:
     return pairs % dim, np.where(pairs >> 8 & 1, 1.0, -1.0)
 
 
-def _vector(text: str, dim: int) -> np.ndarray:
-    counts = Counter(_tokens(text))
-    at, signs = _slots(counts, dim)
-    v = np.bincount(at.ravel(), (signs * np.array(list(counts.values()))[:, None]).ravel(), dim)
-    n = float(np.sqrt(v @ v))
-    return v / n if n > 0 else v
+class _Encoder:
+    """Vectors of whole batches: a token is hashed once as long as it is known, and slots are added up for many texts at
+    once.  What is known is forgotten when it grows beyond KNOWN tokens."""
+
+    KNOWN, AT_ONCE = 1 << 19, 1 << 16
+
+    def __init__(self, dim: int):
+        self.dim, self.known = dim, {}
+        self.slots, self.signs = np.zeros((0, SLOTS), np.int64), np.zeros((0, SLOTS))
+
+    def _codes(self, tokens: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of every token, and of the text it is in."""
+        if len(self.known) > self.KNOWN:
+            self.__init__(self.dim)
+        new = [t for t in dict.fromkeys(t for ts in tokens for t in ts) if t not in self.known]
+        if new:
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            slots, signs = _slots(new, self.dim)
+            self.slots, self.signs = np.concatenate([self.slots, slots]), np.concatenate([self.signs, signs])
+        codes = np.fromiter((c for ts in tokens for c in map(self.known.__getitem__, ts)), np.int64)
+        return codes, np.repeat(np.arange(len(tokens)), [len(ts) for ts in tokens])
+
+    def run(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The vector of every text, in order."""
+        held: list[list[str]] = []
+        size = 0
+        for text in texts:
+            held.append(_tokens(text))
+            size += len(held[-1])
+            if size >= self.AT_ONCE:
+                yield from self._vectors(held)
+                held, size = [], 0
+        if held:
+            yield from self._vectors(held)
+
+    def _vectors(self, tokens: list[list[str]]) -> np.ndarray:
+        codes, text = self._codes(tokens)
+        at = (text[:, None] * self.dim + self.slots[codes]).ravel()
+        v = np.bincount(at, self.signs[codes].ravel(), len(tokens) * self.dim).reshape(len(tokens), self.dim)
+        n = np.sqrt((v * v).sum(1, keepdims=True))
+        return v / np.where(n > 0, n, 1.0)
 
 
 def hash_encode(texts: DataFrame, dim: int = DIM) -> DataFrame:
@@ -92,15 +131,18 @@ def hash_encode(texts: DataFrame, dim: int = DIM) -> DataFrame:
     A text without tokens is hashed as a whole.  One pass in Arrow batches, without a shuffle.
     """
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = _Encoder(dim)
         for batch in batches:
-            yield pd.Series([_vector(text, dim) for text in batch], dtype=object)
+            yield pd.Series(list(encoder.run(batch)), dtype=object)
 
-    return texts.where("text is not null").select("id", F.pandas_udf(encode, "array<double>")(F.col("text").cast("string")).alias("embedding"))
+    # Not called deterministic, or Spark would encode twice where it filters by what is in a vector.
+    coded = F.pandas_udf(encode, "array<double>").asNondeterministic()
+    return texts.where("text is not null").select("id", coded(F.col("text").cast("string")).alias("embedding"))
 
 
 def hash_vector(text: str, dim: int = DIM) -> list[float]:
     """The same encoding of one text, on the driver."""
-    return _vector(text, dim).tolist()
+    return next(_Encoder(dim).run([text])).tolist()
 
 
 def encode_query(texts: list[str], encode=hash_vector) -> list[float]:

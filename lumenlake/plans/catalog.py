@@ -159,7 +159,8 @@ def _strings_sql(values) -> str:
 
 _KEYS = list(text.EXPANSIONS)
 _EXPAND_SQL = f"""
-WITH base AS (SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'Beach' WHEN 1 THEN 'my Vacation with food, ' || text WHEN 2 THEN text ELSE lang || ' ' || text END AS raw FROM documents),
+WITH base AS (SELECT -1 - n_nationkey::BIGINT AS id, CASE n_nationkey % 3 WHEN 0 THEN ' Beach' WHEN 1 THEN 'FOOD' ELSE n_name END AS raw FROM nation
+  UNION ALL SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'Beach ' || text WHEN 1 THEN 'my Vacation with food, ' || text WHEN 2 THEN text ELSE lang || ' ' || text END AS raw FROM documents),
 q AS (SELECT id, trim(raw, ' ') AS q, lower(trim(raw, ' ')) AS low FROM base),
 e AS (SELECT *, CASE {' '.join(f"WHEN low = {_quoted(k)} THEN {_strings_sql(v)}" for k, v in text.EXPANSIONS.items())} END AS exact,
   {' || '.join(f"(CASE WHEN contains(low, {_quoted(k)}) THEN {_strings_sql(v)} ELSE [] END)" for k, v in text.EXPANSIONS.items())} AS inside,
@@ -173,10 +174,12 @@ SELECT id, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS pos, t AS text
 
 @_query("query_expansion", _EXPAND_SQL)
 def query_expansion(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    which = F.col("doc_id") % 4
-    raw = F.when(which == 0, "Beach").when(which == 1, F.concat(F.lit("my Vacation with food, "), "text")).when(which == 2, F.col("text")).otherwise(F.concat_ws(" ", "lang", "text"))
-    return docs.select(F.col("doc_id").alias("id"), F.posexplode(text.expand_query(raw)).alias("pos", "text")).select("id", F.col("pos").cast("long").alias("pos"), "text")
+    """Texts of documents, and names and known queries by nation."""
+    which, k = F.col("doc_id") % 4, F.col("n_nationkey")
+    raw = F.when(which == 0, F.concat(F.lit("Beach "), "text")).when(which == 1, F.concat(F.lit("my Vacation with food, "), "text")).when(which == 2, F.col("text")).otherwise(F.concat_ws(" ", "lang", "text"))
+    asked = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("id"), raw.alias("raw"))
+    asked = asked.unionByName(table(spark, sf_dir, "nation").select((-1 - k).cast("long").alias("id"), F.when(k % 3 == 0, " Beach").when(k % 3 == 1, "FOOD").otherwise(F.col("n_name")).alias("raw")))
+    return asked.select("id", F.posexplode(text.expand_query(F.col("raw"))).alias("pos", "text")).select("id", F.col("pos").cast("long").alias("pos"), "text")
 
 
 _HASH_SQL = """

@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the driver's; of a single small file Spark would make one task, so its rows are dealt out first."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     wanted = spark.sparkContext.defaultParallelism
-    return rows.repartition(wanted) if name in _HEAVY and rows.rdd.getNumPartitions() < wanted // 2 else rows
+    return rows.repartition(wanted) if name in _HEAVY and rows.rdd.getNumPartitions() < wanted else rows
 
 
 def sign_words(embedding="embedding") -> tuple:
