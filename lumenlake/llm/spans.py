@@ -23,7 +23,7 @@ Defined cases: null texts stay null and empty ones empty; a text of any length i
 is removed becomes empty; equal rows (same doc_id and text) count as one and are treated alike; different texts of one
 doc_id remove from each other in the order of their hashes, as do texts without a doc_id, which come first of all; a
 run of words that overlaps its first place in the text is no copy of it; all other columns are passed on, whatever
-their names (but __removed and __spans, which are replaced); an empty table gives an empty table.
+their names (but those of the two counts, which are replaced); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -204,9 +204,9 @@ def _passes(known, at: Column) -> Column:
     return passes(at)
 
 
-def remove_repeated(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
-    """docs with the text cut, and __removed (bytes) and __spans (maximal runs of removed sentences)."""
-    names = [c for c in docs.columns if c.lower() not in ("__removed", "__spans")]
+def remove_repeated(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS, removed: str = "__removed", spans: str = "__spans") -> DataFrame:
+    """docs with the text cut, and `removed` (bytes) and `spans` (maximal runs of removed sentences)."""
+    names = [c for c in docs.columns if c.lower() not in (removed.lower(), spans.lower())]
     body = F.col("text").cast("string")
     # The row is packed, so that no column's name can clash.
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("doc"), F.xxhash64(body).alias("mark"), body.alias("body"))
@@ -225,4 +225,4 @@ def remove_repeated(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, lea
     whole = rows.where("not some").select("row", F.col("body").alias("kept"), F.lit(None).cast("struct<kept: string, removed: bigint, spans: bigint>").alias("cut"))
     return whole.unionByName(cut).select(
         *(F.coalesce("cut.kept", "kept").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in names),
-        F.coalesce("cut.removed", F.lit(0)).cast("long").alias("__removed"), F.coalesce("cut.spans", F.lit(0)).cast("long").alias("__spans"))
+        F.coalesce("cut.removed", F.lit(0)).cast("long").alias(removed), F.coalesce("cut.spans", F.lit(0)).cast("long").alias(spans))

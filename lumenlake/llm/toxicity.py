@@ -6,7 +6,8 @@ toxic than in other documents.  It is kept as a trie.  A term is matched by runn
 can reach, and states are built as they are met, so a term costs one step per letter.  A stem may have one edit
 before its last letter.  Words and stems of four letters count with an edit too, but as a kind of match of their own,
 whose weight is learned; shorter ones only match exactly.  Digits and signs that stand for letters count as those
-letters, in texts and in learned terms.
+letters, in texts and in learned terms; a sign at an end of a term is read as a letter and as none, and the surer match
+counts.
 
 Around each match a window of words is read: a match between quotation marks, one near a word of reporting and one
 near a word of direct address are counted apart.  How much less quoted and reported matches weigh is learned with the
@@ -55,10 +56,17 @@ TOLERANT, SHORT = 5, 4
 REPORTING = frozenset("said says wrote writes quoted quote called claimed reported according dijo escribió citó sagte schrieb zitierte écrit cité disait".split())
 ADDRESS = frozenset("you your yourself u ur tú usted eres du dich dir dein sie ihr tu toi vous ton".split())
 
-_TERM = re.compile(r"\w+(?:[@$]\w+)*")
+#: Signs that look like letters are part of a term between its characters, and at its ends where they touch a letter.
+_TERM = re.compile(r"(?:[@$]+(?=[^\W\d_]))?\w+(?:[@$]+\w+)*(?:(?<=[^\W\d_])[@$]+)?")
 _QUOTE = re.compile("[\"“”„«»]")
 
 
+def readings(term: str) -> tuple[str, ...]:
+    """A term with the signs at its ends as letters, and without them: '$hit' is one, '@name' may be an address."""
+    bare = term.strip("@$")
+    return (term,) if bare == term or not bare else (term, bare)
+
+
 class Lexicon:
     """A trie of words and stems with the lazily built automaton of at most one edit over it."""
 
@@ -153,6 +161,8 @@ class Lexicon:
         return self.ends[state]
 
 
+#: Kinds of match, the surest first.
+_SUREST = (1, 3, 2, 4, 0)
 #: Kinds of match in the order of their features; contexts: neither quoted nor reported, quoted, reported, both.
 KINDS, CONTEXTS = (1, 2, 3, 4), 4
 #: What a quoted and what a reported match weigh until that is learned, and the weights that are tried.
@@ -206,7 +216,7 @@ class Scanner:
             if t in self.clean:
                 continue
             if t not in self.hits:
-                if not (kind := self.lexicon.match(t)):
+                if not (kind := min(map(self.lexicon.match, readings(t)), key=_SUREST.index)):
                     self.clean.add(t)
                     continue
                 self.hits[t] = kind
@@ -263,7 +273,7 @@ def learn_lexicon(texts: list[str], toxic: list[int]) -> tuple[list[str], list[s
     """
     groups: dict[tuple[int, int], set[str]] = {}
     for text, y in zip(texts, toxic, strict=True):
-        if words := {t.translate(_PLAIN) for t in _TERM.findall(text.lower()) if len(t) >= 3}:
+        if words := {r.translate(_PLAIN) for t in _TERM.findall(text.lower()) for r in readings(t) if len(r) >= 3}:
             groups.setdefault((y, min(zlib.crc32(w.encode()) for w in words)), set()).update(words)
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     total = [0, 0]

@@ -447,8 +447,34 @@ def folded(t):
     return "".join(toxicity.LOOKALIKES.get(c, c) for c in t)
 
 
+def terms_by_hand(low):
+    """(term, start, end): runs of word characters and of signs between them; signs at an end stay if they touch a letter."""
+    word, out, i = [c == "_" or c.isalnum() for c in low], [], 0
+    while i < len(low):
+        if not (word[i] or low[i] in "@$"):
+            i += 1
+            continue
+        j = i
+        while j < len(low) and (word[j] or low[j] in "@$"):
+            j += 1
+        a, b = i, j
+        while a < b and not word[a]:
+            a += 1
+        while b > a and not word[b - 1]:
+            b -= 1
+        if a < b:
+            out.append((low[(first := i if low[a].isalpha() else a) : (last := j if low[b - 1].isalpha() else b)], first, last))
+        i = j
+    return out
+
+
 def brute_kind(term, words, stems):
-    """The kind of match by edit distances alone."""
+    """The kind of match of a term, with the signs at its ends and without, by edit distances alone."""
+    kinds = {brute_match(t, words, stems) for t in (term, term.strip("@$"))}
+    return next(k for k in (1, 3, 2, 4, 0) if k in kinds)
+
+
+def brute_match(term, words, stems):
     t = folded(term)
     if any(t.startswith(folded(s)) for s in stems):
         return 3
@@ -462,7 +488,7 @@ def brute_kind(term, words, stems):
 
 def brute_features(body, words, stems, discounts):
     low = (body or "").lower()
-    spots = [(m.group(), *m.span()) for m in re.finditer(r"\w+(?:[@$]\w+)*", low)]
+    spots = terms_by_hand(low)
     quotes = [i for i, c in enumerate(low) if c in "\"“”„«»"]
     weight, distinct, apart, address = dict.fromkeys(toxicity.KINDS, 0.0), {k: set() for k in toxicity.KINDS}, [0, 0, 0, 0], 0.0
     for i, (t, a, b) in enumerate(spots):
@@ -482,8 +508,8 @@ def brute_features(body, words, stems, discounts):
 
 def test_toxicity_scores_against_brute_force():
     rng = random.Random(22)
-    words, stems = ["scum", "moron", "h4te", "foolishly", "vile", "bad"], ["stup", "foolis"]
-    near = [*words, "skum", "mor0n", "hate", "h8te", "viile", "stupidity", "stuupid", "sutpid", "fool1sh", "foxlis", "foolish", "bda", "st", "fooli"]
+    words, stems = ["scum", "moron", "h4te", "foolishly", "vile", "bad", "kiss"], ["stup", "foolis"]
+    near = [*words, "skum", "mor0n", "hate", "h8te", "viile", "stupidity", "stuupid", "sutpid", "fool1sh", "foxlis", "foolish", "bda", "st", "fooli", "$cum", "@vile", "kiss", "kis$", "kis$$", "ki$$", "$tupid", "$5", "a$", "$_x", "h@te$", "@$"]
     model = toxicity.Model(tuple(words), tuple(stems), (0.1,) * 17, (0.7,) * 17, tuple(0.3 - 0.05 * k for k in range(18)), (0.2, 0.7))
     scanner = toxicity.Scanner(toxicity.Lexicon(model.words, model.stems, short=True))
     for _ in range(60):
@@ -504,6 +530,46 @@ def test_long_texts_of_many_matches_take_little_time():
     assert sum(map(sum, scanner.counts(many + " " + " ".join(f"w{i}" for i in range(200))).matches)) > 50  # more than is remembered
 
 
+def test_signs_at_the_ends_of_terms():
+    scanner = toxicity.Scanner(toxicity.Lexicon(["shit", "ass", "kissass"], ["stupid"]))
+    kinds = lambda text: [sum(k) for k in scanner.counts(text).matches]
+    for exact in ("$hit", "@ss", "as$", "a$$", "kissa$$", "(a$$)", "@shit", "ki$$@$$"):
+        assert kinds(f"what a {exact} it is") == [1, 0, 0, 0], exact
+    assert kinds("$tup1d") == [0, 0, 1, 0] and kinds("$100 us$ @name 5$ $$") == [0, 0, 0, 0]
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(30)) for _ in range(240)]
+    words, _ = toxicity.learn_lexicon([t + (" you a$$hat" if i % 4 == 0 else "") for i, t in enumerate(texts)], [int(i % 4 == 0) for i in range(240)])
+    assert "asshat" in words
+
+
 def test_learned_lookalikes_match_themselves():
     lexicon = toxicity.Lexicon(["h4te", "v1le"], ["sc4m"], short=True)
     assert [lexicon.match(t) for t in ("h4te", "hate", "v1le", "vile", "sc4mmer", "scammer")] == [1, 1, 1, 1, 3, 3]
+
+
+def brute_quality(text, net):
+    """The network on one text in plain Python: every chunk, every place of a filter, most, mean, two layers."""
+    raw, size = (text or "").encode(), quality.BLOCK
+    many = max(1, -(-len(raw) // size))
+    raw += b" " * (many * size + 3 - len(raw))
+    filters, top = net.filters.transpose(2, 0, 1).tolist(), []
+    for b in range(many):
+        at = range(b * size, (b + 1) * size)
+        top.append([max(f[0][raw[i]] + f[1][raw[i + 1]] + f[2][raw[i + 2]] + f[3][raw[i + 3]] for i in at) for f in filters])
+    chunks = [[max(0.0, max(x)) for x in zip(top[i], top[min(i + 1, many - 1)], strict=True)] for i in range(max(1, many - 1))]
+    x = [max(c[f] for c in chunks) for f in range(len(filters))] + [sum(c[f] for c in chunks) / len(chunks) for f in range(len(filters))]
+    hidden = [max(0.0, float(net.dense_bias[k]) + sum(x[i] * float(net.dense[i, k]) for i in range(len(x)))) for k in range(net.dense.shape[1])]
+    z = float(net.out_bias) + sum(h * float(w) for h, w in zip(hidden, net.out.tolist(), strict=True))
+    return 1 / (1 + math.exp(-z))
+
+
+def test_quality_scores_against_plain_python():
+    """Texts of nothing, of a block and a byte more or less, and a long one."""
+    rng = random.Random(31)
+    letters = "abc déß$ \n日"
+    cut = lambda n: "".join(rng.choice("abc d$\n") for _ in range(n))
+    texts = [None, "", "a", *(cut(n) for n in (2, 3, 4, quality.BLOCK - 1, quality.BLOCK, quality.BLOCK + 1, 255, 256, 257, 511, 512, 513, 3000)), "".join(rng.choice(letters) for _ in range(700)), cut(100_000)]
+    net = quality.fit([(cut(200) + ("$$" if i % 2 else ""), i % 2) for i in range(40)], epochs=2)
+    got = quality.Scorer(net).score(texts)
+    for t, score in zip(texts, got, strict=True):
+        assert score == pytest.approx(brute_quality(t, net), abs=1e-5)

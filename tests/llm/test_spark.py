@@ -548,7 +548,7 @@ def test_pipeline_of_an_empty_table_and_odd_rows(spark, odd, empty, tmp_path):
 
     spark.createDataFrame([(4, 1, 0), (7, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(0, None), (1, "never said here at all by anyone")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    helpers = ["leaks", "row", "doc", "own", "mark", "__removed2", "coded", "passes", "tid"]
+    helpers = ["leaks", "row", "doc", "own", "mark", "__removed", "__spans", "Removed", "spans", "coded", "passes", "tid"]
     for docs, n in ((odd, 8), (empty, 0)):
         for c in helpers:
             docs = docs.withColumn(c, F.lit(7))
