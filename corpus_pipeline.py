@@ -44,9 +44,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without sentences that a span further up has already."""
-    cut = spans.remove_repeated(docs)
+    removed = _unused(docs, "removed")
+    cut = spans.remove_repeated(docs, removed=removed, spans=_unused(docs, "spans"))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("__removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+        cut = cut.withColumn("n_chars", F.when(F.col(removed) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return cut.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
