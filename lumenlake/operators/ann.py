@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.functions import vector
 from lumenlake.functions.lineage import durable, written
+from lumenlake.operators.blocks import centres
 from lumenlake.operators.graph import BEAM, Graph
 from lumenlake.operators.search import DIGITS, batch_search, by_size, meet_blocks, packed, search
 
@@ -32,18 +33,6 @@ SAMPLE, ASKED, TARGET = 20_000, 200, 0.96
 TABLES, MOST_BITS, MOST_CELLS = 16, 20, 4096
 
 
-def _centres(x: np.ndarray, n: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
-    """k-means of unit vectors by cosine."""
-    c = x[rng.choice(len(x), n, replace=False)]
-    for _ in range(rounds):
-        near = (x @ c.T).argmax(1)
-        sums = np.zeros_like(c)
-        np.add.at(sums, near, x)
-        length = np.linalg.norm(sums, axis=1, keepdims=True)
-        c = np.where(length > 0, sums / np.maximum(length, 1e-12), c)
-    return c
-
-
 class Index:
     """An index over photos(id, ord, embedding)."""
 
@@ -133,7 +122,7 @@ class Index:
 
     def _tune_cells(self, x: np.ndarray, true: np.ndarray, target: float, rng: np.random.Generator) -> None:
         n = self.rows.count()
-        self.centres = _centres(x, max(1, min(MOST_CELLS, len(x) // 4 or 1, round(n**0.5))), rng)
+        self.centres = centres(x, max(1, min(MOST_CELLS, len(x) // 4 or 1, round(n**0.5))), rng)
         cell = (x @ self.centres.T).argmax(1)
         rank = (-(x[: len(true)] @ self.centres.T)).argsort(1).argsort(1)
         needed = np.sort(np.take_along_axis(rank, cell[true], 1).ravel()) if true.size else np.zeros(1, int)

@@ -7,6 +7,10 @@ they are the result, the pairs themselves.
 
 Rows with a place (a time, a latitude) satisfy a rule only with rows whose place is within `width`: they are dealt by
 steps of that width and meet their own and the next step.  Loose rows may satisfy it with any row and meet all.
+
+Where a loose row satisfies the rule only with rows that look `alike`, by a least cosine of their vectors, tiles are made
+of rows near one pivot, and a tile knows the widest angle to it.  By the triangle inequality on the sphere, two tiles
+hold a pair only if their pivots are no farther apart than both angles and the rule's own together; others do not meet.
 """
 
 from __future__ import annotations
@@ -14,14 +18,19 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenlake.functions import vector
+from lumenlake.functions.lineage import durable
 from lumenlake.operators.components import connected_components
 
 #: Rows of a tile.
 TILE = 1024
+#: Most pivots, and rows that they are chosen from.
+PIVOTS, SAMPLE = 256, 20_000
 
 _KEYS = ("library_id", "part", "x", "y")
 
@@ -98,7 +107,73 @@ def _has_large(rows: DataFrame) -> bool:
     return not rows.groupBy("library_id").count().where(F.col("count") > TILE).isEmpty()
 
 
-def _dealt(rows: DataFrame, loose: Column | None, at: Column | None, width: float) -> DataFrame:
+def _pivots(rows: DataFrame, column: str) -> np.ndarray:
+    """Directions around which vectors lie: a few rounds of k-means over a sample, for all libraries together."""
+    v = vector.as_double(F.col(column))
+    sample = [np.array(r.v) for r in rows.where(vector.present(F.col(column)) & (vector.norm(v) > vector.EPSILON)).orderBy(F.xxhash64("node")).limit(SAMPLE).select(v.alias("v")).collect()]
+    if not sample:
+        return np.zeros((0, 1))
+    sizes = np.array([len(x) for x in sample])
+    x = np.array([v for v in sample if len(v) == np.bincount(sizes).argmax()])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return centres(x, max(1, min(PIVOTS, 2 * len(x) // TILE, len(x))), np.random.default_rng(7))
+
+
+def centres(x: np.ndarray, n: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
+    """k-means of unit vectors by cosine."""
+    c = x[rng.choice(len(x), n, replace=False)]
+    for _ in range(rounds):
+        near = (x @ c.T).argmax(1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, near, x)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(length > 0, sums / np.maximum(length, 1e-12), c)
+    return c
+
+
+def _celled(rows: DataFrame, column: str, pivots: np.ndarray) -> DataFrame:
+    """rows with the nearest pivot (cell) and the angle to it; vectors of another size have a cell of their own, which
+    meets itself alone, and rows without a direction are left out."""
+
+    def cells(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            cell, angle = np.full(len(batch), -1), np.zeros(len(batch))
+            sizes = np.array([0 if v is None else len(v) for v in batch])
+            for size in set(sizes.tolist()) - {0}:
+                which = np.flatnonzero(sizes == size)
+                x = np.array([batch.iloc[i] for i in which], float)
+                length = np.linalg.norm(x, axis=1)
+                which, x = which[length > vector.EPSILON], x[length > vector.EPSILON] / length[length > vector.EPSILON, None]
+                if size == pivots.shape[1] and len(pivots):
+                    alike = x @ pivots.T
+                    cell[which], angle[which] = alike.argmax(1), np.arccos(np.clip(alike.max(1, initial=-1.0), -1, 1))
+                else:
+                    cell[which] = PIVOTS + size
+            yield pd.DataFrame({"cell": cell, "angle": angle})
+
+    found = F.pandas_udf(cells, "cell long, angle double").asNondeterministic()
+    return rows.withColumn("found", found(vector.as_double(F.col(column)))).select("*", "found.cell", "found.angle").drop("found").where("cell >= 0")
+
+
+def _alike(large: DataFrame, names: list[str], column: str, cosine: float) -> DataFrame:
+    """Loose rows of large libraries and those that they may meet: part, own and the other tiles that they meet."""
+    pivots = _pivots(large, column)
+    rows = durable(_celled(large, column, pivots).select(*names, "loose", "cell", "angle"))
+    apart = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
+    i, j = np.indices(apart.shape)
+    between = rows.sparkSession.createDataFrame(pd.DataFrame({"cell": i.ravel(), "other": j.ravel(), "apart": apart.ravel()}), "cell long, other long, apart double")  # at most PIVOTS squared
+    own = rows.select("cell").where(F.col("cell") > PIVOTS).distinct().select("cell", F.col("cell").alias("other"), F.lit(0.0).alias("apart"))
+    cells = rows.groupBy("library_id", "cell", "loose").agg(F.count("*").alias("many"), F.max("angle").alias("reach")).withColumn("tiles", F.ceil(F.col("many") / TILE).cast("int"))
+    cells = durable(cells.withColumn("first", (F.sum("tiles").over(Window.partitionBy("library_id").orderBy("cell", "loose").rowsBetween(Window.unboundedPreceding, -1)))).na.fill(0, ["first"]))
+    others = cells.select("library_id", F.col("cell").alias("other"), F.col("loose").alias("other_loose"), F.col("reach").alias("other_reach"), F.col("first").alias("start"), (F.col("first") + F.col("tiles")).alias("stop"))
+    met = cells.join(F.broadcast(between.unionByName(own)), "cell").join(others, ["library_id", "other"])
+    met = met.where((F.col("loose") | F.col("other_loose")) & (F.col("apart") <= F.col("reach") + F.col("other_reach") + float(np.arccos(cosine)) + 1e-6))
+    met = met.select("library_id", "cell", "loose", "tiles", "first", "start", "stop")
+    return rows.join(met, ["library_id", "cell", "loose"]).select(
+        *names, F.lit(0).cast("long").alias("part"), (F.col("first") + F.pmod(F.xxhash64("node"), F.col("tiles"))).cast("int").alias("own"), F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"))
+
+
+def _dealt(rows: DataFrame, loose: Column | None, at: Column | None, width: float, alike: tuple[str, float] | None = None) -> DataFrame:
     """rows with part, x, y and own: once for every block that they are in."""
     if not _has_large(rows):
         zero = F.lit(0)
@@ -115,7 +190,11 @@ def _dealt(rows: DataFrame, loose: Column | None, at: Column | None, width: floa
     first, others = tiles("free"), tiles("bound")
     own = F.when(fits, 0).when(F.col("loose"), drawn(first)).otherwise(first + drawn(others))
     stop = F.when(fits, 1).when(F.col("loose"), first + others).otherwise(first)
-    parts = [sized.select(*names, F.lit(0).cast("long").alias("part"), own.cast("int").alias("own"), F.lit(0).alias("start"), stop.cast("int").alias("stop"))]
+    zeros = (F.lit(0).cast("long").alias("part"), F.lit(0).alias("own"), F.lit(0).alias("start"), F.lit(1).alias("stop"))
+    if alike is not None and alike[1] > 0:  # at a right angle and beyond, nothing is told apart
+        parts = [sized.where(fits).select(*names, *zeros), _alike(sized.where(~fits), names, *alike)]
+    else:
+        parts = [sized.select(*names, F.lit(0).cast("long").alias("part"), own.cast("int").alias("own"), F.lit(0).alias("start"), stop.cast("int").alias("stop"))]
     if placed:
         bound = sized.where(~fits & ~F.col("loose")).withColumn("step", F.floor(at / width).cast("long"))
         counts = bound.groupBy("library_id", "step").agg(F.count("*").alias("many")).withColumn("tiles", tiles("many")).drop("many")
@@ -153,13 +232,13 @@ def _groups(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def over_blocks(rows: DataFrame, work: Callable[[Rows, np.ndarray, np.ndarray, bool], dict[str, np.ndarray] | None], schema: str, loose: Column | None = None, at: Column | None = None, width: float = 1.0) -> DataFrame:
+def over_blocks(rows: DataFrame, work: Callable[[Rows, np.ndarray, np.ndarray, bool], dict[str, np.ndarray] | None], schema: str, loose: Column | None = None, at: Column | None = None, width: float = 1.0, alike: tuple[str, float] | None = None) -> DataFrame:
     """What `work` gives of every block (its rows, those of the one and of the other tile, whether the tiles are one).
 
     rows need library_id and node, a number of their own; `schema` is that of the arrays that work returns.
     """
     rest = [c for c in rows.columns if c != "library_id"]
-    keyed = _dealt(rows, loose, at, width).select(*_KEYS, "own", *rest)
+    keyed = _dealt(rows, loose, at, width, alike).select(*_KEYS, "own", *rest)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -204,7 +283,7 @@ def _forest(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[list[int],
     return [u for u, _ in ends], [v for _, v in ends]
 
 
-def linked(rows: DataFrame, rule: Rule, loose: Column | None = None, at: Column | None = None, width: float = 1.0) -> DataFrame:
+def linked(rows: DataFrame, rule: Rule, loose: Column | None = None, at: Column | None = None, width: float = 1.0, alike: tuple[str, float] | None = None) -> DataFrame:
     """(id, component) of the nodes that satisfy the rule with others, directly or not."""
 
     def work(block: Rows, a: np.ndarray, b: np.ndarray, same: bool) -> dict | None:
@@ -214,10 +293,10 @@ def linked(rows: DataFrame, rule: Rule, loose: Column | None = None, at: Column
         u, v = _forest(block["node"], a[i], b[j])
         return {"u": u, "v": v}
 
-    return connected_components(over_blocks(rows, work, "u long, v long", loose, at, width))
+    return connected_components(over_blocks(rows, work, "u long, v long", loose, at, width, alike))
 
 
-def pairs(rows: DataFrame, rule: Rule, loose: Column | None = None, at: Column | None = None, width: float = 1.0) -> DataFrame:
+def pairs(rows: DataFrame, rule: Rule, loose: Column | None = None, at: Column | None = None, width: float = 1.0, alike: tuple[str, float] | None = None) -> DataFrame:
     """(library_id, left_id, left_ord, right_id, right_ord) of the pairs that satisfy the rule, by ord."""
     kind, ident = dict(rows.dtypes)["library_id"], dict(rows.dtypes)["id"]
 
@@ -230,10 +309,10 @@ def pairs(rows: DataFrame, rule: Rule, loose: Column | None = None, at: Column |
         i, j = np.where(turned, j, i), np.where(turned, i, j)
         return {"library_id": block["library_id"][i], "left_id": block["id"][i], "left_ord": block["ord"][i], "right_id": block["id"][j], "right_ord": block["ord"][j]}
 
-    return over_blocks(rows, work, f"library_id {kind}, left_id {ident}, left_ord long, right_id {ident}, right_ord long", loose, at, width)
+    return over_blocks(rows, work, f"library_id {kind}, left_id {ident}, left_ord long, right_id {ident}, right_ord long", loose, at, width, alike)
 
 
-def counted(rows: DataFrame, rule: Rule) -> DataFrame:
+def counted(rows: DataFrame, rule: Rule, alike: tuple[str, float] | None = None) -> DataFrame:
     """(node, n): with how many other rows of its library each satisfies the rule; rows without any are left out."""
 
     def work(block: Rows, a: np.ndarray, b: np.ndarray, same: bool) -> dict | None:
@@ -245,10 +324,10 @@ def counted(rows: DataFrame, rule: Rule) -> DataFrame:
             node, n = np.concatenate([block["node"][a], block["node"][b]]), np.concatenate([hit.sum(1), hit.sum(0)])
         return {"node": node[n > 0], "n": n[n > 0]}
 
-    return over_blocks(rows, work, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    return over_blocks(rows, work, "node long, n long", alike=alike).groupBy("node").agg(F.sum("n").alias("n"))
 
 
-def least(rows: DataFrame, rule: Rule, value: str) -> DataFrame:
+def least(rows: DataFrame, rule: Rule, value: str, alike: tuple[str, float] | None = None) -> DataFrame:
     """(node, value): the least value of the rows with one that a row without one satisfies the rule with."""
 
     def work(block: Rows, a: np.ndarray, b: np.ndarray, same: bool) -> dict | None:
@@ -262,7 +341,7 @@ def least(rows: DataFrame, rule: Rule, value: str) -> DataFrame:
             out.append(best[ok].astype(np.int64))
         return {"node": np.concatenate(out_node), value: np.concatenate(out)}
 
-    return over_blocks(rows, work, f"node long, {value} long").groupBy("node").agg(F.min(value).alias(value))
+    return over_blocks(rows, work, f"node long, {value} long", alike=alike).groupBy("node").agg(F.min(value).alias(value))
 
 
 def node(library_id: str = "library_id", number: str = "ord") -> Column:

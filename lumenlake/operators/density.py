@@ -23,17 +23,18 @@ def dbscan(rows: DataFrame, eps: float = 0.35, min_samples: int = 2) -> DataFram
 
     A core row has min_samples rows within eps, itself among them; cores within eps share a cluster; a border row
     takes the cluster with the smallest label among its cores.  Neighbours are counted, linked and labelled block by
-    block; no table of pairs is made.
+    block, of a large library only in blocks whose directions come near enough; no table of pairs is made.
     """
     seen = rows.where(vector.present(F.col("embedding"))).select("library_id", blocks.node().alias("node"), F.col("ord").cast("long").alias("ord"), vector.as_double(F.col("embedding")).alias("embedding"))
-    counts = blocks.counted(seen, _near(eps))
+    alike = ("embedding", 1 - eps)
+    counts = blocks.counted(seen, _near(eps), alike)
     marked = durable(seen.join(counts, "node", "left").withColumn("core", F.coalesce("n", F.lit(0)) + 1 >= min_samples).drop("n"))
-    found = blocks.linked(marked.where("core"), _both_core(eps))
+    found = blocks.linked(marked.where("core"), _both_core(eps), alike=alike)
     cores = marked.where("core").select("library_id", "ord", "node").join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = cores.groupBy("library_id", "component").agg(F.min("ord").alias("head"))
     heads = heads.withColumn("label", (F.row_number().over(Window.partitionBy("library_id").orderBy("head")) - 1).cast("long"))
     labelled = durable(cores.join(heads, ["library_id", "component"]).select("node", "label"))
-    border = blocks.least(marked.select("library_id", "node", "embedding").join(labelled, "node", "left"), _near(eps), "label")
+    border = blocks.least(marked.select("library_id", "node", "embedding").join(labelled, "node", "left"), _near(eps), "label", alike)
     label = labelled.unionByName(border).withColumnRenamed("node", "__node").withColumnRenamed("label", "__label")
     return rows.withColumn("__node", blocks.node()).join(label, "__node", "left").withColumn("label", F.coalesce("__label", F.lit(-1).cast("long"))).drop("__node", "__label")
 

@@ -107,8 +107,8 @@ def strict_rule(config: EventConfig = DEFAULTS) -> blocks.Rule:
 
 
 def _placement(config: EventConfig) -> dict:
-    """Trusted photos meet within the longest gap, the others meet all."""
-    return {"loose": ~F.col("trusted"), "at": F.col("captured_epoch"), "width": max(config.max_gap_hours, 1e-6) * 3600}
+    """Trusted photos meet within the longest gap, the others all that may look alike enough."""
+    return {"alike": ("embedding", min(config.in_batch_similarity, config.high_similarity)), "loose": ~F.col("trusted"), "at": F.col("captured_epoch"), "width": max(config.max_gap_hours, 1e-6) * 3600}
 
 
 def strict_pairs(photos: DataFrame, config: EventConfig = DEFAULTS) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumenlake.operators import blocks, density, events, places, similar
 from tests.helpers import groups, photos
@@ -73,6 +74,29 @@ def test_density(spark, tile):
     assert [got[i] for i in range(60)] == label and n > 1 and -1 in label
 
 
+def test_tiles_far_apart_do_not_meet(spark, monkeypatch):
+    """Neighbours are the same as of all pairs, while most pairs of tiles are passed over."""
+    monkeypatch.setattr(blocks, "TILE", 20)
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(12, 16))
+    x = centre[rng.integers(0, 12, 600)] + 0.15 * rng.normal(size=(600, 16))
+    rows = [("L", i, i, v.tolist()) for i, v in enumerate(x)] + [("L", 700 + i, 700 + i, v) for i, v in enumerate(([1.0, 2.0], [2.0, 4.0], [0.0] * 16, None, []))] + [("S", 900 + i, 900 + i, x[i].tolist()) for i in range(5)]
+    seen = spark.createDataFrame(rows, "library_id string, node long, ord long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.93).sum(1) - 1
+    rule = lambda r, a, b: blocks.cosine(r, a, b) >= 0.93
+    got = {r.node: r.n for r in blocks.counted(seen, rule, ("embedding", 0.93)).collect()}
+    assert {i: n for i, n in got.items() if i < 600} == {i: int(n) for i, n in enumerate(near) if n}
+    assert got[700] == got[701] == 1 and not {702, 703, 704} & set(got)
+    met = blocks._dealt(seen, None, None, 1.0, ("embedding", 0.93)).where("library_id = 'L'").select("part", "x", "y").distinct().count()
+    every = blocks._dealt(seen, None, None, 1.0).where("library_id = 'L'").select("part", "x", "y").distinct().count()
+    tiles = blocks._dealt(seen, None, None, 1.0, ("embedding", 0.93)).where("library_id = 'L'").select("own").distinct().count()
+    assert every == 31 * 32 // 2 and met < 0.35 * tiles * (tiles + 1) / 2
+    # Rows that need no likeness among themselves meet the others only.
+    bound = {r.node: r.n for r in blocks.over_blocks(seen, lambda r, a, b, same: {"node": r["node"][a], "n": np.ones(len(a), int)}, "node long, n long", loose=F.col("node") < 10, at=F.col("ord"), width=5.0, alike=("embedding", 0.93)).groupBy("node").count().withColumnRenamed("count", "n").collect()}
+    assert set(bound) >= set(range(600))
+
+
 def test_places(spark, tile):
     rng = random.Random(44)
     spots = [(0.0, 179.9), (0.0, -179.95), (89.9, 0.0), (89.95, 170.0)] + [(50 + rng.uniform(-1, 1), 8 + rng.uniform(-1, 1)) for _ in range(50)]
