@@ -103,7 +103,8 @@ def bits_apart(rows: Rows, a: np.ndarray, b: np.ndarray, names: tuple[str, ...])
     return out
 
 
-def _has_large(rows: DataFrame) -> bool:
+def has_large(rows: DataFrame) -> bool:
+    """Whether a library does not fit in a tile."""
     return not rows.groupBy("library_id").count().where(F.col("count") > TILE).isEmpty()
 
 
@@ -175,7 +176,7 @@ def _alike(large: DataFrame, names: list[str], column: str, cosine: float) -> Da
 
 def _dealt(rows: DataFrame, loose: Column | None, at: Column | None, width: float, alike: tuple[str, float] | None = None) -> DataFrame:
     """rows with part, x, y and own: once for every block that they are in."""
-    if not _has_large(rows):
+    if not has_large(rows):
         zero = F.lit(0)
         return rows.select("*", zero.cast("long").alias("part"), zero.alias("x"), zero.alias("y"), zero.alias("own"))
     names = rows.columns

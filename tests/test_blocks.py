@@ -52,6 +52,36 @@ def test_similar_pairs(spark, tile):
         assert len(got) == len({(r.left_ord, r.right_ord) for r in got}) and {(r.left_ord, r.right_ord) for r in got} == similar_by_hand(rows, 2, 0.95, window)
 
 
+def test_hashes_are_sought_by_their_bands(spark, monkeypatch):
+    """All pairs within a distance, once; few candidates for each; copies of one hash are not paired to be grouped."""
+    rng = random.Random(46)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    hashes = [h ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 9))) for h in base for _ in range(6)] + [base[0]] * 20
+    rows = [(i, h >> 32, h & 0xFFFFFFFF) for i, h in enumerate(hashes)]
+    df = spark.createDataFrame([("L", *r) for r in rows], "library_id string, id long, phash_hi long, phash_lo long")
+    for d in (0, 3, 8, 10):
+        got = similar.near_hashes(df, d).collect()
+        distinct = sorted(set(hashes))
+        want = {(a, b) for i, a in enumerate(distinct) for b in distinct[i + 1 :] if (a ^ b).bit_count() <= d}
+        assert len(got) == len(want) and {(r.a_hi << 32 | r.a_lo, r.b_hi << 32 | r.b_lo) for r in got} == want
+    monkeypatch.setattr(blocks, "TILE", 16)
+    p = photos(spark, *({"id": f"p{i}", "phash_hi": hi, "phash_lo": lo} for i, hi, lo in rows))
+    near = {(i, j) for i in range(len(hashes)) for j in range(i + 1, len(hashes)) if (hashes[i] ^ hashes[j]).bit_count() <= 10}
+    assert {(r.left_ord, r.right_ord) for r in similar.similar_pairs(p, 10, 0.9, require_time=False).collect()} == near
+    root = list(range(len(hashes)))
+    for _ in root:
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    want = {}
+    for i, r in enumerate(root):
+        want.setdefault(r, []).append(f"p{i}")
+    assert sorted(groups(similar.similar_groups(p, 10, 0.9, require_time=False), "group_id")) == sorted(sorted(v) for v in want.values() if len(v) > 1)
+    edges = []
+    monkeypatch.setattr(similar, "connected_components", lambda e: edges.append(e.count()) or blocks.connected_components(e))
+    similar.similar_groups(p, 10, 0.9, require_time=False)
+    assert edges[0] < 4 * len(hashes)  # stars and near pairs of different hashes
+
+
 def test_density(spark, tile):
     rng = random.Random(43)
     vectors = [[rng.gauss(0, 1) for _ in range(3)] for _ in range(60)]
