@@ -17,6 +17,10 @@ from lumenlake.plans.search_plan import Box, plan_search
 from lumenlake.sources import files, images
 
 
+#: Photos beyond which a timeline is dealt over tasks.
+LONG = 1_000_000
+
+
 @dataclass(frozen=True)
 class Settings:
     """Where things are; defaults come from the environment."""
@@ -83,7 +87,9 @@ class Library:
         tables = {}
         if strategy == "strict_event_people" and self.people is not None:
             tables = {"faces": self.faces, "person_faces": self.people["person_faces"], "person_photos": self.people["person_photos"]}
-        return events.find_events(self.photos, strategy, config, **tables)
+        many = self.photos.count()  # of a Parquet table, from its footers
+        segments = None if many <= LONG else max(8, many // (LONG // 2))
+        return events.find_events(self.photos, strategy, config, segments, **tables)
 
     def similar_groups(self, **gate) -> DataFrame:
         return similar.similar_groups(self._scored(), **gate)

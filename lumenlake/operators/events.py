@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.functions import geo, times, vector
+from lumenlake.functions.lineage import written
 from lumenlake.operators import blocks
 
 STRATEGIES = ("time_only", "time_clip", "time_clip_gps", "strict_event", "strict_event_people")
@@ -58,20 +59,54 @@ def _fields(prefix: str = "") -> dict[str, Column]:
     return {"epoch": F.col(f"{prefix}captured_epoch"), "embedding": F.col(f"{prefix}embedding"), "latitude": F.col(f"{prefix}latitude"), "longitude": F.col(f"{prefix}longitude")}
 
 
-def sequential_events(photos: DataFrame, strategy: str = "time_clip_gps", config: EventConfig = DEFAULTS) -> DataFrame:
+def _order() -> tuple[Column, Column]:
+    return F.col("captured_epoch").asc_nulls_last(), F.col("ord").asc()
+
+
+def sequential_events(photos: DataFrame, strategy: str = "time_clip_gps", config: EventConfig = DEFAULTS, segments: int | None = None) -> DataFrame:
     """photos with event_id and pos (place in the event): a photo opens an event if it is too far from the one before.
 
-    One window over each library in time order, photos without a time last: no join, no Python.
+    One window over each library in time order, photos without a time last: no join, no Python.  Where a library is too
+    long for one task, `segments` deals the timeline out instead: see _segmented.
     """
-    order = Window.partitionBy("library_id").orderBy(F.col("captured_epoch").asc_nulls_last(), "ord")
-    before = {k: F.lag(c).over(order) for k, c in _fields().items()}
-    first = F.row_number().over(order) == 1
-    marked = photos.withColumn("__split", F.when(first, 0).otherwise((event_distance(before, _fields(), strategy, config) > config.threshold).cast("int")))
-    numbered = marked.withColumn("event_id", F.sum("__split").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
-    inside = Window.partitionBy("library_id", "event_id").orderBy(F.col("captured_epoch").asc_nulls_last(), "ord")
+    if segments is not None:
+        numbered = _segmented(photos, strategy, config, segments)
+    else:
+        order = Window.partitionBy("library_id").orderBy(*_order())
+        before = {k: F.lag(c).over(order) for k, c in _fields().items()}
+        first = F.row_number().over(order) == 1
+        marked = photos.withColumn("__split", F.when(first, 0).otherwise((event_distance(before, _fields(), strategy, config) > config.threshold).cast("int")))
+        numbered = marked.withColumn("event_id", F.sum("__split").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    inside = Window.partitionBy("library_id", "event_id").orderBy(*_order())
     return numbered.withColumn("pos", (F.row_number().over(inside) - 1).cast("long")).drop("__split")
 
 
+def _segmented(photos: DataFrame, strategy: str, config: EventConfig, segments: int) -> DataFrame:
+    """photos with __split and event_id, by a scan in two steps over ranges of the timeline.
+
+    Ranges of (library, time) are dealt over tasks and written, since where they are cut depends on a sample.  A range is
+    marked and counted by itself, but for its first photo of a library.  Its summary is that library's last photo and its
+    number of splits; the summaries (one for each library and range) are scanned by a window, which tells every range the
+    photo before it and the number of events before it.
+    """
+    rows = written(photos.repartitionByRange(segments, "library_id", *_order()).withColumn("__segment", F.spark_partition_id()))
+    part = Window.partitionBy("library_id", "__segment").orderBy(*_order())
+    scan = Window.partitionBy("library_id").orderBy("__segment")
+    fields = F.struct(*(c.alias(k) for k, c in _fields().items()))
+    key = F.struct(F.col("captured_epoch").isNull().alias("n"), "captured_epoch", "ord")
+    last = rows.groupBy("library_id", "__segment").agg(F.max_by(fields, key).alias("last")).withColumn("__before", F.lag("last").over(scan)).select("library_id", "__segment", "__before")
+    known = rows.join(last, ["library_id", "__segment"])
+    inner = F.lag(fields).over(part)
+    met = known.withColumn("__prior", F.when(F.row_number().over(part) == 1, F.col("__before")).otherwise(inner))
+    before = {k: F.col("__prior")[k] for k in _fields()}
+    marked = met.withColumn("__split", F.when(F.col("__prior").isNull(), 0).otherwise((event_distance(before, _fields(), strategy, config) > config.threshold).cast("int"))).drop("__prior", "__before")
+    marked = written(marked)
+    counts = marked.groupBy("library_id", "__segment").agg(F.sum("__split").alias("n"))
+    offsets = counts.withColumn("__offset", F.sum("n").over(scan.rowsBetween(Window.unboundedPreceding, -1))).select("library_id", "__segment", F.coalesce("__offset", F.lit(0)).alias("__offset"))
+    local = F.sum("__split").over(part.rowsBetween(Window.unboundedPreceding, 0))
+    return marked.withColumn("__local", local).join(offsets, ["library_id", "__segment"]).withColumn("event_id", (F.col("__local") + F.col("__offset")).cast("long")).drop("__local", "__offset", "__segment")
+
+
 def event_summary(members: DataFrame) -> DataFrame:
     """Size, first and last capture and mean place of every event of sequential_events."""
     return members.groupBy("library_id", "event_id").agg(
@@ -140,8 +175,9 @@ def strict_summary(members: DataFrame) -> DataFrame:
         F.when(F.bool_or(~known), "strict_clip_fallback").otherwise("strict_exif_time_clip_gps").alias("evidence"))
 
 
-def find_events(photos: DataFrame, strategy: str = "time_clip_gps", config: EventConfig = DEFAULTS, **people: DataFrame) -> DataFrame:
-    """Members of events under any strategy; strict_event_people takes faces, person_faces and person_photos."""
+def find_events(photos: DataFrame, strategy: str = "time_clip_gps", config: EventConfig = DEFAULTS, segments: int | None = None, **people: DataFrame) -> DataFrame:
+    """Members of events under any strategy; strict_event_people takes faces, person_faces and person_photos, and the
+    sequential ones how many segments a long timeline is dealt into."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown event strategy: {strategy}")
     if strategy == "strict_event":
@@ -150,4 +186,4 @@ def find_events(photos: DataFrame, strategy: str = "time_clip_gps", config: Even
         from lumenlake.operators.event_people import merge_by_people
 
         return merge_by_people(photos, config=config, **people)
-    return sequential_events(photos, strategy, config)
+    return sequential_events(photos, strategy, config, segments)

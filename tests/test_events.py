@@ -38,6 +38,19 @@ def test_missing_times_come_last_and_libraries_are_apart(spark):
     assert events.sequential_events(both.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("segments", [1, 5])
+def test_a_timeline_dealt_over_tasks_gives_the_same_events(spark, tmp_path, segments):
+    rng = random.Random(9)
+    rows = [{"id": f"p{i}", "captured_at": at(rng.uniform(0, 900)) if rng.random() > 0.1 else None, "embedding": [rng.random(), rng.random()], "latitude": 30 + rng.random(), "longitude": 104.0} for i in range(300)]
+    p = photos(spark, *rows).union(photos(spark, *rows[:40], library="M")).union(photos(spark, rows[0], library="N"))
+    for strategy in ("time_only", "time_clip_gps"):
+        got, want = ({(r.library_id, r.ord): (r.event_id, r.pos) for r in events.sequential_events(p, strategy, segments=s).collect()} for s in (segments, None))
+        assert got == want and len(set(want.values())) > 30
+    assert events.sequential_events(p.limit(0), segments=segments).count() == 0
+    held = p.repartitionByRange(segments, "library_id", *events._order()).groupBy(F.spark_partition_id().alias("s"), "library_id").count()
+    assert held.where("library_id = 'L'").count() >= segments - 1 and held.agg(F.max("count")).first()[0] <= 2.2 * 341 / segments  # no task has a library to itself
+
+
 def test_summary(spark):
     p = photos(spark, {"captured_at": at(1), "latitude": 2.0}, {"captured_at": at(0), "latitude": 1.0, "longitude": 5.0}, {"captured_at": at(1.5)})
     r = events.event_summary(events.sequential_events(p, "time_only")).first()
