@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.functions import geo
+from lumenlake.functions.lineage import written
+from lumenlake.operators.components import connected_components
 
 #: Fixed defaults: days between events of a journey, km between stops, least score and lead of an attachment.
 MAX_GAP_DAYS, STOP_RADIUS_KM, ATTACH_SCORE, ATTACH_MARGIN = 5.0, 150.0, 0.84, 0.08
@@ -50,13 +52,41 @@ def journeys(events: DataFrame, max_gap_days: float = MAX_GAP_DAYS) -> DataFrame
     return numbered.where("__joins").drop("__wide", "__known", "__joins", "__opens")
 
 
-def attach_timeless(members: DataFrame, events: DataFrame, score: float = ATTACH_SCORE, margin: float = ATTACH_MARGIN) -> DataFrame:
+#: What looks and shared persons weigh when an event is attached; events of a library that are attached as one group.
+LOOKS, PERSONS, TOGETHER = 0.65, 0.35, 20_000
+
+
+def attachment_cells(rows: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """rows (library_id, event_id, journey_id, person_ids) with cell: what may be attached, and what it may be attached to.
+
+    An event that shares no person with a journey scores LOOKS at most, which is too little to be attached and too little
+    to stand in another journey's way.  So only journeys and events in one component of their persons concern each
+    other.  Libraries of up to `together` rows are one cell.
+    """
+    counts = rows.groupBy("library_id").agg(F.count("*").alias("many"))
+    sized = rows.join(counts.select("library_id", (F.col("many") > together).alias("large")), "library_id")
+    lib = F.col("library_id").cast("string")
+    node = F.when(F.col("journey_id").isNotNull(), F.xxhash64(F.lit("j"), lib, "journey_id")).otherwise(F.xxhash64(F.lit("e"), lib, "event_id"))
+    if counts.where(F.col("many") > together).isEmpty():
+        return sized.drop("large").withColumn("cell", F.lit(0).cast("long"))
+    keyed = written(sized.withColumn("node", node))
+    edges = keyed.where("large").select(F.col("node").alias("u"), F.explode("person_ids").alias("person"), lib.alias("lib")).select("u", F.xxhash64(F.lit("p"), "lib", F.col("person").cast("long")).alias("v"))
+    found = connected_components(edges).select(F.col("id").alias("node"), "component")
+    cell = F.when(~F.col("large"), F.lit(0).cast("long")).otherwise(F.coalesce("component", "node"))
+    return keyed.join(found, "node", "left").withColumn("cell", cell).drop("large", "node", "component")
+
+
+def attach_timeless(members: DataFrame, events: DataFrame, score: float = ATTACH_SCORE, margin: float = ATTACH_MARGIN, together: int = TOGETHER) -> DataFrame:
     """(library_id, event_id, journey_id) with the timeless events that resemble one journey clearly.
 
     events have centroid (unit vector or null), person_ids and start_epoch; candidates are tried by event_id, and a
-    later one sees those attached before.  Per library; only events' vectors and persons are gathered, no photos.
+    later one sees those attached before.  Cell by cell (attachment_cells); only events' vectors and persons are gathered,
+    no photos, and timed events outside of journeys take no part.
     """
     rows = events.select("library_id", "event_id", "start_epoch", "centroid", "person_ids").join(members.select("library_id", "event_id", "journey_id"), ["library_id", "event_id"], "left")
+    rows = rows.where("journey_id IS NOT NULL OR start_epoch IS NULL")
+    # With a lower score or a wider margin, journeys that share no person would count as well.
+    rows = attachment_cells(rows, together) if score - margin > LOOKS else rows.withColumn("cell", F.lit(0).cast("long"))
     kind = dict(events.dtypes)["library_id"]
 
     def attach(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -77,7 +107,7 @@ def attach_timeless(members: DataFrame, events: DataFrame, score: float = ATTACH
             elif pd.isna(r.start_epoch):
                 rest.append((r.library_id, r.event_id, v, p))
         for lib, event, v, p in rest:
-            rated = sorted(((0.65 * (max((float(v @ m) for m in vectors[j]), default=0.0) if v is not None else 0.0) + 0.35 * (len(p & people[j]) / max(1, len(p)) if p else 0.0), j) for j in vectors), reverse=True)
+            rated = sorted(((LOOKS * (max((float(v @ m) for m in vectors[j]), default=0.0) if v is not None else 0.0) + PERSONS * (len(p & people[j]) / max(1, len(p)) if p else 0.0), j) for j in vectors), reverse=True)
             if rated and rated[0][0] >= score and rated[0][0] - (rated[1][0] if len(rated) > 1 else 0.0) >= margin:
                 j = rated[0][1]
                 people[j] |= p
@@ -86,7 +116,7 @@ def attach_timeless(members: DataFrame, events: DataFrame, score: float = ATTACH
                 out.append((lib, event, j))
         return pd.DataFrame(out, columns=["library_id", "event_id", "journey_id"])
 
-    return rows.groupBy("library_id").applyInPandas(attach, f"library_id {kind}, event_id long, journey_id long")
+    return rows.groupBy("library_id", "cell").applyInPandas(attach, f"library_id {kind}, event_id long, journey_id long")
 
 
 def stops(members: DataFrame, radius_km: float = STOP_RADIUS_KM) -> DataFrame:

@@ -235,13 +235,14 @@ def query_strategies(spark, sf_dir):
     return found.select("strategy", "k", "queries", _r("mean_recall").alias("mean_recall"))
 
 
-@_query("time_phrase_windows", """
-WITH q AS (SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN text || ' 2024 年 海边' WHEN 1 THEN 'beach Last  Year ' || text WHEN 2 THEN 'food this year ' || text WHEN 3 THEN '上个月的照片 ' || text ELSE lang || text END AS query FROM documents)
-SELECT id, query,
-  CASE id % 5 WHEN 0 THEN DATE '2024-01-01' WHEN 1 THEN DATE '2025-01-01' WHEN 2 THEN DATE '2026-01-01' WHEN 3 THEN DATE '2026-07-01' END AS window_start,
-  CASE id % 5 WHEN 0 THEN DATE '2025-01-01' WHEN 1 THEN DATE '2026-01-01' WHEN 2 THEN DATE '2027-01-01' WHEN 3 THEN DATE '2026-08-01' END AS window_end,
-  CASE id % 5 WHEN 0 THEN '2024 年' WHEN 1 THEN '去年' WHEN 2 THEN '今年' WHEN 3 THEN '上个月' END AS time_expression
-FROM q""")
+@_query("time_phrase_windows", r"""
+WITH q AS (SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN text || ' 2024 年 海边' WHEN 1 THEN 'beach Last  Year ' || text WHEN 2 THEN 'food this year ' || text WHEN 3 THEN '上个月的照片 ' || text ELSE lang || text END AS query FROM documents),
+f AS (SELECT id, query, DATE '2026-08-17' AS today, regexp_extract(query, '20\d{2}\s*年') AS y, regexp_matches(query, '去年|上一年|(?i:last\s+year)') AS last_year, regexp_matches(query, '今年|本年|(?i:this\s+year)') AS this_year,
+  regexp_matches(query, '上个月|上月|(?i:last\s+month)') AS last_month FROM q),
+w AS (SELECT id, query, CASE WHEN y <> '' THEN y WHEN last_year THEN '去年' WHEN this_year THEN '今年' WHEN last_month THEN '上个月' END AS time_expression,
+  CASE WHEN y <> '' THEN make_date(substr(y, 1, 4)::BIGINT, 1, 1) WHEN last_year THEN date_trunc('year', today)::DATE - INTERVAL 1 YEAR WHEN this_year THEN date_trunc('year', today)::DATE WHEN last_month THEN date_trunc('month', today)::DATE - INTERVAL 1 MONTH END::DATE AS window_start,
+  y = '' AND NOT last_year AND NOT this_year AND last_month AS monthly FROM f)
+SELECT id, query, window_start, (window_start + CASE WHEN monthly THEN INTERVAL 1 MONTH ELSE INTERVAL 1 YEAR END)::DATE AS window_end, time_expression FROM w""")
 def time_phrase_windows(spark, sf_dir):
     which = F.col("doc_id") % 5
     put = lambda *parts: F.concat(*(F.col(p) if p in ("text", "lang") else F.lit(p) for p in parts))
@@ -811,11 +812,32 @@ SELECT library_id, journey_id, CASE WHEN len(destinations) = 1 THEN destinations
     || CASE WHEN len(acts) > 0 THEN '旅途中记录了' || array_to_string(acts[1:4], '、') || '。' WHEN len(names) > 0 THEN '主要记录包括' || array_to_string(names[1:3], '、') || '。' ELSE '' END || CASE WHEN loose > 0 THEN '另外保留了' || loose || '张旅途中的零散照片。' ELSE '' END AS note
 FROM jv LEFT JOIN went USING (library_id, journey_id) LEFT JOIN ac USING (library_id, journey_id) LEFT JOIN co USING (library_id, journey_id)""")
 def journey_narratives(spark, sf_dir):
+    return _journey_texts(spark, sf_dir).select("library_id", "journey_id", "name", "note")
+
+
+def _journey_texts(spark, sf_dir) -> DataFrame:
     texts, placed, _, who, names = _narrated(spark, sf_dir)
     trips = journeys.journeys(placed).select("library_id", "journey_id", "event_id", "destination", "photo_count")
     day = texts.select("library_id", "event_id", F.substring(F.col("start").cast("string"), 1, 10).alias("start"))
-    facts = narrative.journey_facts(trips.join(day, ["library_id", "event_id"]), texts, who, names)
-    return narrative.journey_texts(facts).select("library_id", "journey_id", "name", "note")
+    return narrative.journey_texts(narrative.journey_facts(trips.join(day, ["library_id", "event_id"]), texts, who, names))
+
+
+def _first_journeys():
+    """A backend that answers for the first journey of a library, from the facts that it is given."""
+
+    def answer(task: str, facts: dict) -> dict:
+        if facts["journey_id"] > 0:
+            raise OSError("down")
+        return {"name": "told", "note": f"{task}: {facts['name']}"}
+
+    return answer
+
+
+@_query("journey_answers", f"""SELECT library_id, journey_id, CASE WHEN journey_id = 0 THEN 'told' ELSE name END AS name, CASE WHEN journey_id = 0 THEN 'journey_name_and_note: ' || name ELSE note END AS note,
+  CASE WHEN journey_id = 0 THEN 'llm' ELSE 'template' END AS name_source FROM ({_ORACLES['journey_narratives']})""")
+def journey_answers(spark, sf_dir):
+    texts = _journey_texts(spark, sf_dir).select("library_id", "journey_id", "name", "note", "name_source")
+    return narrative.with_backend(texts, _first_journeys, "journey_name_and_note", ("name", "note"), ["journey_id", "name"])
 
 
 _SYNC_SQL = """

@@ -209,6 +209,24 @@ def test_attachment_against_a_loop(spark):
     e = spark.createDataFrame(rows, "library_id string, event_id long, start_epoch double, centroid array<double>, person_ids array<long>")
     m = spark.createDataFrame(members, "library_id string, event_id long, journey_id long")
     assert {r.event_id: r.journey_id for r in journeys.attach_timeless(m, e).collect()} == want and len(want) > 14
+    assert {r.event_id: r.journey_id for r in journeys.attach_timeless(m, e, together=5).collect()} == want
+
+
+def test_cells_do_not_change_what_is_attached(spark):
+    rng = random.Random(17)
+    rows, members = [], []
+    for i in range(400):
+        group = rng.randrange(12)
+        v = np.array([1.0, 0.25 * rng.gauss(0, 1), 0.25 * rng.gauss(0, 1)])
+        rows.append(("L", i, None if rng.random() < 0.6 else float(i), (v / np.linalg.norm(v)).tolist() if rng.random() < 0.9 else None, [group * 4 + rng.randrange(4) for _ in range(rng.randint(0, 3))] or None))
+        if rows[-1][2] is not None and rng.random() < 0.8:
+            members.append(("L", i, group * 2 + rng.randrange(2)))
+    e = spark.createDataFrame(rows, "library_id string, event_id long, start_epoch double, centroid array<double>, person_ids array<long>")
+    m = spark.createDataFrame(members, "library_id string, event_id long, journey_id long")
+    whole, apart = ({(r.event_id, r.journey_id) for r in journeys.attach_timeless(m, e, together=t).collect()} for t in (1000, 10))
+    assert whole == apart and len(whole) > len(members) + 20
+    placed = e.join(m, ["library_id", "event_id"], "left").where("journey_id IS NOT NULL OR start_epoch IS NULL")
+    assert journeys.attachment_cells(placed, 10).where("size(person_ids) > 0").select("cell").distinct().count() >= 12
 
 
 def test_greedy_merging_against_all_pairs():
