@@ -143,8 +143,8 @@ def _cascade(q: Block, rows: slice, c: Block, best: Best, seen: Counter) -> None
         best.add(int(mine[i]), c.values[at] @ x[i], c.plain_ids[at])
 
     for n in LEVELS:
-        if 2 * n >= x.shape[1]:
-            break  # a segment has two numbers: bounds would cost what scores do
+        if n >= x.shape[1]:
+            break  # as long as the vectors themselves
         fq, fc = q.segments(n)[rows], c.segments(n)
         if live.mean() > DENSE:
             bound = np.where(live, fq @ fc.T, -np.inf)
