@@ -137,6 +137,55 @@ def test_graphs_of_shards_are_merged(spark, monkeypatch):
     assert Index(p.limit(0), "graph").search_many(asked, 3).count() == 0
 
 
+def _copied(spark, kinds=150, copies=20):
+    """Vectors that are each there many times."""
+    x = np.random.default_rng(5).normal(size=(kinds, 24))
+    return spark.createDataFrame([(i, i, x[i % kinds].tolist()) for i in range(kinds * copies)], "id long, ord long, embedding array<double>")
+
+
+def test_graphs_find_copies_and_what_a_check_adds(spark):
+    p = _copied(spark)
+    asked = p.where("ord % 60 = 0").select(F.col("ord").alias("query_id"), "embedding")
+    exact = {(r.query_id, r.rank): r.id for r in search.batch_search(asked, p, 30).collect()}
+    assert len(exact) == 50 * 30
+    # A beam of 30 nodes, where 30 rows are 2 of them.
+    assert ann.recall(Index(p, "graph", beam=30).search_many(asked, 30), search.batch_search(asked, p, 30), 30).first().recall >= 0.95
+    m = np.random.default_rng(6).normal(size=(40, 6))[np.arange(120) % 40]
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    nodes, node = ann._kinds_of(m)
+    got = np.argsort(-(m[:9] @ nodes.T), axis=1)[:, [0, 2, 5, -1]]  # a graph that has missed near nodes
+    got[0, 1:] = -1
+    i, j, _ = ann._copies_of(m[:9], m, got, node, np.arange(120), 10, True)
+    want_i, want_j, _ = search.best_of(m[:9], m, np.arange(120), 10)
+    assert i.tolist() == want_i.tolist() and j.tolist() == want_j.tolist()
+    i, j, _ = ann._copies_of(m[:9], m, got, node, np.arange(120), 10, False)
+    assert (np.bincount(i) == [3] + [10] * 8).all() and set(j[i == 0]) == {0, 40, 80}
+
+
+@pytest.mark.parametrize("kind", ["lsh", "ivf"])
+def test_buckets_are_scored_by_products(spark, kind, monkeypatch):
+    """No row for each pair of a query and a vector; a row that is met in several tables counts once."""
+    p = _copied(spark)
+    asked = p.where("ord % 40 = 0").select(F.col("ord").alias("query_id"), "embedding")
+    index = Index(p, kind)
+    found = index.search_many(asked, 10)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString() and dict(index.indexed.dtypes)["values"] == "array<double>"
+    assert ann.recall(found, search.batch_search(asked, p, 10)).first().recall >= 0.9
+    rows = index._keyed(index.rows, 1).select("key", "id")
+    sought = index._keyed(index._asked(asked), getattr(index, "probes", 1)).select("query_id", "key")
+    want = {r.query_id: r.n for r in sought.join(rows, "key").groupBy("query_id").agg(F.count_distinct("id").alias("n")).collect()}
+    assert {r.query_id: r.read for r in index.read_counts(asked).collect()} == want
+
+
+def test_many_queries_meet_groups_of_tiles(spark, monkeypatch):
+    p = _copied(spark, 300, 2)
+    asked = p.select(F.col("ord").alias("query_id"), "embedding")
+    want = {(r.query_id, r.rank): r.id for r in search.batch_search(asked, p, 3).collect()}
+    monkeypatch.setattr(search, "FEW", 10)
+    many = search.batch_search(asked, p, 3)
+    assert {(r.query_id, r.rank): r.id for r in many.collect()} == want and "Broadcast" not in many._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rerank_decorate_and_list(spark):
     r = spark.createDataFrame([("a", 0.5, None, 0, "local"), ("b", 0.45, "2025", 1, "immich"), ("c", 0.5, "", 2, "local")], "id string, score double, captured_at string, ord long, source string")
     assert col(search.rerank(r, 0.1), "id") == ["b", "a", "c"] and col(search.rerank(r), "id") == ["a", "c", "b"]
