@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.functions import geo
+from lumenlake.functions.lineage import written
 from lumenlake.operators import blocks
+from lumenlake.operators.search import packed
 
 
 def _spots(photos: DataFrame) -> DataFrame:
@@ -58,28 +63,81 @@ def gps_clusters(photos: DataFrame, radius_km: float = 40.0, gazetteer: DataFram
             .drop("g_name", "g_suffix", "distance_km"))
 
 
-#: Degrees of latitude within which the nearest place is sought first, then, and at last.
-REACH = (1, 8, 180)
+#: Degrees within which the nearest place is sought first, then, and at last; whole shares of the globe.
+REACH = (1, 8, 60, 180)
+#: Points or places of a tile, and points whose distances are computed at once.
+TILE, AT_ONCE = 4096, 256
+#: Tasks that points are dealt over where they seek among all places.
+SHARES = 64
+
+
+def _cell(lat: Column, lon: Column, reach: int) -> Column:
+    """Number of the cell of a point: steps of `reach` degrees of both coordinates."""
+    return (F.floor(lat / reach) * 1000 + F.pmod(F.floor(lon / reach), F.lit(360 // reach))).cast("long")
+
+
+def _cells_near(lat: Column, lon: Column, reach: int) -> Column:
+    """Numbers of the cells in which points within `reach` degrees of a place may lie."""
+    around = 360 // reach
+    bands = F.sequence(F.floor((lat - reach) / reach), F.floor((lat + reach) / reach))
+    # So far apart in longitude can two places be, one of which is at this latitude; round a pole, at any.
+    wide = F.when(F.abs(lat) + reach < 90, F.degrees(F.asin(F.sin(F.radians(F.lit(float(reach)))) / F.cos(F.radians(lat)))) + 1e-6).otherwise(360.0)
+    first, last = F.floor((lon - wide) / reach), F.floor((lon + wide) / reach)
+    slots = F.when(last - first + 1 >= around, F.sequence(F.lit(0).cast("long"), F.lit(around - 1).cast("long"))).otherwise(F.transform(F.sequence(first, last), lambda s: F.pmod(s, F.lit(around))))
+    return F.flatten(F.transform(bands, lambda b: F.transform(slots, lambda s: (b * 1000 + s).cast("long"))))
+
+
+def _kilometres(p: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Distances of all pairs of two lists of places in radians."""
+    h = np.sin((t[None, :, 0] - p[:, None, 0]) / 2) ** 2 + np.cos(p[:, None, 0]) * np.cos(t[None, :, 0]) * np.sin((t[None, :, 1] - p[:, None, 1]) / 2) ** 2
+    return 2 * geo.EARTH_KM * np.arcsin(np.sqrt(np.minimum(h, 1.0)))
 
 
 def nearest(points: DataFrame, places: DataFrame, keys: list[str], at: tuple[str, str], of: tuple[str, str], carry: list[str]) -> DataFrame:
     """keys, carry and distance_km of the place nearest to each point; the first listed wins a tie.
 
-    Points and places meet on bands of a degree of latitude, first near each other; points whose nearest place so found
-    is farther away than all that was looked at seek on in a wider range.
+    A point is in one cell of the globe, a place in all those from which it may be the nearest; tiles of both meet and hand
+    on one row for each point, so no row for a pair is made.  Points whose nearest place so found is farther away than all
+    that was looked at seek on in wider cells.  Of places at one spot the first stands for all.
     """
-    listed = places.select(*carry, F.col(of[0]).alias("__lat"), F.col(of[1]).alias("__lon")).where("__lat is not null and __lon is not null").withColumn("__i", F.monotonically_increasing_id())
-    listed = listed.withColumn("__band", F.floor("__lat").cast("int"))
-    left = points.where(F.col(at[0]).isNotNull() & F.col(at[1]).isNotNull()).select(*keys, F.col(at[0]).alias("__a"), F.col(at[1]).alias("__o"))
+    lat, lon = (F.col(c).cast("double") for c in of)
+    listed = places.select(*carry, lat.alias("__lat"), lon.alias("__lon")).where("__lat is not null and __lon is not null").withColumn("__i", F.monotonically_increasing_id())
+    listed = written(listed.groupBy("__lat", "__lon").agg(F.min(F.struct("__i", *carry)).alias("__first")).select("__lat", "__lon", "__first.*"))
+    left = points.where(F.col(at[0]).isNotNull() & F.col(at[1]).isNotNull()).select(*keys, F.col(at[0]).cast("double").alias("__a"), F.col(at[1]).cast("double").alias("__o"))
+    point_kinds, place_kinds = {k: dict(left.dtypes)[k] for k in [*keys, "__a", "__o"]}, {k: dict(listed.dtypes)[k] for k in ["__i", *carry]}
+    k, c = len(point_kinds), len(place_kinds)
+    names = [*point_kinds, *place_kinds, "distance_km"]
+
+    def meet(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for n in range(part.num_rows):
+                row = [part.column(i)[n].values for i in range(k + c + 2)]
+                p, t = (np.radians(row[i].to_numpy(zero_copy_only=False).reshape(-1, 2)) for i in (k, k + c + 1))
+                listing = np.argsort(row[k + 1].to_numpy(zero_copy_only=False), kind="stable")
+                km = [_kilometres(p[i : i + AT_ONCE], t[listing]) for i in range(0, len(p), AT_ONCE)]
+                best = pa.array(listing[np.concatenate([x.argmin(1) for x in km])])
+                yield pa.RecordBatch.from_arrays([*row[:k], *(x.take(best) for x in row[k + 1 : k + 1 + c]), pa.array(np.concatenate([x.min(1) for x in km]))], names)
+
+    def tiles(rows: DataFrame, kinds: dict[str, str], spot: tuple[str, str], values: str) -> DataFrame:
+        dealt = rows.withColumn("embedding", F.array(*spot)).repartition("__cell").sortWithinPartitions("__cell")
+        return packed(dealt, kinds, TILE, "__cell").drop("sizes").withColumnRenamed("values", values)
+
     out = None
     for reach in REACH:
-        asked = left.withColumn("__band", F.explode(F.sequence(F.floor(F.col("__a") - reach).cast("int"), F.floor(F.col("__a") + reach).cast("int"))))
-        one = F.struct(geo.haversine_km(F.col("__a"), F.col("__o"), F.col("__lat"), F.col("__lon")).alias("distance_km"), "__i", *carry)
-        best = asked.join(listed, "__band").groupBy(*keys, "__a", "__o").agg(F.min(one).alias("__best"))
-        sure = best.where(F.col("__best.distance_km") <= math.radians(reach) * geo.EARTH_KM) if reach != REACH[-1] else best
-        found = sure.select(*keys, *(F.col(f"__best.{c}").alias(c) for c in carry), "__best.distance_km")
-        out = found if out is None else out.unionByName(found)
+        last = reach == REACH[-1]
+        asked = left.withColumn("__cell", F.lit(0).cast("long") if last else _cell(F.col("__a"), F.col("__o"), reach))
+        near = listed.withColumn("__cell", F.lit(0).cast("long") if last else F.explode(_cells_near(F.col("__lat"), F.col("__lon"), reach)))
+        if last:  # a single cell would be a single task
+            asked, near = asked.withColumn("__cell", F.pmod(F.xxhash64(*keys), F.lit(SHARES))), near.withColumn("__cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))))
+        met = tiles(asked, point_kinds, ("__a", "__o"), "__spot").join(tiles(near, place_kinds, ("__lat", "__lon"), "__town").hint("merge"), "__cell").select(*point_kinds, "__spot", *place_kinds, "__town")
+        found = met.mapInArrow(meet, ", ".join([*(f"`{n}` {t}" for n, t in (point_kinds | place_kinds).items()), "distance_km double"]))
+        best = written(found.groupBy(*keys, "__a", "__o").agg(F.min(F.struct("distance_km", "__i", *carry)).alias("__best")))
+        sure = best if last else best.where((F.col("__best.distance_km") <= math.radians(reach) * geo.EARTH_KM) & (F.abs("__a") <= 90))
+        named = sure.select(*keys, *(F.col(f"__best.{x}").alias(x) for x in carry), "__best.distance_km")
+        out = named if out is None else out.unionByName(named)
         left = left.join(sure.select(*keys), keys, "left_anti")
+        if left.isEmpty():
+            break
     return out
 
 

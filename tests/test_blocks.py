@@ -161,3 +161,16 @@ def test_the_nearest_place(spark):
     want = {k: min((km(a, o, la, lo), i) for i, (_, la, lo) in enumerate(towns)) for k, a, o in [*points, (90, 10.0, 10.1)]}
     found = {r.k: r for r in got.collect()}
     assert set(found) == set(want) and all(found[k].name == towns[i][0] and found[k].distance_km == pytest.approx(d) for k, (d, i) in want.items())
+
+
+def test_the_nearest_place_without_a_row_for_each_pair(spark, tmp_path, monkeypatch):
+    """Tiles of places that many points seek; across the date line and at the poles; no pair of a point and a place is a row."""
+    rng = random.Random(46)
+    points = [(i, rng.choice([-89.9, 89.7, 0.2, 51.3]) + rng.uniform(-0.09, 0.09), rng.choice([-179.95, 179.95, 12.0]) + rng.uniform(-0.5, 0.5)) for i in range(300)]
+    towns = [(i, rng.choice([-89.5, 89.9, 0.5, 51.0]) + rng.uniform(-0.09, 0.09), rng.choice([-179.5, 179.5, 12.5, 100.0]) + rng.uniform(-0.4, 0.4)) for i in range(200)]
+    got = places.nearest(spark.createDataFrame(points, "k long, a double, o double"), spark.createDataFrame(towns, "name long, la double, lo double"), ["k"], ("a", "o"), ("la", "lo"), ["name"])
+    p, t = (np.radians([x[1:] for x in rows]) for rows in (points, towns))
+    km = places._kilometres(p, t)
+    assert {r.k: (r.name, round(r.distance_km, 6)) for r in got.collect()} == {i: (int(km[i].argmin()), round(float(km[i].min()), 6)) for i in range(300)}
+    listed = spark.range(1).select(F.posexplode(F.sort_array(places._cells_near(F.lit(89.9), F.lit(5.0), 1))).alias("n", "cell")).collect()
+    assert len(listed) == 3 * 360 and len({r.cell for r in listed}) == 3 * 360
