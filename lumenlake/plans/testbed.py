@@ -48,11 +48,14 @@ def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     rows = places_and_times(spark, sf_dir)
     m = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    many = rows.crossJoin(F.broadcast(m.agg(F.count("*").alias("many"))))  # one row
+    many = F.broadcast(m.agg(F.count("*").alias("many")))  # one row
     mine, own = (m.select(F.col("vec_id").alias(f"{k}_id"), F.col("embedding").alias(k)) for k in ("shared", "own"))
-    joined = many.withColumn("shared_id", F.col("library_id") % F.col("many")).withColumn("own_id", F.col("id") % F.col("many")).join(mine, "shared_id", "left").join(own, "own_id", "left")
+    # A library's vector meets its photos where they are dealt by library, as most rules want them; so of a vector only the
+    # photo's own half is sent there, and it is added up behind the shuffle.
+    libraries = rows.select("library_id").distinct().crossJoin(many).withColumn("shared_id", F.col("library_id") % F.col("many")).join(mine, "shared_id").select("library_id", "shared")
+    joined = rows.crossJoin(many).withColumn("own_id", F.col("id") % F.col("many")).drop("many").join(own, "own_id", "left").join(libraries.hint("shuffle_hash"), "library_id", "left")
     v = F.zip_with("shared", "own", lambda a, b: a.cast("double") + OWN * b.cast("double"))
-    made = joined.withColumn("embedding", v).drop("shared_id", "own_id", "shared", "own", "many")
+    made = joined.withColumn("embedding", v).drop("own_id", "shared", "own")
     return made.select("*", *sign_words())
 
 

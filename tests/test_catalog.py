@@ -43,3 +43,21 @@ def test_query(spark, duck, name):
     assert sorted(names) == columns
     order = sorted(range(len(names)), key=names.__getitem__)
     assert got == sorted(tuple(plain(r[i]) for i in order) for r in found.fetchall())
+
+
+def test_placed_events_carry_no_vectors(spark):
+    """Members are small, and places are found without the table of vectors."""
+    from lumenlake.plans import catalog
+
+    placed, members = catalog._placed_events(spark, "/root/testdata/sf0.001")
+    assert "embedding" not in members.columns and not any("embeddings" in f for f in placed.inputFiles())
+
+
+def test_the_photo_view_sends_half_a_vector(spark):
+    """Photos are dealt by library with their own vector; what their library shares is added behind the shuffle."""
+    from lumenlake.operators import events
+    from lumenlake.plans.testbed import photos
+
+    plan = events.sequential_events(photos(spark, "/root/testdata/sf0.001")).select("event_id")._jdf.queryExecution().executedPlan().toString()
+    sent = [line for line in plan.splitlines() if "Exchange hashpartitioning(library_id" in line]
+    assert sent and "zip_with" not in "".join(plan.split("Exchange hashpartitioning(library_id")[1:]) and plan.count("Window") >= 1
