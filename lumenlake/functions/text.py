@@ -86,11 +86,11 @@ class _Encoder:
     """Vectors of whole batches: a token is hashed once as long as it is known, and slots are added up for many texts at
     once.  What is known is forgotten when it grows beyond KNOWN tokens."""
 
-    KNOWN, AT_ONCE = 1 << 19, 1 << 16
+    KNOWN, AT_ONCE = 1 << 17, 1 << 16
 
     def __init__(self, dim: int):
         self.dim, self.known = dim, {}
-        self.slots, self.signs = np.zeros((0, SLOTS), np.int64), np.zeros((0, SLOTS))
+        self.slots, self.signs = np.zeros((0, SLOTS), np.int32), np.zeros((0, SLOTS), np.int8)
 
     def _codes(self, tokens: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Number of every token, and of the text it is in."""
@@ -100,7 +100,7 @@ class _Encoder:
         if new:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
             slots, signs = _slots(new, self.dim)
-            self.slots, self.signs = np.concatenate([self.slots, slots]), np.concatenate([self.signs, signs])
+            self.slots, self.signs = np.concatenate([self.slots, slots.astype(np.int32)]), np.concatenate([self.signs, signs.astype(np.int8)])
         codes = np.fromiter((c for ts in tokens for c in map(self.known.__getitem__, ts)), np.int64)
         return codes, np.repeat(np.arange(len(tokens)), [len(ts) for ts in tokens])
 

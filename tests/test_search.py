@@ -91,6 +91,15 @@ def test_hash_encoder_in_sql_and_on_the_driver(spark):
     assert np.allclose(text.encode_query(["car", "car"]), text.hash_vector("car"))
 
 
+def test_what_the_encoder_knows_is_small():
+    """Five bytes a slot, and no more tokens than KNOWN and those of one step; results do not depend on what is forgotten."""
+    encoder = text._Encoder(256)
+    texts = [" ".join(f"w{i}" for i in range(at, at + 20_000)) for at in range(0, 400_000, 20_000)]
+    got = list(encoder.run(texts))
+    assert len(encoder.known) <= (1 << 17) + 2 * encoder.AT_ONCE and encoder.slots.nbytes + encoder.signs.nbytes == 60 * len(encoder.known)
+    assert np.allclose(got[0], text.hash_vector(texts[0])) and np.allclose(got[-1], text.hash_vector(texts[-1]))
+
+
 def test_indexes(spark):
     rng = np.random.default_rng(3)
     p = spark.createDataFrame([(i, i, rng.normal(size=8).tolist()) for i in range(60)], "id long, ord long, embedding array<double>").cache()
