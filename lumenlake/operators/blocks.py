@@ -9,8 +9,9 @@ Rows with a place (a time, a latitude) satisfy a rule only with rows whose place
 steps of that width and meet their own and the next step.  Loose rows may satisfy it with any row and meet all.
 
 Where a loose row satisfies the rule only with rows that look `alike`, by a least cosine of their vectors, tiles are made
-of rows near one pivot, and a tile knows the widest angle to it.  By the triangle inequality on the sphere, two tiles
-hold a pair only if their pivots are no farther apart than both angles and the rule's own together; others do not meet.
+of rows near one pivot, and a cell knows the widest angle to it.  By the triangle inequality on the sphere, a row can
+satisfy the rule with one of a cell only if it is no farther from the cell's pivot than that angle and the rule's own
+together; it is sent to those cells alone.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from lumenlake.functions import vector
 from lumenlake.functions.lineage import durable
 from lumenlake.operators.components import connected_components
 
-#: Rows of a tile.
-TILE = 1024
+#: Rows of a tile, by which blocks are worked on; tiles of rows near one pivot hold up to WIDE times as many.
+TILE, WIDE = 1024, 8
 #: Most pivots, and rows that they are chosen from.
 PIVOTS, SAMPLE = 256, 20_000
 
@@ -117,12 +118,18 @@ def _pivots(rows: DataFrame, column: str) -> np.ndarray:
     sizes = np.array([len(x) for x in sample])
     x = np.array([v for v in sample if len(v) == np.bincount(sizes).argmax()])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    return centres(x, max(1, min(PIVOTS, 2 * len(x) // TILE, len(x))), np.random.default_rng(7))
-
-
-def centres(x: np.ndarray, n: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
-    """k-means of unit vectors by cosine."""
-    c = x[rng.choice(len(x), n, replace=False)]
+    n = max(1, min(PIVOTS, 2 * len(x) // TILE, len(x)))
+    # Each start is the row least like those before, so that no two of well parted groups have a pivot in common.
+    start, most = [0], x @ x[0]
+    while len(start) < n:
+        start.append(int(most.argmin()))
+        most = np.maximum(most, x @ x[start[-1]])
+    return centres(x, n, np.random.default_rng(7), start=start)
+
+
+def centres(x: np.ndarray, n: int, rng: np.random.Generator, rounds: int = 8, start: list[int] | None = None) -> np.ndarray:
+    """k-means of unit vectors by cosine, from rows drawn at random or those given."""
+    c = x[rng.choice(len(x), n, replace=False) if start is None else start]
     for _ in range(rounds):
         near = (x @ c.T).argmax(1)
         sums = np.zeros_like(c)
@@ -156,22 +163,62 @@ def _celled(rows: DataFrame, column: str, pivots: np.ndarray) -> DataFrame:
     return rows.withColumn("found", found(vector.as_double(F.col(column)))).select("*", "found.cell", "found.angle").drop("found").where("cell >= 0")
 
 
+def _visits(rows: DataFrame, column: str, pivots: np.ndarray, reach: list[tuple[int, float]], most: float) -> DataFrame:
+    """rows (cell, loose, a vector) with their code (a cell's bound rows and its loose ones have a code each) and visits: the
+    greater codes in which there may be a row within `most` of them.  reach has the widest angle of every code."""
+    codes, angles = np.array([c for c, _ in reach], np.int64), np.array([a for _, a in reach], float)
+
+    def sought(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for batch, code in batches:
+            # A cell of vectors of another size is met from its own bound rows alone.
+            own, out = code.to_numpy(np.int64), [[c + 1] if c % 2 == 0 else [] for c in code.tolist()]
+            which = np.flatnonzero(own < 2 * PIVOTS)
+            if len(which) and len(codes):
+                x = np.array([batch.iloc[i] for i in which], float)
+                away = np.arccos(np.clip(x @ pivots.T / np.linalg.norm(x, axis=1, keepdims=True), -1, 1))[:, codes // 2]
+                met = (away <= angles[None, :] + most) & (codes[None, :] > own[which][:, None]) & ((codes[None, :] | own[which][:, None]) % 2 == 1)
+                for i, hit in zip(which.tolist(), met, strict=True):
+                    out[i] = codes[hit].tolist()
+            yield pd.Series(out)
+
+    found = F.pandas_udf(sought, "array<long>").asNondeterministic()
+    return rows.withColumn("code", 2 * F.col("cell") + F.col("loose").cast("long")).withColumn("visits", found(vector.as_double(F.col(column)), F.col("code")))
+
+
 def _alike(large: DataFrame, names: list[str], column: str, cosine: float) -> DataFrame:
-    """Loose rows of large libraries and those that they may meet: part, own and the other tiles that they meet."""
+    """Loose rows of large libraries and those that they may meet, once for every block: part, x, y and own.
+
+    A row is sent to the cells that its own angles to their pivots leave open, so of two cells only the rows between them
+    meet.  Tiles hold a sixteenth of a library, TILE rows at least and WIDE * TILE at most: as long as that lasts, a row is
+    in as many blocks however large its library.  The guests of a cell have tiles of their own, numbered after all others.
+    """
     pivots = _pivots(large, column)
     rows = durable(_celled(large, column, pivots).select(*names, "loose", "cell", "angle"))
-    apart = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
-    i, j = np.indices(apart.shape)
-    between = rows.sparkSession.createDataFrame(pd.DataFrame({"cell": i.ravel(), "other": j.ravel(), "apart": apart.ravel()}), "cell long, other long, apart double")  # at most PIVOTS squared
-    own = rows.select("cell").where(F.col("cell") > PIVOTS).distinct().select("cell", F.col("cell").alias("other"), F.lit(0.0).alias("apart"))
-    cells = rows.groupBy("library_id", "cell", "loose").agg(F.count("*").alias("many"), F.max("angle").alias("reach")).withColumn("tiles", F.ceil(F.col("many") / TILE).cast("int"))
-    cells = durable(cells.withColumn("first", (F.sum("tiles").over(Window.partitionBy("library_id").orderBy("cell", "loose").rowsBetween(Window.unboundedPreceding, -1)))).na.fill(0, ["first"]))
-    others = cells.select("library_id", F.col("cell").alias("other"), F.col("loose").alias("other_loose"), F.col("reach").alias("other_reach"), F.col("first").alias("start"), (F.col("first") + F.col("tiles")).alias("stop"))
-    met = cells.join(F.broadcast(between.unionByName(own)), "cell").join(others, ["library_id", "other"])
-    met = met.where((F.col("loose") | F.col("other_loose")) & (F.col("apart") <= F.col("reach") + F.col("other_reach") + float(np.arccos(cosine)) + 1e-6))
-    met = met.select("library_id", "cell", "loose", "tiles", "first", "start", "stop")
-    return rows.join(met, ["library_id", "cell", "loose"]).select(
-        *names, F.lit(0).cast("long").alias("part"), (F.col("first") + F.pmod(F.xxhash64("node"), F.col("tiles"))).cast("int").alias("own"), F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"))
+    code = (2 * F.col("cell") + F.col("loose").cast("long")).alias("code")
+    reach = [(r.code, r.reach) for r in rows.where(F.col("cell") < PIVOTS).groupBy(code).agg(F.max("angle").alias("reach")).orderBy("code").collect()]  # at most two for each pivot
+    seen = _visits(rows, column, pivots, reach, float(np.arccos(cosine)) + 1e-6)
+    guests = seen.select("library_id", F.explode("visits").alias("code")).groupBy("library_id", "code").agg(F.count("*").alias("guests"))
+    cells = rows.groupBy("library_id", code).agg(F.count("*").alias("many")).join(guests, ["library_id", "code"], "left")
+    whole, before = Window.partitionBy("library_id"), Window.partitionBy("library_id").orderBy("code").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.least(F.greatest(F.ceil(F.sum("many").over(whole) / 16), F.lit(TILE)), F.lit(WIDE * TILE))
+    cells = cells.withColumn("size", size).withColumn("tiles", F.ceil(F.col("many") / F.col("size")).cast("int")).withColumn("rooms", F.ceil(F.coalesce("guests", F.lit(0)) / F.col("size")).cast("int"))
+    start = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("int")
+    cells = cells.withColumn("first", start("tiles")).withColumn("room", (F.sum("tiles").over(whole) + start("rooms")).cast("int"))
+    plans = durable(cells.groupBy("library_id").agg(F.map_from_entries(F.collect_list(F.struct("code", F.struct("first", "tiles", "room", "rooms")))).alias("cells")))
+    drawn = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    upto = lambda first, n: F.when(n > 0, F.sequence(first, first + n - 1)).otherwise(F.array().cast("array<int>"))
+    at = lambda x, y, own: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), own.cast("int").alias("own"))
+    met = seen.join(plans, "library_id").withColumn("me", F.col("cells")[F.col("code")]).withColumn("mine", F.col("me.first") + drawn(F.col("me.tiles")))
+    mine, none = F.col("mine"), F.array().cast("array<struct<x: int, y: int, own: int>>")
+    inside = F.when(F.col("loose"), F.transform(upto(F.col("me.first"), F.col("me.tiles")), lambda j: at(F.least(mine, j), F.greatest(mine, j), mine))).otherwise(none)
+    host = F.transform(upto(F.col("me.room"), F.col("me.rooms")), lambda g: at(mine, g, mine))
+
+    def guest(cell: Column) -> Column:
+        room = cell["room"] + drawn(cell["rooms"])
+        return F.transform(upto(cell["first"], cell["tiles"]), lambda j: at(j, room, room))
+
+    there = F.filter(F.transform("visits", lambda c: F.col("cells")[c]), lambda cell: cell.isNotNull())
+    return met.withColumn("block", F.explode(F.concat(inside, host, F.flatten(F.transform(there, guest))))).select(*names, F.lit(0).cast("long").alias("part"), "block.x", "block.y", "block.own")
 
 
 def _dealt(rows: DataFrame, loose: Column | None, at: Column | None, width: float, alike: tuple[str, float] | None = None) -> DataFrame:
@@ -193,8 +240,9 @@ def _dealt(rows: DataFrame, loose: Column | None, at: Column | None, width: floa
     stop = F.when(fits, 1).when(F.col("loose"), first + others).otherwise(first)
     zeros = (F.lit(0).cast("long").alias("part"), F.lit(0).alias("own"), F.lit(0).alias("start"), F.lit(1).alias("stop"))
     if alike is not None and alike[1] > 0:  # at a right angle and beyond, nothing is told apart
-        parts = [sized.where(fits).select(*names, *zeros), _alike(sized.where(~fits), names, *alike)]
+        parts, looks = [sized.where(fits).select(*names, *zeros)], _alike(sized.where(~fits), names, *alike)
     else:
+        looks = None
         parts = [sized.select(*names, F.lit(0).cast("long").alias("part"), own.cast("int").alias("own"), F.lit(0).alias("start"), stop.cast("int").alias("stop"))]
     if placed:
         bound = sized.where(~fits & ~F.col("loose")).withColumn("step", F.floor(at / width).cast("long"))
@@ -211,7 +259,8 @@ def _dealt(rows: DataFrame, loose: Column | None, at: Column | None, width: floa
     for p in parts[1:]:
         dealt = dealt.unionByName(p)
     dealt = dealt.where("start < stop").withColumn("other", F.explode(F.sequence("start", F.col("stop") - 1)))
-    return dealt.select(*names, "part", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own")
+    dealt = dealt.select(*names, "part", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own")
+    return dealt if looks is None else dealt.unionByName(looks)
 
 
 def _groups(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -243,7 +292,7 @@ def over_blocks(rows: DataFrame, work: Callable[[Rows, np.ndarray, np.ndarray, b
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    arrow, most = to_arrow_schema(StructType.fromDDL(schema)), TILE
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -251,7 +300,9 @@ def over_blocks(rows: DataFrame, work: Callable[[Rows, np.ndarray, np.ndarray, b
             block = Rows(table)
             x, y, own = table["x"][0].as_py(), table["y"][0].as_py(), block["own"]
             a, b = np.flatnonzero(own == x), np.flatnonzero(own == y)
-            if len(a) and len(b) and (out := work(block, a, b, x == y)) is not None:
+            for i, j in ((i, j) for i in range(0, len(a), most) for j in range(i if x == y else 0, len(b), most)):
+                if (out := work(block, a[i : i + most], b[j : j + most], x == y and i == j)) is None:
+                    continue
                 held.append(pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow))
                 size += held[-1].num_rows
                 if size > 50_000:

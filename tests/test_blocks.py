@@ -127,6 +127,19 @@ def test_tiles_far_apart_do_not_meet(spark, monkeypatch):
     assert set(bound) >= set(range(600))
 
 
+def test_a_larger_table_does_not_send_its_rows_more_often(spark, monkeypatch):
+    """Tiles of rows that look alike grow with the table, and a row is sent only to cells that may hold a neighbour of it."""
+    monkeypatch.setattr(blocks, "TILE", 20)
+    monkeypatch.setattr(blocks, "SAMPLE", 200)  # as many pivots for either
+    rng, copies = np.random.default_rng(6), []
+    centre = rng.normal(size=(12, 16))
+    for n in (500, 2000):
+        x = centre[rng.integers(0, 12, n)] + 0.15 * rng.normal(size=(n, 16))
+        seen = spark.createDataFrame([("L", i, i, v.tolist()) for i, v in enumerate(x)], "library_id string, node long, ord long, embedding array<double>")
+        copies.append(blocks._dealt(seen, None, None, 1.0, ("embedding", 0.93)).count() / n)
+    assert copies[1] < 1.2 * copies[0]
+
+
 def test_places(spark, tile):
     rng = random.Random(44)
     spots = [(0.0, 179.9), (0.0, -179.95), (89.9, 0.0), (89.95, 170.0)] + [(50 + rng.uniform(-1, 1), 8 + rng.uniform(-1, 1)) for _ in range(50)]
