@@ -75,7 +75,8 @@ def recall_at_k(results: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (
     A query without relevant ids has recall 0.
     """
     totals = relevant.groupBy("query_id").agg(F.count("*").alias("total"))
-    hits = results.join(relevant.select("query_id", "id"), ["query_id", "id"], "left_semi")
+    # Relevant ids are as many as the corpus may be: packed they look small enough to be broadcast, but are not.
+    hits = results.join(relevant.select("query_id", "id").hint("merge"), ["query_id", "id"], "left_semi")
     counts = hits.groupBy("query_id").agg(*(F.count_if(F.col("rank") <= k).alias(f"k{k}") for k in ks))
     asked = results.select("query_id").unionByName(relevant.select("query_id")).distinct()
     return _mean_recall(asked.join(totals, "query_id", "left").join(counts, "query_id", "left"), ks)
@@ -201,11 +202,12 @@ def evaluate_query_strategies(cases: DataFrame, corpus: DataFrame, encode: Calla
 
     asked = cases.select("query").distinct()
     relevant = cases.select(F.col("query").alias("query_id"), F.explode("relevant_ids").alias("id")).distinct()
-    each = []
-    for s in strategies:
-        texts = asked.select(F.col("query"), F.explode(text.query_texts(F.col("query"), s)).alias("text")).withColumn("id", F.monotonically_increasing_id())
-        vectors = texts.select("query", "text").join(encode(texts.select(F.col("text").alias("id"), "text").distinct()), F.col("text") == F.col("id")).select("query", "embedding")
-        means = vector.mean_vectors(vectors, ["query"], "embedding")
-        found = batch_search(means.select(F.col("query").alias("query_id"), F.col("centroid").alias("embedding")), corpus, max(ks))
-        each.append(recall_at_k(found, relevant, ks).select(F.lit(s).alias("strategy"), "*"))
-    return reduce(DataFrame.unionByName, each)
+    means = []
+    for i, s in enumerate(strategies):
+        texts = asked.select(F.col("query"), F.explode(text.query_texts(F.col("query"), s)).alias("text"))
+        vectors = texts.join(encode(texts.select(F.col("text").alias("id"), "text").distinct()), F.col("text") == F.col("id")).select("query", "embedding")
+        means.append(vector.mean_vectors(vectors, ["query"], "embedding").select(F.concat(F.lit(f"{i} "), "query").alias("query_id"), F.col("centroid").alias("embedding")))
+    # All strategies ask at once, so that the corpus is encoded and read once.
+    found = durable(batch_search(reduce(DataFrame.unionByName, means), corpus, max(ks)))
+    of = lambda i: found.where(F.startswith("query_id", F.lit(f"{i} "))).withColumn("query_id", F.substring("query_id", len(f"{i} ") + 1, 1 << 30))
+    return reduce(DataFrame.unionByName, [recall_at_k(of(i), relevant, ks).select(F.lit(s).alias("strategy"), "*") for i, s in enumerate(strategies)])

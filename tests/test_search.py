@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenlake.functions import text
-from lumenlake.operators import ann, search
+from lumenlake.operators import ann, metrics, search
 from lumenlake.operators.ann import Index, benchmark
 from lumenlake.operators.graph import Graph
 from lumenlake.plans.search_plan import Box, Filter, apply_filter, plan_search, semantic_text, time_windows
@@ -201,3 +201,18 @@ def test_rerank_decorate_and_list(spark):
     assert [(x.id, x.thumbnail_url) for x in search.decorated(r).where("source = 'immich'").collect()] == [("b", "/immich/assets/b/thumbnail")]
     ids = spark.createDataFrame([("0123456789ab",), ("0123456789AB",), (None,)], "i string")
     assert [x[0] for x in ids.select(search.project_id_is_valid(F.col("i"))).collect()] == [True, False, False]
+
+
+def test_query_strategies_encode_the_corpus_once(spark):
+    names, seen = ["large ring", "small box", "blue cup"], spark.sparkContext.accumulator(0)
+
+    def noted(value):
+        seen.add(1)
+        return value
+
+    rows = spark.createDataFrame([(str(i), names[i % 3]) for i in range(12)], "id string, text string").withColumn("text", F.udf(noted, "string").asNondeterministic()("text"))
+    corpus = text.hash_encode(rows).select("id", F.col("id").cast("long").alias("ord"), "embedding")
+    cases = spark.createDataFrame([(n, [str(i) for i in range(12) if names[i % 3] == n]) for n in names], "query string, relevant_ids array<string>")
+    found = metrics.evaluate_query_strategies(cases, corpus, text.hash_encode, text.QUERY_STRATEGIES).collect()
+    assert {(r.strategy, r.k): (r.queries, r.mean_recall) for r in found} == {(s, k): (3, 0.25 if k == 1 else 1.0) for s in text.QUERY_STRATEGIES for k in (1, 5, 10)}
+    assert seen.value == 12
