@@ -77,7 +77,7 @@ class _Sums:
             if len(w) > 1:  # as long as the longest vector of the key
                 t, w = t[: (n := int(np.flatnonzero(w)[-1]) + 1)], w[:n]
             if (old := self.held.get(key)) is not None:
-                t, w = _plus(old[0], t), (old[1] + w if len(old[1]) == len(w) == 1 and len(old[0]) == len(t) else _plus(_each(old[1], old[0]), _each(w, t)))
+                t, w = plus(old[0], t), (old[1] + w if len(old[1]) == len(w) == 1 and len(old[0]) == len(t) else plus(_each(old[1], old[0]), _each(w, t)))
             self.held[key] = t, w
 
     def out(self, most: int, finish: Callable[[np.ndarray, np.ndarray], np.ndarray | None] | None = None) -> Iterator[pa.RecordBatch]:
@@ -107,7 +107,8 @@ def _each(weight: np.ndarray, total: np.ndarray) -> np.ndarray:
     return weight if len(weight) == len(total) else np.repeat(weight, len(total))
 
 
-def _plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sum of two vectors; what the shorter one lacks counts as 0."""
     if len(a) < len(b):
         a, b = b, a
     out = a.copy()
@@ -155,6 +156,45 @@ def _aggregated(df: DataFrame, keys: list[str], vector: str, weight: str | None,
     return dealt.mapInArrow(final, f"{schema}, __v array<double>")
 
 
+def partial_sums(rows: DataFrame, keys: int) -> DataFrame:
+    """The first `keys` columns of rows and v: sums of the last column, a vector, as far as a task has them.
+
+    A column between them tells, of rows that follow each other, which ones are averaged first, at unit length.
+    """
+    names = rows.columns[:keys]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:keys])
+    averaged = len(rows.columns) > keys + 1
+
+    def one(n: int) -> pa.Array:
+        return pa.array([[1.0]] * n, pa.list_(pa.float64()))
+
+    def partial(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inner, outer = None, None
+
+        def added(batches: Iterator[pa.RecordBatch]) -> None:
+            for b in batches:
+                outer.add(pa.RecordBatch.from_arrays([*(b.column(i) for i in range(keys)), b.column(b.num_columns - 1), one(b.num_rows)], [*names, "__v", "__w"]))
+
+        def handed(least: int) -> Iterator[pa.RecordBatch]:
+            if len(outer.held) > least:
+                yield from (b.drop_columns(["__w"]).rename_columns([*names, "v"]) for b in outer.out(0))
+
+        for part in parts:
+            if outer is None:
+                inner, outer = _Sums([part.schema.field(i) for i in range(keys + 1)]), _Sums([part.schema.field(i) for i in range(keys)])
+            if part.num_rows and averaged:
+                inner.add(pa.RecordBatch.from_arrays([*part.columns, one(part.num_rows)], [*part.schema.names, "__w"]))
+                added(inner.out(1, _direction))
+            elif part.num_rows:
+                added([part])
+            yield from handed(HELD)
+        if outer is not None:
+            added(inner.out(0, _direction))
+            yield from handed(0)
+
+    return rows.mapInArrow(partial, f"{schema}, v array<double>")
+
+
 def _direction(total: np.ndarray, weight: np.ndarray) -> np.ndarray | None:
     mean = np.divide(total, weight, out=np.zeros_like(total), where=np.broadcast_to(weight, total.shape) > 0)
     length = float(np.sqrt((mean * mean).sum()))

@@ -122,6 +122,20 @@ def test_a_shared_person_merges_two_strict_events(spark):
     assert groups(event_people.merge_by_people(far, person_photos=who)) == [["a"], ["b"]]  # a hard conflict of times
 
 
+def test_looks_are_gathered_without_writing_vectors(spark, monkeypatch):
+    """A person's faces on a photo are averaged, looks decide, and no vector is written on the way."""
+    kept, write = [], event_people.written
+    monkeypatch.setattr(event_people, "written", lambda df: kept.append(df.columns) or write(df))
+    p = photos(spark, *({"captured_at": at(0), "captured_at_source": "filesystem", "embedding": v} for v in ([1.0, 0.0], [0.8, 0.6])))
+    who = spark.createDataFrame([("L", 0, "a"), ("L", 0, "b")], "library_id string, person_id long, photo_id string")
+    mine = spark.createDataFrame([("L", 0, f) for f in "xyz"], "library_id string, person_id long, face_id string")
+    for look, want in (([1.0, 1.0], [["a", "b"]]), ([-1.0, -1.0], [["a"], ["b"]])):
+        seen = [("L", "x", "a", [2.0, 0.0]), ("L", "y", "a", [0.0, 2.0]), ("L", "z", "b", look), ("L", "of nobody", "b", [5.0, 5.0]), ("L", "none", "b", None)]
+        faces = spark.createDataFrame(seen, "library_id string, id string, photo_id string, appearance_embedding array<double>")
+        assert groups(event_people.merge_by_people(p, faces, mine, who)) == want
+    assert kept and not {"embedding", "vector", "looks"} & {c for columns in kept for c in columns}
+
+
 def test_greedy_merging_takes_the_best_pair_first():
     def group(i, people, v):
         g = event_people._Group([i])
