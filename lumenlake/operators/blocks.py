@@ -223,9 +223,6 @@ def _alike(large: DataFrame, names: list[str], column: str, cosine: float) -> Da
 
 def _dealt(rows: DataFrame, loose: Column | None, at: Column | None, width: float, alike: tuple[str, float] | None = None) -> DataFrame:
     """rows with part, x, y and own: once for every block that they are in."""
-    if not has_large(rows):
-        zero = F.lit(0)
-        return rows.select("*", zero.cast("long").alias("part"), zero.alias("x"), zero.alias("y"), zero.alias("own"))
     names = rows.columns
     placed = at is not None
     tiles = lambda c: F.ceil(F.col(c) / TILE).cast("int")
@@ -287,12 +284,20 @@ def over_blocks(rows: DataFrame, work: Callable[[Rows, np.ndarray, np.ndarray, b
 
     rows need library_id and node, a number of their own; `schema` is that of the arrays that work returns.
     """
-    rest = [c for c in rows.columns if c != "library_id"]
-    keyed = _dealt(rows, loose, at, width, alike).select(*_KEYS, "own", *rest)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     arrow, most = to_arrow_schema(StructType.fromDDL(schema)), TILE
+    if not has_large(rows):
+        # Every library is a block; rows that are dealt by library already stay where they are.
+        def whole(table: pa.Table) -> pa.Table:
+            block, all_rows = Rows(table), np.arange(table.num_rows)
+            out = work(block, all_rows, all_rows, True)
+            return pa.table({f.name: pa.array([] if out is None else out[f.name], f.type) for f in arrow}, schema=arrow)
+
+        return rows.groupBy("library_id").applyInArrow(whole, schema)
+    rest = [c for c in rows.columns if c != "library_id"]
+    keyed = _dealt(rows, loose, at, width, alike).select(*_KEYS, "own", *rest)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0

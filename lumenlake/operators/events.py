@@ -81,6 +81,21 @@ def sequential_events(photos: DataFrame, strategy: str = "time_clip_gps", config
     return numbered.withColumn("pos", (F.row_number().over(inside) - 1).cast("long")).drop("__split")
 
 
+def sequential_ids(photos: DataFrame, strategies: tuple[str, ...] = STRATEGIES[:3], config: EventConfig = DEFAULTS) -> DataFrame:
+    """(library_id, id) with a column for each sequential strategy: the event_id of sequential_events.
+
+    All are told in one pass, so that vectors are dealt out and sorted once.
+    """
+    order = Window.partitionBy("library_id").orderBy(*_order())
+    prior = F.lag(F.struct(*(c.alias(k) for k, c in _fields().items()))).over(order)
+    met = photos.select("library_id", "id", "ord", *_fields().values(), prior.alias("__prior"))
+    before = {k: F.col("__prior")[k] for k in _fields()}
+    split = lambda s: F.when(F.col("__prior").isNull(), 0).otherwise((event_distance(before, _fields(), s, config) > config.threshold).cast("int"))
+    marked = met.select("library_id", "id", "captured_epoch", "ord", *(split(s).alias(s) for s in strategies))
+    until = order.rowsBetween(Window.unboundedPreceding, 0)
+    return marked.select("library_id", "id", *(F.sum(s).over(until).cast("long").alias(s) for s in strategies))
+
+
 def _segmented(photos: DataFrame, strategy: str, config: EventConfig, segments: int) -> DataFrame:
     """photos with __split and event_id, by a scan in two steps over ranges of the timeline.
 

@@ -163,8 +163,8 @@ def journey_labels(members: DataFrame, journeys: DataFrame, stop: str | None = N
 def evaluate_event_strategies(photos: DataFrame, expected: DataFrame, find: Callable[[str], DataFrame], strategies: tuple[str, ...]) -> DataFrame:
     """(strategy, precision, recall, f1) of every strategy's events, which find(strategy) gives, against expected
     labels (library_id, id, label); a photo without one is left out."""
-    known = with_labels(photos.select("library_id", "id"), expected, "expected")
-    # Written out, as every measure reads them several times.
+    # Written out, as every strategy reads the first and every measure reads the others several times.
+    known = durable(with_labels(photos.select("library_id", "id"), expected, "expected"))
     each = [pairwise_metrics(durable(with_labels(known, event_labels(find(s)), "predicted").select("expected", "predicted"))).select(F.lit(s).alias("strategy"), "*") for s in strategies]
     return reduce(DataFrame.unionByName, each)
 

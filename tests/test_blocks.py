@@ -187,3 +187,11 @@ def test_the_nearest_place_without_a_row_for_each_pair(spark, tmp_path, monkeypa
     assert {r.k: (r.name, round(r.distance_km, 6)) for r in got.collect()} == {i: (int(km[i].argmin()), round(float(km[i].min()), 6)) for i in range(300)}
     listed = spark.range(1).select(F.posexplode(F.sort_array(places._cells_near(F.lit(89.9), F.lit(5.0), 1))).alias("n", "cell")).collect()
     assert len(listed) == 3 * 360 and len({r.cell for r in listed}) == 3 * 360
+
+
+def test_rows_dealt_by_library_are_not_sent_again(spark):
+    """Where every library is one block, rows that lie by library are grouped where they are."""
+    dealt = events._rows(photos(spark, *mixed(random.Random(47), 30)).union(photos(spark, {}, library="M")).repartition("library_id"))
+    found = blocks.over_blocks(dealt, lambda block, a, b, same: {"n": np.array([len(a)])} if same and len(a) > 1 else None, "n long")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert [r.n for r in found.collect()] == [30]

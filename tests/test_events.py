@@ -407,3 +407,14 @@ def test_vectors_are_added_up_before_the_shuffle(spark):
         sums.add(batch.append_column("w", pa.array([[1.0]] * batch.num_rows)))
     assert len(sums.held) == 2
     assert sorted(r.total for r in vector.sum_vectors(many, ["k"], "v").collect()) == [[15000.0, 30000.0]] * 2
+
+
+def test_all_sequential_strategies_in_one_pass(spark):
+    rng = random.Random(12)
+    rows = [{"id": f"p{i}", "captured_at": at(rng.uniform(0, 80)) if i % 9 else None, "embedding": [rng.random() - 0.5, rng.random()] if i % 5 else None} | ({"latitude": 30 + rng.random(), "longitude": 104.0} if i % 3 else {}) for i in range(60)]
+    p = photos(spark, *rows).union(photos(spark, *rows[:5], library="M"))
+    found = {(r.library_id, r.id): r for r in events.sequential_ids(p).collect()}
+    assert len(found) == 65
+    for s in events.STRATEGIES[:3]:
+        assert {k: r[s] for k, r in found.items()} == {(r.library_id, r.id): r.event_id for r in events.sequential_events(p, s).collect()}
+    assert events.sequential_ids(p)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
