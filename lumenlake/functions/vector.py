@@ -120,11 +120,12 @@ def plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 HELD = 20_000
 
 
-def _aggregated(df: DataFrame, keys: list[str], vector: str, weight: str | None, finish: Callable[[np.ndarray, np.ndarray], np.ndarray | None]) -> DataFrame:
+def _aggregated(df: DataFrame, keys: list[str], vector: str, weight: str | None, finish: Callable[[np.ndarray, np.ndarray], np.ndarray | None], together: bool = False) -> DataFrame:
     """Per key what `finish` makes of the sum of the weighted present vectors and of their weights.
 
     A task adds up what it has, in Arrow batches, and hands on one vector for each of its keys; so a group of any size is
-    aggregated before the shuffle and never gathered, and a vector is never taken apart.
+    aggregated before the shuffle and never gathered, and a vector is never taken apart.  Where the rows of a key are
+    `together` in a task, as behind a window over some of the keys, they are sorted and added up there, without a shuffle.
     """
     w = F.lit(1.0) if weight is None else F.greatest(F.col(weight).cast("double"), F.lit(1e-6))
     v = as_double(F.col(vector))
@@ -152,8 +153,8 @@ def _aggregated(df: DataFrame, keys: list[str], vector: str, weight: str | None,
         if sums:
             yield from sums.out(0, finish)
 
-    dealt = rows.mapInArrow(partial, f"{schema}, __v array<double>, __w array<double>").repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(final, f"{schema}, __v array<double>")
+    dealt = rows if together else rows.mapInArrow(partial, f"{schema}, __v array<double>, __w array<double>").repartition(*keys)
+    return dealt.sortWithinPartitions(*keys).mapInArrow(final, f"{schema}, __v array<double>")
 
 
 def partial_sums(rows: DataFrame, keys: int) -> DataFrame:
@@ -206,9 +207,9 @@ def sum_vectors(df: DataFrame, keys: list[str], vector: str, into: str = "total"
     return _aggregated(df, keys, vector, None, lambda total, weight: total).withColumnRenamed("__v", into)
 
 
-def mean_vectors(df: DataFrame, keys: list[str], vector: str, into: str = "centroid", weight: str | None = None) -> DataFrame:
+def mean_vectors(df: DataFrame, keys: list[str], vector: str, into: str = "centroid", weight: str | None = None, together: bool = False) -> DataFrame:
     """Per key the element-wise mean of the present vectors (weighted, if a weight column is given), at unit length.
 
-    A group whose mean has no length has no row.
+    A group whose mean has no length has no row.  `together`: the rows of a key are in one task already.
     """
-    return _aggregated(df, keys, vector, weight, _direction).withColumnRenamed("__v", into)
+    return _aggregated(df, keys, vector, weight, _direction, together).withColumnRenamed("__v", into)

@@ -96,6 +96,14 @@ def sequential_ids(photos: DataFrame, strategies: tuple[str, ...] = STRATEGIES[:
     return marked.select("library_id", "id", *(F.sum(s).over(until).cast("long").alias(s) for s in strategies))
 
 
+def sequential_centroids(photos: DataFrame, strategy: str = "time_clip_gps", config: EventConfig = DEFAULTS) -> DataFrame:
+    """(library_id, event_id, centroid): the direction of the mean vector of every event of sequential_events.
+
+    The window that finds the events has each library in one task, so vectors are added up where they are.
+    """
+    return vector.mean_vectors(sequential_events(photos, strategy, config), ["library_id", "event_id"], "embedding", together=True)
+
+
 def _segmented(photos: DataFrame, strategy: str, config: EventConfig, segments: int) -> DataFrame:
     """photos with __split and event_id, by a scan in two steps over ranges of the timeline.
 

@@ -418,3 +418,16 @@ def test_all_sequential_strategies_in_one_pass(spark):
     for s in events.STRATEGIES[:3]:
         assert {k: r[s] for k, r in found.items()} == {(r.library_id, r.id): r.event_id for r in events.sequential_events(p, s).collect()}
     assert events.sequential_ids(p)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_vectors_of_events_are_added_up_where_they_are(spark):
+    from lumenlake.functions import vector
+
+    rng = random.Random(13)
+    p = photos(spark, *({"id": f"p{i}", "captured_at": at(rng.uniform(0, 200)), "embedding": [rng.random() - 0.5, rng.random()] if i % 4 else None} for i in range(80)))
+    members = events.sequential_events(p)
+    want = {r.event_id: r.centroid for r in vector.mean_vectors(members, ["library_id", "event_id"], "embedding").collect()}
+    got = {r.event_id: r.centroid for r in events.sequential_centroids(p).collect()}
+    assert set(got) == set(want) and len(got) > 5 and all(got[k] == pytest.approx(want[k]) for k in want)
+    sent = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert sent(events.sequential_centroids(p)) == sent(members.select("event_id")) == 1
