@@ -431,3 +431,19 @@ def test_vectors_of_events_are_added_up_where_they_are(spark):
     assert set(got) == set(want) and len(got) > 5 and all(got[k] == pytest.approx(want[k]) for k in want)
     sent = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange")
     assert sent(events.sequential_centroids(p)) == sent(members.select("event_id")) == 1
+
+
+def test_streaming_events_with_vectors_missing_or_of_another_size(spark, tmp_path):
+    from lumenlake.streaming.sessions import streaming_events
+
+    rng = random.Random(9)
+    vectors = [None, [], [1.0], [1.0, -0.5], [-0.2, 1.0]]
+    rows = [(i % 2, i, i * 4000.0 + rng.uniform(0, 20000), None if i % 5 == 0 else 30.0 + rng.random(), 104.0, rng.choice(vectors)) for i in range(90)]
+    schema = "library_id long, id long, captured_epoch double, latitude double, longitude double, embedding array<double>"
+    p = spark.createDataFrame(rows, schema)
+    for k, part in enumerate(("captured_epoch < 200000", "captured_epoch >= 200000")):  # the second meets the first one's state
+        p.where(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = streaming_events(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    want = {r.id: r.event_id for r in events.sequential_events(p.withColumn("ord", F.col("id"))).collect()}
+    assert {r.id: r.event_id for r in spark.read.parquet(f"{tmp_path}/out").collect()} == want
