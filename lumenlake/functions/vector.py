@@ -67,8 +67,8 @@ class _Sums:
         names = list(zip(*(part.column(i).take(pa.array(first)).to_pylist() for i in range(n)), strict=True))
         order = np.argsort(code, kind="stable")
         starts = np.searchsorted(code[order], np.arange(len(first)))
-        matrix, long = _padded(part.column(n))
-        weights, spread = _padded(part.column(n + 1))
+        matrix, long = padded(part.column(n))
+        weights, spread = padded(part.column(n + 1))
         if (long != matrix.shape[1]).any() or (spread != 1).any():
             inside = np.arange(matrix.shape[1])[None, :] < long[:, None]
             weights = np.where(spread[:, None] == 1, weights[:, :1], np.pad(weights, ((0, 0), (0, matrix.shape[1] - weights.shape[1])))) * inside
@@ -93,7 +93,7 @@ class _Sums:
         yield pa.RecordBatch.from_arrays(arrays + values, [*(f.name for f in self.fields), *("__v", "__w")[: len(values)]])
 
 
-def _padded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def padded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     long = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     flat, most = column.flatten().fill_null(0.0).to_numpy(zero_copy_only=False), int(long.max(initial=0))
     if (long == most).all():

@@ -136,6 +136,44 @@ def test_looks_are_gathered_without_writing_vectors(spark, monkeypatch):
     assert kept and not {"embedding", "vector", "looks"} & {c for columns in kept for c in columns}
 
 
+def test_libraries_that_fit_in_a_task_are_merged_there(spark, monkeypatch):
+    """Nothing but the result is written, no vector is sent but to its library, and the way by cells merges alike."""
+    rng = np.random.default_rng(31)
+    p, who, mine, faces = None, [], [], []
+    for library, n in (("L", 40), ("M", 25), ("N", 1)):
+        rows = []
+        for i in range(n):
+            r = {"id": f"{library}{i}", "ord": 3 * i % n, "embedding": (np.array([1.0, 0.0, 0.0]) + 0.5 * rng.normal(size=3)).tolist() if i % 9 else None, "captured_at_source": "exif" if i % 4 else "filesystem"}
+            r |= {"captured_at": at(float(rng.uniform(0, 600)))} if i % 7 else {}
+            r |= {"latitude": 30 + float(rng.random()), "longitude": 104.0} if i % 3 else {}
+            rows.append(r)
+            for person in {int(x) for x in rng.integers(0, 5, 2)}:
+                who.append((library, person, r["id"]))
+                mine.append((library, person, f"{r['id']}:{person}"))
+                faces += [(library, f"{r['id']}:{person}", r["id"], None if rng.random() < 0.2 else rng.normal(1, 0.7, 3 if rng.random() < 0.9 else 2).tolist())] * int(rng.integers(1, 3))
+        one = photos(spark, *rows, library=library)
+        p = one if p is None else p.unionByName(one)
+    given = {"faces": spark.createDataFrame(faces, "library_id string, id string, photo_id string, appearance_embedding array<double>"), "person_faces": spark.createDataFrame(mine, "library_id string, person_id long, face_id string"),
+             "person_photos": spark.createDataFrame(who, "library_id string, person_id long, photo_id string")}
+    kept, write = [], event_people.written
+    found = lambda **k: {r.id: (r.library_id, r.event_id) for r in event_people.merge_by_people(p, **k).collect()}
+    events_of = []
+    for tables in (given, {}):
+        monkeypatch.setattr(event_people, "written", lambda df: kept.append(df.columns) or write(df))
+        got = found(**tables)
+        assert kept == [["node", "event_id"]] and len(got) == 66
+        kept.clear()
+        assert got == found(**tables, together=1)  # all but N by cells
+        assert len(kept) > 1 and "embedding" not in kept[-1]
+        kept.clear()
+        events_of.append(len(set(got.values())))
+    assert 6 < events_of[0] < events_of[1] < 60
+    lying = p.repartition(4, "library_id")
+    looks = lying.select("library_id", F.concat("id", F.lit(":")).alias("id"), F.col("id").alias("photo_id"), F.col("embedding").alias("appearance_embedding"))
+    at_once = event_people._merged_at_once(lying, event_people._of_people(lying, looks, given["person_faces"], given["person_photos"]), events.DEFAULTS, {})
+    assert "REPARTITION_BY_NUM" in (plan := at_once._jdf.queryExecution().executedPlan().toString()) and plan.count("hashpartitioning") <= 4
+
+
 def test_greedy_merging_takes_the_best_pair_first():
     def group(i, people, v):
         g = event_people._Group([i])
